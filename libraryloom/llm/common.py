@@ -82,3 +82,52 @@ def splitmix(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+# -- words of many texts at once ----------------------------------------------------------------------------------------
+
+_BASE = 0x9E3779B97F4A7C15 | 1
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2**64, at least n of each."""
+    if "up" not in _POWERS or len(_POWERS["up"]) < n:
+        size = max(1 << 20, 1 << (n - 1).bit_length())
+        inverse = pow(_BASE, -1, 1 << 64)
+        for name, base in (("up", _BASE), ("down", inverse)):
+            p = np.full(size, base, dtype=np.uint64)
+            p[0] = 1
+            _POWERS[name] = np.multiply.accumulate(p)
+    return _POWERS["up"], _POWERS["down"]
+
+
+#: A 64-bit number for each byte value.
+BYTE_VALUES = splitmix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+
+
+def prefix_sums(b: np.ndarray) -> np.ndarray:
+    """Sums for ``span_hash``: of the first i bytes' numbers, each times the base to its place."""
+    out = np.zeros(len(b) + 1, dtype=np.uint64)
+    np.cumsum(BYTE_VALUES[b] * _powers(len(b) + 1)[0][: len(b)], out=out[1:])
+    return out
+
+
+def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; equal bytes have equal hashes wherever they lie."""
+    return splitmix((sums[end] - sums[start]) * _powers(len(sums))[1][start] + (end - start).astype(np.uint64))
+
+
+def word_spans(b: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes whose ``inside`` is true; ``b`` must end with a byte outside."""
+    on = inside[b]
+    edge = np.flatnonzero(on[1:] != on[:-1]) + 1
+    if len(on) and on[0]:
+        edge = np.concatenate([[0], edge])
+    return edge[0::2], edge[1::2]
+
+
+def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with a line feed after each, as one array, and the places where texts begin, with the end."""
+    b = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+    return b, np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
