@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from libraryloom.llm.common import texts_of
 
@@ -494,7 +495,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, tokenizer_json: str,
     shared = spark.sparkContext.broadcast(compile_lexicon(tokenizer_json))
     docs = docs.drop(out)
     place = docs.columns.index(text)
-    schema = docs.schema.add(out, "binary", True)
+    schema = T.StructType(docs.schema.fields.copy()).add(out, "binary", True)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(shared.value)
