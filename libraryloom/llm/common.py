@@ -90,7 +90,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64, at least n of each."""
     if "up" not in _POWERS or len(_POWERS["up"]) < n:
         size = max(1 << 20, 1 << (n - 1).bit_length())
@@ -109,13 +109,13 @@ BYTE_VALUES = splitmix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543
 def prefix_sums(b: np.ndarray) -> np.ndarray:
     """Sums for ``span_hash``: of the first i bytes' numbers, each times the base to its place."""
     out = np.zeros(len(b) + 1, dtype=np.uint64)
-    np.cumsum(BYTE_VALUES[b] * _powers(len(b) + 1)[0][: len(b)], out=out[1:])
+    np.cumsum(BYTE_VALUES[b] * powers(len(b) + 1)[0][: len(b)], out=out[1:])
     return out
 
 
 def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span of bytes; equal bytes have equal hashes wherever they lie."""
-    return splitmix((sums[end] - sums[start]) * _powers(len(sums))[1][start] + (end - start).astype(np.uint64))
+    return splitmix((sums[end] - sums[start]) * powers(len(sums))[1][start] + (end - start).astype(np.uint64))
 
 
 def word_spans(b: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
