@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from libraryloom.llm import bpe, exact_dedup, media, near_dedup, packing, quality, suffix_dedup, toxicity, warc
+from libraryloom.llm import bpe, exact_dedup, html_text, media, near_dedup, packing, quality, suffix_dedup, toxicity, warc
 
 
 def tokenizer_file() -> str:
@@ -51,6 +51,10 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(spark, table(spark, sf_dir, "pages"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.roundtrip_digests(spark, table(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_near_dedup": op8_near_dedup,
+    "op9_html_extraction": op9_html_extraction,
     "op10_bpe": op10_bpe,
 }
 
