@@ -99,12 +99,22 @@ def exact_dedup(docs: DataFrame, size: int = BLOCK_BYTES, digest=two_hashes) ->
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns."""
-    kept = exact_dedup(docs.select("doc_id", "text")).filter("kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_kd"), F.col("text_sha256").alias("_ks"))
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns.
+
+    Rows are dropped by an anti join with what goes, which is small as a rule; only where rows repeat a doc_id and its
+    text are rows of one key told apart.
+    """
+    found = exact_dedup(docs.select("doc_id", "text"))
+    keys = found.groupBy(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_kd"), F.col("text_sha256").alias("_ks")).agg(F.max("kept").alias("_kk"), F.count(F.lit(1)).alias("_kn"))
+    keys = cut(keys.filter("NOT _kk OR _kn > 1"), "dropped")
     rows = docs.withColumn("_kd", F.coalesce("doc_id", F.lit(NULL_ID))).withColumn("_ks", F.sha2(normalised(F.col("text")), 256))
+    out = rows.join(keys, ["_kd", "_ks"], "left_anti").select(*docs.columns)
+    again = keys.filter("_kk").select("_kd", "_ks")
+    if again.isEmpty():
+        return out
     once = Window.partitionBy("_kd", "_ks").orderBy(F.desc(F.length("text")))
-    rows = rows.withColumn("_kn", F.row_number().over(once)).filter("_kn = 1")
-    return rows.join(kept, ["_kd", "_ks"], "left_semi").select(*docs.columns)
+    rows = rows.join(again, ["_kd", "_ks"], "left_semi").withColumn("_kr", F.row_number().over(once)).filter("_kr = 1")
+    return out.union(rows.select(*docs.columns))
 
 
 ORACLE_SQL = """

@@ -325,3 +325,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
     none = rows.filter("n = 0").select("doc_id", "n", "_d", F.col("_d").alias("c"))
     # rows that share an id may be of different classes: the least component of them is that of all
     return out.union(none).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("c") != NULL_ID, F.col("c")).alias("component_id"), (F.col("c") == F.col("_d")).alias("kept"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, one document of each near-duplicate group, with all their columns."""
+    gone = near_groups(docs.select("doc_id", "text")).filter("NOT kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_gone")).distinct()
+    return docs.join(cut(gone, "gone"), F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("_gone"), "left_anti")

@@ -339,3 +339,26 @@ def repeat_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each document."""
     out = remove_repeats(docs.select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def strip_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated passages cut out of ``text``; all rows and columns stay, and n_chars, where there, follows.
+
+    Passages are bytes, so a cut may split a character; what is left of a split character is dropped. A null text
+    becomes an empty one.
+    """
+    columns = docs.columns
+    place = columns.index("text")
+    chars = columns.index("n_chars") if "n_chars" in columns else None
+    rows = remove_repeats(docs).select(*columns, "kept")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x.decode("utf-8", "ignore") for x in batch.column(len(columns)).to_pylist()]
+            out = list(batch.columns[: len(columns)])
+            out[place] = pa.array(texts, pa.string())
+            if chars is not None:
+                out[chars] = pa.array([len(t) for t in texts], pa.int64()).cast(out[chars].type)
+            yield pa.RecordBatch.from_arrays(out, names=columns)
+
+    return rows.mapInArrow(run, docs.schema)

@@ -137,3 +137,18 @@ def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, lab
 
     out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep_clean(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of ``docs`` that score under THRESHOLD, with all their columns; texts are never changed."""
+    texts, y, _ = training_rows(spark, docs, labels, label, fit_rows)
+    model = spark.sparkContext.broadcast(fit(texts, y))
+    place = docs.columns.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            body = utf8_of(batch.column(place))
+            for i, j in runs_by_size([len(t) for t in body], 1_000_000):
+                yield batch.slice(i, j - i).filter(pa.array(model.value.score(body[i:j]) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
