@@ -42,14 +42,14 @@ class Plan:
 
 
 def dominating(sizes: list[int], left: dict[int, int], big: int, capacity: int) -> tuple[int, ...] | None:
-    """A set of companions for one piece of size ``big``, the largest left, that dominates every feasible set; else None.
+    """A set of companions for one piece of size ``big`` that dominates every feasible set with it; else None.
 
     A set dominates another if the other's pieces can be grouped so that each group is no larger than one piece of the
     set; then some optimal packing holds the set. Companions are sought up to two, as in the published procedure.
-    ``sizes``: ascending, those with pieces left.
+    ``sizes``: ascending, all sizes with pieces left, those too that were passed over before.
     """
     left[big] -= 1
-    have = sizes if left[big] else sizes[:-1]
+    have = [s for s in sizes if left[s]]
     free = capacity - big
     try:
         at = bisect.bisect_right(have, free) - 1
@@ -95,13 +95,12 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
     left = {s: n for s, n in histogram.items() if n > 0}
     taken = dict.fromkeys(left, 0)
     sizes = sorted(left)
-    rest: dict[int, int] = {}
-    while sizes:  # the reduction, from the largest size down
-        big = sizes[-1]
-        mates = dominating(sizes, left, big, capacity)
+    order, k = sizes[::-1], 0
+    while k < len(order):  # the reduction, from the largest size down
+        big = order[k]
+        mates = dominating(sizes, left, big, capacity) if left[big] else None
         if mates is None:
-            rest[big] = left.pop(big)
-            sizes.pop()
+            k += 1
             continue
         need: dict[int, int] = {}
         for s in (big, *mates):
@@ -117,6 +116,7 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
         plan.sequences += times
         sizes = [s for s in sizes if left[s]]
     plan.fixed = plan.sequences
+    rest = {s: left[s] for s in sizes}
 
     bins: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # by space left: (first sequence, count)
     spaces: list[int] = []  # those with bins, ascending
