@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,3 +80,17 @@ def section_ids(c: Column) -> Column:
 def without_upload_prefix(c: Column) -> Column:
     """A staged file's name without the unique prefix that staging gave it."""
     return F.regexp_replace(c, "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}[-_]", "")
+
+
+def ascii_fold(c: Column) -> Column:
+    """A name in ASCII: accents dropped, every other foreign character an underscore."""
+    def fold(names: pd.Series) -> pd.Series:
+        def one(s: str | None) -> str | None:
+            if s is None:
+                return None
+            plain = (x for x in unicodedata.normalize("NFKD", s) if not unicodedata.combining(x))
+            return "".join(x if x < "\x80" else "_" for x in plain)
+
+        return names.map(one)
+
+    return F.pandas_udf(fold, "string")(c)
