@@ -7,9 +7,9 @@ DISTANCE // CHUNKS = 1 component of some chunk, so all chunk values with any one
 keys, and every pair within the distance shares a key. Pairs that share a key are compared by signature and size where
 they meet; what is left is confirmed on the full sets.
 
-Documents with equal sets are one class from the start. Of a group of classes that share a key not all pairs are made:
-first each class is confirmed against the least one within the distance; once components of these links are known, only
-pairs of different components remain to be compared, which are few, and all of them are.
+Documents with equal sets are one class from the start. Pairs are never rows: a task compares the classes that share its
+keys and hands on the trees that near pairs make up. Every near pair lies in one component of all these trees, so full
+sets are compared within components only, block by block, and again only trees of similar sets are handed on.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ SHARE = 75  # of 100
 M = 64
 DISTANCE = 29
 CHUNKS = 15
+#: Documents of a component whose full sets are compared in one task, about half of them.
+BLOCK = 750
 #: Bits of the filter that picks the texts whose sets are needed; more texts only make it let more through.
 FILTER_BITS = 1 << 23
 
@@ -114,12 +116,10 @@ def deal(df: DataFrame, keyed: Callable, partitions: int) -> DataFrame:
     ``keyed`` turns an Arrow batch into (keys, function from row numbers to a blob). Rows of equal keys meet in one
     partition.
     """
-    buckets = 8 * partitions
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, blob = keyed(batch)
-            bucket = (keys % np.uint64(buckets)).astype(np.int32)
+            bucket = (keys % np.uint64(partitions)).astype(np.int32)
             by = np.argsort(bucket, kind="stable")
             edges = np.flatnonzero(np.concatenate([[True], np.diff(bucket[by]) != 0, [True]])) if len(by) else np.zeros(1, int)
             parts = [(int(bucket[by[a]]), blob(by[a:z])) for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
@@ -128,9 +128,9 @@ def deal(df: DataFrame, keyed: Callable, partitions: int) -> DataFrame:
     return df.mapInArrow(run, "bucket int, blob binary").repartition(partitions, "bucket")
 
 
-def partitions_for(df_rows: int, row_bytes: int, spark) -> int:
-    """Partitions of about 16 MB of blobs, at least the session's number."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), df_rows * row_bytes >> 24)
+def partitions_for(rows: int, row_bytes: int) -> int:
+    """Buckets, and partitions, of about 32 MB of blobs, at least 32; a batch sends one row to each."""
+    return max(32, rows * row_bytes >> 25)
 
 
 def shared_keys(classes: DataFrame, partitions: int) -> DataFrame:
@@ -161,13 +161,12 @@ def shared_keys(classes: DataFrame, partitions: int) -> DataFrame:
     return deal(classes.select("rep", "sig"), keyed, partitions).mapInArrow(meet, "rep long, key long")
 
 
-MEMBER = np.dtype([("rep", "<i8"), ("n", "<i8"), ("home", "<i8"), ("sig", "<u2", (M,))])
+MEMBER = np.dtype([("rep", "<i8"), ("n", "<i8"), ("sig", "<u2", (M,))])
 
 
 def _near(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether members a and b of ``x`` may be similar enough by size and are within DISTANCE; not of one component."""
+    """Whether members a and b of ``x`` may be similar enough by size and are within DISTANCE."""
     ok = 100 * np.minimum(x["n"][a], x["n"][b]) >= SHARE * np.maximum(x["n"][a], x["n"][b])
-    ok &= (x["home"][a] != x["home"][b]) & (x["rep"][a] != x["rep"][b])
     at = np.flatnonzero(ok)
     for i in range(0, len(at), 100_000):
         part = at[i : i + 100_000]
@@ -175,49 +174,51 @@ def _near(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ok
 
 
-def _pairs_of(x: np.ndarray, group: np.ndarray, starts: np.ndarray, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of members within the distance: all of them, or for each member the least of its group."""
-    sizes = np.diff(starts)
-    for size in np.unique(sizes[sizes > 1]).tolist():
-        rows = group[starts[:-1][sizes == size][:, None] + np.arange(size)]
-        if size <= 16:
-            i, j = np.triu_indices(size, 1)
-            a, b = rows[:, i].ravel(), rows[:, j].ravel()
-            ok = _near(x, a, b)
-            yield a[ok], b[ok]
-            continue
-        for members in rows:
-            left = members
-            for pivot in members[:-1].tolist():
-                left = left[left != pivot]
-                if every:
-                    later = left
-                else:
-                    later = left[x["rep"][left] > x["rep"][pivot]]
-                if not len(later):
-                    if not every:
-                        continue
-                    break
-                ok = _near(x, np.full(len(later), pivot), later)
-                yield np.full(int(ok.sum()), pivot), later[ok]
-                if not every:
-                    left = np.setdiff1d(left, later[ok], assume_unique=True)
-
-
-def candidates(shared: DataFrame, classes: DataFrame, partitions: int, every: bool) -> DataFrame:
-    """(a, b) with a < b: classes that share a key and are within the distance, of different ``home``.
-
-    ``every``: all such pairs, else for each b the least a.
+class Forest:
+    """Union-find over numbers 0 to n - 1; the root of a tree is its least number."""
+
+    def __init__(self, n: int) -> None:
+        self.up = list(range(n))
+
+    def root(self, i: int) -> int:
+        up = self.up
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        i, j = self.root(i), self.root(j)
+        if i != j:
+            self.up[max(i, j)] = min(i, j)
+
+
+def _link_group(members: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray], forest: Forest) -> None:
+    """Join the members of a group that are near each other, comparing one with the later ones of other trees at a time."""
+    label = np.array([forest.root(i) for i in members.tolist()])
+    for k in range(len(members) - 1):
+        if (label == label[0]).all():
+            return
+        later = k + 1 + np.flatnonzero(label[k + 1 :] != label[k])
+        hit = later[near(k, later)]
+        for other in np.unique(label[hit]).tolist():
+            forest.join(int(label[k]), other)
+            label[label == other] = label[k]
+
+
+def neighbours(shared: DataFrame, classes: DataFrame, partitions: int) -> DataFrame:
+    """(a, b): links that join all classes that share a key and are within the distance; at most one for each class and task.
+
+    Within a task nothing but the trees that the near pairs make up leaves it, so a group of any size gives few rows.
     """
     keys = shared.groupBy("rep").agg(F.collect_list("key").alias("keys"))  # a class has M keys
-    rows = keys.join(classes.select("rep", "n", "home", "sig"), "rep").select("rep", "n", "home", "sig", "keys")
+    rows = keys.join(classes.select("rep", "n", "sig"), "rep").select("rep", "n", "sig", "keys")
 
     def keyed(batch: pa.RecordBatch):
         x = np.empty(len(batch), dtype=MEMBER)
-        for k, name in enumerate(("rep", "n", "home")):
-            x[name] = batch.column(k).to_numpy()
-        x["sig"] = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint16).reshape(-1, M)
-        lists = batch.column(4)
+        x["rep"], x["n"] = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        x["sig"] = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint16).reshape(-1, M)
+        lists = batch.column(3)
         flat = lists.flatten().to_numpy().view(np.uint64)
         owner = np.repeat(np.arange(len(x)), lists.value_lengths().to_numpy())
 
@@ -240,32 +241,43 @@ def candidates(shared: DataFrame, classes: DataFrame, partitions: int, every: bo
         if not total:
             return
         x, key, owner = np.concatenate(members), np.concatenate(keys), np.concatenate(owners)
-        by = np.lexsort((x["rep"][owner], key))
+        # a class that came in several blobs is one member; classes that share a rep stay apart
+        _, first, same = np.unique(x.view(np.dtype((np.void, MEMBER.itemsize))), return_index=True, return_inverse=True)
+        x, owner = x[first], same.ravel()[owner]
+        by = np.argsort(x["rep"], kind="stable")
+        rank = np.empty(len(x), dtype=np.int64)
+        rank[by] = np.arange(len(x))
+        x, owner = x[by], rank[owner]
+        by = np.lexsort((owner, key))
         key, owner = key[by], owner[by]
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.concatenate([starts, [len(owner)]]))
         # groups of the same members are compared once
-        mark = np.add.reduceat(splitmix(x["rep"][owner].astype(np.uint64) * np.uint64(3) + x["n"][owner].astype(np.uint64)), starts)
-        ends = np.concatenate([starts[1:], [len(owner)]])
-        _, first = np.unique(np.stack([mark, (ends - starts).astype(np.uint64)], axis=1), axis=0, return_index=True)
-        take = np.concatenate([np.arange(starts[g], ends[g]) for g in first.tolist()])
-        cuts = np.concatenate([[0], np.cumsum((ends - starts)[first])])
-        for a, b in _pairs_of(x, owner[take], cuts, every):
-            a, b = x["rep"][a], x["rep"][b]
-            a, b = np.minimum(a, b), np.maximum(a, b)
-            if len(a):
-                both = np.unique(np.stack([b, a], axis=1), axis=0)
-                if not every:
-                    both = both[np.concatenate([[True], both[1:, 0] != both[:-1, 0]])]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 1])), pa.array(np.ascontiguousarray(both[:, 0]))], names=["a", "b"])
-
-    found = deal(rows, keyed, partitions).mapInArrow(meet, "a long, b long")
-    return found.distinct() if every else found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose full sets are similar enough. Sets are made anew, of the documents that occur in pairs only."""
+        mark = np.add.reduceat(splitmix(owner.astype(np.uint64) + np.uint64(1)), starts)
+        _, first = np.unique(np.stack([mark, sizes.astype(np.uint64)], axis=1), axis=0, return_index=True)
+        starts, sizes = starts[first], sizes[first]
+        forest = Forest(len(x))
+        for size in np.unique(sizes[sizes > 1]).tolist():
+            rows = owner[starts[sizes == size][:, None] + np.arange(size)]
+            if size <= 16:
+                i, j = np.triu_indices(size, 1)
+                pairs = np.unique(np.stack([rows[:, i].ravel(), rows[:, j].ravel()], axis=1), axis=0)
+                pairs = pairs[_near(x, pairs[:, 0], pairs[:, 1])]
+                for a, b in pairs.tolist():
+                    forest.join(a, b)
+            else:
+                for group in rows:
+                    _link_group(group, lambda k, later, g=group: _near(x, np.full(len(later), g[k]), g[later]), forest)
+        root = np.array([forest.root(i) for i in range(len(x))])
+        on = np.flatnonzero(root != np.arange(len(x)))
+        yield pa.RecordBatch.from_arrays([pa.array(x["rep"][root[on]]), pa.array(x["rep"][on])], names=["a", "b"])
+
+    return deal(rows, keyed, partitions).mapInArrow(meet, "a long, b long").distinct()
+
+
+def sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, set) of the documents in ``ids``, made anew from their texts."""
     spark = docs.sparkSession
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
     # a bit map of fixed size, however many documents there are
     words = ids.select(bit.alias("bit")).select(F.expr("cast(bit div 64 as int)").alias("w"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
@@ -283,19 +295,73 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 sets = [s.tobytes() for s in shingle_sets(body[i:j])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sets, pa.binary())], names=["id", "set"])
 
-    sets = rows.mapInArrow(pick, "id long, set binary").join(ids, "id", "left_semi")
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
+    return rows.mapInArrow(pick, "id long, set binary")
+
+
+def similar(sets: list[np.ndarray], side: np.ndarray, cross: bool) -> Forest:
+    """Trees of the sets that are similar enough. ``cross``: only pairs of different sides are compared."""
+    forest = Forest(len(sets))
+    size = np.array([len(x) for x in sets])
+    shingle, place = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    by = np.argsort(place, kind="stable")
+    holders = owner[by]  # the sets that hold each shingle, shingle after shingle
+    begin = np.searchsorted(place[by], np.arange(len(shingle) + 1))
+    ends = np.cumsum(size)
+
+    def near(k: int, later: np.ndarray) -> np.ndarray:
+        own = place[ends[k] - size[k] : ends[k]]
+        count = begin[own + 1] - begin[own]
+        at = np.repeat(begin[own] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        common = np.bincount(holders[at], minlength=len(sets))[later]
+        ok = (common > 0) & (100 * common >= SHARE * (size[k] + size[later] - common))
+        return ok & (side[later] != side[k]) if cross else ok
+
+    _link_group(np.arange(len(sets)), near, forest)
+    return forest
+
+
+def confirmed(links: DataFrame, docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b): links that join all documents whose full sets are similar enough, among those that ``links`` connect.
+
+    Every near pair lies in one component of ``links``. A component is cut into blocks of about ``block`` documents, and
+    each pair of blocks is compared on full sets in a task of its own; only trees of similar sets leave it.
+    """
+    found = components(links)
+    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    found = found.join(cut(sizes, "sizes"), "component").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    found = cut(found.select(F.col("node").alias("id"), "component", "blocks", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("blocks")).cast("int").alias("own")), "families")
+    placed = found.join(sets_of(found.select("id"), docs), "id")
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "set")
+    keys = ["component", "i", "j"]
+    placed = placed.repartition(*keys).sortWithinPartitions(*keys, "id")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links_of(rows: list[tuple]) -> tuple[list[int], list[int]]:
+            sets = [np.frombuffer(r[5], dtype=np.uint64) for r in rows]
+            forest = similar(sets, np.array([r[3] for r in rows]), rows[0][1] != rows[0][2])
+            roots = [forest.root(k) for k in range(len(rows))]
+            both = [(rows[r][4], rows[k][4]) for k, r in enumerate(roots) if r != k]
+            return [x for x, _ in both], [y for _, y in both]
+
+        now, rows = None, []
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                both = np.sort(np.concatenate([np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)]), kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(common > 0 and 100 * common >= SHARE * (len(both) - common))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long").distinct()
+            a, b = [], []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != now:
+                    if len(rows) > 1:
+                        x, y = links_of(rows)
+                        a += x
+                        b += y
+                    now, rows = row[:3], []
+                rows.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        if len(rows) > 1:
+            x, y = links_of(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+
+    return placed.mapInArrow(compare, "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -308,18 +374,11 @@ def near_groups(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = cut(describe(docs), "sets")
     classes = rows.filter("n > 0").groupBy("digest").agg(F.min(F.struct("_d", "n", "sig")).alias("x"), F.max("sig").alias("s"))
-    classes = cut(classes.select("digest", F.col("x._d").alias("rep"), F.col("x.n").alias("n"), F.col("s").alias("sig"), F.col("x._d").alias("home")), "classes")
-    parts = partitions_for(classes.count(), M * 16, spark)
+    classes = cut(classes.select("digest", F.col("x._d").alias("rep"), F.col("x.n").alias("n"), F.col("s").alias("sig")), "classes")
+    parts = partitions_for(classes.count(), M * 16)
     shared = cut(shared_keys(classes, parts), "shared")
-    links = cut(confirmed(cut(candidates(shared, classes, parts, every=False), "pairs"), docs), "links")
-    homes = cut(components(links), "homes")
-    placed = classes.drop("home").join(homes, F.col("rep") == F.col("node"), "left")
-    placed = cut(placed.select("digest", "rep", "n", "sig", F.coalesce("component", "rep").alias("home")), "placed")
-    at = shared.join(placed.groupBy("rep").agg(F.min("home").alias("home")), "rep")
-    open_keys = at.groupBy("key").agg(F.min("home").alias("x"), F.max("home").alias("y")).filter("x < y").select("key")
-    pairs = cut(candidates(cut(at.select("rep", "key").join(open_keys, "key", "left_semi"), "open"), placed, parts, every=True), "pairs")
-    if not pairs.isEmpty():
-        homes = cut(components(links.union(confirmed(pairs, docs))), "homes")
+    links = cut(neighbours(shared, classes, parts), "links")
+    homes = cut(components(cut(confirmed(links, docs), "links")), "homes")
     found = classes.select("digest", "rep").join(homes, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("c"))
     out = rows.filter("n > 0").join(found, "digest").select("doc_id", "n", "_d", "c")
     none = rows.filter("n = 0").select("doc_id", "n", "_d", F.col("_d").alias("c"))
@@ -331,3 +390,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one document of each near-duplicate group, with all their columns."""
     gone = near_groups(docs.select("doc_id", "text")).filter("NOT kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_gone")).distinct()
     return docs.join(cut(gone, "gone"), F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("_gone"), "left_anti")
+
+
+#: The result of ``near_groups`` by joining shingles; quadratic in what documents share, so for small tables.
+ORACLE_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+l AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS g FROM w),
+s AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM l),
+e AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+r(id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.id)
+SELECT l.doc_id, CAST(len(l.g) AS BIGINT) AS n_shingles, m.root AS component_id, l.doc_id = m.root AS kept
+FROM l JOIN (SELECT id, min(root) AS root FROM r GROUP BY id) m ON m.id = l.doc_id
+"""
