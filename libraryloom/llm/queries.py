@@ -72,4 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op3_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op4_warc": warc.ORACLE_SQL,
+    "op8_near_dedup": near_dedup.ORACLE_SQL,
+}

@@ -163,3 +163,15 @@ def archive_roundtrip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     path = fresh_path(spark, "archive")
     write_archive(spark, pages, path)
     return read_archive(spark, path)
+
+
+#: The result of ``archive_roundtrip``; base32 is spelled out, five hex digits to four letters.
+ORACLE_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+     r AS (SELECT *, max(page_id) OVER (PARTITION BY t) AS top FROM p)
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 8), lambda g: array_to_string(list_transform([15, 10, 5, 0], lambda k:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, CAST(g * 5 + 1 AS INTEGER), 5) AS INTEGER) >> k) & 31 AS INTEGER) + 1, 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM r
+"""
