@@ -95,3 +95,38 @@ def outcome_names(moved: DataFrame, taken: DataFrame) -> DataFrame:
     before = taken.groupBy("name").agg(F.count(F.lit(1)).alias("_t"))
     rows = rows.join(before, "name", "left").withColumn("_k", F.col("_k") + F.coalesce("_t", F.lit(0)))
     return rows.withColumn("target", F.when(F.col("_k") == 0, F.col("name")).otherwise(F.concat(stem, F.lit("."), F.col("_k").cast("string"), ext))).drop("_k", "_t")
+
+
+def with_provenance(files: DataFrame, recorded: DataFrame) -> DataFrame:
+    """``files`` (name, ...) with discovered_via: what was recorded for the name, else manual.
+
+    ``recorded`` may hold several notes for a name; the least is taken. Records of names that did not come in stay for
+    a later batch, see ``unconsumed``.
+    """
+    own = recorded.groupBy("name").agg(F.min("discovered_via").alias("discovered_via"))
+    return files.join(own, "name", "left").withColumn("discovered_via", F.coalesce("discovered_via", F.lit("manual")))
+
+
+def unconsumed(recorded: DataFrame, succeeded: DataFrame) -> DataFrame:
+    """Provenance that stays: of names whose intake has not succeeded yet."""
+    return recorded.join(succeeded.select("name").distinct(), "name", "left_anti")
+
+
+#: Hosts of preprint servers, their subdomains included.
+PREPRINT_HOSTS = ("arxiv.org", "ssrn.com", "biorxiv.org", "medrxiv.org")
+
+
+def promoted_url(entry_url, archived_url):
+    """The published address where it is a web address off the preprint servers, else the archived one."""
+    from libraryloom.functions.urls import host, is_web_url
+
+    h = host(entry_url)
+    on_server = F.lit(False)
+    for server in PREPRINT_HOSTS:
+        on_server = on_server | (h == server) | h.endswith(f".{server}")
+    return F.when(is_web_url(entry_url) & ~on_server, entry_url).otherwise(archived_url)
+
+
+def produced_since(library: DataFrame, started: str) -> DataFrame:
+    """Records written after a run began; only these may be quarantined when it fails."""
+    return library.filter(F.col("modified") > F.lit(started).cast("timestamp"))

@@ -232,3 +232,15 @@ def test_stream(spark, tmp_path):
     assert inbox.drain(spark, str(folder), state, check) == 0
     got = {r.name: (r.outcome, r.matched) for r in inbox.claimed(spark, state).collect()}
     assert got == {"a.pdf": ("new", None), "l.txt": ("new", None), "b.pdf": ("duplicate", "a.pdf"), "m.url": ("duplicate", "l.txt"), "c.pdf": ("new", None)}
+
+
+def test_provenance_and_promoted_urls(spark, library):
+    files = spark.createDataFrame([("a",), ("b",)], "name string")
+    recorded = spark.createDataFrame([("a", "digest:item/7"), ("z", "manual")], "name string, discovered_via string")
+    assert {r.name: r.discovered_via for r in intake.with_provenance(files, recorded).collect()} == {"a": "digest:item/7", "b": "manual"}
+    assert [r.name for r in intake.unconsumed(recorded, files).collect()] == ["z"]
+    for given, want in [("https://doi.org/10.1/x", "https://doi.org/10.1/x"), ("https://www.arxiv.org/abs/1", "old"), ("ftp://x", "old"), (None, "old")]:
+        assert value(spark, intake.promoted_url(F.lit(given).cast("string"), F.lit("old"))) == want
+    assert intake.produced_since(library, "2000-01-01").count() == 5 and intake.produced_since(library, "2999-01-01").count() == 0
+    moved = intake.outcome_names(spark.createDataFrame([("a.b.pdf",), ("a.b.pdf",), ("new",)], "name string"), spark.createDataFrame([("a.b.pdf",)], "name string"))
+    assert sorted(r.target for r in moved.collect()) == ["a.b.1.pdf", "a.b.2.pdf", "new"]
