@@ -29,7 +29,11 @@ LENGTH = 100
 HALF, QUARTER = 50, 25
 WINDOWS = LENGTH - HALF + 1  # places of a 50-byte name in a window
 CHUNK = 1 << 20
+#: Bytes of text in a block, and for each bucket of names; both numbers follow the corpus, with LEAST of each. A block
+#: sends one row to each bucket that it has names for.
 BLOCK_BYTES = 2_000_000
+BUCKET_BYTES = 64_000_000
+LEAST = 32
 ALL = np.uint64(2**64 - 1)
 
 
@@ -295,8 +299,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     results = ["n_bytes", "n_removed", "n_spans", "kept"]
     docs = docs.drop(*results)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (4 * BLOCK_BYTES))
-    blocks, buckets = 4 * parts, 8 * parts
+    blocks, buckets = max(LEAST, total // BLOCK_BYTES), max(LEAST, total // BUCKET_BYTES)
+    parts = min(blocks, max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks // 16))
     dealt = docs.withColumn("_d7", F.coalesce("doc_id", F.lit(NULL_ID))).withColumn("_tb7", F.pmod(F.xxhash64("_d7"), F.lit(blocks)).cast("int"))
     path = fresh_path(spark, "blocks")
     table = f"blocks_{path.rpartition('-')[2]}"
@@ -309,7 +313,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     ddl = "bucket int, block int, blob binary"
     back = "_tb7 int, kind int, blob binary"
-    known = cut(texts.groupBy("_tb7").applyInArrow(names_of, ddl).repartition(parts, "bucket").mapInArrow(repeated_names, back), "known")
+    known = cut(texts.groupBy("_tb7").applyInArrow(names_of, ddl).repartition(buckets, "bucket").mapInArrow(repeated_names, back), "known")
 
     def numbers(right: pa.Table, kind: int) -> np.ndarray:
         rows = zip(right.column("kind").to_pylist(), right.column("blob").to_pylist(), strict=True)
@@ -319,7 +323,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return entries(Block(left), key[0].as_py(), numbers(right, 0), buckets)
 
     sent = texts.groupBy("_tb7").cogroup(known.groupBy("_tb7")).applyInArrow(entries_of, ddl)
-    answers = cut(sent.repartition(parts, "bucket").mapInArrow(repeated_windows, back), "answers")
+    answers = cut(sent.repartition(buckets, "bucket").mapInArrow(repeated_windows, back), "answers")
 
     out = T.StructType(docs.schema.fields.copy()).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
     columns = docs.columns
