@@ -33,12 +33,6 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a table that ``cut`` wrote, once no later plan reads it."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def cut(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and lost executors cost no recomputation."""
     spark = df.sparkSession

@@ -146,9 +146,8 @@ def shared_keys(classes: DataFrame, partitions: int) -> DataFrame:
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = np.frombuffer(b"".join(x for batch in batches for x in batch.column(1).to_pylist()), dtype=pair)
         rows = rows[np.lexsort((rows["rep"], rows["key"]))]
-        same = (rows["key"][1:] == rows["key"][:-1]) & (rows["rep"][1:] != rows["rep"][:-1])
         again = (rows["key"][1:] == rows["key"][:-1]) & (rows["rep"][1:] == rows["rep"][:-1])
-        rows, head = rows[np.concatenate([[True], ~again])[: len(rows)]], None
+        rows = rows[np.concatenate([[True], ~again])[: len(rows)]]
         same = rows["key"][1:] == rows["key"][:-1]
         keep = np.zeros(len(rows), dtype=bool)
         keep[1:] |= same
