@@ -92,7 +92,7 @@ def exact_dedup(docs: DataFrame, size: int = BLOCK_BYTES, digest=two_hashes) ->
     again = Window.partitionBy("_d", "_s").orderBy(F.desc("_chars"))
     rows = cut(rows.withColumn("_again", F.row_number().over(again)).join(identities(docs, size, digest), ["_d", "_s"]), "rows")
     groups = rows.groupBy("_level", "_name").agg(F.min(F.struct(-F.col("_chars"), F.col("_d"))).alias("_best"), F.count(F.lit(1)).alias("group_size"))
-    groups = groups.select("_level", "_name", "group_size", F.col("_best._d").alias("_keep"))
+    groups = cut(groups.select("_level", "_name", "group_size", F.col("_best._d").alias("_keep")), "groups")  # so that the join below may split a large group
     keep = F.when(F.col("_keep") != NULL_ID, F.col("_keep"))
     kept = (F.col("_d") == F.col("_keep")) & (F.col("_again") == 1)
     return rows.join(groups, ["_level", "_name"]).select("doc_id", keep.alias("keep_id"), "group_size", kept.alias("kept"), F.col("_s").alias("text_sha256"))
