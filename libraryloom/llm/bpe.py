@@ -22,12 +22,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from libraryloom.llm.common import texts_of
+from libraryloom.llm.common import runs_by_size, texts_of
 
 #: White space as the tokenizer's normaliser knows it (str.split() also takes U+001C to U+001F).
 SPACE_CHARS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Distinct words that a worker remembers before it starts anew.
-MEMO = 900_000
+MEMO = 400_000
 
 
 def _byte_letters() -> list[str]:
@@ -172,7 +172,7 @@ NO_RANK = np.int32(2**31 - 1)
 
 def pair_table(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Open-addressing table of pair keys, and the place of each key in ``pairs``; empty slots hold -1."""
-    bits = max(10, int(len(pairs)).bit_length() + 4)
+    bits = max(10, int(len(pairs)).bit_length() + 2)
     slots, places = np.full(2**bits, -1, dtype=np.int64), np.full(2**bits, -1, dtype=np.int32)
     left = np.arange(len(pairs))
     at = _slot(pairs, bits)
@@ -256,7 +256,7 @@ class WordTable:
     A word is two 64-bit numbers, its bytes in order and its length in the last byte.
     """
 
-    def __init__(self, bits: int = 21) -> None:
+    def __init__(self, bits: int = 20) -> None:
         self.bits = bits
         self.clear()
 
@@ -481,8 +481,6 @@ def encoder(raw: bytes) -> Encoder:
 
 def batches_of_texts(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Runs of texts of about a million characters, so that memory does not follow the Arrow batch."""
-    from libraryloom.llm.common import runs_by_size
-
     return runs_by_size([len(t) for t in texts], most)
 
 

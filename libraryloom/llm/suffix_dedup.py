@@ -28,7 +28,7 @@ from libraryloom.llm.common import NULL_ID, cut, fresh_path, powers, prefix_sums
 LENGTH = 100
 HALF, QUARTER = 50, 25
 WINDOWS = LENGTH - HALF + 1  # places of a 50-byte name in a window
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Bytes of text in a block, and for each bucket of names; both numbers follow the corpus, with LEAST of each. A block
 #: sends one row to each bucket that it has names for.
 BLOCK_BYTES = 2_000_000
@@ -288,15 +288,16 @@ def cut_out(block: Block, known: np.ndarray, answers: np.ndarray) -> list[tuple[
     return out
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, strip: bool = False) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans (maximal removed runs) and kept (the bytes left); other columns stay.
 
     A null text is an empty one; texts under 100 bytes lose nothing. Rows that repeat a doc_id and its text are one
     document with one result; different texts of one doc_id are documents in the order of their bytes; a null doc_id
-    comes before every id. Columns of ``docs`` with the names of the results are replaced.
+    comes before every id. Columns of ``docs`` with the names of the results are replaced. ``strip``: no results are
+    added, but what is left takes the place of ``text``, see ``strip_repeats``.
     """
     spark = docs.sparkSession
-    results = ["n_bytes", "n_removed", "n_spans", "kept"]
+    results = [] if strip else ["n_bytes", "n_removed", "n_spans", "kept"]
     docs = docs.drop(*results)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, buckets = max(LEAST, total // BLOCK_BYTES), max(LEAST, total // BUCKET_BYTES)
@@ -325,13 +326,21 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     sent = texts.groupBy("_tb7").cogroup(known.groupBy("_tb7")).applyInArrow(entries_of, ddl)
     answers = cut(sent.repartition(buckets, "bucket").mapInArrow(repeated_windows, back), "answers")
 
-    out = T.StructType(docs.schema.fields.copy()).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
-    columns = docs.columns
+    out, columns = T.StructType(docs.schema.fields.copy()), docs.columns
+    if not strip:
+        out = out.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         block = Block(left)
         rows = cut_out(block, numbers(right, 0), numbers(right, 1).reshape(-1, 2))
         rows = [rows[i] for i in block.row_of]
+        if strip:
+            texts = [r[3].decode("utf-8", "ignore") for r in rows]
+            own = {c: left.column(c) for c in columns}
+            own["text"] = pa.array(texts, pa.string())
+            if "n_chars" in own:
+                own["n_chars"] = pa.array([len(t) for t in texts], pa.int64()).cast(own["n_chars"].type)
+            return pa.table(own)
         extra = list(zip(*rows, strict=True)) or [()] * 4
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
         return pa.table([*(left.column(c) for c in columns), *(pa.array(c, k) for c, k in zip(extra, kinds, strict=True))], names=[*columns, *results])
@@ -351,18 +360,4 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
     Passages are bytes, so a cut may split a character; what is left of a split character is dropped. A null text
     becomes an empty one.
     """
-    columns = docs.columns
-    place = columns.index("text")
-    chars = columns.index("n_chars") if "n_chars" in columns else None
-    rows = remove_repeats(docs).select(*columns, "kept")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [x.decode("utf-8", "ignore") for x in batch.column(len(columns)).to_pylist()]
-            out = list(batch.columns[: len(columns)])
-            out[place] = pa.array(texts, pa.string())
-            if chars is not None:
-                out[chars] = pa.array([len(t) for t in texts], pa.int64()).cast(out[chars].type)
-            yield pa.RecordBatch.from_arrays(out, names=columns)
-
-    return rows.mapInArrow(run, docs.schema)
+    return remove_repeats(docs, strip=True)
