@@ -375,30 +375,8 @@ class Encoder:
         order = np.concatenate(order)
         self.table.add(low[order], high[order], np.concatenate(counts), np.concatenate(found))
 
-    def encode_plain(self, texts: list[str]) -> list[bytes]:
-        """Texts that are normalised, without contractions, marks of special tokens or code points past the first plane."""
-        raw = "\n".join(texts).encode()
-        # a last white space ends the last word; 24 more bytes so that each word can be read as 16
-        buffer = np.frombuffer(raw + b"\n" + b" " * (24 + -len(raw) % 8 + 7), dtype=np.uint8)
-        buffer = buffer[: len(buffer) // 8 * 8]
-        b = buffer[: len(raw) + 1]
-        kinds = self.kinds[:256][b]
-        lead = b >= 0xC0
-        if lead.any():
-            at = np.flatnonzero(lead)
-            three = at[b[at] >= 0xE0]
-            two = at[b[at] < 0xE0]
-            kinds[two] = kinds[two + 1] = self.kinds[(b[two].astype(np.int32) & 31) << 6 | b[two + 1] & 63]
-            kinds[three] = kinds[three + 1] = kinds[three + 2] = self.kinds[(b[three].astype(np.int32) & 15) << 12 | (b[three + 1].astype(np.int32) & 63) << 6 | b[three + 2] & 63]
-        change = np.empty(len(b), dtype=bool)
-        change[0] = True
-        np.not_equal(kinds[1:], kinds[:-1], out=change[1:])
-        change |= (kinds == 2) & ((b & 0xC0) != 0x80)
-        bounds = np.flatnonzero(change)
-        starts = bounds[:-1]
-        lengths = np.diff(bounds)
-        words = kinds[starts] != 0
-        starts, lengths = starts[words], lengths[words]
+    def ids_of_words(self, raw: bytes, buffer: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each word of ``raw``, at most MEMO words, and all their ids in order."""
         wide = buffer.view("<u8")
         word, bit = starts >> 3, (starts & 7).astype(np.uint64) * np.uint64(8)
         first, second, third = wide[word], wide[word + 1], wide[word + 2]
@@ -429,12 +407,40 @@ class Encoder:
             begin[long] = len(store) + np.cumsum(counts[long]) - counts[long]
             store = np.concatenate([store, whole])
         ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = store[np.repeat(begin - (ends - counts), counts) + np.arange(total)].astype("<u4")
+        return counts, store[np.repeat(begin - (ends - counts), counts) + np.arange(ends[-1])].astype("<u4")
+
+    def encode_plain(self, texts: list[str]) -> list[bytes]:
+        """Texts that are normalised, without contractions, marks of special tokens or code points past the first plane."""
+        raw = "\n".join(texts).encode()
+        # a last white space ends the last word; 24 more bytes so that each word can be read as 16
+        buffer = np.frombuffer(raw + b"\n" + b" " * (24 + -len(raw) % 8 + 7), dtype=np.uint8)
+        buffer = buffer[: len(buffer) // 8 * 8]
+        b = buffer[: len(raw) + 1]
+        kinds = self.kinds[:256][b]
+        lead = b >= 0xC0
+        if lead.any():
+            at = np.flatnonzero(lead)
+            three = at[b[at] >= 0xE0]
+            two = at[b[at] < 0xE0]
+            kinds[two] = kinds[two + 1] = self.kinds[(b[two].astype(np.int32) & 31) << 6 | b[two + 1] & 63]
+            kinds[three] = kinds[three + 1] = kinds[three + 2] = self.kinds[(b[three].astype(np.int32) & 15) << 12 | (b[three + 1].astype(np.int32) & 63) << 6 | b[three + 2] & 63]
+        change = np.empty(len(b), dtype=bool)
+        change[0] = True
+        np.not_equal(kinds[1:], kinds[:-1], out=change[1:])
+        change |= (kinds == 2) & ((b & 0xC0) != 0x80)
+        bounds = np.flatnonzero(change)
+        starts = bounds[:-1]
+        lengths = np.diff(bounds)
+        words = kinds[starts] != 0
+        starts, lengths = starts[words], lengths[words]
+        # a slice holds at most MEMO distinct words, so the table has room for them whatever the text
+        parts = [self.ids_of_words(raw, buffer, starts[k : k + MEMO], lengths[k : k + MEMO]) for k in range(0, len(starts), MEMO)]
+        counts = np.concatenate([c for c, _ in parts]) if parts else np.zeros(0, dtype=np.int64)
+        ends = np.cumsum(counts)
         sizes = np.fromiter((len(t) if t.isascii() else len(t.encode()) for t in texts), dtype=np.int64, count=len(texts))
         cuts = np.searchsorted(starts, np.cumsum(sizes + 1))
         ends = np.concatenate([[0], ends])[cuts] * 4
-        out, at = ids.tobytes(), [0, *ends.tolist()]
+        out, at = b"".join([ids.tobytes() for _, ids in parts]), [0, *ends.tolist()]
         return [out[i:j] for i, j in zip(at, at[1:], strict=False)]
 
     def encode_by_rule(self, text: str) -> bytes:

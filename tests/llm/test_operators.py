@@ -82,6 +82,16 @@ def test_bpe_random_texts(encoder, reference, text):
     same_ids(encoder, reference, text)
 
 
+@pytest.mark.parametrize("between", [" ", "7"])
+def test_bpe_text_of_many_words(encoder, reference, between):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    many = [letters[i // 26**4 % 26] + letters[i // 26**3 % 26] + letters[i // 26**2 % 26] + letters[i // 26 % 26] + letters[i % 26] for i in range(540_000)]
+    texts = ["some words", between.join([*many, "antidisestablishmentarianism", *many[:1000]]), "", "more words"]
+    got = [np.frombuffer(x, dtype="<u4") for x in encoder.encode(texts)]
+    for ids, text in zip(got, texts, strict=True):
+        assert np.array_equal(ids, reference.encode(text).ids)
+
+
 def test_automaton_is_minimal():
     a = bpe.build_automaton(sorted(w.encode() for w in ("tap", "taps", "top", "tops", "stop")))
     assert len(a["final"]) == 8  # "ta" and "to" lead to one state; the ends of "taps", "tops" and "stop" are one
