@@ -30,8 +30,10 @@ CLOSED_BY = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
 AWAY = frozenset("ad ads adv advert advertisement banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright disqus dropdown footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice pagination popup promo promoted related replies reply search share sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget".split())
 TOWARDS = frozenset("article articlebody blog body content entry main maincontent page post story text".split())
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]{0,4096}"|'[^']{0,4096}'|["'])*+)>""", re.S)
-ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: An attribute's value is quoted only right after its equals sign; a quote that nothing closes is a plain character.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?>[\s/]++|[^\s/>][^\s/>=]*+(?>\s*+=\s*+(?>"[^"]*"|'[^']*'|[^\s>]*+))?+)*+)>""", re.S)
+ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?>\s*+=\s*+(?>"([^"]*)"|'([^']*)'|([^\s>]*+)))?+""")
+NAMED = frozenset("class id role".split())
 WORDS = re.compile(r"[a-z]+")
 SPACE = re.compile("[ \t\n\r\f\v\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
@@ -149,7 +151,9 @@ def parse(source: str) -> Page:
         flush()
         parent = stack[-1][1]
         node = Node(name, parent, nodes[parent].depth + 1, place=len(nodes[parent].children))
-        for found in ATTRIBUTE.findall(m.group(3)):
+        for key, *found in ATTRIBUTE.findall(m.group(3)):
+            if key.lower() not in NAMED:
+                continue
             own = WORDS.findall("".join(found).lower())
             node.away += sum(w in AWAY for w in own)
             node.towards += sum(w in TOWARDS for w in own)

@@ -536,6 +536,16 @@ def test_html_decoding_is_the_likeliest():
         assert math.isclose(sum(logits[keep]), best, abs_tol=1e-9) and all(keep[nodes[k].parent] for k in range(1, n) if keep[k])
 
 
+@pytest.mark.parametrize("size", [100, 5000, 300_000])
+def test_html_long_attribute_values(size):
+    fill = "x" * size
+    for value in (f'"{fill} <p class=ad>it\'s</p> "', f"'{fill} <p class=\"ad\">5\" of it</p> '", f'\n"{fill}><script>"'):
+        page = html_text.parse(f"<article><div data-x={value} class=story>First text, it's here.</div><p title=5\">Last 'text'.</p></article>")
+        assert [t for _, t in page.blocks] == ["First text, it's here.", "Last 'text'."]
+        assert [(n.tag, n.away, n.towards) for n in page.nodes] == [("#page", 0, 0), ("article", 0, 0), ("div", 0, 1), ("p", 0, 0)]
+    assert [t for _, t in html_text.parse(f'<p>One</p><p title="{fill}>Two</p><p>Three').blocks] == ["One", "Two", "Three"]
+
+
 def test_html_extraction(spark, model, sf):
     page = '<html><head><title>T</title><script>if (a < b) "<p>no</p>"</script></head><body><nav><ul><li><a href="/x">Menu</a></li></ul></nav><div class="ad">Buy now.</div><article><h1>A title</h1><p>One &amp; two<br>three<p>Last   <b>words</b> of it &copy; here, long enough to read.</article><div id="comments"><p>I like this very much.</p></div><footer>&copy; me</footer></body></html>'
     assert html_text.extract([page, "", "<", "<p"], model)[:2] == ["A title\nOne & two three\nLast words of it © here, long enough to read.", ""]
