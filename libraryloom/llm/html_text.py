@@ -24,6 +24,7 @@ from libraryloom.llm.common import runs_by_size, texts_of
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 RAW = frozenset("script style title textarea template noscript iframe svg math xmp noembed".split())
+RAW_END = {name: re.compile("</" + name, re.I | re.A) for name in RAW}
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSED_BY = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Words of class, id and role values that page authors give to what is not, and to what is, main text.
@@ -102,7 +103,6 @@ def parse(source: str) -> Page:
             if linked and (n := len(raw.strip())):
                 nodes[stack[-1][1]].links += n
 
-    low = None
     size = len(source)
     while at < size:
         m = TOKEN.search(source, at)
@@ -125,10 +125,8 @@ def parse(source: str) -> Page:
         if name in RAW:
             nodes[stack[-1][1]].tags += 1
             if not m.group(3).endswith("/"):
-                low = source.lower() if low is None else low
-                stop = low.find("</" + name, at)
-                stop = size if stop < 0 else stop
-                at = low.find(">", stop) + 1 or size
+                found = RAW_END[name].search(source, at)
+                at = source.find(">", found.end() if found else size) + 1 or size
             continue
         if name in VOID:
             nodes[stack[-1][1]].tags += 1

@@ -546,6 +546,12 @@ def test_html_long_attribute_values(size):
     assert [t for _, t in html_text.parse(f'<p>One</p><p title="{fill}>Two</p><p>Three').blocks] == ["One", "Two", "Three"]
 
 
+def test_html_raw_elements_after_letters_that_grow():
+    page = html_text.parse("<TITLE>İstanbul</Title ><style>p { margin: 0 }</STYLE><p>İİİİİİİİ bir<ScRiPt>var a = '<p>';</sCrIpT>abcdefghij<svg><path></SVG>klmnop<p>son")
+    assert [t for _, t in page.blocks] == ["İİİİİİİİ birabcdefghijklmnop", "son"]
+    assert html_text.parse("<p>a<script>x").blocks == [(1, "a")]
+
+
 def test_html_extraction(spark, model, sf):
     page = '<html><head><title>T</title><script>if (a < b) "<p>no</p>"</script></head><body><nav><ul><li><a href="/x">Menu</a></li></ul></nav><div class="ad">Buy now.</div><article><h1>A title</h1><p>One &amp; two<br>three<p>Last   <b>words</b> of it &copy; here, long enough to read.</article><div id="comments"><p>I like this very much.</p></div><footer>&copy; me</footer></body></html>'
     assert html_text.extract([page, "", "<", "<p"], model)[:2] == ["A title\nOne & two three\nLast words of it © here, long enough to read.", ""]
