@@ -377,11 +377,16 @@ def near_groups(docs: DataFrame) -> DataFrame:
     parts = partitions_for(classes.count(), M * 16)
     shared = cut(shared_keys(classes, parts), "shared")
     links = cut(neighbours(shared, classes, parts), "links")
-    homes = cut(components(cut(confirmed(links, docs), "links")), "homes")
+    # rows that share an id may be of different classes, or without words: they are linked by their least class
+    several = cut(rows.groupBy("_d").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x < y").select("_d"), "several")
+    own = cut(rows.join(several, "_d").select("_d", "digest").distinct().join(classes.select("digest", "rep"), "digest").select("_d", "rep").distinct(), "own")
+    first = cut(own.groupBy("_d").agg(F.min("rep").alias("first")), "first")
+    bonds = own.join(first, "_d").filter("rep > first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
+    homes = cut(components(cut(confirmed(links, docs).union(bonds), "links")), "homes")
     found = classes.select("digest", "rep").join(homes, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("c"))
     out = rows.filter("n > 0").join(found, "digest").select("doc_id", "n", "_d", "c")
-    none = rows.filter("n = 0").select("doc_id", "n", "_d", F.col("_d").alias("c"))
-    # rows that share an id may be of different classes: the least component of them is that of all
+    found = first.join(homes, F.col("first") == F.col("node"), "left").select("_d", F.coalesce("component", "first").alias("c"))
+    none = rows.filter("n = 0").join(found, "_d", "left").select("doc_id", "n", "_d", F.coalesce("c", "_d").alias("c"))
     return out.union(none).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("c") != NULL_ID, F.col("c")).alias("component_id"), (F.col("c") == F.col("_d")).alias("kept"))
 
 

@@ -459,6 +459,23 @@ def test_near_groups(spark, mixed):
     assert near_dedup.near_groups(docs_of(spark, [])).count() == 0
 
 
+def test_near_rows_that_share_an_id(spark):
+    rng = random.Random(8)
+    a, b, c, d, e = (words(rng, 60, 10**6) for _ in range(5))
+    rows = [(5, a), (5, b), (3, b), (7, a + " tail"), (8, c), (8, d), (8, None), (9, d + " tail"), (10, None), (10, ""), (11, " "), (11, b + " end"), (None, c + " end"), (None, e), (12, e)]
+    docs = docs_of(spark, rows)
+    none = lambda x: -(2**63) if x is None else x
+    found = near_dedup.near_groups(docs).collect()
+    assert sorted((none(r.doc_id), r.n_shingles, none(r.component_id)) for r in found) == near_brute(rows)
+    assert sorted({(none(r.doc_id), r.kept) for r in found}) == [(-(2**63), True), (3, True), (5, False), (7, False), (8, False), (9, False), (10, True), (11, False), (12, False)]
+    kept = near_dedup.keep_one(docs).collect()
+    assert sorted((none(r.doc_id), r.text or "") for r in kept) == sorted([(-(2**63), c + " end"), (-(2**63), e), (3, b), (10, ""), (10, "")])
+    # a group in which no document was kept: 4 has the least component 2 by one text, and 6 that of 4 by the other
+    rows = [(4, a), (4, b), (2, b), (6, a)]
+    assert [r.doc_id for r in near_dedup.keep_one(docs_of(spark, rows)).collect()] == [2]
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_groups(docs_of(spark, rows)).collect()) == [(2, 2, True), (4, 2, False), (4, 2, False), (6, 2, False)]
+
+
 @pytest.mark.parametrize("block", [750, 7])
 def test_near_family_in_blocks(spark, block):
     rng = random.Random(4)
