@@ -23,9 +23,12 @@ from libraryloom.llm.common import runs_by_size, texts_of
 #: Fixed values of the language.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
-RAW = frozenset("script style title textarea template noscript iframe svg math xmp noembed".split())
-RAW_END = {name: re.compile("</" + name, re.I | re.A) for name in RAW}
-ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
+#: Inside a formula everything is inline; its annotations hold its source, which is not shown.
+FORMULA = frozenset("maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr mlabeledtr munder munderover none semantics".split())
+INLINE |= FORMULA | {"math"}
+RAW = frozenset("script style title textarea template noscript iframe svg noembed annotation annotation-xml".split())
+RAW_END = {name: re.compile("</" + name, re.I | re.A) for name in RAW | {"xmp"}}
+ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul xmp".split())
 CLOSED_BY = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Words of class, id and role values that page authors give to what is not, and to what is, main text.
 AWAY = frozenset("ad ads adv advert advertisement banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright disqus dropdown footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice pagination popup promo promoted related replies reply search share sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget".split())
@@ -139,8 +142,9 @@ def parse(source: str) -> Page:
             if name == "a":
                 close({"a"}, ENDS_P | {"td", "th", "li"})
                 linked += 1
-            nodes[stack[-1][1]].tags += 1
-            stack.append((name, stack[-1][1]))
+            nodes[stack[-1][1]].tags += name not in FORMULA  # a formula counts once
+            if not (name in FORMULA or name == "math") or not m.group(3).endswith("/"):
+                stack.append((name, stack[-1][1]))
             continue
         if name in ENDS_P:
             close({"p"}, {"td", "th", "table", "button"})
@@ -158,6 +162,13 @@ def parse(source: str) -> Page:
         nodes[parent].children.append(len(nodes))
         stack.append((name, len(nodes)))
         nodes.append(node)
+        if name == "xmp":  # its text is as it stands, without tags and entities
+            found = RAW_END[name].search(source, at)
+            block = SPACE.sub(" ", source[at : found.start() if found else size]).strip(" ")
+            at = source.find(">", found.end() if found else size) + 1 or size
+            if block:
+                blocks.append((stack[-1][1], block))
+            stack.pop()
     pop_to(1)
     flush()
     for i, block in blocks:
@@ -178,7 +189,7 @@ def parse(source: str) -> Page:
     return Page(nodes, blocks)
 
 
-GROUPS = ({"p"}, {"h1", "h2", "h3", "h4", "h5", "h6"}, {"ul", "ol", "menu", "dl"}, {"li", "dt", "dd"}, {"nav"}, {"header"}, {"footer"}, {"aside"}, {"form", "fieldset", "button", "select", "option", "dialog"}, {"article", "main"}, {"div", "section"}, {"table", "tbody", "thead", "tr", "td", "th"}, {"blockquote", "pre", "figure", "figcaption"}, {"html", "body", "#page"}, {"head"})
+GROUPS = ({"p"}, {"h1", "h2", "h3", "h4", "h5", "h6"}, {"ul", "ol", "menu", "dl"}, {"li", "dt", "dd"}, {"nav"}, {"header"}, {"footer"}, {"aside"}, {"form", "fieldset", "button", "select", "option", "dialog"}, {"article", "main"}, {"div", "section"}, {"table", "tbody", "thead", "tr", "td", "th"}, {"blockquote", "pre", "xmp", "figure", "figcaption"}, {"html", "body", "#page"}, {"head"})
 _group = {tag: k for k, tags in enumerate(GROUPS) for tag in tags}
 
 

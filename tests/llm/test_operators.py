@@ -569,6 +569,14 @@ def test_html_raw_elements_after_letters_that_grow():
     assert html_text.parse("<p>a<script>x").blocks == [(1, "a")]
 
 
+def test_html_formulas_and_xmp(model):
+    page = "<article><h1>A title</h1><p>As everyone knows, <math display=block><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi><mspace width='1em'/><msup><mi>c</mi><mn>2</mn></msup></mrow><annotation encoding=tex>E = mc^2</annotation></semantics></math> is what the formula says, and more is not said here.</p><p>The page is written like this, in a few lines of text:<XMP class=code>\nif a &lt; b: <p>print</p>  it\n</XMP>Last words of it, which are long enough to be read.</article>"
+    parsed = html_text.parse(page)
+    assert [(parsed.nodes[i].tag, t) for i, t in parsed.blocks] == [("h1", "A title"), ("p", "As everyone knows, E=mc2 is what the formula says, and more is not said here."), ("p", "The page is written like this, in a few lines of text:"), ("xmp", "if a &lt; b: <p>print</p> it"), ("article", "Last words of it, which are long enough to be read.")]
+    assert html_text.extract([page], model) == ["\n".join(t for _, t in parsed.blocks)]
+    assert html_text.parse("<p>a<xmp>b<i>c").blocks == [(1, "a"), (2, "b<i>c")]
+
+
 def test_html_extraction(spark, model, sf):
     page = '<html><head><title>T</title><script>if (a < b) "<p>no</p>"</script></head><body><nav><ul><li><a href="/x">Menu</a></li></ul></nav><div class="ad">Buy now.</div><article><h1>A title</h1><p>One &amp; two<br>three<p>Last   <b>words</b> of it &copy; here, long enough to read.</article><div id="comments"><p>I like this very much.</p></div><footer>&copy; me</footer></body></html>'
     assert html_text.extract([page, "", "<", "<p"], model)[:2] == ["A title\nOne & two three\nLast words of it © here, long enough to read.", ""]
