@@ -1,12 +1,11 @@
-"""Removal of repeated passages by distributed prefix doubling.
+"""Removal of repeated passages by window-minimum fingerprints and comparison of bytes.
 
 Every byte covered by a 100-byte string that also starts earlier (in a smaller document, or earlier in the same one) is
-removed. Strings are ranked by doubling: names of 25 bytes pair up at offset 25 to names of 50 bytes, those at offset
-50 to 100. Ranking every position at every length would move the corpus many times over, so the lengths up to 50 are
-ranked at anchors only: the least of the 50-byte names inside a 100-byte window is its anchor, and as equal windows have
-their anchors at equal places, every repeated window is found from its anchor. Anchors whose name is unique drop out
-after the first sort. For the others the bytes of their windows are sorted; a window that is not the first of its kind
-marks its bytes.
+removed. This is winnowing, not prefix doubling: nothing is ranked and there are no rounds at growing offsets. The name of
+a 50-byte string is one hash, mixed from the rolling hashes of its two halves; the least of the names inside a 100-byte
+window is its anchor, and as equal windows have their anchors at equal places, every repeated window is found from its
+anchor. Anchors whose name is unique drop out first. For the others the bytes of their windows are compared; a window that
+is not the first of its kind marks its bytes.
 
 Texts are dealt once into a bucketed table of small blocks. Each round sends what is distinct in a block to the task of
 its key, and the answer back to the block, so a passage that a third of the corpus shares costs one row for each block.
