@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -381,7 +382,8 @@ def test_toxicity_keeps_clean_rows(spark):
 
 def repeats_brute(rows):
     seen, out = set(), {}
-    for i, t in sorted({(-(2**63) if i is None else i, (t or "").encode()) for i, t in rows}):
+    order = lambda x: (x[0], np.uint64(xxhash.xxh64_intdigest(x[1], seed=42)).astype(np.int64))
+    for i, t in sorted({(-(2**63) if i is None else i, (t or "").encode()) for i, t in rows}, key=order):
         cover, spans = np.zeros(len(t) + 1, dtype=bool), 0
         for s in range(len(t) - 99):
             if t[s : s + 100] in seen:
@@ -407,12 +409,35 @@ def test_suffix_dedup_of_long_runs(spark):
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == repeats_brute(rows)
 
 
+def test_suffix_dedup_of_repeated_and_null_ids(spark):
+    """Texts that share an id, or have none, are dealt to different blocks and still ordered alike; helper names may clash."""
+    rng = random.Random(12)
+    passage = words(rng, 50)
+    texts = [words(rng, 20) + " " + passage[k:] + " " + words(rng, 20) for k in range(40)]
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, t) for k, t in enumerate(texts)] + [(None, texts[0]), (7, texts[1])]
+    docs = docs_of(spark, [(i, t, k, -k, 5, 6) for k, (i, t) in enumerate(rows)], "doc_id long, text string, block long, doc long, sub long, n_bytes long")
+    got = suffix_dedup.remove_repeats(docs).collect()
+    assert sorted((-(2**63) if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got) == repeats_brute(rows)
+    assert sorted((r.block, r.doc, r.sub) for r in got) == [(k, -k, 5) for k in range(len(rows))]
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("blocks_")]
+
+
+def test_suffix_dedup_of_edges(spark):
+    """A common passage between ever different words, and texts of few letters with many chance repeats."""
+    rng = random.Random(14)
+    passage = words(rng, 40)
+    rows = [(k, words(rng, 8) + " " + passage[rng.randrange(60) : len(passage) - rng.randrange(60)] + " " + words(rng, 8)) for k in range(150)]
+    rows += [(200 + k, "".join(rng.choice("ab") + "c" * rng.randrange(30) for _ in range(60))) for k in range(60)]
+    got = suffix_dedup.repeat_report(docs_of(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == repeats_brute(rows)
+
+
 def test_long_texts_are_cut_with_overlap(monkeypatch):
     rng = random.Random(2)
     texts = [words(rng, 900).encode(), b"short", words(rng, 300).encode()]
-    whole = {(int(t), int(s)): int(a) for part in suffix_dedup.runs(texts) for t, a, lo, hi, _ in zip(*part, strict=True) for s in range(lo, hi + 1)}
+    whole = {(int(t), int(s)): int(a) for part in suffix_dedup.runs(texts) for t, a, lo, hi, *_ in zip(*part, strict=True) for s in range(lo, hi + 1)}
     monkeypatch.setattr(suffix_dedup, "CHUNK", 1 << 10)
-    cut = {(int(t), int(s)): int(a) for part in suffix_dedup.runs(texts) for t, a, lo, hi, _ in zip(*part, strict=True) for s in range(lo, hi + 1)}
+    cut = {(int(t), int(s)): int(a) for part in suffix_dedup.runs(texts) for t, a, lo, hi, *_ in zip(*part, strict=True) for s in range(lo, hi + 1)}
     assert set(whole) == set(cut) == {(k, s) for k, t in enumerate(texts) for s in range(len(t) - 99)}
 
 
