@@ -9,16 +9,17 @@ not hold are merged by the byte-pair rules, many at once. Both give the ids of t
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import mmap
 import os
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -168,6 +169,8 @@ def merge_words(words: list[bytes], a: dict[str, np.ndarray]) -> list[bytes]:
 
 
 NO_RANK = np.int32(2**31 - 1)
+#: Words of up to so many bytes are merged many at once, round by round; longer ones each by a heap.
+ROWS_UP_TO = 64
 
 
 def pair_table(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -245,6 +248,15 @@ def merge_rows(raw: np.ndarray, a: dict[str, np.ndarray]) -> Iterator[tuple[np.n
             yield rows, ids
 
 
+def automaton_depth(a: dict[str, np.ndarray]) -> int:
+    """The bytes of the longest word of an automaton; targets come before the states that lead to them."""
+    first, target = a["first"].tolist(), a["target"].tolist()
+    height = [0] * (len(first) - 1)
+    for s in range(len(height)):
+        height[s] = max((1 + height[t] for t in target[first[s] : first[s + 1]]), default=0)
+    return height[int(a["root"][0])]
+
+
 #: Masks of the first bytes of a word in its two numbers, by its length.
 LOW_MASK = np.array([(1 << 8 * min(n, 8)) - 1 for n in range(16)], dtype=np.uint64)
 HIGH_MASK = np.array([(1 << 8 * max(0, n - 8)) - 1 for n in range(16)], dtype=np.uint64)
@@ -304,12 +316,34 @@ class WordTable:
         self.used += len(ids)
 
 
+#: First and last code points of letters and of numbers, and capitals with the distance to their small
+#: letters, that the tokenizer's Unicode version knows and Python's does not.
+YOUNG_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5),
+    (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+YOUNG_NUMBERS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+YOUNG_CAPITALS = ((0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B))
+LOWER = {c: chr(c + by) for first, last, by in YOUNG_CAPITALS for c in range(first, last + 1)}
+YOUNG = re.compile("[" + "".join(map(chr, LOWER)) + "]")
+
+
+def lowered(text: str) -> str:
+    """The text as the tokenizer's normaliser gives it, but for white space: composed, and lower-case letter by letter."""
+    if text.isascii():
+        return text.lower()
+    text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # so that no final sigma comes out
+    return (text.translate(LOWER) if YOUNG.search(text) else text).lower()
+
+
+@lru_cache(maxsize=1)
 def letter_classes() -> np.ndarray:
-    """Of each code point of the first plane: 0 white space, 1 letter, 2 number, 3 anything else."""
-    kinds = np.full(65536, 3, dtype=np.uint8)
-    for c in range(65536):
-        kind = unicodedata.category(chr(c))[0]
-        kinds[c] = 1 if kind == "L" else 2 if kind == "N" else 3
+    """Of each code point: 0 white space, 1 letter, 2 number, 3 anything else."""
+    of = {"L": 1, "N": 2}
+    kinds = np.fromiter((of.get(unicodedata.category(chr(c))[0], 3) for c in range(0x110000)), dtype=np.uint8, count=0x110000)
+    for kind, ranges in ((1, YOUNG_LETTERS), (2, YOUNG_NUMBERS)):
+        for first, last in ranges:
+            kinds[first : last + 1] = kind
     kinds[[ord(c) for c in SPACE_CHARS]] = 0
     return kinds
 
@@ -324,11 +358,11 @@ class Encoder:
         self.special = {self.tokens[i]: int(i).to_bytes(4, "little") for i in self.a["special"].tolist()}
         self.is_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.marks = tuple({s[:2] for s in self.special})
-        self.piece = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.short = re.compile("'(?:[stmd]|re|ve|ll)", re.IGNORECASE)
-        self.far = re.compile("[\U00010000-\U0010ffff]")
         self.kinds = letter_classes()
         self.table = WordTable()
+        self.depth = automaton_depth(self.a)
+        self.wide: dict[bytes, bytes] = {}  # ids of words of more than 15 bytes
+        self.rank_of: dict[int, int] | None = None
         # edges by (state, label), for lookups of many words at once
         first, label = self.a["first"].astype(np.int64), self.a["label"].astype(np.int64)
         self.edges = np.repeat(np.arange(len(first) - 1), np.diff(first)) * 256 + label
@@ -401,7 +435,7 @@ class Encoder:
             known[new] = self.table.find(low[new], high[new])
         counts, begin, store = self.table.count[known].astype(np.int64), self.table.start[known], self.table.ids[: self.table.used]
         if len(long):
-            extra = merge_words([raw[i : i + n] for i, n in zip(starts[long].tolist(), lengths[long].tolist(), strict=True)], self.a)
+            extra = self.ids_of_long([raw[i : i + n] for i, n in zip(starts[long].tolist(), lengths[long].tolist(), strict=True)])
             whole = np.frombuffer(b"".join(extra), dtype="<u4")
             counts[long] = [len(x) // 4 for x in extra]
             begin[long] = len(store) + np.cumsum(counts[long]) - counts[long]
@@ -409,8 +443,61 @@ class Encoder:
         ends = np.cumsum(counts)
         return counts, store[np.repeat(begin - (ends - counts), counts) + np.arange(ends[-1])].astype("<u4")
 
+    def ids_of_long(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words of more than 15 bytes: by the automaton where it is deep enough, else merged."""
+        if len(self.wide) > MEMO // 8:
+            self.wide.clear()
+        known = self.wide
+        new = list({w for w in words if w not in known})
+        deep = [w for w in new if len(w) <= self.depth]
+        own: dict[bytes, bytes] = {}
+        if deep:
+            lengths = np.array([len(w) for w in deep])
+            raw = np.frombuffer(b"".join(w.ljust(self.depth, b"\0") for w in deep), dtype=np.uint8).reshape(len(deep), self.depth)
+            own = {w: int(i).to_bytes(4, "little") for w, i in zip(deep, self.lookup(raw, lengths).tolist(), strict=True) if i >= 0}
+        left = [w for w in new if w not in own]
+        short = [w for w in left if len(w) <= ROWS_UP_TO]
+        own.update(zip(short, merge_words(short, self.a), strict=True))
+        own.update((w, self.merge_long(w)) for w in left if len(w) > ROWS_UP_TO)
+        known.update((w, ids) for w, ids in own.items() if len(w) <= ROWS_UP_TO)
+        return [known[w] if w in known else own[w] for w in words]
+
+    def merge_long(self, word: bytes) -> bytes:
+        """Byte-pair merges of one word of any length in n log n steps: a heap of pairs over a linked list of ids."""
+        if self.rank_of is None:
+            at = np.flatnonzero(self.a["slots"] >= 0)
+            self.rank_of = dict(zip(self.a["slots"][at].tolist(), self.a["slot_rank"][at].tolist(), strict=True))
+        rank_of, size, made = self.rank_of.get, int(self.a["size"][0]), self.a["made"].tolist()
+        raw = np.frombuffer(word, dtype=np.uint8)
+        ids = self.a["inner"][raw]
+        ids[-1] = self.a["last"][raw[-1]]
+        n = len(ids)
+        first = _ranks(ids[:-1], ids[1:], self.a).astype(np.int64)
+        heap = (first * n + np.arange(n - 1))[first != NO_RANK].tolist()  # rank, then place: the leftmost of equal ranks
+        heapq.heapify(heap)
+        ids, after, before = ids.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        while heap:
+            rank, at = divmod(heapq.heappop(heap), n)
+            right = after[at]
+            if right >= n or ids[at] < 0 or rank_of(ids[at] * size + ids[right]) != rank:
+                continue  # one of the two is part of a larger id by now
+            ids[at] = made[rank]
+            ids[right] = -1
+            after[at] = follow = after[right]
+            if follow < n:
+                before[follow] = at
+                if (r := rank_of(ids[at] * size + ids[follow])) is not None:
+                    heapq.heappush(heap, r * n + at)
+            if (prior := before[at]) >= 0 and (r := rank_of(ids[prior] * size + ids[at])) is not None:
+                heapq.heappush(heap, r * n + prior)
+        return np.array([i for i in ids if i >= 0], dtype="<u4").tobytes()
+
     def encode_plain(self, texts: list[str]) -> list[bytes]:
-        """Texts that are normalised, without contractions, marks of special tokens or code points past the first plane."""
+        """Texts that are normalised and without special tokens.
+
+        Words are runs of letters, single numbers and runs of anything else but white space; an apostrophe that is such a
+        run alone takes the letters of a contraction (s, t, m, d, re, ve, ll) with it.
+        """
         raw = "\n".join(texts).encode()
         # a last white space ends the last word; 24 more bytes so that each word can be read as 16
         buffer = np.frombuffer(raw + b"\n" + b" " * (24 + -len(raw) % 8 + 7), dtype=np.uint8)
@@ -421,9 +508,17 @@ class Encoder:
         if lead.any():
             at = np.flatnonzero(lead)
             three = at[b[at] >= 0xE0]
+            four = three[b[three] >= 0xF0]
+            three = three[b[three] < 0xF0]
             two = at[b[at] < 0xE0]
             kinds[two] = kinds[two + 1] = self.kinds[(b[two].astype(np.int32) & 31) << 6 | b[two + 1] & 63]
             kinds[three] = kinds[three + 1] = kinds[three + 2] = self.kinds[(b[three].astype(np.int32) & 15) << 12 | (b[three + 1].astype(np.int32) & 63) << 6 | b[three + 2] & 63]
+            if len(four):
+                code = b[four].astype(np.int32) & 7
+                for k in range(1, 4):
+                    code = code << 6 | b[four + k] & 63
+                for k in range(4):
+                    kinds[four + k] = self.kinds[code]
         change = np.empty(len(b), dtype=bool)
         change[0] = True
         np.not_equal(kinds[1:], kinds[:-1], out=change[1:])
@@ -432,6 +527,15 @@ class Encoder:
         starts = bounds[:-1]
         lengths = np.diff(bounds)
         words = kinds[starts] != 0
+        mark = np.flatnonzero((lengths == 1) & (b[starts] == 39))
+        one, two = buffer[starts[mark] + 1], buffer[starts[mark] + 2]
+        single = np.isin(one, np.frombuffer(b"stmd", dtype=np.uint8))
+        double = ((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108)
+        mark, taken = mark[single | double], (single + 2 * double)[single | double]
+        lengths[mark] += taken
+        starts[mark + 1] += taken
+        lengths[mark + 1] -= taken
+        words &= lengths > 0
         starts, lengths = starts[words], lengths[words]
         # a slice holds at most MEMO distinct words, so the table has room for them whatever the text
         parts = [self.ids_of_words(raw, buffer, starts[k : k + MEMO], lengths[k : k + MEMO]) for k in range(0, len(starts), MEMO)]
@@ -443,10 +547,6 @@ class Encoder:
         out, at = b"".join([ids.tobytes() for _, ids in parts]), [0, *ends.tolist()]
         return [out[i:j] for i, j in zip(at, at[1:], strict=False)]
 
-    def encode_by_rule(self, text: str) -> bytes:
-        """A normalised text by the pre-tokenizer's own pattern."""
-        return b"".join(merge_words([x.encode() for x in self.piece.findall(text)], self.a))
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         out: list[bytes] = [b""] * len(texts)
@@ -457,12 +557,9 @@ class Encoder:
             if self.is_special and any(m in t for m in self.marks) and self.is_special.search(t):
                 out[i] = b"".join(self.special[p] if p in self.special else self.encode([p])[0] for p in self.is_special.split(t))
                 continue
-            t = t.lower() if t.isascii() else unicodedata.normalize("NFC", t).replace("Σ", "σ").lower()  # letter by letter: no final sigma
-            if "'" in t and self.short.search(t) or not t.isascii() and self.far.search(t):
-                out[i] = self.encode_by_rule(t)
-            else:
-                plain.append(t)
-                rows.append(i)
+            t = lowered(t)
+            plain.append(t)
+            rows.append(i)
         if plain:
             for i, ids in zip(rows, self.encode_plain(plain), strict=True):
                 out[i] = ids
