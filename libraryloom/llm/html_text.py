@@ -12,6 +12,7 @@ import html
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,11 @@ CLOSED_BY = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
 AWAY = frozenset("ad ads adv advert advertisement banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright disqus dropdown footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice pagination popup promo promoted related replies reply search share sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget".split())
 TOWARDS = frozenset("article articlebody blog body content entry main maincontent page post story text".split())
 
-#: An attribute's value is quoted only right after its equals sign; a quote that nothing closes is a plain character.
+#: One token at a ``<``. An attribute's value is quoted only right after its equals sign; a quote that nothing closes is a
+#: plain character.
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?>[\s/]++|[^\s/>][^\s/>=]*+(?>\s*+=\s*+(?>"[^"]*"|'[^']*'|[^\s>]*+))?+)*+)>""", re.S)
+#: A tag by its first ``>``, for what follows a tag that does not end outside quotes (a page cut off inside a value).
+LOOSE = re.compile(r"""</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)([^>]*)>""")
 ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?>\s*+=\s*+(?>"([^"]*)"|'([^']*)'|([^\s>]*+)))?+""")
 NAMED = frozenset("class id role".split())
 WORDS = re.compile(r"[a-z]+")
@@ -67,9 +71,13 @@ class Page:
 
 
 def parse(source: str) -> Page:
-    """The tree of block elements of a page and its blocks of text. Anything parses; node 0 is the page."""
+    """The tree of block elements of a page and its blocks of text. Anything parses; node 0 is the page.
+
+    The time is linear in the length of the page, however deep it is and whatever it leaves open.
+    """
     nodes = [Node("#page", -1, 0)]
     stack: list[tuple[str, int]] = [("#page", 0)]  # every open element with the node it belongs to
+    places: dict[str, list[int]] = {}  # of each name, where it is on the stack
     blocks: list[tuple[int, str]] = []
     parts: list[str] = []
     linked = 0
@@ -91,14 +99,20 @@ def parse(source: str) -> Page:
             elif name == "a":
                 linked -= 1
             stack.pop()
+            places[name].pop()
+
+    def push(name: str, node: int) -> None:
+        places.setdefault(name, []).append(len(stack))
+        stack.append((name, node))
+
+    def last(names) -> int:
+        return max((places[x][-1] for x in names if places.get(x)), default=0)
 
     def close(names, until=frozenset()) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in names:
-                pop_to(k)
-                return
-            if stack[k][0] in until:
-                return
+        """Close the innermost of ``names`` with all in it, unless one of ``until`` is open further in."""
+        k = last(names)
+        if k > last(until):
+            pop_to(k)
 
     def text(raw: str) -> None:
         if raw:
@@ -106,13 +120,26 @@ def parse(source: str) -> Page:
             if linked and (n := len(raw.strip())):
                 nodes[stack[-1][1]].links += n
 
-    size = len(source)
+    size, ends, token = len(source), source.rfind(">"), TOKEN
     while at < size:
-        m = TOKEN.search(source, at)
-        if not m:
-            text(source[at:])
+        place = source.find("<", at)
+        if place > ends:  # no tag ends any more; what an open comment holds is not shown
+            place = source.find("<!--", place)
+            text(source[at : place if place >= 0 else size])
             break
-        text(source[at : m.start()])
+        text(source[at : place if place >= 0 else size])
+        if place < 0:
+            break
+        m = token.match(source, place)
+        if not m and token is TOKEN and source[place + 1].isalpha() and source[place + 1].isascii():
+            token = LOOSE
+            m = token.match(source, place)
+        if not m and token is LOOSE and source[place + 1] in "!?":
+            m = TOKEN.match(source, place)
+        if not m:
+            text("<")
+            at = place + 1
+            continue
         at = m.end()
         end, start = m.group(1), m.group(2)
         if end:
@@ -144,7 +171,7 @@ def parse(source: str) -> Page:
                 linked += 1
             nodes[stack[-1][1]].tags += name not in FORMULA  # a formula counts once
             if not (name in FORMULA or name == "math") or not m.group(3).endswith("/"):
-                stack.append((name, stack[-1][1]))
+                push(name, stack[-1][1])
             continue
         if name in ENDS_P:
             close({"p"}, {"td", "th", "table", "button"})
@@ -160,7 +187,7 @@ def parse(source: str) -> Page:
             node.away += sum(w in AWAY for w in own)
             node.towards += sum(w in TOWARDS for w in own)
         nodes[parent].children.append(len(nodes))
-        stack.append((name, len(nodes)))
+        push(name, len(nodes))
         nodes.append(node)
         if name == "xmp":  # its text is as it stands, without tags and entities
             found = RAW_END[name].search(source, at)
@@ -168,7 +195,7 @@ def parse(source: str) -> Page:
             at = source.find(">", found.end() if found else size) + 1 or size
             if block:
                 blocks.append((stack[-1][1], block))
-            stack.pop()
+            pop_to(len(stack) - 1)
     pop_to(1)
     flush()
     for i, block in blocks:
@@ -330,8 +357,9 @@ def generated_page(rng: np.random.Generator) -> str:
 PAGES = 900
 
 
+@lru_cache(maxsize=4)
 def fit_model(pages: int = PAGES, seed: int = 5) -> boosting.Trees:
-    """Trees fitted on generated pages; no page of any table is used, so nothing needs labels."""
+    """Trees fitted on generated pages, once in a process; no page of any table is used, so nothing needs labels."""
     rng = np.random.default_rng(seed)
     xs, ys = [], []
     for _ in range(pages):
@@ -363,8 +391,9 @@ def extract(sources: list[str], model: boosting.Trees) -> list[str]:
 def extract_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages``.
 
-    A null or empty page, or one without main text, has an empty text. Rows are independent of each other: repeated
-    rows give equal results, and nulls in page_id and url are handed on.
+    A null or empty page, or one without main text, has an empty text; pages of any length are read whole. Rows are
+    independent of each other: repeated rows give equal results, nulls in page_id and url are handed on, and other
+    columns are ignored. An empty table gives an empty result.
     """
     shared = spark.sparkContext.broadcast(fit_model())
 
