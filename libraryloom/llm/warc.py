@@ -16,11 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from libraryloom.llm.common import fresh_path, runs_by_size, utf8_of
+from libraryloom.llm.common import cut, fresh_path, runs_by_size, utf8_of
 
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+HEADER_END = RECORD_END = b"\r\n\r\n"
 #: The capture time that headers name; a parameter, so that archives can be made again byte by byte.
 DATE = "2024-01-01T00:00:00Z"
 
@@ -90,6 +91,7 @@ def write_archive(spark: SparkSession, pages: DataFrame, path: str, date: str =
     payloads(pages).write.option("compression", "snappy").parquet(f"{path}/payloads")
     rows = digests(pages)
     top = rows.groupBy("digest").agg(F.max("page_id").alias("top"), F.min("sha1").alias("a"), F.max("sha1").alias("b"))
+    top = cut(top, "top")  # so that the join below may split the rows of a payload that very many pages have
     same = F.when(F.col("a") != F.col("b"), F.raise_error(F.lit("two payloads under one digest"))).otherwise(F.col("top"))
     rows = rows.join(top.select("digest", same.alias("top")), "digest")
     response = (F.col("length") < least) | F.col("page_id").eqNullSafe(F.col("top"))
@@ -107,59 +109,79 @@ def write_archive(spark: SparkSession, pages: DataFrame, path: str, date: str =
     rows.mapInArrow(run, "digest binary, response boolean, header binary").write.parquet(f"{path}/records")
 
 
+def _rebuilt(batch: pa.RecordBatch) -> Iterator[tuple[bytes, bytes]]:
+    """(record, payload) of joined rows of digest, response, header and packed payload; each payload's SHA-256 is tested."""
+    last, body = None, b""
+    for digest, response, head, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        if digest != last:  # rows of one payload follow each other after the join
+            last, body = digest, zlib.decompress(packed)
+            if hashlib.sha256(body).digest() != digest:
+                raise ValueError(f"the payload stored under {digest.hex()} is damaged")
+        yield head + (body if response else b"") + RECORD_END, body
+
+
+def _joined(spark: SparkSession, path: str) -> DataFrame:
+    records, stored = spark.read.parquet(f"{path}/records"), spark.read.parquet(f"{path}/payloads")
+    return records.join(stored, "digest").select("digest", "response", "header", "packed")
+
+
 def rebuild(spark: SparkSession, path: str) -> DataFrame:
     """(record, payload): every record as the bytes of a WARC file, revisits without a body, and its full payload."""
-    records, stored = spark.read.parquet(f"{path}/records"), spark.read.parquet(f"{path}/payloads")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in range(2)], names=["record", "payload"])
+
         for batch in batches:
-            body = [zlib.decompress(x) for x in batch.column(2).to_pylist()]
-            whole = [h + (x if r else b"") + b"\r\n\r\n" for r, h, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), body, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(whole, pa.binary()), pa.array(body, pa.binary())], names=["record", "payload"])
+            rows, size = [], 0
+            for row in _rebuilt(batch):
+                rows.append(row)
+                size += len(row[0]) + len(row[1])
+                if size > 8_000_000:
+                    yield out(rows)
+                    rows, size = [], 0
+            yield out(rows)
+
+    return _joined(spark, path).mapInArrow(run, "record binary, payload binary")
 
-    return records.join(stored, "digest").select("response", "header", "packed").mapInArrow(run, "record binary, payload binary")
+
+def read_record(record: bytes, payload: bytes) -> tuple[int | None, int, str, str, int | None]:
+    """page_id, payload bytes, payload SHA-1 in base32, kind and page referred to, of a record's bytes and its full payload.
+
+    Everything comes from the bytes: a body must be as long as its header says, a response's body must be its payload,
+    and the SHA-1 of the payload must be the header's; else an error is raised.
+    """
+    split = record.index(HEADER_END) + len(HEADER_END)
+    h = parse_header(record[:split])
+    body, end = record[split : split + int(h["Content-Length"])], record[split + int(h["Content-Length"]) :]
+    kind = h["WARC-Type"]
+    sha1 = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    if end != RECORD_END or h["WARC-Payload-Digest"] != f"sha1:{sha1}" or body != (payload if kind == "response" else b""):
+        raise ValueError(f"record {h['WARC-Record-ID']} does not fit its payload")
+    return page_of(h["WARC-Record-ID"]), len(payload), sha1, kind, page_of(h["WARC-Refers-To"]) if kind == "revisit" else None
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record: page_id, payload_bytes, payload_digest, record_type and refers_to, from headers and payloads.
+    """One row per record: page_id, payload_bytes, payload_digest, record_type and refers_to.
 
-    Every stored payload is read and its SHA-256 tested. A record's length and SHA-1 are those of the payload that its
-    digest names, and must be what its header says; else an error is raised.
+    Every record is put together again, header and payload, and read as ``read_record`` does.
     """
-    records, stored = spark.read.parquet(f"{path}/records"), spark.read.parquet(f"{path}/payloads")
 
-    def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sha1, size = [], []
-            for digest, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                body = zlib.decompress(packed)
-                if hashlib.sha256(body).digest() != digest:
-                    raise ValueError(f"the payload stored under {digest.hex()} is damaged")
-                sha1.append(base64.b32encode(hashlib.sha1(body).digest()).decode())
-                size.append(len(body))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sha1, pa.string()), pa.array(size, pa.int64())], names=["digest", "sha1", "length"])
-
-    measured = stored.select("digest", "packed").mapInArrow(measure, "digest binary, sha1 string, length long")
-
-    def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for raw, sha1, size in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                h = parse_header(raw)
-                kind = h["WARC-Type"]
-                if h["WARC-Payload-Digest"] != f"sha1:{sha1}" or int(h["Content-Length"]) != (size if kind == "response" else 0):
-                    raise ValueError(f"record {h['WARC-Record-ID']} does not fit its payload")
-                rows.append((page_of(h["WARC-Record-ID"]), size, sha1, kind, page_of(h["WARC-Refers-To"]) if kind == "revisit" else None))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
+            columns = list(zip(*(read_record(*x) for x in _rebuilt(batch)), strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    joined = records.join(measured, "digest").select("header", "sha1", "length")
-    return joined.mapInArrow(parse, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return _joined(spark, path).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive_roundtrip(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Write the archive of ``pages`` to the shared folder and read it back; an empty table gives an empty result."""
+    """Write the archive of ``pages`` to the shared folder and read it back; an empty table gives an empty result.
+
+    A null html is an empty payload; payloads of any length are stored, rebuilt and measured whole; pages of equal
+    payload are ordered by page_id, and rows that share the largest one are all responses.
+    """
     path = fresh_path(spark, "archive")
     write_archive(spark, pages, path)
     return read_archive(spark, path)
