@@ -168,7 +168,7 @@ def fit(texts: list[bytes], y: np.ndarray, place: np.ndarray, epochs: int = EPOC
 def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of ``docs``.
 
-    A null or empty text has the score of a text without tokens. Repeated rows score alike; a null doc_id is never held
+    A null or empty text has the score of a text without tokens; texts of any length are scored whole. Repeated rows score alike; a null doc_id is never held
     out nor fitted on.
     """
     model = spark.sparkContext.broadcast(fit(*training_rows(spark, docs, labels, label, fit_rows)))

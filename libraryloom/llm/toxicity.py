@@ -123,7 +123,7 @@ def fit(texts: list[bytes], y: np.ndarray, most: int = TERMS, factors: int = FAC
 def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of ``docs``.
 
-    A null or empty text has the score of a text without known terms. Repeated rows score alike; a null doc_id is never
+    A null or empty text has the score of a text without known terms; texts of any length are scored whole. Repeated rows score alike; a null doc_id is never
     held out nor fitted on.
     """
     texts, y, _ = training_rows(spark, docs, labels, label, fit_rows)
