@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from libraryloom.llm.common import NULL_ID, cut
+from libraryloom.llm.common import NULL_ID, cut, unused
 
 BLOCK_BYTES = 4096
 #: The characters that do not count.
@@ -99,21 +99,22 @@ def exact_dedup(docs: DataFrame, size: int = BLOCK_BYTES, digest=two_hashes) ->
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns.
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns, whatever their names.
 
     Rows are dropped by an anti join with what goes, which is small as a rule; only where rows repeat a doc_id and its
     text are rows of one key told apart.
     """
     found = exact_dedup(docs.select("doc_id", "text"))
-    keys = found.groupBy(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_kd"), F.col("text_sha256").alias("_ks")).agg(F.max("kept").alias("_kk"), F.count(F.lit(1)).alias("_kn"))
-    keys = cut(keys.filter("NOT _kk OR _kn > 1"), "dropped")
-    rows = docs.withColumn("_kd", F.coalesce("doc_id", F.lit(NULL_ID))).withColumn("_ks", F.sha2(normalised(F.col("text")), 256))
-    out = rows.join(keys, ["_kd", "_ks"], "left_anti").select(*docs.columns)
-    again = keys.filter("_kk").select("_kd", "_ks")
+    doc, digest, kept, times, turn = unused(docs.columns, "doc", "digest", "kept", "times", "turn")
+    keys = found.groupBy(F.coalesce("doc_id", F.lit(NULL_ID)).alias(doc), F.col("text_sha256").alias(digest)).agg(F.max("kept").alias(kept), F.count(F.lit(1)).alias(times))
+    keys = cut(keys.filter(~F.col(kept) | (F.col(times) > 1)), "dropped")
+    rows = docs.withColumn(doc, F.coalesce("doc_id", F.lit(NULL_ID))).withColumn(digest, F.sha2(normalised(F.col("text")), 256))
+    out = rows.join(keys, [doc, digest], "left_anti").select(*docs.columns)
+    again = keys.filter(kept).select(doc, digest)
     if again.isEmpty():
         return out
-    once = Window.partitionBy("_kd", "_ks").orderBy(F.desc(F.length("text")))
-    rows = rows.join(again, ["_kd", "_ks"], "left_semi").withColumn("_kr", F.row_number().over(once)).filter("_kr = 1")
+    once = Window.partitionBy(doc, digest).orderBy(F.desc(F.length("text")))
+    rows = rows.join(again, [doc, digest], "left_semi").withColumn(turn, F.row_number().over(once)).filter(F.col(turn) == 1)
     return out.union(rows.select(*docs.columns))
 
 

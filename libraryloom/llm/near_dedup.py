@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from libraryloom.llm.common import NULL_ID, cut, joined, prefix_sums, runs_by_size, span_hash, splitmix, utf8_of, word_spans
+from libraryloom.llm.common import NULL_ID, cut, joined, prefix_sums, runs_by_size, span_hash, splitmix, unused, utf8_of, word_spans
 from libraryloom.llm.graph import components
 
 WORDS = 5
@@ -391,9 +391,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, one document of each near-duplicate group, with all their columns."""
-    gone = near_groups(docs.select("doc_id", "text")).filter("NOT kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_gone")).distinct()
-    return docs.join(cut(gone, "gone"), F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` that stay, one document of each near-duplicate group, with all their columns, whatever their names."""
+    (gone,) = unused(docs.columns, "gone")
+    dropped = near_groups(docs.select("doc_id", "text")).filter("NOT kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias(gone)).distinct()
+    return docs.join(cut(dropped, "gone"), F.coalesce("doc_id", F.lit(NULL_ID)) == F.col(gone), "left_anti")
 
 
 #: The result of ``near_groups`` by joining shingles; quadratic in what documents share, so for small tables.

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -83,6 +84,26 @@ def test_bpe_random_texts(encoder, reference, text):
     same_ids(encoder, reference, text)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="'’stmdrevl ST\"5é日\U0001f600\U00010400\U0001d7ce\n.", max_size=40))
+def test_bpe_contractions_and_far_letters(encoder, reference, text):
+    same_ids(encoder, reference, text)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet=st.characters(min_codepoint=0x10000, max_codepoint=0x33FFF), max_size=30))
+def test_bpe_far_planes(encoder, reference, text):
+    same_ids(encoder, reference, text)
+
+
+def test_bpe_long_words(encoder, reference):
+    rng = random.Random(6)
+    for n in (15, 16, 28, 29, 63, 64, 65, 66, 500, 20_000):
+        same_ids(encoder, reference, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)))
+    for text in ("ab" * 3000, "." * 777, "internationalization " * 3, "aaa" * 500 + "b"):
+        same_ids(encoder, reference, text)
+
+
 @pytest.mark.parametrize("between", [" ", "7"])
 def test_bpe_text_of_many_words(encoder, reference, between):
     letters = "abcdefghijklmnopqrstuvwxyz"
@@ -233,6 +254,19 @@ def test_exact_dedup(spark, mixed, size, weak):
     assert len(kept) == len({r.text_sha256 for r in rows}) and all(r.doc_id == r.keep_id for r in kept)
 
 
+def test_stages_hand_on_columns_of_any_name(spark):
+    names = ["_kd", "_ks", "_kk", "_kr", "_gone", "gone", "_d7", "_tb7", "doc", "digest", "block", "sub", "kept", "times", "turn", "Doc_"]
+    long = " ".join(f"q{k}" for k in range(60))
+    rows = [(1, long), (2, long + " tail"), (3, long), (None, "odd one"), (4, None), (4, None)]
+    docs = docs_of(spark, [(i, t, *(100 * k + j for j in range(len(names)))) for k, (i, t) in enumerate(rows)], "doc_id long, text string, " + ", ".join(f"{c} long" for c in names))
+    for stage, kept in ((exact_dedup.keep_first, [0, 1, 3, 4]), (near_dedup.keep_one, [0, 3, 4, 5]), (suffix_dedup.strip_repeats, [0, 1, 2, 3, 4, 5])):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        got = sorted(tuple(r)[2:] for r in out.collect())
+        assert len(got) == len(kept) and all(x == tuple(x[0] + j for j in range(len(names))) for x in got)
+        assert {x[0] // 100 for x in got} - {4, 5} == set(kept) - {4, 5}
+
+
 def test_exact_dedup_keeps_rows(spark, mixed):
     docs = docs_of(spark, [(i, t, f"l{k}") for k, (i, t) in enumerate(mixed)], "doc_id long, text string, _name string")
     rows = exact_dedup.keep_first(docs).collect()
@@ -371,6 +405,87 @@ def test_factorization_machine_learns_a_pair():
     assert both > 0.8 and one < 0.3 and other < 0.3
 
 
+def test_quality_scores_by_hand(spark):
+    """The scores of the query are those of the model's formula, token by token."""
+    rng = random.Random(5)
+    good, bad = ["river", "Hills,", "walked", "over.", "the"], ["$$$", "CLICK", "x9x9", "!!!!", "buy"]
+    rows = [(i, " ".join(rng.choice(good if i % 2 else bad) for _ in range(rng.randrange(1, 40)))) for i in range(300)]
+    rows += [(None, None), (500, ""), (501, " the  the\nthe "), (502, "ünseen Words"), (502, "ünseen Words")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    docs = docs_of(spark, rows)
+    m = quality.fit(*quality.training_rows(spark, docs, labels, "quality"))
+    place = {k: i for i, k in enumerate(m.keys.tolist())}
+    mean, scale, w1, b1, w2, b2 = (x.tolist() for x in m.layers)
+
+    def by_hand(text):
+        found, last = [], None
+        for w in re.findall(rb"[^\x20\x09-\x0d]+", (text or "").encode()):
+            _, word, shape = quality.tokens([w])
+            own = int(quality.AGAIN) if w == last else int(word[0])
+            at = place.get(own, place.get(int(shape[0])))
+            found += [] if at is None else [m.vectors[at].tolist()]
+            last = w
+        pooled = [sum(v[k] for v in found) / max(1, len(found)) for k in range(len(mean))]
+        z = [(x - a) / s for x, a, s in zip(pooled, mean, scale, strict=True)]
+        hidden = [math.tanh(sum(z[k] * w1[k][h] for k in range(len(z))) + b1[h]) for h in range(len(b1))]
+        return 1 / (1 + math.exp(-(sum(a * b for a, b in zip(hidden, w2, strict=True)) + b2[0]) / m.temperature))
+
+    got = quality.score_documents(spark, docs, labels).collect()
+    assert len(got) == len(rows)
+    want = {(-1 if i is None else i): by_hand(t) for i, t in rows}
+    for r in got:
+        assert math.isclose(r.score, want[-1 if r.doc_id is None else r.doc_id], rel_tol=1e-6, abs_tol=1e-9)
+        assert r.predicted == (r.score >= 0.3)
+
+
+def test_toxicity_scores_by_hand(spark):
+    """The scores of the query are those of the machine's formula, pair by pair and word by word."""
+    rng = random.Random(4)
+    vocabulary = [f"w{k}" for k in range(30)] + ["insult", "group"]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 30)))) for i in range(300)]
+    rows += [(None, None), (500, ""), (501, "Insult, GROUP! " * 9), (501, "Insult, GROUP! " * 9), (502, "ünknown")]
+    labels = spark.createDataFrame([(i, int("insult" in t and "group" in t)) for i, t in rows[:300]], "doc_id long, toxic int")
+    docs = docs_of(spark, rows)
+    texts, y, _ = toxicity.training_rows(spark, docs, labels, "toxic")
+    assert sorted(texts) == sorted(t.encode() for i, t in rows[:300] if zlib.crc32(str(i).encode()) % 5)
+    m = toxicity.fit(texts, y)
+    place = {}
+    for w in [*vocabulary, "ünknown"]:
+        key = int(toxicity.terms([w.encode()])[1][0])
+        at = [k for k, x in enumerate(m.keys.tolist()) if x == key]
+        place.update({w: at[0]} if at else {})
+
+    def by_hand(text):
+        found = sorted({place[w] for w in re.findall("[^\x00-/:-@[-`{-\x7f]+", (text or "").lower()) if w in place})
+        total = m.bias + sum(m.linear[a] for a in found)
+        for a in found:
+            for b in found:
+                if a < b:
+                    total += sum(x * z for x, z in zip(m.factors[a], m.factors[b], strict=True))
+        return 1 / (1 + math.exp(-total))
+
+    got = toxicity.score_documents(spark, docs, labels).collect()
+    assert len(got) == len(rows)
+    want = {(-1 if i is None else i): by_hand(t) for i, t in rows}
+    for r in got:
+        assert math.isclose(r.score, want[-1 if r.doc_id is None else r.doc_id], rel_tol=1e-9, abs_tol=1e-12)
+        assert r.predicted == (r.score >= 0.5) and r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_sample_is_bounded_in_rows_and_bytes(spark):
+    rows = [(i, f"text {i} " * 50) for i in range(400)] + [(3, "again")] * 1000 + [(4, "x" * 200_000)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    docs = docs_of(spark, rows)
+    whole = toxicity.training_rows(spark, docs, labels, "toxic")
+    free = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    assert len(whole[0]) == len(free)
+    few = toxicity.training_rows(spark, docs, labels, "toxic", most=100)
+    assert 50 < len(few[0]) < 150 and set(few[0]) <= set(whole[0])
+    small = toxicity.training_rows(spark, docs, labels, "toxic", room=20_000)
+    assert 15_000 < sum(map(len, small[0])) <= 20_000 and set(small[0]) <= set(whole[0])
+    assert toxicity.training_rows(spark, docs.limit(0), labels, "toxic")[0] == []
+
+
 def test_toxicity_keeps_clean_rows(spark):
     docs = docs_of(spark, [(i, "fine words here" if i % 2 else "you idiot scum", "en") for i in range(60)], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(60)], "doc_id long, toxic int")
@@ -588,6 +703,38 @@ def test_html_long_attribute_values(size):
     assert [t for _, t in html_text.parse(f'<p>One</p><p title="{fill}>Two</p><p>Three').blocks] == ["One", "Two", "Three"]
 
 
+@pytest.mark.parametrize("part", ["<div>", "<a ", "<! ", "<a x='\">", "<td><p><div>", "<b><i>", "< ", '<a x=">', "</p ", "<p><b>"])
+def test_html_parsing_is_linear(part):
+    took = []
+    for n in (20_000, 80_000):
+        began = time.perf_counter()
+        html_text.parse(part * n)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0] + 0.5
+
+
+def test_html_tags_that_never_end():
+    assert [t for _, t in html_text.parse('<p>One</p><p title="> Two</p><p>Three</p>').blocks] == ["One", "Two", "Three"]
+    assert [t for _, t in html_text.parse('<p>One</p><p title="> Two</p><p>Thr"').blocks] == ["One", "Two", 'Thr"']
+    assert [t for _, t in html_text.parse("<p>One <b and <!-- x").blocks] == ["One <b and"]
+
+
+SHELLS = [
+    '<div class="content">{}</div>',
+    "<main>{}</main>",
+    '<section id="main">{}</section>',
+    "<div><div>{}</div></div>",
+]
+
+
+@pytest.mark.parametrize("shell", SHELLS)
+def test_html_pages_without_article(model, shell):
+    blocks = ["A headline about rivers", "The river rises in the hills, and runs for ninety miles to the sea, past mills and old towns that once lived from it.", "In spring it floods the meadows; in late summer one can walk across, though nobody does so any more, as the bridge is near.", "Its water was clean again by the end of the century, and the fish came back."]
+    body = f"<h1>{blocks[0]}</h1>" + "".join(f"<p>{b}</p>" for b in blocks[1:])
+    page = "<html><head><title>Rivers</title><style>p{}</style></head><body><nav><ul><li><a href=/>Home</a></li><li><a href=/x>News</a></li></ul></nav>" + shell.format(body) + "<aside class=sidebar><h3>Related</h3><ul><li><a href=/y>Other rivers</a></li></ul></aside><div class=comments><h2>Comments</h2><div class=comment><p>Nice text, thank you.</p></div></div><footer><p>&copy; 2020 The River Post</p></footer></body></html>"
+    assert html_text.extract([page], model) == ["\n".join(blocks)]
+
+
 def test_html_raw_elements_after_letters_that_grow():
     page = html_text.parse("<TITLE>İstanbul</Title ><style>p { margin: 0 }</STYLE><p>İİİİİİİİ bir<ScRiPt>var a = '<p>';</sCrIpT>abcdefghij<svg><path></SVG>klmnop<p>son")
     assert [t for _, t in page.blocks] == ["İİİİİİİİ birabcdefghijklmnop", "son"]
