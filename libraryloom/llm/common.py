@@ -39,10 +39,22 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def cut(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and lost executors cost no recomputation."""
+    return written(df, name, codec)[0]
+
+
+def written(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
+    """As ``cut``, with the path, for what ``remove`` takes away before the session ends."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete written tables that nothing reads any more."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def unused(columns: list[str], *names: str) -> list[str]:

@@ -9,7 +9,10 @@ they meet; what is left is confirmed on the full sets.
 
 Documents with equal sets are one class from the start. Pairs are never rows: a task compares the classes that share its
 keys and hands on the trees that near pairs make up. Every near pair lies in one component of all these trees, so full
-sets are compared within components only, block by block, and again only trees of similar sets are handed on.
+sets are compared within components only, and again only trees of similar sets are handed on. A component of at most a
+block is compared whole. In a larger one a few members, the hubs, are compared with all others first, row by row where
+these lie. Those that the hubs join into one class need no more links among themselves; only what is left outside is
+compared with all members, block by block. So a family of near copies of one text moves once, however large it is.
 """
 
 from __future__ import annotations
@@ -30,8 +33,11 @@ SHARE = 75  # of 100
 M = 64
 DISTANCE = 29
 CHUNKS = 15
-#: Documents of a component whose full sets are compared in one task, about half of them.
-BLOCK = 750
+#: Documents, and bytes of full sets, of a component that are compared in one task at most.
+BLOCK = 256
+BLOCK_BYTES = 32_000_000
+#: Members of a larger component that all its others are compared with first.
+HUBS = 4
 #: Bits of the filter that picks the texts whose sets are needed; more texts only make it let more through.
 FILTER_BITS = 1 << 23
 
@@ -320,47 +326,121 @@ def similar(sets: list[np.ndarray], side: np.ndarray, cross: bool) -> Forest:
     return forest
 
 
-def confirmed(links: DataFrame, docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def _hub_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each member the hubs of its component that it is similar to, as a mask of their places and as ids."""
+    now, hubs = None, []
+    for batch in batches:
+        masks, ids = [], []
+        component, own = batch.column("component").to_pylist(), batch.column("set").to_pylist()
+        for k, c in enumerate(component):
+            if c != now:
+                now, hubs = c, [(h["id"], np.frombuffer(h["set"], dtype=np.uint64)) for h in batch.column("hubs")[k].as_py()]
+            x = np.frombuffer(own[k], dtype=np.uint64)
+            mask, near = 0, []
+            for place, (i, hub) in enumerate(hubs):
+                if not len(x) or not len(hub) or 100 * min(len(x), len(hub)) < SHARE * max(len(x), len(hub)):
+                    continue
+                common = int((hub[np.minimum(np.searchsorted(hub, x), len(hub) - 1)] == x).sum())
+                if 100 * common >= SHARE * (len(x) + len(hub) - common):
+                    mask |= 1 << place
+                    near.append(i)
+            masks.append(mask)
+            ids.append(near)
+        yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("id"), pa.array(masks, pa.int32()), pa.array(ids, pa.list_(pa.int64()))], names=["component", "id", "mask", "hubs"])
+
+
+def _largest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each component the hubs of its largest class: masks of members join the hubs that they name."""
+    for batch in batches:
+        best = []
+        for masks in batch.column("masks").to_pylist():
+            classes: list[list[int]] = []  # hubs and members
+            for m in masks:
+                own = [m["mask"], m["n"]]
+                if own[0]:
+                    for other in [c for c in classes if c[0] & own[0]]:
+                        classes.remove(other)
+                        own = [own[0] | other[0], own[1] + other[1]]
+                    classes.append(own)
+            best.append(max(classes, key=lambda c: (c[1], c[0]))[0] if classes else 0)
+        yield pa.RecordBatch.from_arrays([batch.column("component"), pa.array(best, pa.int32())], names=["component", "best"])
+
+
+def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Trees of similar sets of each group of sorted rows (component, i, j, side, id, set); between sides if there are two."""
+
+    def links_of(rows: list[tuple]) -> tuple[list[int], list[int]]:
+        sides = np.array([r[3] for r in rows])
+        if sides.all():  # nobody to compare them with
+            return [], []
+        forest = similar([np.frombuffer(r[5], dtype=np.uint64) for r in rows], sides, bool((sides != sides[0]).any()))
+        both = [(rows[forest.root(k)][4], rows[k][4]) for k in range(len(rows)) if forest.root(k) != k]
+        return [x for x, _ in both], [y for _, y in both]
+
+    now, rows = None, []
+    for batch in batches:
+        a, b = [], []
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:3] != now:
+                if len(rows) > 1:
+                    x, y = links_of(rows)
+                    a += x
+                    b += y
+                now, rows = row[:3], []
+            rows.append(row)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    if len(rows) > 1:
+        x, y = links_of(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+
+
+def confirmed(links: DataFrame, docs: DataFrame, block: int = BLOCK, room: int = BLOCK_BYTES, hubs: int = HUBS) -> DataFrame:
     """(a, b): links that join all documents whose full sets are similar enough, among those that ``links`` connect.
 
-    Every near pair lies in one component of ``links``. A component is cut into blocks of about ``block`` documents, and
-    each pair of blocks is compared on full sets in a task of its own; only trees of similar sets leave it.
+    Every near pair lies in one component of ``links``. Nothing but trees of similar sets, and a row for each member and
+    hub that are similar, leaves a task.
     """
-    found = components(links)
-    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    found = found.join(cut(sizes, "sizes"), "component").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    found = cut(found.select(F.col("node").alias("id"), "component", "blocks", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("blocks")).cast("int").alias("own")), "families")
-    placed = found.join(sets_of(found.select("id"), docs), "id")
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "set")
+    found = components(links).select(F.col("node").alias("id"), "component")
+    members = found.join(sets_of(found.select("id"), docs), "id").select("component", "id", F.octet_length("set").alias("bytes"), "set")
+    members = cut(members, "members")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("bytes") / room)).cast("int")
+    families = cut(members.groupBy("component").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("size")), "families")
     keys = ["component", "i", "j"]
-    placed = placed.repartition(*keys).sortWithinPartitions(*keys, "id")
 
-    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links_of(rows: list[tuple]) -> tuple[list[int], list[int]]:
-            sets = [np.frombuffer(r[5], dtype=np.uint64) for r in rows]
-            forest = similar(sets, np.array([r[3] for r in rows]), rows[0][1] != rows[0][2])
-            roots = [forest.root(k) for k in range(len(rows))]
-            both = [(rows[r][4], rows[k][4]) for k, r in enumerate(roots) if r != k]
-            return [x for x, _ in both], [y for _, y in both]
-
-        now, rows = None, []
-        for batch in batches:
-            a, b = [], []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:3] != now:
-                    if len(rows) > 1:
-                        x, y = links_of(rows)
-                        a += x
-                        b += y
-                    now, rows = row[:3], []
-                rows.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-        if len(rows) > 1:
-            x, y = links_of(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
-
-    return placed.mapInArrow(compare, "a long, b long").distinct()
+    def compared(rows: DataFrame) -> DataFrame:
+        rows = rows.select(*keys, "side", "id", "set").repartition(*keys).sortWithinPartitions(*keys, "side", "id")
+        return rows.mapInArrow(_compare, "a long, b long")
+
+    one = F.lit(0)
+    small = members.join(families.filter("blocks = 1"), "component").select("component", one.alias("i"), one.alias("j"), one.alias("side"), "id", "set")
+    links = compared(small)
+    large = families.filter("blocks > 1")
+    if large.isEmpty():
+        return links.distinct()
+
+    picks = [F.min(F.struct(F.xxhash64(F.lit(k), "id"), F.col("id").alias("id"))).alias(f"h{k}") for k in range(hubs)]
+    picked = members.select("component", "id").join(large, "component").groupBy("component").agg(*picks)
+    picked = cut(picked.select("component", F.explode(F.array_distinct(F.array(*(F.col(f"h{k}.id") for k in range(hubs))))).alias("id")), "picked")
+    chosen = members.join(picked, ["component", "id"]).groupBy("component", "id").agg(F.min("set").alias("set"))
+    chosen = cut(chosen.groupBy("component").agg(F.sort_array(F.collect_list(F.struct("id", "set"))).alias("hubs")), "hubs")  # at most ``hubs`` of each
+    near = cut(members.join(chosen, "component").select("component", "id", "set", "hubs").mapInArrow(_hub_links, "component long, id long, mask int, hubs array<long>"), "near")
+    links = links.union(near.select(F.explode("hubs").alias("a"), F.col("id").alias("b")).filter("a <> b"))
+    masks = near.groupBy("component", "mask").agg(F.count(F.lit(1)).alias("n"))
+    best = cut(masks.groupBy("component").agg(F.collect_list(F.struct("mask", "n")).alias("masks")).mapInArrow(_largest, "component long, best int"), "best")
+    left = near.join(best, "component").filter(F.col("mask").bitwiseAND(F.col("best")) == 0).select("component", "id").distinct()
+    left = cut(left, "left")
+    if left.isEmpty():
+        return links.distinct()
+
+    # what the hubs left outside, in blocks, against all members, in blocks
+    rest = left.groupBy("component").agg(F.count(F.lit(1)).alias("n")).join(large, "component")
+    rest = cut(rest.select("component", "blocks", F.least("blocks", F.ceil(F.col("n") * F.col("blocks") / F.col("size"))).cast("int").alias("lefts")), "rest")
+    place = lambda n: F.pmod(F.xxhash64(F.lit(3), "id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outside = members.join(left, ["component", "id"]).join(rest, "component")
+    outside = outside.select("component", place("lefts").alias("i"), every("blocks").alias("j"), F.lit(0).alias("side"), "id", "set")
+    inside = members.join(rest, "component").select("component", every("lefts").alias("i"), place("blocks").alias("j"), F.lit(1).alias("side"), "id", "set")
+    return links.union(compared(outside.union(inside))).distinct()
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
