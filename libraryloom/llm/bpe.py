@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from libraryloom.llm.common import runs_by_size, texts_of
+from libraryloom.llm.common import slices, texts_of
 
 #: White space as the tokenizer's normaliser knows it (str.split() also takes U+001C to U+001F).
 SPACE_CHARS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Distinct words that a worker remembers before it starts anew.
-MEMO = 400_000
+MEMO = 200_000
 
 
 def _byte_letters() -> list[str]:
@@ -268,7 +268,7 @@ class WordTable:
     A word is two 64-bit numbers, its bytes in order and its length in the last byte.
     """
 
-    def __init__(self, bits: int = 20) -> None:
+    def __init__(self, bits: int = 19) -> None:
         self.bits = bits
         self.clear()
 
@@ -582,9 +582,10 @@ def encoder(raw: bytes) -> Encoder:
     return _encoders[key]
 
 
-def batches_of_texts(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about a million characters, so that memory does not follow the Arrow batch."""
-    return runs_by_size([len(t) for t in texts], most)
+def runs_of_texts(column: pa.Array, most: int = 400_000) -> Iterator[tuple[int, int, list[str]]]:
+    """(first row, end, texts) of runs of rows of a bounded number of bytes, so that memory does not follow the Arrow batch."""
+    for i, j in slices(column, most):
+        yield i, j, texts_of(column.slice(i, j - i))
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, tokenizer_json: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -601,8 +602,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, tokenizer_json: str,
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(shared.value)
         for batch in batches:
-            texts = texts_of(batch.column(place))
-            ids = [x for i, j in batches_of_texts(texts) for x in enc.encode(texts[i:j])]
+            ids = [x for _, _, texts in runs_of_texts(batch.column(place)) for x in enc.encode(texts)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=[*batch.schema.names, out])
 
     return docs.mapInArrow(run, schema)
@@ -619,10 +619,9 @@ def roundtrip_digests(spark: SparkSession, docs: DataFrame, tokenizer_json: str)
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(shared.value)
         for batch in batches:
-            texts = texts_of(batch.column(1))
             counts, ids_sha, decoded_sha = [], [], []
-            for i, j in batches_of_texts(texts):
-                for ids in enc.encode(texts[i:j]):
+            for _, _, texts in runs_of_texts(batch.column(1)):
+                for ids in enc.encode(texts):
                     counts.append(len(ids) // 4)
                     ids_sha.append(hashlib.sha256(ids).hexdigest())
                     decoded_sha.append(hashlib.sha256(enc.decode(ids).encode()).hexdigest())

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +97,11 @@ def runs_by_size(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+def slices(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows of a string column of at most ``most`` bytes, found without making Python strings of them."""
+    return runs_by_size(pc.fill_null(pc.binary_length(column), 0).to_pylist(), most)
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """A bijective mixer of unsigned 64-bit integers (the finaliser of SplitMix64)."""
     x = x ^ (x >> np.uint64(30))

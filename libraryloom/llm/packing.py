@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from libraryloom.llm.bpe import batches_of_texts, compile_lexicon, encoder
-from libraryloom.llm.common import cut, texts_of
+from libraryloom.llm.bpe import compile_lexicon, encoder, runs_of_texts
+from libraryloom.llm.common import cut
 
 CAPACITY = 2048
 #: Pieces of one size that are ranked together in one task, about.
@@ -164,17 +164,15 @@ def pieces(spark: SparkSession, docs: DataFrame, tokenizer_json: str, capacity:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(shared.value)
         for batch in batches:
-            texts, doc_ids = texts_of(batch.column(1)), batch.column(0).to_pylist()
-            rows = []
-            for i, j in batches_of_texts(texts):
-                for doc, ids in zip(doc_ids[i:j], enc.encode(texts[i:j]), strict=True):
+            for i, j, texts in runs_of_texts(batch.column(1)):
+                rows = []
+                for doc, ids in zip(batch.column(0).slice(i, j - i).to_pylist(), enc.encode(texts), strict=True):
                     ids += b"\0\0\0\0"
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]
                         rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
