@@ -10,8 +10,8 @@ they meet; what is left is confirmed on the full sets.
 Documents with equal sets are one class from the start. Pairs are never rows: a task compares the classes that share its
 keys and hands on the trees that near pairs make up. Every near pair lies in one component of all these trees, so full
 sets are compared within components only, and again only trees of similar sets are handed on. A component of at most a
-block is compared whole. In a larger one a few members, the hubs, are compared with all others first, row by row where
-these lie. Those that the hubs join into one class need no more links among themselves; only what is left outside is
+block is compared whole. In a larger one a few members, the hubs, those closest to the family's commonest signature, are
+compared with all others first, row by row where these lie. Those that the hubs join into one class need no more links among themselves; only what is left outside is
 compared with all members, block by block. So a family of near copies of one text moves once, however large it is.
 """
 
@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from libraryloom.llm.common import NULL_ID, cut, joined, prefix_sums, runs_by_size, span_hash, splitmix, unused, utf8_of, word_spans
@@ -34,10 +34,12 @@ M = 64
 DISTANCE = 29
 CHUNKS = 15
 #: Documents, and bytes of full sets, of a component that are compared in one task at most.
-BLOCK = 256
+BLOCK = 512
 BLOCK_BYTES = 32_000_000
 #: Members of a larger component that all its others are compared with first.
 HUBS = 4
+#: Signature components by which hubs are chosen.
+VOTES = 16
 #: Bits of the filter that picks the texts whose sets are needed; more texts only make it let more through.
 FILTER_BITS = 1 << 23
 
@@ -75,12 +77,12 @@ def shingle_sets(texts: list[bytes], size: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of M 16-bit components for each set that is not empty."""
+def signatures(sets: list[np.ndarray], components: int = M) -> np.ndarray:
+    """A row of (the first) M 16-bit components for each set; no set is empty."""
     starts = np.cumsum([0, *map(len, sets)])[:-1]
     flat = np.concatenate(sets)
-    out = np.empty((len(sets), M), dtype=np.uint16)
-    for k in range(M):
+    out = np.empty((len(sets), components), dtype=np.uint16)
+    for k in range(components):
         least = np.minimum.reduceat(flat * _PERMUTE[k], starts)
         out[:, k] = (splitmix(least) >> np.uint64(48)).astype(np.uint16)
     return out
@@ -349,6 +351,31 @@ def _hub_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("id"), pa.array(masks, pa.int32()), pa.array(ids, pa.list_(pa.int64()))], names=["component", "id", "mask", "hubs"])
 
 
+def _component_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each value of the first VOTES signature components occurs in a batch, by family."""
+    for batch in batches:
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in batch.column("set").to_pylist()]
+        on = [k for k, x in enumerate(sets) if len(x)]
+        if not on:
+            continue
+        sig = signatures([sets[k] for k in on], VOTES)
+        rows = np.stack([np.repeat(batch.column("component").to_numpy()[on], VOTES), np.tile(np.arange(VOTES), len(on)), sig.ravel().astype(np.int64)], axis=1)
+        rows, n = np.unique(rows, axis=0, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1].astype(np.int32)), pa.array(rows[:, 2].astype(np.int32)), pa.array(n)], names=["component", "place", "value", "n"])
+
+
+def _agreement(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of its first VOTES signature components each member shares with its family's consensus."""
+    for batch in batches:
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in batch.column("set").to_pylist()]
+        agree = np.zeros(len(sets), dtype=np.int32)
+        on = [k for k, x in enumerate(sets) if len(x)]
+        if on:
+            consensus = batch.column("consensus").flatten().field("value").to_numpy().reshape(-1, VOTES)
+            agree[on] = (signatures([sets[k] for k in on], VOTES) == consensus[on]).sum(axis=1)
+        yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("id"), pa.array(agree)], names=["component", "id", "agree"])
+
+
 def _largest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each component the hubs of its largest class: masks of members join the hubs that they name."""
     for batch in batches:
@@ -418,9 +445,14 @@ def confirmed(links: DataFrame, docs: DataFrame, block: int = BLOCK, room: int =
     if large.isEmpty():
         return links.distinct()
 
-    picks = [F.min(F.struct(F.xxhash64(F.lit(k), "id"), F.col("id").alias("id"))).alias(f"h{k}") for k in range(hubs)]
-    picked = members.select("component", "id").join(large, "component").groupBy("component").agg(*picks)
-    picked = cut(picked.select("component", F.explode(F.array_distinct(F.array(*(F.col(f"h{k}.id") for k in range(hubs))))).alias("id")), "picked")
+    # hubs: the members that agree best with their family's consensus, the commonest value of each signature component
+    often = members.join(large.select("component"), "component").select("component", "set").mapInArrow(_component_counts, "component long, place int, value int, n long")
+    often = often.groupBy("component", "place", "value").agg(F.sum("n").alias("n")).groupBy("component", "place").agg(F.max(F.struct("n", "value")).alias("x"))
+    often = cut(often.groupBy("component").agg(F.sort_array(F.collect_list(F.struct("place", "x.value"))).alias("consensus")), "consensus")  # VOTES values of each
+    votes = members.join(often, "component").select("component", "id", "set", "consensus").mapInArrow(_agreement, "component long, id long, agree int")
+    ranked = F.row_number().over(Window.partitionBy("component").orderBy("key"))
+    picks = votes.groupBy("component", F.pmod(F.xxhash64("id"), F.lit(hubs)).alias("slot")).agg(F.min(F.struct(-F.col("agree"), F.xxhash64("id"), F.col("id").alias("id"))).alias("key"))  # a few rows of each
+    picked = cut(picks.withColumn("k", ranked).filter(F.col("k") <= hubs).select("component", "key.id"), "picked")
     chosen = members.join(picked, ["component", "id"]).groupBy("component", "id").agg(F.min("set").alias("set"))
     chosen = cut(chosen.groupBy("component").agg(F.sort_array(F.collect_list(F.struct("id", "set"))).alias("hubs")), "hubs")  # at most ``hubs`` of each
     near = cut(members.join(chosen, "component").select("component", "id", "set", "hubs").mapInArrow(_hub_links, "component long, id long, mask int, hubs array<long>"), "near")
