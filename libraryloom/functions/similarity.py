@@ -34,6 +34,18 @@ def ratio_bound(a: Column, b: Column) -> Column:
     return F.when(both == 0, 1.0).otherwise(2.0 * F.least(F.length(a), F.length(b)) / both)
 
 
+def letter_counts(c: Column) -> Column:
+    """How often each character of a normalised text occurs, for ``ratio_limit``."""
+    return F.array(*[F.length(c) - F.length(F.replace(c, F.lit(x))) for x in " 0123456789abcdefghijklmnopqrstuvwxyz"])
+
+
+def ratio_limit(a: Column, b: Column, counts_a: Column, counts_b: Column) -> Column:
+    """An upper bound of the ratio from lengths and ``letter_counts``: no more characters can match than both have."""
+    both = F.length(a) + F.length(b)
+    common = F.aggregate(F.zip_with(counts_a, counts_b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    return F.when(both == 0, 1.0).otherwise(2.0 * common / both)
+
+
 def similarity(a: Column, b: Column) -> Column:
     """Ratio of two normalised strings."""
     return _ratio(a, b)
@@ -43,20 +55,25 @@ def title_similarity(a: Column, b: Column) -> Column:
     return _ratio(normalize_title(a), normalize_title(b))
 
 
-def fuzzy_score(name: Column, slug: Column, title: Column, ids: Column, raw_name: Column, meta: Column, first_page: Column) -> Column:
-    """How likely a file is a record's missing original, 0 to 1. All but ``raw_name`` and ``ids`` are normalised."""
+def fuzzy_parts(name: Column, slug: Column, title: Column, ids: Column, raw_name: Column, meta: Column, first_page: Column) -> tuple[Column, Column, Column]:
+    """(whether an identifier decides, what containment gives, what the year adds) of ``fuzzy_score``; no similarity in them."""
     has = lambda c: F.coalesce(c, F.lit("")) != ""
-    within = lambda a, b: has(a) & has(b) & (a.contains(b) | b.contains(a))
+    within = lambda a, b: F.coalesce(has(a) & has(b) & (a.contains(b) | b.contains(a)), F.lit(False))
     zero = F.lit(0.0)
-    best = F.greatest(
-        F.when(has(slug), similarity(name, slug)).otherwise(zero),
-        F.when(has(title), similarity(name, title)).otherwise(zero),
+    held = F.greatest(
         F.when(within(name, slug) | within(name, title), 0.85).otherwise(zero),
-        F.when(has(meta) & has(title), similarity(meta, title)).otherwise(zero),
         F.when(within(meta, title), 0.90).otherwise(zero),
-        F.when(has(first_page) & has(title) & first_page.contains(title), 0.90).otherwise(zero),
+        F.when(F.coalesce(has(first_page) & has(title) & first_page.contains(title), F.lit(False)), 0.90).otherwise(zero),
     )
     year = F.regexp_extract(F.coalesce(slug, F.lit("")), "\\b((?:19|20)[0-9]{2})\\b", 1)
-    best = best + F.when((year != "") & name.contains(year), 0.10).otherwise(zero)
     decisive = F.exists(F.coalesce(ids, F.array().cast("array<string>")), lambda i: (i != "") & raw_name.contains(i))
+    return F.coalesce(decisive, F.lit(False)), held, F.when((year != "") & name.contains(year), 0.10).otherwise(zero)
+
+
+def fuzzy_score(name: Column, slug: Column, title: Column, ids: Column, raw_name: Column, meta: Column, first_page: Column) -> Column:
+    """How likely a file is a record's missing original, 0 to 1. All but ``raw_name`` and ``ids`` are normalised."""
+    decisive, held, year = fuzzy_parts(name, slug, title, ids, raw_name, meta, first_page)
+    pair = lambda a, b: F.when((a != "") & (b != ""), _ratio(a, b)).otherwise(F.lit(0.0))
+    none = lambda c: F.coalesce(c, F.lit(""))
+    best = F.greatest(F.when(none(slug) != "", _ratio(name, slug)).otherwise(F.lit(0.0)), F.when(none(title) != "", _ratio(name, title)).otherwise(F.lit(0.0)), held, pair(none(meta), none(title))) + year
     return F.when(decisive, 0.95).otherwise(F.least(best, F.lit(1.0)))

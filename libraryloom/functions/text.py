@@ -94,3 +94,30 @@ def ascii_fold(c: Column) -> Column:
         return names.map(one)
 
     return F.pandas_udf(fold, "string")(c)
+
+
+def json_string(c: Column) -> Column:
+    """A JSON string literal of a text without its control characters; null as empty."""
+    plain = F.regexp_replace(blank(c), "[\\x00-\\x1f]", "")
+    return _quoted(plain)
+
+
+def script_string(c: Column) -> Column:
+    """A string literal in which only backslash and double quote are escaped."""
+    return _quoted(blank(c))
+
+
+def _quoted(c: Column) -> Column:
+    return F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+
+
+def yaml_string(c: Column) -> Column:
+    """A double-quoted scalar of a value that keeps neither backslashes nor double quotes."""
+    return F.concat(F.lit('"'), F.replace(F.replace(blank(c), F.lit("\\"), F.lit("")), F.lit('"'), F.lit("")), F.lit('"'))
+
+
+def file_kind(name: Column, content: Column) -> Column:
+    """pdf by the first bytes of the content; else by the extension: note, page, link, or other."""
+    ext = F.lower(F.regexp_extract(blank(name), "\\.([A-Za-z0-9]+)$", 1))
+    kind = F.when(ext == "md", "note").when(ext.isin("html", "htm"), "page").when(ext.isin("txt", "url"), "link").otherwise("other")
+    return F.when(F.coalesce(F.hex(F.substring(content, 1, 4)) == "25504446", F.lit(False)), "pdf").otherwise(kind)

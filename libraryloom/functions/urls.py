@@ -17,9 +17,9 @@ def is_web_url(c: Column) -> Column:
 
 
 def canonical_url(c: Column) -> Column:
-    """One spelling of an address: scheme and host lower-case, no closing slash, fragment or tracking parameters.
+    """One spelling of an address: scheme and host lower-case, no closing slash, fragment or tracking parameters (in any case).
 
-    Order of parameters is kept; what is not http or https is only trimmed.
+    Null stays null. Order of parameters is kept; what is not http or https is only trimmed.
     """
     url = F.trim(c)
     part = lambda k: F.regexp_extract(url, PARTS, k)
@@ -33,7 +33,7 @@ def canonical_url(c: Column) -> Column:
 def _any_start(p: Column) -> Column:
     out = F.lit(False)
     for x in TRACKING:
-        out = out | p.startswith(x)
+        out = out | F.lower(p).startswith(x)
     return out
 
 
@@ -41,6 +41,16 @@ def host(c: Column) -> Column:
     return F.lower(F.regexp_extract(blank(c), PARTS, 2))
 
 
+def is_local_request(named: Column, allowed: tuple[str, ...] = ("localhost", "127.0.0.1")) -> Column:
+    """Whether a request's host, without its port, is one of ``allowed``."""
+    return F.regexp_replace(F.lower(blank(named)), ":[0-9]+$", "").isin(*allowed)
+
+
+def is_cross_origin(origin: Column, named: Column) -> Column:
+    """Whether a request comes from a page of another host; without an origin it does not."""
+    return (blank(origin) != "") & (host(origin) != F.lower(blank(named)))
+
+
 def first_url(c: Column) -> Column:
     """The first address in a text, without closing punctuation; empty if none."""
     return F.regexp_replace(F.regexp_extract(blank(c), "https?://[^ \\t\\r\\n]+", 0), "[.,;:!?)\\]>\"']+$", "")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from libraryloom.functions import identifiers, similarity
 from libraryloom.functions.text import blank, normalize_title
-from libraryloom.functions.urls import canonical_url
-from libraryloom.operators.matching import best_with_margin
+from libraryloom.functions.urls import canonical_url, host, is_web_url
+from libraryloom.operators.matching import best_with_margin, containing, every_pair, only_match
 
 BACKFILLS = ("pdf", "md", "html", "htm")
 FUZZY, MARGIN = 0.70, 0.15
@@ -38,8 +38,14 @@ def decide(inputs: DataFrame, library: DataFrame) -> DataFrame:
     rest = rest.select("name", "stem", normalize_title(F.col("stem")).alias("n"), normalize_title(F.col("meta_title")).alias("meta"), normalize_title(F.col("first_page")).alias("page"))
     open_ = lib.filter("missing").select("rel_path", normalize_title(F.col("slug")).alias("s"), normalize_title(F.col("title")).alias("t"), F.array(identifiers.arxiv_id(F.col("url")), identifiers.arxiv_id(F.col("preprint_url"))).alias("ids"))
     c = F.col
-    # few files come in at a time, and only records whose original is missing are compared with them
-    scored = rest.crossJoin(open_).withColumn("score", similarity.fuzzy_score(c("n"), c("s"), c("t"), c("ids"), c("stem"), c("meta"), c("page")))
+    # few files come in at a time, and only records whose original is missing are compared with them; the costly ratios
+    # only where lengths, letters or containment leave a score that can matter, a winner's or that of its runner-up
+    counted = lambda rows, *names: rows.select("*", *[similarity.letter_counts(c(x)).alias(f"l_{x}") for x in names])
+    decisive, held, year = similarity.fuzzy_parts(c("n"), c("s"), c("t"), c("ids"), c("stem"), c("meta"), c("page"))
+    limit = lambda a, b: F.when((c(a) != "") & (c(b) != ""), similarity.ratio_limit(c(a), c(b), c(f"l_{a}"), c(f"l_{b}"))).otherwise(0.0)
+    reach = F.greatest(limit("n", "s"), limit("n", "t"), limit("meta", "t"), held) + year
+    pairs = every_pair(counted(rest, "n", "meta"), counted(open_, "s", "t"), decisive | (reach >= FUZZY - MARGIN - 1e-9))
+    scored = pairs.withColumn("score", similarity.fuzzy_score(c("n"), c("s"), c("t"), c("ids"), c("stem"), c("meta"), c("page")))
     best = best_with_margin(scored.select("name", "rel_path", "score"), ["name"], "rel_path", "score", FUZZY, MARGIN).filter("accepted")
     found = sure.union(best.select("name", "rel_path", F.lit("backfill:fuzzy")))
     return inputs.select("name").join(found, "name", "left").select("name", "rel_path", "reason")
@@ -61,10 +67,12 @@ def promotions(pdfs: DataFrame, entries: DataFrame) -> DataFrame:
     dois = entries.select("rel_path", "title", F.explode(F.array_distinct(F.array(*[identifiers.normalize_doi(c(k)) for k in ("doi", "published_doi")], identifiers.doi_in(c("published_url"))))).alias("doi")).filter("doi <> ''")
     own = pdfs.select("name", F.col("title").alias("pdf_title"), identifiers.normalize_doi(c("doi")).alias("doi")).filter("doi <> ''")
     pairs = own.join(dois, "doi")
-    one = pairs.groupBy("name").agg(F.min("rel_path").alias("rel_path"), F.max("rel_path").alias("other"), F.first("pdf_title").alias("pdf_title")).filter("rel_path = other").drop("other")
+    one = only_match(pairs, ["name"], "rel_path").join(pairs.groupBy("name").agg(F.min("pdf_title").alias("pdf_title")), "name").select("name", "rel_path", "pdf_title")
     titles = entries.select("rel_path", normalize_title(F.coalesce(F.nullif(c("published_title"), F.lit("")), F.when(blank(c("published_url")) != "", c("title")))).alias("t")).filter(F.length("t") >= LEAST)
     rest = pdfs.join(one, "name", "left_anti").select("name", F.col("title").alias("pdf_title"), normalize_title(c("title")).alias("n")).filter(F.length("n") >= LEAST)
-    near = rest.crossJoin(titles).filter(similarity.ratio_bound(c("n"), c("t")) >= TITLE - MARGIN)  # a runner-up below this never matters
+    rest, titles = rest.withColumn("l_n", similarity.letter_counts(c("n"))), titles.withColumn("l_t", similarity.letter_counts(c("t")))
+    reach = similarity.ratio_limit(c("n"), c("t"), c("l_n"), c("l_t"))
+    near = every_pair(rest, titles, (similarity.ratio_bound(c("n"), c("t")) >= TITLE - MARGIN) & (reach >= TITLE - MARGIN - 1e-9))  # a runner-up below this never matters
     near = near.withColumn("score", similarity.similarity(c("n"), c("t")))
     best = best_with_margin(near.select("name", "pdf_title", "rel_path", "score"), ["name", "pdf_title"], "rel_path", "score", TITLE, MARGIN).filter("accepted")
     found = one.select("name", "rel_path", "pdf_title").union(best.select("name", "rel_path", "pdf_title")).join(entries.select("rel_path", "title"), "rel_path")
@@ -77,24 +85,41 @@ def promotions(pdfs: DataFrame, entries: DataFrame) -> DataFrame:
         marked = marked | front.contains(marker)
     volumes = pdfs.filter((c("pages") >= VOLUME_PAGES) & marked).join(promote, "name", "left_anti").select("name", normalize_title(c("front")).alias("toc"), F.transform(F.coalesce("outline", F.array().cast("array<string>")), normalize_title).alias("outline"))
     named = entries.select("rel_path", F.explode(F.array(normalize_title(c("published_title")), normalize_title(c("title")))).alias("t")).filter(F.length("t") >= LEAST).distinct()
-    inside = volumes.crossJoin(named)
-    listed = inside.filter(c("toc").contains(c("t")) | F.array_contains("outline", c("t"))).select("name", "rel_path")
-    close = inside.select("name", "rel_path", "t", F.explode("outline").alias("o")).filter(similarity.ratio_bound(c("t"), c("o")) >= TITLE).filter(similarity.similarity(c("t"), c("o")) >= TITLE).select("name", "rel_path")
+    parts = named.select(F.struct("rel_path", "t").alias("part_id"), c("t").alias("part"))
+    listed = containing(parts, volumes.select(c("name").alias("whole_id"), c("toc").alias("whole"))).select(c("whole_id").alias("name"), c("part_id.rel_path").alias("rel_path"))
+    lines = volumes.select("name", F.explode(F.array_distinct("outline")).alias("o")).filter("o <> ''").withColumn("l_o", similarity.letter_counts(c("o")))
+    told = lines.select("name", "o").join(named, c("o") == c("t")).select("name", "rel_path")
+    near = (similarity.ratio_bound(c("t"), c("o")) >= TITLE) & (similarity.ratio_limit(c("t"), c("o"), c("l_t"), c("l_o")) >= TITLE - 1e-9) & (c("t") != c("o"))
+    close = every_pair(lines, named.withColumn("l_t", similarity.letter_counts(c("t"))), near).filter(similarity.similarity(c("t"), c("o")) >= TITLE).select("name", "rel_path")
+    close = close.union(told)
     return promote.union(listed.union(close).distinct().select("name", "rel_path", F.lit("volume-contains")))
 
 
 def outcome_names(moved: DataFrame, taken: DataFrame) -> DataFrame:
-    """``moved`` (name, ...) with target: the name, or stem.n.ext with the least numbers that nothing else has.
+    """``moved`` (name, ...) with target: the name, or stem.n.ext with the least number from 1 that nothing else has.
 
-    ``taken``: name of the files already there.
+    ``taken``: name of the files already there. Numbers are given out family by family (stem and extension), past those
+    that a file has or that another moved file brings as its own name, so no two targets and no taken name are equal.
+    Of files of one name the first gets the name itself where it is free.
     """
-    from pyspark.sql import Window
-
-    stem, ext = F.regexp_extract("name", "^(.*?)(\\.[^.]*)?$", 1), F.regexp_extract("name", "^(?:.*?)(\\.[^.]*)?$", 1)
-    rows = moved.withColumn("_k", F.row_number().over(Window.partitionBy("name").orderBy(F.lit(0))) - 1)
-    before = taken.groupBy("name").agg(F.count(F.lit(1)).alias("_t"))
-    rows = rows.join(before, "name", "left").withColumn("_k", F.col("_k") + F.coalesce("_t", F.lit(0)))
-    return rows.withColumn("target", F.when(F.col("_k") == 0, F.col("name")).otherwise(F.concat(stem, F.lit("."), F.col("_k").cast("string"), ext))).drop("_k", "_t")
+    numbered = "^(.*)\\.([1-9][0-9]{0,8})(\\.[^.]*)?$"
+    c = F.col
+    family = lambda c: F.struct(F.regexp_extract(c, "^(.*?)(\\.[^.]*)?$", 1).alias("stem"), F.regexp_extract(c, "^(?:.*?)(\\.[^.]*)?$", 1).alias("ext"))
+    kept = taken.select("name").distinct()
+    rows = moved.withColumn("_k", F.row_number().over(Window.partitionBy("name").orderBy(F.lit(0))))
+    rows = rows.join(kept.withColumn("_t", F.lit(1)), "name", "left")
+    first = (c("_k") == 1) & c("_t").isNull()
+    # names in use: those there, and those that moved files keep; each also blocks a number of the family it would belong to
+    used = kept.union(moved.select("name").distinct()).distinct()
+    blocked = used.select(F.struct(F.regexp_extract("name", numbered, 1).alias("stem"), F.regexp_extract("name", numbered, 3).alias("ext")).alias("_f"), F.regexp_extract("name", numbered, 2).try_cast("long").alias("n")).filter("n IS NOT NULL")
+    blocked = blocked.groupBy("_f").agg(F.sort_array(F.collect_set("n")).alias("_n"))
+    rows = rows.withColumn("_first", first).withColumn("_f", family(c("name"))).join(blocked, "_f", "left")
+    turn = F.row_number().over(Window.partitionBy("_f", "_first").orderBy("name", "_k")).cast("long")
+    # the turn-th number that is not blocked: each blocked number at or below it moves it on by one
+    number = F.aggregate(F.coalesce("_n", F.array().cast("array<bigint>")), turn, lambda at, n: F.when(n <= at, at + 1).otherwise(at))
+    rows = rows.withColumn("_at", number)
+    target = F.when(c("_first"), c("name")).otherwise(F.concat(c("_f.stem"), F.lit("."), c("_at").cast("string"), c("_f.ext")))
+    return rows.withColumn("target", target).drop("_k", "_t", "_f", "_n", "_first", "_at")
 
 
 def with_provenance(files: DataFrame, recorded: DataFrame) -> DataFrame:
@@ -113,13 +138,11 @@ def unconsumed(recorded: DataFrame, succeeded: DataFrame) -> DataFrame:
 
 
 #: Hosts of preprint servers, their subdomains included.
-PREPRINT_HOSTS = ("arxiv.org", "ssrn.com", "biorxiv.org", "medrxiv.org")
+PREPRINT_HOSTS = ("arxiv.org", "ssrn.com", "biorxiv.org", "medrxiv.org", "osf.io")
 
 
 def promoted_url(entry_url, archived_url):
     """The published address where it is a web address off the preprint servers, else the archived one."""
-    from libraryloom.functions.urls import host, is_web_url
-
     h = host(entry_url)
     on_server = F.lit(False)
     for server in PREPRINT_HOSTS:
@@ -130,3 +153,25 @@ def promoted_url(entry_url, archived_url):
 def produced_since(library: DataFrame, started: str) -> DataFrame:
     """Records written after a run began; only these may be quarantined when it fails."""
     return library.filter(F.col("modified") > F.lit(started).cast("timestamp"))
+
+
+def applied_promotions(library: DataFrame, checks: DataFrame, entries: DataFrame, filed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(library, checks) after promotions, all of each or nothing of it.
+
+    ``entries``: name and rel_path of the preprint that each incoming file replaces; ``filed``: name, rel_path of the new
+    record and ok of each intake. Where the intake succeeded the preprint's record and cache entry go and the new record
+    gets its published and preprint addresses; where it failed, or is not known, both stay as they were. Two promotions of
+    one preprint count once, by the least name. Both results are whole tables, to be published as new versions.
+    """
+    c = F.col
+    done = entries.join(filed.filter("ok").select("name", c("rel_path").alias("new_path")), "name")
+    done = done.groupBy("rel_path").agg(F.min(F.struct("name", "new_path")).alias("x")).select("rel_path", "x.new_path")
+    old = library.select("rel_path", c("url").alias("archived_url"))
+    urls = done.join(old, "rel_path", "left").join(checks.select("rel_path", "published_url"), "rel_path", "left")
+    urls = urls.groupBy(c("new_path").alias("rel_path")).agg(F.min(F.struct("published_url", "archived_url")).alias("u"))
+    on_web = F.when(is_web_url(c("u.archived_url")), c("u.archived_url"))
+    rows = library.join(done.select("rel_path"), "rel_path", "left_anti").join(urls, "rel_path", "left")
+    url = F.coalesce(promoted_url(c("u.published_url"), F.lit(None).cast("string")), c("url"))
+    other = F.when(F.regexp_replace(blank(on_web), "/+$", "") != F.regexp_replace(blank(url), "/+$", ""), on_web)
+    rows = rows.withColumn("preprint_url", F.coalesce(F.nullif(c("preprint_url"), F.lit("")), other)).withColumn("url", url).drop("u")
+    return rows.select(*library.columns), checks.join(done.select("rel_path"), "rel_path", "left_anti")

@@ -130,3 +130,77 @@ def expired(archives: DataFrame, keep: int = 50) -> DataFrame:
     """Names beyond the newest ``keep``, by name."""
     ranked = archives.withColumn("_k", F.row_number().over(Window.orderBy(F.desc("name"))))  # a listing of one folder
     return ranked.filter(F.col("_k") > keep).select("name")
+
+
+def landed(items: DataFrame, library: DataFrame) -> DataFrame:
+    """Downloaded items (kind, id, library_status, ...) that a record names as where it was found."""
+    have = library.select(F.col("discovered_via").alias("_via")).distinct()
+    key = F.concat(F.lit("digest:"), "kind", F.lit("/"), F.col("id").cast("string"))
+    return items.filter("library_status = 'downloaded'").join(have, key == F.col("_via"), "left_semi")
+
+
+def digest_signals(items: DataFrame, library: DataFrame, now: str, recalibrated: str | None = None) -> DataFrame:
+    """One row of flagged, downloaded, landed, flagged_this_week, added, dismissed, ready and error.
+
+    ``items``: kind, id, ts, open, library_status and library_reviewed_at, times as text. A time that can't be read is no
+    time. Labels count after ``recalibrated``; dismissals of one moment are one decision.
+    """
+    c = F.col
+    seen = F.try_to_timestamp("ts") >= F.lit(now).cast("timestamp") - F.expr("INTERVAL 7 DAYS")
+    reviewed = F.try_to_timestamp("library_reviewed_at")
+    counted = reviewed.isNotNull() if recalibrated is None else reviewed > F.lit(recalibrated).cast("timestamp")
+    label = lambda s: (c("library_status") == s) & F.coalesce(counted, F.lit(False))
+    out = items.agg(
+        F.count_if(c("open") & (c("library_status") == "flagged")).alias("flagged"), F.count_if(c("open") & (c("library_status") == "downloaded")).alias("downloaded"),
+        F.count_if(seen).alias("flagged_this_week"), F.count_if(label("added")).alias("added"), F.countDistinct(F.when(label("dismissed"), reviewed)).alias("dismissed"),
+    )
+    held = landed(items.filter("open"), library).agg(F.count(F.lit(1)).alias("landed"))
+    ready = (c("added") >= READY[0]) & (c("dismissed") >= READY[1])
+    return out.crossJoin(F.broadcast(held)).withColumn("ready", ready).withColumn("error", F.lit(None).cast("string"))  # one row each
+
+
+def oldest_open(items: DataFrame, most: int = 5) -> DataFrame:
+    """The flagged open items that wait longest, those without a time first."""
+    return items.filter("open AND library_status = 'flagged'").orderBy(F.coalesce("ts", F.lit("")), "kind", "id").limit(most)
+
+
+def backup_age(status: DataFrame, now: str) -> DataFrame:
+    """``status`` (outcome, last_success, ...) with age_hours, to a tenth, and stale: not ok, never, or too long ago."""
+    then = F.try_to_timestamp("last_success")
+    age = F.round((F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(then)) / 3600, 1)
+    stale = age.isNull() | (age > STALE_HOURS) | ~F.col("outcome").eqNullSafe("ok")
+    return status.withColumn("age_hours", age).withColumn("stale", stale)
+
+
+def last_done(commits: DataFrame, tasks: DataFrame) -> DataFrame:
+    """``tasks`` (task, path, ...) with last: the day of the last commit (at, path) that touched its path or what lies in it."""
+    root = F.regexp_replace("path", "/+$", "")
+    folders = F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda k: F.array_join(F.slice(F.split("path", "/"), 1, k), "/"))
+    touched = commits.select("at", F.explode(folders).alias("_root")).groupBy("_root").agg(F.date_format(F.max("at"), "yyyy-MM-dd").alias("last"))
+    return tasks.withColumn("_root", root).join(touched, "_root", "left").drop("_root")
+
+
+def summary_text(found: DataFrame, routines: DataFrame, generated: str, url: str) -> DataFrame:
+    """place and line of the console as text: what needs attention, the worst first, and what is overdue.
+
+    ``found``: cards; ``routines``: what ``rhythm`` gives, with place for their order.
+    """
+    c = F.col
+    need = found.filter("severity <> 'ok'")
+    line = lambda a, b, text: F.struct(F.lit(a).alias("a"), b.cast("long").alias("b"), text.alias("line"))
+    head = found.sparkSession.createDataFrame([(0, 0, f"Currency console — {generated}"), (0, 1, url), (0, 2, "")], "a int, b long, line string")
+    rank = measures.severity_rank(c("severity")) * 1000 + c("place")
+    body = need.select(line(1, rank, F.concat(F.lit("["), F.upper("severity"), F.lit("] "), "title", F.lit(": "), F.coalesce(c("count").cast("string"), F.lit("None")))).alias("x")).select("x.*")
+    calm = need.agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(line(1, F.lit(0), F.lit("Nothing needs you this week.")).alias("x")).select("x.*")
+    late = routines.filter("due").agg(F.sort_array(F.collect_list(F.struct("place", "task"))).alias("t")).filter(F.size("t") > 0)
+    late = late.select(F.explode(F.array(line(2, F.lit(0), F.lit("")), line(2, F.lit(1), F.concat(F.lit("Overdue routines: "), F.array_join("t.task", ", "))))).alias("x")).select("x.*")
+    out = head.union(body).union(calm).union(late)
+    return out.select(F.row_number().over(Window.orderBy("a", "b")).cast("long").alias("place"), "line")  # one short text
+
+
+def notification(found: DataFrame, url: str) -> DataFrame:
+    """One row, message: how many cards need something, and how many at once."""
+    n = attention(found)
+    urgent = F.when(F.col("urgent") > 0, F.concat(F.lit(", "), F.col("urgent").cast("string"), F.lit(" urgent"))).otherwise("")
+    text = F.concat(F.col("need").cast("string"), F.lit(" item(s) need you"), urgent, F.lit(f" — open {url}"))
+    return n.select(F.when(F.col("need") == 0, "Nothing needs you this week.").otherwise(text).alias("message"))

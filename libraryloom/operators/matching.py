@@ -20,12 +20,12 @@ def best_with_margin(scored: DataFrame, by: Sequence[str], candidate: str, score
 
 
 def stable_argmax(items: Column, score) -> Column:
-    """Of an array's items the one of the highest score, the first of equals; null for none.
+    """struct(score, item) of an array's item of the highest score, the first of equals; nulls for no items.
 
     The whole array is folded in place, so nothing is exploded.
     """
-    keyed = F.transform(items, lambda x, i: F.struct(score(x).alias("score"), (-i).alias("place"), x.alias("item")))
-    return F.array_max(F.transform(keyed, lambda k: F.struct(k["score"], k["place"])))
+    best = F.array_max(F.transform(items, lambda x, i: F.struct(score(x).alias("score"), (-i).alias("place"))))
+    return F.struct(best["score"].alias("score"), F.get(items, -best["place"]).alias("item"))
 
 
 def first_or_better(hits: DataFrame, by: Sequence[str], fast: str, score: str, place: str) -> DataFrame:
@@ -39,3 +39,48 @@ def only_match(pairs: DataFrame, by: Sequence[str], candidate: str) -> DataFrame
     """The candidate of each group that has exactly one distinct candidate."""
     found = pairs.groupBy(*by).agg(F.min(candidate).alias(candidate), F.max(candidate).alias("_other"))
     return found.filter(F.col(candidate) == F.col("_other")).drop("_other")
+
+
+#: Rows of the side that is held whole in each task when every pair has to be looked at.
+FEW = 2000
+
+
+def every_pair(few: DataFrame, many: DataFrame, keep: Column, most: int = FEW) -> DataFrame:
+    """The pairs of the two sides that ``keep`` holds for; for rules that no key can serve.
+
+    ``few`` is counted first. Up to ``most`` rows it is broadcast; beyond that both sides are dealt into blocks that meet
+    under a key, so no task holds more than ``most`` rows of ``few`` and none reads all of ``many``.
+    """
+    n = few.count()
+    if n <= most:
+        return many.join(F.broadcast(few), keep)
+    blocks = -(-n // most)
+    own = F.pmod(F.xxhash64(*few.columns), F.lit(blocks))
+    other = F.pmod(F.xxhash64(*many.columns), F.lit(blocks))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = few.withColumn("_i", own.cast("int")).withColumn("_j", every)
+    right = many.withColumn("_j", other.cast("int")).withColumn("_i", every)
+    return right.join(left, ["_i", "_j"]).filter(keep).drop("_i", "_j")
+
+
+def containing(parts: DataFrame, wholes: DataFrame, separator: str = " ") -> DataFrame:
+    """(part_id, whole_id) where a whole's text contains a part's. ``parts``: part_id, part; ``wholes``: whole_id, whole.
+
+    All but a part's first and last word must be words of the whole, so pairs meet under the part's rarest inner word
+    and only these are searched. A part of fewer than three words has none: such parts are looked for in every whole.
+    Null texts are contained in nothing; an empty part is contained in every whole.
+    """
+    words = lambda c: F.split(c, separator)
+    inner = F.array_distinct(F.filter(F.slice(words(F.col("part")), 2, F.greatest(F.lit(0), F.size(words(F.col("part"))) - 2)), lambda w: w != ""))
+    parts = parts.filter("part IS NOT NULL").distinct()
+    long = parts.withColumn("_w", inner).filter(F.size("_w") > 0)
+    wanted = long.select(F.explode("_w").alias("w")).distinct()
+    held = wholes.filter("whole IS NOT NULL").select("whole_id", F.explode(F.array_distinct(words(F.col("whole")))).alias("w")).join(wanted, "w", "left_semi")
+    spread = held.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    rarest = long.select("part_id", "part", F.explode("_w").alias("w")).join(spread, "w", "left")
+    rarest = rarest.groupBy("part_id", "part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w")).alias("x")).select("part_id", "part", "x.w")
+    near = held.join(rarest, "w").select("whole_id", "part_id", "part").join(wholes, "whole_id")
+    found = near.filter(F.col("whole").contains(F.col("part"))).select("part_id", "whole_id")
+    short = parts.join(long.select("part_id", "part"), ["part_id", "part"], "left_anti")
+    rest = every_pair(short, wholes.filter("whole IS NOT NULL"), F.col("whole").contains(F.col("part"))).select("part_id", "whole_id")
+    return found.union(rest).distinct()

@@ -36,3 +36,31 @@ def report_commits(paths: DataFrame) -> DataFrame:
 def may_push(paths: DataFrame) -> DataFrame:
     """One row: whether all unpushed commits touch only reports. Nothing unpushed may be pushed."""
     return report_commits(paths).agg(F.coalesce(F.bool_and("only_reports"), F.lit(True)).alias("may_push"), F.count(F.lit(1)).alias("ahead"))
+
+
+def kept_history(plan: DataFrame, folder: str) -> DataFrame:
+    """path, change and kept: where a run keeps each file that its mirror loses, by ``mirror_plan``'s rows.
+
+    Replaced files are always kept, removed ones where they are removed.
+    """
+    lost = plan.filter((F.col("change") == "changed") | F.col("remove"))
+    return lost.select("path", "change", F.concat(F.lit(f"{folder.rstrip('/')}/"), "path").alias("kept"))
+
+
+def sync_record(plan: DataFrame, folder: str, at: str, most_deleted: int = 25) -> DataFrame:
+    """One row on a run of the mirror: run_at, ok, mirror_deleted, replaced, history_dir (empty if nothing was kept) and detail.
+
+    A run that would have removed too many files removes none and has failed.
+    """
+    c = F.col
+    n = plan.agg(F.count_if("remove").alias("mirror_deleted"), F.count_if(c("change") == "changed").alias("replaced"), F.count_if(c("change") == "deleted").alias("gone"))
+    ok = c("gone") <= most_deleted
+    detail = F.concat(c("gone").cast("string"), F.lit(f" files would be deleted from the mirror (limit {most_deleted}); deleted none"))
+    return n.select(F.lit(at).alias("run_at"), ok.alias("ok"), "mirror_deleted", "replaced", F.when(c("mirror_deleted") + c("replaced") > 0, folder).otherwise("").alias("history_dir"), F.when(~ok, detail).otherwise("").alias("detail"))
+
+
+def report_changes(paths: DataFrame, tracked: DataFrame) -> DataFrame:
+    """path and kind (new, changed) of the triage reports among touched paths; other paths are left out."""
+    report = F.col("path").rlike("^triage/[^/]+\\.md$") & ~F.col("path").rlike("(^|/)README\\.md$")
+    known = tracked.select("path").distinct().withColumn("_known", F.lit(1))
+    return paths.select("path").distinct().filter(report).join(known, "path", "left").select("path", F.when(F.col("_known") == 1, "changed").otherwise("new").alias("kind"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from libraryloom.functions import identifiers, measures, names, similarity
@@ -21,8 +21,8 @@ def preprints(library: DataFrame) -> DataFrame:
 
 def looks_preprint(url: Column, source_type: Column, publication: Column) -> Column:
     """The looser rule of the view; it may take in records that ``preprints`` leaves out."""
-    low = F.lower(blank(publication))
-    return blank(url).contains("arxiv.org") | blank(url).contains("ssrn.com") | (blank(source_type) == "preprint") | low.startswith("arxiv") | low.startswith("ssrn") | low.startswith("preprint")
+    low, address = F.lower(blank(publication)), F.lower(blank(url))
+    return address.contains("arxiv.org") | address.contains("ssrn.com") | (F.lower(blank(source_type)) == "preprint") | low.startswith("arxiv") | low.startswith("ssrn") | low.startswith("preprint")
 
 
 def due(found: DataFrame, checks: DataFrame, now: str, days: int = REFRESH_DAYS) -> DataFrame:
@@ -78,6 +78,48 @@ def refreshed(checks: DataFrame, new: DataFrame, found: DataFrame, prune: bool =
     return old.unionByName(new, allowMissingColumns=True)
 
 
+#: The lists of the view.
+BUCKETS = ("published", "preprint-only", "unknown", "error", "unchecked")
+
+
+def view(looked_like: DataFrame, checks: DataFrame, now: str) -> DataFrame:
+    """bucket, place, rel_path, title and checked_ago of the view: what the cache says, and records that it does not hold.
+
+    ``looked_like``: rel_path of the records that look like preprints. Published entries come first, then all by title
+    without case; places count within the whole view, unchecked records by path at its end.
+    """
+    c = F.col
+    at = F.try_to_timestamp("checked_at")
+    ago = F.when(at.isNull() & (blank(c("checked_at")) != ""), c("checked_at")).otherwise(measures.age_text(at, F.lit(now).cast("timestamp")))
+    rows = checks.select("rel_path", F.coalesce(F.nullif(c("title"), F.lit("")), c("rel_path")).alias("title"), F.coalesce(F.nullif(c("status"), F.lit("")), F.lit("unknown")).alias("bucket"), ago.alias("checked_ago"))
+    rows = rows.select("bucket", F.when(c("bucket") == "published", 0).otherwise(1).alias("_a"), F.lower("title").alias("_b"), "rel_path", "title", "checked_ago")
+    new = looked_like.select("rel_path").distinct().join(checks.select("rel_path"), "rel_path", "left_anti")
+    new = new.select(F.lit("unchecked").alias("bucket"), F.lit(2).alias("_a"), F.lit("").alias("_b"), "rel_path", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("checked_ago"))
+    order = Window.orderBy("_a", "_b", "rel_path")  # a page of the library's preprints
+    return rows.union(new).select("bucket", F.row_number().over(order).cast("long").alias("place"), "rel_path", "title", "checked_ago")
+
+
+def view_stats(looked_like: DataFrame, checks: DataFrame) -> DataFrame:
+    """One row: how many are in each list of the view, their total, and the newest time of a check (empty if none)."""
+    status = F.coalesce(F.nullif(F.col("status"), F.lit("")), F.lit("unknown"))
+    known = checks.agg(F.count(F.lit(1)).alias("entries"), *[F.count_if(status == b).alias(b.replace("-", "_")) for b in BUCKETS[:-1]], F.coalesce(F.max(F.nullif(F.col("checked_at"), F.lit(""))), F.lit("")).alias("newest"))
+    new = looked_like.select("rel_path").distinct().join(checks.select("rel_path"), "rel_path", "left_anti").agg(F.count(F.lit(1)).alias("unchecked"))
+    return known.crossJoin(F.broadcast(new)).select((F.col("entries") + F.col("unchecked")).alias("total"), *[b.replace("-", "_") for b in BUCKETS], "newest")  # one row each
+
+
+def run_stats(found: DataFrame, checks: DataFrame, new: DataFrame) -> DataFrame:
+    """One row on a run: checked, skipped, errors, found_published, pruned and total_preprints.
+
+    ``found``: the library's preprints; ``checks``: the cache before the run; ``new``: what the run looked up.
+    """
+    c = F.col
+    looked = new.agg(F.count(F.lit(1)).alias("checked"), F.count_if(c("status") == "error").alias("errors"), F.count_if(c("status") == "published").alias("found_published"))
+    gone = checks.join(found.select("rel_path"), "rel_path", "left_anti").join(new.select("rel_path"), "rel_path", "left_anti").agg(F.count(F.lit(1)).alias("pruned"))
+    total = found.agg(F.count(F.lit(1)).alias("total_preprints"))
+    rows = looked.crossJoin(F.broadcast(gone)).crossJoin(F.broadcast(total))  # one row each
+    return rows.select("checked", (c("total_preprints") - c("checked")).alias("skipped"), "errors", "found_published", "pruned", "total_preprints")
+
+
 def buckets(found: DataFrame, checks: DataFrame) -> DataFrame:
     """status and n: how many preprints of the library are in each state, unchecked ones too."""
     rows = found.select("rel_path").join(checks.select("rel_path", "status"), "rel_path", "left")

@@ -75,6 +75,24 @@ def audit(library: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
+def audit_report(library: DataFrame, links: DataFrame) -> DataFrame:
+    """``audit`` in the order of the report: place, issue, category, title and rel_path.
+
+    Issues of records go by category and title without case; paths without a record have neither and go by path.
+    """
+    known = library.select("rel_path", F.col("folder").alias("category"), F.coalesce("title", F.concat("slug", F.lit(".summary"))).alias("title"))
+    rows = audit(library, links).join(known, "rel_path", "left")
+    order = Window.partitionBy("issue").orderBy(F.coalesce("category", F.lit("")), F.lower(F.coalesce("title", F.lit(""))), "rel_path")
+    return rows.select(F.row_number().over(order).cast("long").alias("place"), "issue", "category", "title", "rel_path")
+
+
+def audit_tiles(library: DataFrame, links: DataFrame) -> DataFrame:
+    """One row: records on disk, the number of each issue, and of all issues together."""
+    issue = F.col("issue")
+    found = audit(library, links).agg(*[F.count_if(issue == name).alias(name.replace("-", "_")) for name in ("orphan-link", "unindexed", "missing-original", "corrupt")], F.count(F.lit(1)).alias("issues"))
+    return library.agg(F.count(F.lit(1)).alias("summaries")).crossJoin(F.broadcast(found))  # one row each
+
+
 def validated(library: DataFrame, today: str, external: DataFrame | None = None) -> DataFrame:
     """rel_path, normalised fields, notes and errors of each record; valid where there are no errors.
 
@@ -137,6 +155,19 @@ def backfilled_authors(library: DataFrame) -> DataFrame:
     return rows.select("rel_path", F.array(F.trim("publication")).alias("authors"))
 
 
+def after_deletion(library: DataFrame, requested: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
+    """The library without the requested records that may go, and the changelog entries (at, seq, text) of those that went.
+
+    The index is made anew from what is left; requests that are not safe, or name nothing, change nothing.
+    """
+    gone = deletable(library, requested).distinct()
+    left = library.join(gone, "rel_path", "left_anti")
+    own = library.join(gone, "rel_path", "left_semi")
+    seq = F.row_number().over(Window.orderBy("rel_path")).cast("long")  # what one request names
+    text = F.concat(F.lit("deleted: "), F.coalesce("title", "slug"), F.lit(" ("), names.changelog_byline(F.coalesce("authors", F.array().cast("array<string>"))), F.lit(")"))
+    return left, own.select(F.lit(at).cast("timestamp").alias("at"), seq.alias("seq"), text.alias("text"))
+
+
 def deletable(library: DataFrame, requested: DataFrame) -> DataFrame:
     """The requested rel_paths that may be deleted: safe, exactly two folders deep, in a visible category, and there."""
     p = F.col("rel_path")

@@ -1,53 +1,28 @@
-"""Each operator on the tables of the driver, beside the SQL that DuckDB runs on the same files.
+"""Column functions and matching on the tables of the driver as they are, beside the SQL that DuckDB runs on the same files.
 
-``now`` is always a literal, ties are broken by keys, and sums of doubles are rounded, so both engines agree.
+``now`` is always a literal, ties are broken by keys, and sums of doubles are rounded, so both engines agree. A null text
+counts as empty; null keys match nothing. The operators on records are in ``library_queries``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from libraryloom.functions import identifiers, measures, names, text, urls
 from libraryloom.operators import matching
+from libraryloom.plans.register import CANON, ORACLE_SQL, QUERIES, read, register
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
 NOW = "2024-01-30 00:00:00"
 
 
-def register(sql: str):
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
 def stamp(c: str):
     return F.col(c).cast("timestamp")
 
 
 # -- addresses, titles, names --------------------------------------------------------------------------------------------
 
-CANON = """
-CASE WHEN regexp_matches(trim(url), '(?i)^https?://') THEN
-  lower(regexp_extract(trim(url), '(?i)^(https?)://', 1)) || '://' || lower(regexp_extract(trim(url), '(?i)^https?://([^/?#]*)', 1))
-  || regexp_replace(regexp_extract(trim(url), '(?i)^https?://[^/?#]*([^?#]*)', 1), '/+$', '')
-  || CASE WHEN len(list_filter(string_split(regexp_extract(trim(url), '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_|fbclid=|gclid=|mc_cid=|mc_eid=)'))) > 0
-     THEN '?' || array_to_string(list_filter(string_split(regexp_extract(trim(url), '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_|fbclid=|gclid=|mc_cid=|mc_eid=)')), '&') ELSE '' END
-ELSE trim(url) END
-"""
-
-
 @register(f"SELECT page_id, {CANON} AS canonical FROM pages")
 def url_canonical(spark, d):
     return read(spark, d, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("canonical"))
@@ -117,16 +92,6 @@ def author_display(spark, d):
     return of("customer", "c_custkey", "c_name").union(of("supplier", "s_suppkey", "s_name")).union(of("part", "p_partkey", "p_name"))
 
 
-@register("""
-SELECT l_orderkey, array_to_string(s[1:3], ', ') || CASE WHEN len(s) > 3 THEN ' et al.' ELSE '' END AS byline
-FROM (SELECT l_orderkey, list_sort(list_distinct(list(lpad(l_suppkey::VARCHAR, 6, '0')))) AS s FROM lineitem GROUP BY l_orderkey)
-""")
-def authors_et_al(spark, d):
-    s = F.sort_array(F.collect_set(F.lpad(F.col("l_suppkey").cast("string"), 6, "0")))
-    rows = read(spark, d, "lineitem").groupBy("l_orderkey").agg(s.alias("s"))
-    return rows.select("l_orderkey", F.concat(F.array_join(F.slice("s", 1, 3), ", "), F.when(F.size("s") > 3, " et al.").otherwise("")).alias("byline"))
-
-
 # -- duplicates ----------------------------------------------------------------------------------------------------------
 
 
@@ -136,25 +101,9 @@ def content_hash_dedup(spark, d):
     return rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("copies"))
 
 
-@register("""
-SELECT doc_id, keep_id, CASE WHEN doc_id = keep_id THEN 'original' ELSE 'duplicate:hash' END AS reason
-FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(coalesce(text, ''))) AS keep_id FROM documents)
-""")
-def dup_matched_to(spark, d):
-    rows = read(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
-    keep = rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"))
-    return rows.join(keep, "digest").select("doc_id", "keep_id", F.when(F.col("doc_id") == F.col("keep_id"), "original").otherwise("duplicate:hash").alias("reason"))
-
-
 # -- index and audit -----------------------------------------------------------------------------------------------------
 
 
-@register("SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id DESC) AS place FROM documents")
-def category_index(spark, d):
-    w = Window.partitionBy("source").orderBy(F.desc("n_chars"), F.desc("doc_id"))
-    return read(spark, d, "documents").select("source", "doc_id", "n_chars", F.row_number().over(w).cast("long").alias("place"))
-
-
 @register("""
 SELECT source, n, row_number() OVER (ORDER BY CASE source WHEN 'src5' THEN 1 WHEN 'src1' THEN 2 WHEN 'src3' THEN 3 ELSE 1000 END, source) AS place
 FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)
@@ -166,61 +115,9 @@ def category_order(spark, d):
     return counts.select("source", "n", F.row_number().over(order).cast("long").alias("place"))
 
 
-@register("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
-def audit_orphans(spark, d):
-    return read(spark, d, "orders").select("o_orderkey").join(read(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti")
-
-
-@register("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
-def audit_unindexed(spark, d):
-    return read(spark, d, "documents").select("doc_id").subtract(read(spark, d, "labels").select("doc_id"))
-
-
-@register("""
-SELECT (SELECT count(*) FROM documents) AS sources, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS unindexed,
-  (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS orphans, (SELECT count(*) FROM documents WHERE coalesce(text, '') = '') AS empty
-""")
-def audit_tiles(spark, d):
-    docs, labels = read(spark, d, "documents").select("doc_id", "text"), read(spark, d, "labels").select(F.col("doc_id").alias("label_id")).distinct()
-    both = docs.join(labels, F.col("doc_id") == F.col("label_id"), "full_outer")
-    count = lambda c: F.count_if(c)
-    return both.agg(count(F.col("doc_id").isNotNull()).alias("sources"), count(F.col("label_id").isNull()).alias("unindexed"), count(F.col("doc_id").isNull()).alias("orphans"), count(F.col("doc_id").isNotNull() & (F.coalesce("text", F.lit("")) == "")).alias("empty"))
-
-
-@register("""
-SELECT d.doc_id, coalesce(CASE WHEN l.quality = 1 THEN 'quality' END, CASE WHEN l.toxic = 1 THEN 'toxic' END, CASE WHEN l.doc_id IS NOT NULL THEN 'plain' END, 'missing') AS sidecar
-FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
-""")
-def sidecar_priority(spark, d):
-    labels = read(spark, d, "labels").withColumn("there", F.lit("plain"))
-    kind = F.coalesce(F.when(F.col("quality") == 1, "quality"), F.when(F.col("toxic") == 1, "toxic"), F.col("there"), F.lit("missing"))
-    return read(spark, d, "documents").select("doc_id").join(labels, "doc_id", "left").select("doc_id", kind.alias("sidecar"))
-
-
 # -- runs, states, ages --------------------------------------------------------------------------------------------------
 
 
-@register("SELECT event_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
-def recent_runs(spark, d):
-    rows = read(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(20)
-    return rows.select("event_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
-
-
-@register("SELECT event_type, count(*) AS runs, round(sum(CAST(round(value, 4) AS DECIMAL(18,4))), 2)::DOUBLE AS cost, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
-def run_rollup(spark, d):
-    cost = F.round(F.sum(F.round("value", 4).cast("decimal(18,4)")), 2).cast("double")
-    return read(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("runs"), cost.alias("cost"), F.countDistinct("user_id").alias("users"))
-
-
-@register("""
-SELECT count(*) FILTER (event_type = 'purchase') AS published, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type NOT IN ('purchase', 'error')) AS other,
-  count(*) AS total, strftime(max(ts), '%Y-%m-%d') AS last_day FROM events
-""")
-def status_tiles(spark, d):
-    t = F.col("event_type")
-    return read(spark, d, "events").agg(F.count_if(t == "purchase").alias("published"), F.count_if(t == "error").alias("failed"), F.count_if(~t.isin("purchase", "error")).alias("other"), F.count(F.lit(1)).alias("total"), F.date_format(F.max("ts"), "yyyy-MM-dd").alias("last_day"))
-
-
 @register(f"""
 SELECT event_id, epoch(TIMESTAMP '{NOW}') - epoch(ts) < 7 * 86400 AND event_type <> 'error' AS fresh, ts >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY AS flagged FROM
 (SELECT event_id, event_type, date_trunc('second', ts) AS ts FROM events)
@@ -231,45 +128,6 @@ def freshness_split(spark, d):
     return read(spark, d, "events").select("event_id", measures.is_fresh(ts, now, 7, F.col("event_type") == "error").alias("fresh"), (ts >= now - F.expr("INTERVAL 7 DAY")).alias("flagged"))
 
 
-@register("""
-WITH old AS (SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY user_id),
-     new AS (SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id FROM events WHERE ts >= TIMESTAMP '2024-01-15' AND event_type <> 'view' GROUP BY user_id)
-SELECT coalesce(o.user_id, n.user_id) AS user_id, coalesce(n.event_id, o.event_id) AS event_id, CASE WHEN o.user_id IS NULL THEN 'added' WHEN n.user_id IS NULL THEN 'kept' ELSE 'updated' END AS change
-FROM old o FULL JOIN new n ON o.user_id = n.user_id
-""")
-def cache_upsert_prune(spark, d):
-    events = read(spark, d, "events")
-    last = lambda rows, name: rows.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias(name))
-    old = last(events.filter("ts < '2024-01-15'"), "old")
-    new = last(events.filter("ts >= '2024-01-15' AND event_type <> 'view'"), "new")
-    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "kept").otherwise("updated")
-    return old.join(new, "user_id", "full_outer").select("user_id", F.coalesce("new", "old").alias("event_id"), change.alias("change"))
-
-
-@register("""
-SELECT count(*) FILTER (event_type = 'purchase') AS added, count(DISTINCT CASE WHEN event_type = 'error' THEN user_id END) AS dismissed,
-  count(*) FILTER (event_type = 'purchase') >= 5 AND count(DISTINCT CASE WHEN event_type = 'error' THEN user_id END) >= 20 AS ready FROM events WHERE ts >= TIMESTAMP '2024-01-15'
-""")
-def labels_since(spark, d):
-    added = F.count_if(F.col("event_type") == "purchase")
-    dismissed = F.countDistinct(F.when(F.col("event_type") == "error", F.col("user_id")))
-    rows = read(spark, d, "events").filter("ts >= '2024-01-15'").agg(added.alias("added"), dismissed.alias("dismissed"))
-    return rows.withColumn("ready", (F.col("added") >= 5) & (F.col("dismissed") >= 20))
-
-
-@register("""
-SELECT o_orderpriority AS task, cadence, age_days, coalesce(age_days > CASE cadence WHEN 'weekly' THEN 7 WHEN 'monthly' THEN 31 WHEN 'quarterly' THEN 92 END, false) AS due FROM (
-  SELECT o_orderpriority, CASE left(o_orderpriority, 1) WHEN '1' THEN 'weekly' WHEN '2' THEN 'monthly' WHEN '3' THEN 'quarterly' ELSE 'event' END AS cadence,
-    CAST(floor((epoch(TIMESTAMP '1998-10-01') - epoch(date_trunc('second', max(o_orderdate)))) / 86400) AS BIGINT) AS age_days FROM orders GROUP BY o_orderpriority)
-""")
-def cadence_due(spark, d):
-    first = F.left(F.col("o_orderpriority"), F.lit(1))
-    cadence = F.when(first == "1", "weekly").when(first == "2", "monthly").when(first == "3", "quarterly").otherwise("event")
-    last = read(spark, d, "orders").groupBy("o_orderpriority").agg(F.max(stamp("o_orderdate")).alias("last"))
-    rows = last.select(F.col("o_orderpriority").alias("task"), cadence.alias("cadence"), measures.days_between(F.col("last"), F.lit("1998-10-01").cast("timestamp")).alias("age_days"))
-    return rows.withColumn("due", measures.is_due(F.col("age_days"), F.col("cadence")))
-
-
 @register("""
 SELECT event_type, severity, CASE severity WHEN 'bad' THEN 0 WHEN 'warn' THEN 1 ELSE 2 END AS rank, n FROM
 (SELECT event_type, CASE WHEN event_type = 'error' THEN 'bad' WHEN event_type IN ('signup', 'view') THEN 'warn' ELSE 'ok' END AS severity, count(*) AS n FROM events GROUP BY 1, 2)
@@ -282,33 +140,6 @@ def severity_sort(spark, d):
     return rows.withColumn("rank", measures.severity_rank(F.col("severity")).cast("int")).orderBy("rank", "event_type")
 
 
-STREAK = """
-SELECT user_id, count(*) FILTER (after_ok AND failed) AS streak, max(CASE WHEN NOT failed THEN event_id END) AS last_ok FROM (
-  SELECT user_id, event_id, failed, NOT EXISTS_OK AS after_ok FROM (
-    SELECT user_id, event_id, event_type = 'error' AS failed,
-      coalesce(max(CASE WHEN event_type <> 'error' THEN 1 END) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) = 1 AS EXISTS_OK FROM events))
-GROUP BY user_id
-"""
-
-
-@register(STREAK)
-def failure_streak(spark, d):
-    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, 0)
-    failed = F.col("event_type") == "error"
-    rows = read(spark, d, "events").select("user_id", "event_id", failed.alias("failed"), F.max(~failed).over(w).alias("ok_since"))
-    return rows.groupBy("user_id").agg(F.count_if(F.col("failed") & ~F.col("ok_since")).alias("streak"), F.max(F.when(~F.col("failed"), F.col("event_id"))).alias("last_ok"))
-
-
-@register("""
-SELECT day, entries, kinds, day = max(day) OVER () AS latest FROM
-(SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS entries, array_to_string(list_sort(list_distinct(list(event_type))), ', ') AS kinds FROM events GROUP BY 1)
-""")
-def changelog_latest(spark, d):
-    rows = read(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("entries"), F.array_join(F.sort_array(F.collect_set("event_type")), ", ").alias("kinds"))
-    last = rows.agg(F.max("day").alias("last"))
-    return rows.crossJoin(F.broadcast(last)).select("day", "entries", "kinds", (F.col("day") == F.col("last")).alias("latest"))  # the other side is one row
-
-
 AGE = "epoch(TIMESTAMP '2024-02-01 00:00:00') - epoch(date_trunc('second', ts))"
 
 
@@ -338,35 +169,16 @@ WITH q AS (SELECT item_id, unnest(list_distinct(string_split(trim(regexp_replace
 SELECT item_id, doc_id, score, runner_up, score >= 0.3 AND round(score - runner_up, 9) >= 0.15 AS accepted FROM r WHERE k = 1
 """)
 def best_match_margin(spark, d):
-    def words(table, key):
-        w = F.explode(F.array_distinct(F.split(text.normalize_title(F.col("text")), " "))).alias("w")
-        return read(spark, d, table).select(key, w)
+    def words(table, key, n):
+        w = F.array_distinct(F.split(text.normalize_title(F.col("text")), " "))
+        return read(spark, d, table).filter("text IS NOT NULL").select(key, w.alias("ws")).select(key, F.size("ws").alias(n), F.explode("ws").alias("w"))
 
-    q, t = words("benchmark", "item_id"), words("documents", "doc_id")
-    qn, tn = q.groupBy("item_id").agg(F.count(F.lit(1)).alias("qn")), t.groupBy("doc_id").agg(F.count(F.lit(1)).alias("tn"))
-    pairs = q.join(t, "w").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("c")).join(qn, "item_id").join(tn, "doc_id")
+    # the number of words goes along with each word, so that pairs need no further joins
+    pairs = words("documents", "doc_id", "tn").join(words("benchmark", "item_id", "qn"), "w").groupBy("item_id", "qn", "doc_id", "tn").agg(F.count(F.lit(1)).alias("c"))
     scored = pairs.select("item_id", "doc_id", F.round(F.col("c") / (F.col("qn") + F.col("tn") - F.col("c")), 6).alias("score"))
     return matching.best_with_margin(scored, ["item_id"], "doc_id", "score", 0.30, 0.15)
 
 
-@register("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
-def volume_contains(spark, d):
-    items = read(spark, d, "benchmark").select("item_id", F.col("text").alias("part"))
-    return read(spark, d, "documents").select("doc_id", "text").join(items, F.col("text").contains(F.col("part"))).select("item_id", "doc_id")
-
-
-@register("""
-SELECT l_orderkey, arg_max(l_linenumber, (score, -l_linenumber)) AS best_line, max(score) AS score FROM (
-  SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'N' THEN 3 WHEN 'A' THEN 2 ELSE 0 END + CASE l_linestatus WHEN 'F' THEN 3 ELSE 1 END + CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END AS score FROM lineitem)
-GROUP BY l_orderkey
-""")
-def location_argmax(spark, d):
-    version = F.when(F.col("l_returnflag") == "N", "publishedVersion").when(F.col("l_returnflag") == "A", "acceptedVersion")
-    kind = F.when(F.col("l_linestatus") == "F", "journal").otherwise("ebook platform")
-    rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", identifiers.location_score(version, kind, F.col("l_discount") > 0.05).alias("score"))
-    return rows.groupBy("l_orderkey").agg(F.max_by("l_linenumber", F.struct("score", -F.col("l_linenumber"))).alias("best_line"), F.max("score").alias("score"))
-
-
 @register("SELECT l_orderkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_suppkey) = 1")
 def unique_match_gate(spark, d):
     return matching.only_match(read(spark, d, "lineitem"), ["l_orderkey"], "l_suppkey")
@@ -375,96 +187,11 @@ def unique_match_gate(spark, d):
 # -- mirrors, retirement, provenance -------------------------------------------------------------------------------------
 
 
-@register("""
-WITH a AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' GROUP BY 1), b AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' GROUP BY 1),
-     j AS (SELECT coalesce(a.o_custkey, b.o_custkey) AS path, CASE WHEN b.o_custkey IS NULL THEN 'deleted' WHEN a.o_custkey IS NULL THEN 'new' WHEN a.n <> b.n THEN 'changed' ELSE 'same' END AS change FROM a FULL JOIN b ON a.o_custkey = b.o_custkey)
-SELECT path, change, change = 'deleted' AND (SELECT count(*) FROM j WHERE change = 'deleted') <= 25 AS remove FROM j
-""")
-def mirror_diff_guard(spark, d):
-    from libraryloom.operators.mirror import mirror_plan
-
-    orders = read(spark, d, "orders")
-    side = lambda cond: orders.filter(cond).groupBy(F.col("o_custkey").alias("path")).agg(F.count(F.lit(1)).alias("hash"))
-    plan = mirror_plan(side("o_orderdate >= '1997-01-01'"), side("o_orderdate < '1997-01-01'"), 25)
-    return plan.select("path", "change", "remove")
-
-
-@register("""
-SELECT p_partkey, CASE WHEN count(l_orderkey) > 0 THEN 'review-citations' ELSE 'no-effect' END AS verdict, count(l_orderkey) AS citations,
-  coalesce(array_to_string(list_sort(list_distinct(list(o_orderpriority) FILTER (o_orderpriority IS NOT NULL))), ', '), '') AS cited_in
-FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_quantity > 45 LEFT JOIN orders ON o_orderkey = l_orderkey
-WHERE p_size > 40 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 1) GROUP BY p_partkey
-""")
-def retirement_triage(spark, d):
-    lines, orders = read(spark, d, "lineitem"), read(spark, d, "orders")
-    cites = lines.filter("l_quantity > 45").join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("l_partkey", "l_orderkey", "o_orderpriority")
-    done = lines.filter("l_quantity = 1").select(F.col("l_partkey").alias("done"))
-    retired = read(spark, d, "part").filter("p_size > 40").select("p_partkey").join(done, F.col("p_partkey") == F.col("done"), "left_anti")
-    rows = retired.join(cites, F.col("p_partkey") == F.col("l_partkey"), "left").groupBy("p_partkey")
-    rows = rows.agg(F.count("l_orderkey").alias("citations"), F.array_join(F.sort_array(F.collect_set("o_orderpriority")), ", ").alias("cited_in"))
-    return rows.select("p_partkey", F.when(F.col("citations") > 0, "review-citations").otherwise("no-effect").alias("verdict"), "citations", "cited_in")
-
-
-@register("SELECT event_id FROM events WHERE event_type || '/' || user_id IN (SELECT CASE WHEN o_orderpriority LIKE '1%' THEN 'error' ELSE 'click' END || '/' || o_custkey FROM orders)")
-def provenance_semi(spark, d):
-    have = read(spark, d, "orders").select(F.concat(F.when(F.col("o_orderpriority").startswith("1"), "error").otherwise("click"), F.lit("/"), F.col("o_custkey").cast("string")).alias("key"))
-    return read(spark, d, "events").withColumn("key", F.concat("event_type", F.lit("/"), F.col("user_id").cast("string"))).join(have, "key", "left_semi").select("event_id")
-
-
-@register("""
-SELECT p_partkey, k AS place, regexp_replace(regexp_replace(lower(words[k]), '[^a-z0-9.]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g') AS slug
-FROM (SELECT p_partkey, words, unnest(range(1, len(words) + 1)) AS k FROM (SELECT p_partkey, string_split(p_name, ' ') AS words FROM part))
-""")
-def manifest_explode(spark, d):
-    rows = read(spark, d, "part").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("k", "word"))
-    return rows.select("p_partkey", (F.col("k") + 1).cast("long").alias("place"), text.kebab(F.col("word")).alias("slug"))
-
-
-@register("""
-SELECT event_id, CASE event_type WHEN 'error' THEN '✗ error' WHEN 'purchase' THEN '✓ done' ELSE '· ' || event_type END || ' (' || coalesce(json_extract_string(props, '$.k'), '?') || ')' AS line FROM events
-""")
-def event_parse(spark, d):
-    t = F.col("event_type")
-    head = F.when(t == "error", "✗ error").when(t == "purchase", "✓ done").otherwise(F.concat(F.lit("· "), t))
-    return read(spark, d, "events").select("event_id", F.concat(head, F.lit(" ("), F.coalesce(F.get_json_object("props", "$.k"), F.lit("?")), F.lit(")")).alias("line"))
-
-
-@register("""
-SELECT c_custkey, array_to_string(list_filter([CASE WHEN c_acctbal < 0 THEN 'balance set to 0' END, CASE WHEN c_mktsegment <> lower(c_mktsegment) THEN 'segment lower-cased' END,
-  CASE WHEN c_nationkey > 20 THEN 'nation mapped' END], lambda x: x IS NOT NULL), '; ') AS notes FROM customer
-""")
-def normalize_notes(spark, d):
-    notes = F.array_compact(F.array(F.when(F.col("c_acctbal") < 0, "balance set to 0"), F.when(F.col("c_mktsegment") != F.lower("c_mktsegment"), "segment lower-cased"), F.when(F.col("c_nationkey") > 20, "nation mapped")))
-    return read(spark, d, "customer").select("c_custkey", F.array_join(notes, "; ").alias("notes"))
-
-
-@register("""
-SELECT o_orderkey, errors, errors = '' AS valid FROM (SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderstatus NOT IN ('O', 'F') THEN 'status ' || o_orderstatus END,
-  CASE WHEN o_totalprice > 400000 THEN 'price' END, CASE WHEN c_custkey IS NULL THEN 'customer' END], lambda x: x IS NOT NULL), '; ') AS errors FROM orders LEFT JOIN customer ON o_custkey = c_custkey)
-""")
-def validate_errors(spark, d):
-    rows = read(spark, d, "orders").join(read(spark, d, "customer").select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"), "left")
-    errors = F.array_compact(F.array(F.when(~F.col("o_orderstatus").isin("O", "F"), F.concat(F.lit("status "), "o_orderstatus")), F.when(F.col("o_totalprice") > 400000, "price"), F.when(F.col("c_custkey").isNull(), "customer")))
-    return rows.select("o_orderkey", F.array_join(errors, "; ").alias("errors")).withColumn("valid", F.col("errors") == "")
-
-
 @register("SELECT doc_id FROM documents WHERE contains(lower(concat_ws(' ', source, lang, text)), 'src3 en')")
 def free_text_search(spark, d):
     return read(spark, d, "documents").filter(text.matches_search(" Src3 EN ", F.col("source"), F.col("lang"), F.col("text"))).select("doc_id")
 
 
-@register("""
-SELECT source, k AS place, CASE WHEN k <= 8 THEN doc_id::VARCHAR ELSE '…and ' || (n - 8) || ' more' END AS line FROM
-(SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS k, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE k <= 9
-""")
-def topn_overflow(spark, d):
-    docs = read(spark, d, "documents").select("source", "doc_id", "n_chars")
-    top = docs.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))).filter("place <= 9")
-    counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    line = F.when(F.col("place") <= 8, F.col("doc_id").cast("string")).otherwise(F.concat(F.lit("…and "), (F.col("n") - 8).cast("string"), F.lit(" more")))
-    return top.join(counts, "source").select("source", F.col("place").cast("long").alias("place"), line.alias("line"))
-
-
 @register("""
 SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000) THEN 0 WHEN c_nationkey BETWEEN 10 AND 20 THEN 1 ELSE 2 END AS priority FROM customer
 """)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from libraryloom.functions.text import snippet, tail
+
 SUMMARY = ".summary.md"
 HIDDEN = "^[._]"
 TEXT_FIELDS = ("title", "source_type", "publication", "date", "url", "preprint_url", "retrieved", "currency_check", "snapshot", "category", "tldr", "source_hash", "status", "superseded_by", "discovered_via")
@@ -106,18 +109,84 @@ def originals(spark: SparkSession, root: str) -> DataFrame:
     note = line_scalar(front_matter(F.col("bytes").cast("string")), "status") == "candidate-for-intake"
     shot = files(spark, root, "*.snapshot.md").filter((F.col("file") == F.concat("slug", F.lit(".snapshot.md"))) & ~F.coalesce(note, F.lit(False)))
     shot = shot.select(own.alias("rel_path"), F.lit(2).alias("rank"), F.sha2("bytes", 256).alias("original_hash"))
-    best = pdf.union(shot).groupBy("rel_path").agg(F.min(F.struct("rank", "original_hash")).alias("b"))
+    return best_original(pdf.union(shot))
+
+
+def best_original(found: DataFrame) -> DataFrame:
+    """rel_path, original_kind and original_hash from rows of rel_path, rank (1: pdf, 2: snapshot) and original_hash."""
+    best = found.groupBy("rel_path").agg(F.min(F.struct("rank", "original_hash")).alias("b"))
     return best.select("rel_path", F.when(F.col("b.rank") == 1, "pdf").otherwise("snapshot").alias("original_kind"), "b.original_hash")
 
 
 RUN = "ts string, input_name string, outcome string, output_paths array<string>, error_excerpt string, cost_usd double, duration_ms bigint"
 
 
-def read_runs(spark: SparkSession, path: str, last: int | None = 20) -> DataFrame:
-    """Runs of a JSON-lines log, newest first; broken lines are left out. ``last``: how many, None for all."""
+#: Characters of an error that a run keeps, and bytes of a log before it is put aside.
+ERROR_TAIL, LOG_BYTES = 2000, 5_242_880
+
+
+def read_runs(spark: SparkSession, path: str, last: int | None = 20, library: str | None = None) -> DataFrame:
+    """Runs of a JSON-lines log with their place from 1, newest first; broken lines are left out. ``last``: how many, None for all.
+
+    A log is appended to, so of runs of one time the later line is the newer; paths are relative to the library where
+    ``library`` names its folder.
+    """
     rows = spark.read.schema(RUN).option("mode", "DROPMALFORMED").json(path)
-    rows = rows.withColumn("_at", F.monotonically_increasing_id()).orderBy(F.desc("_at")).drop("_at")
-    return rows if last is None else rows.limit(last)
+    where = [F.col("_metadata.file_modification_time"), F.col("_metadata.file_path"), F.col("_metadata.file_block_start")]
+    rows = rows.select("*", *[c.alias(f"_{k}") for k, c in enumerate(where)]).withColumn("_at", F.monotonically_increasing_id())
+    rows = rows.orderBy(F.desc_nulls_last("ts"), F.desc("_0"), F.desc("_1"), F.desc("_2"), F.desc("_at"))
+    rows = rows if last is None else rows.limit(last)
+    order = Window.orderBy(F.desc_nulls_last("ts"), F.desc("_0"), F.desc("_1"), F.desc("_2"), F.desc("_at"))  # what is shown, a page
+    rows = rows.withColumn("place", F.row_number().over(order)) if last is not None else rows
+    if library is not None:
+        root = library.rstrip("/") + "/"
+        rows = rows.withColumn("output_paths", F.transform("output_paths", lambda p: F.when(p.startswith(root), F.substring(p, len(root) + 1, 10**6)).otherwise(p)))
+    return rows.drop("_0", "_1", "_2", "_at")
+
+
+def append_runs(runs: DataFrame, path: str) -> None:
+    """Add runs to a log of JSON lines, a folder; an error excerpt keeps its last 2000 characters."""
+    known = [f.split()[0] for f in RUN.split(", ")]
+    runs.withColumn("error_excerpt", tail(F.coalesce("error_excerpt", F.lit("")), ERROR_TAIL)).select(*known).write.mode("append").option("ignoreNullFields", "false").json(path)
+
+
+def rotated(log: DataFrame, most: int = LOG_BYTES) -> DataFrame:
+    """``log`` (name, size, modified: the files of a run log) with archive: whether they go into the one old generation.
+
+    All of them do once their sizes sum to more than ``most``; the generation before is dropped then.
+    """
+    total = log.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("_total"))  # one row
+    return log.crossJoin(F.broadcast(total)).withColumn("archive", F.col("_total") > most).drop("_total")
+
+
+def read_status(spark: SparkSession, path: str) -> DataFrame:
+    """The one row of a status file: outcome, last_run, last_success, failed_steps, detail, consecutive_failures and error.
+
+    A file that can't be read gives a row whose outcome is unreadable and whose error says so.
+    """
+    shape = "outcome string, last_run string, last_success string, failed_steps string, detail string, consecutive_failures long"
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", shape).alias("s"), F.try_parse_json("value").isNull().alias("bad"))
+    return whole.select(F.when(F.col("bad"), "unreadable").otherwise(F.col("s.outcome")).alias("outcome"), *[f"s.{f.split()[0]}" for f in shape.split(", ")[1:]], F.when(F.col("bad"), "unreadable status file").alias("error"))
+
+
+#: The lists of a health report and what names an entry of each.
+HEALTH_LISTS = ("synthesis_drift", "cites_inactive_source", "triage_proposed", "triage_stale", "triage_approved", "unaudited_sources", "currency_check_due", "currency_check_invalid", "sections_overdue")
+
+
+def read_signals(spark: SparkSession, path: str) -> DataFrame:
+    """signal and entry of a health report, JSON with lists of texts or of objects with a file; an unreadable one is an error."""
+    whole = spark.read.text(path, wholetext=True).withColumn("_bad", F.try_parse_json("value").isNull())
+    lists = F.explode(F.array(*[F.struct(F.lit(k).alias("signal"), F.from_json(F.get_json_object("value", f"$.{k}"), "array<string>").alias("e")) for k in HEALTH_LISTS]))
+    rows = whole.filter("NOT _bad").select(lists.alias("x")).select("x.signal", F.explode("x.e").alias("entry"))
+    named = F.coalesce(*[F.get_json_object("entry", f"$.{k}") for k in ("file", "path", "source", "id")], F.col("entry"))
+    error = whole.filter("_bad").select(F.lit("error").alias("signal"), F.lit("unreadable health report").alias("entry"))
+    return rows.select("signal", named.alias("entry")).union(error)
+
+
+def last_line(lines: DataFrame, by: str = "line", value: str = "value") -> DataFrame:
+    """One row: the last line that is not blank, empty if there is none."""
+    text = F.trim(F.coalesce(value, F.lit("")))
+    return lines.agg(F.coalesce(F.max_by(F.when(text != "", F.col(value)), F.when(text != "", F.col(by))), F.lit("")).alias("last"))
 
 
 CHECK = "struct<title:string,preprint_venue:string,preprint_id:string,preprint_url:string,checked_at:string,status:string,confidence:string,match_score:double,publication:string,venue_type:string,version:string,published_url:string,doi:string,published_doi:string,published_title:string,note:string,error:string>"
@@ -151,51 +220,89 @@ def index_links(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit("\\]\\(([^) \\n]+\\.summary\\.md)\\)"), 1))
 
 
+#: What the event view shows for a tool: icon, and text with the names of its arguments in braces, a default
+#: after a colon, ``!`` for the first line alone.
+TOOLS = {
+    "Read": ("📖", "Read {file_path}"),
+    "Edit": ("✏️", "Edit {file_path}"),
+    "Write": ("✏️", "Write {file_path}"),
+    "Bash": ("$", "{!command}"),
+    "Grep": ("🔍", "Grep '{pattern}' in {path:.}"),
+    "Glob": ("🔍", "Glob {pattern}"),
+    "WebFetch": ("🌐", "WebFetch {url}"),
+    "Skill": ("🧰", "Skill: {skill:?}"),
+}
+OTHER_TOOL, TODOS, SAID, ODD_LINE, BEGUN, ENDED, DONE, BROKEN = "🔧", "📋", "💬", "?", "▶", "■", "✅", "❌"
+
+
+def _template(text: str, given: Column) -> Column:
+    """A text of TOOLS with the arguments of a call put in."""
+    out = []
+    for piece in re.split("(\\{[^}]*\\})", text):
+        if not piece.startswith("{"):
+            out.append(F.lit(piece))
+            continue
+        name, _, default = piece.strip("{}").partition(":")
+        value = F.coalesce(given[name.lstrip("!")], F.lit(default))
+        out.append(F.left(F.substring_index(value, "\n", 1), F.lit(200)) if name.startswith("!") else value)
+    return F.concat(*out)
+
+
 def events(lines: DataFrame, value: str = "value") -> DataFrame:
     """line, icon and text of the events of a run log, one row per shown block; unknown lines keep their start.
 
-    ``lines``: line (its number) and the raw text. Tool results and unknown systems are not shown.
+    ``lines``: line (its number) and the raw text. Tool results and unknown systems are not shown; a null line is blank.
+    """
+    raw = F.trim(F.coalesce(value, F.lit("")))
+    field = lambda path: F.get_json_object(raw, path)
+    row = lambda icon, text: F.struct((F.lit(icon) if isinstance(icon, str) else icon).alias("icon"), text.alias("text"))
+    none = F.array().cast("array<struct<icon:string,text:string>>")
+    call = "array<struct<type:string,text:string,name:string,input:map<string,string>>>"
+
+    def used(b: Column) -> Column:
+        given, name = F.coalesce(b["input"], F.create_map().cast("map<string,string>")), F.coalesce(b["name"], F.lit("?"))
+        todos = F.coalesce(F.json_array_length(given["todos"]), F.lit(0)).cast("string")
+        special = {"TodoWrite": row(TODOS, F.concat(F.lit("todos updated ("), todos, F.lit(" items)")))}
+        known = {tool: row(icon, _template(text, given)) for tool, (icon, text) in TOOLS.items()} | special
+        out = row(OTHER_TOOL, F.concat(name, F.lit("("), F.array_join(F.slice(F.map_keys(given), 1, 2), ", "), F.lit(")")))
+        for tool, shown in known.items():
+            out = F.when(name == tool, shown).otherwise(out)
+        return out
+
+    def block(b: Column) -> Column:
+        said = F.trim(F.coalesce(b["text"], F.lit("")))
+        return F.when(b["type"] == "tool_use", used(b)).when((b["type"] == "text") & (said != ""), row(SAID, snippet(said)))
+
+    cost = F.coalesce(F.nullif(field("$.total_cost_usd").cast("double"), F.lit(0.0)), field("$.cost_usd").cast("double"), F.lit(0.0))
+    seconds = F.coalesce(field("$.duration_ms").cast("double"), F.lit(0.0)) / 1000
+    ended = F.concat(F.coalesce(field("$.subtype"), F.lit("")), F.format_string(" (%.1fs, $%.3f)", seconds, cost))
+    told = lambda before, path, other, after="": F.concat(F.lit(before), F.coalesce(field(path), F.lit(other)), F.lit(after))
+    kinds = {
+        "meta/start": F.array(row(BEGUN, told("started: ", "$.input", ""))),
+        "meta/end": F.array(row(ENDED, told("run ended (exit ", "$.exit", "?", ")"))),
+        "system/init": F.array(row(BEGUN, told("session ready (model: ", "$.model", "?", ")"))),
+        "assistant/": F.array_compact(F.transform(F.from_json(field("$.message.content"), call), block)),
+        "result/": F.array(row(F.when(field("$.subtype") == "success", DONE).otherwise(BROKEN), ended)),
+    }
+    kind = field("$.type")
+    detail = F.when(kind == "meta", field("$.kind")).when(kind == "system", field("$.subtype"))
+    key = F.concat(F.coalesce(kind, F.lit("")), F.lit("/"), F.coalesce(detail, F.lit("")))
+    shown = none
+    for name, rows in kinds.items():
+        shown = F.when(key == name, rows).otherwise(shown)
+    shown = F.when(raw == "", none).when(F.try_parse_json(raw).isNull(), F.array(row(ODD_LINE, F.left(raw, F.lit(300))))).otherwise(shown)
+    return lines.select("line", F.explode(shown).alias("e")).select("line", "e.*")
+
+
+def note_url(body: Column) -> Column:
+    """The address to fetch of a plain candidate note, its document's before its page's; NONE for a candidate without one.
+
+    Null for what is no candidate note.
     """
-    whole = F.trim(F.col(value))
-    get = lambda path, c=whole: F.get_json_object(c, path)
-    block = "array<struct<type:string,text:string,name:string,input:map<string,string>>>"
-    pair = lambda icon, words: F.struct(F.lit(icon).alias("icon"), words.alias("text"))
-    cut = lambda c, n: F.when(F.length(c) > n, F.concat(F.left(c, F.lit(n)), F.lit("…"))).otherwise(c)
-
-    def shown(b: Column) -> Column:
-        arg = lambda k, other="": F.coalesce(b["input"][k], F.lit(other))
-        name = F.coalesce(b["name"], F.lit("?"))
-        tool = (
-            F.when(name == "Read", pair("📖", F.concat(F.lit("Read "), arg("file_path"))))
-            .when(name.isin("Edit", "Write"), pair("✏️", F.concat(name, F.lit(" "), arg("file_path"))))
-            .when(name == "Bash", pair("$", F.left(F.substring_index(arg("command"), "\n", 1), F.lit(200))))
-            .when(name == "Grep", pair("🔍", F.concat(F.lit("Grep '"), arg("pattern"), F.lit("' in "), arg("path", "."))))
-            .when(name == "Glob", pair("🔍", F.concat(F.lit("Glob "), arg("pattern"))))
-            .when(name == "TodoWrite", pair("📋", F.concat(F.lit("todos updated ("), F.coalesce(F.json_array_length(b["input"]["todos"]), F.lit(0)).cast("string"), F.lit(" items)"))))
-            .when(name == "WebFetch", pair("🌐", F.concat(F.lit("WebFetch "), arg("url"))))
-            .when(name == "Skill", pair("🧰", F.concat(F.lit("Skill: "), arg("skill", "?"))))
-            .otherwise(pair("🔧", F.concat(name, F.lit("("), F.array_join(F.slice(F.map_keys(F.coalesce(b["input"], F.create_map().cast("map<string,string>"))), 1, 2), ", "), F.lit(")"))))
-        )
-        words = F.trim(F.coalesce(b["text"], F.lit("")))
-        return F.when(b["type"] == "tool_use", tool).when((b["type"] == "text") & (words != ""), pair("💬", cut(words, 300)))
-
-    one = lambda c: F.array(c)
-    kind, sub = get("$.type"), get("$.subtype")
-    cost = F.coalesce(F.nullif(get("$.total_cost_usd").cast("double"), F.lit(0.0)), get("$.cost_usd").cast("double"), F.lit(0.0))
-    seconds = F.coalesce(get("$.duration_ms").cast("double"), F.lit(0.0)) / 1000
-    summary = F.concat(F.coalesce(sub, F.lit("")), F.format_string(" (%.1fs, $%.3f)", seconds, cost))
-    blocks = F.array_compact(F.transform(F.from_json(get("$.message.content"), block), shown))
-    is_json = F.try_parse_json(whole).isNotNull()
-    rows = (
-        F.when(whole == "", F.array().cast("array<struct<icon:string,text:string>>"))
-        .when(~is_json, one(pair("?", F.left(whole, F.lit(300)))))
-        .when((kind == "meta") & (get("$.kind") == "start"), one(pair("▶", F.concat(F.lit("started: "), F.coalesce(get("$.input"), F.lit(""))))))
-        .when((kind == "meta") & (get("$.kind") == "end"), one(pair("■", F.concat(F.lit("run ended (exit "), F.coalesce(get("$.exit"), F.lit("?")), F.lit(")")))))
-        .when((kind == "system") & (sub == "init"), one(pair("▶", F.concat(F.lit("session ready (model: "), F.coalesce(get("$.model"), F.lit("?")), F.lit(")")))))
-        .when(kind == "assistant", blocks)
-        .when(kind == "result", one(F.struct(F.when(sub == "success", "✅").otherwise("❌").alias("icon"), summary.alias("text"))))
-    )
-    return lines.select("line", F.explode(rows).alias("e")).select("line", "e.*")
+    block = front_matter(body)
+    bare = lambda k: F.regexp_replace(F.coalesce(line_scalar(block, k), F.lit("")), "^[\"']|[\"']$", "")
+    url = F.coalesce(F.nullif(bare("pdf_url"), F.lit("")), bare("url"))
+    return F.when(bare("status") == "candidate-for-intake", F.when(url.rlike("^https?://"), url).otherwise("NONE"))
 
 
 def candidate_targets(notes: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from libraryloom.functions.urls import canonical_url, first_url
 
 SETTLE_SECONDS = 5
 FILES = "path string, modificationTime timestamp, length long, content binary"
+PENDING = "name string, path string, modified timestamp, hash string, key string"
 CLAIMED = "hash string, key string, name string, outcome string, matched string"
 
 
@@ -43,38 +44,42 @@ def decide_batch(batch: DataFrame, claimed: DataFrame) -> DataFrame:
 def drain(spark: SparkSession, folder: str, state: str, checkpoint: str, now: str | None = None) -> int:
     """Take in everything that waits and stop; returns the number of batches that had files.
 
-    Decisions are written to ``state`` under the batch's number, so a batch that runs again after a failure replaces its
-    own rows. Files younger than SETTLE_SECONDS at ``now`` wait in a pending table, as a stream offers a file only once.
+    Decisions are written to ``state`` under twice the batch's number, so a batch that runs again after a failure replaces
+    its own rows. Files younger than SETTLE_SECONDS at ``now`` wait in a pending table, as a stream offers a file only
+    once; every later call takes those that have settled, with the next batch or, where none comes, under an odd number.
     """
     batches = 0
+    settled = F.lit(True) if now is None else F.col("modified") <= F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {SETTLE_SECONDS} SECONDS")
 
     def one(batch: DataFrame, number: int) -> None:
         nonlocal batches
         batches += 1
-        before = claimed(spark, state).filter(F.col("batch") < number)
-        rows = described(batch)
-        waiting = pending(spark, state, number - 1)
-        rows = rows.unionByName(waiting) if waiting is not None else rows
-        settled = F.lit(True) if now is None else F.col("modified") <= F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {SETTLE_SECONDS} SECONDS")
-        rows.filter(~settled).write.mode("overwrite").parquet(f"{state}/pending/batch={number}")
-        decide_batch(rows.filter(settled), before).write.mode("overwrite").parquet(f"{state}/claimed/batch={number}")
+        at = 2 * number
+        rows = described(batch).unionByName(waiting(spark, state, at - 2))
+        rows.filter(~settled).write.mode("overwrite").parquet(f"{state}/pending/batch={at}")
+        decide_batch(rows.filter(settled), claimed(spark, state).filter(F.col("batch") < at)).write.mode("overwrite").parquet(f"{state}/claimed/batch={at}")
 
     query = inbox(spark, folder).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(one).start()
     query.awaitTermination()
+    last = _table(spark, f"{state}/pending", PENDING).agg(F.max("batch")).first()[0]
+    if last is not None:  # what has settled by now, this call's or an earlier one's; the rows of an earlier call come again
+        rows = _table(spark, f"{state}/pending", PENDING).filter(F.col("batch") == last).drop("batch").filter(settled)
+        decide_batch(rows, claimed(spark, state).filter(F.col("batch") <= last)).write.mode("overwrite").parquet(f"{state}/claimed/batch={last + 1}")
     return batches
 
 
+def waiting(spark: SparkSession, state: str, at: int) -> DataFrame:
+    """The files that were not settled in batch ``at`` and that no later call has taken."""
+    rows = _table(spark, f"{state}/pending", PENDING).filter(F.col("batch") == at).drop("batch")
+    taken = claimed(spark, state).filter(F.col("batch") == at + 1).select("name", "hash")
+    return rows.join(taken, ["name", "hash"], "left_anti").select(*[f.split()[0] for f in PENDING.split(", ")])
+
+
 def claimed(spark: SparkSession, state: str) -> DataFrame:
     """All decisions so far, with the number of their batch."""
     return _table(spark, f"{state}/claimed", CLAIMED)
 
 
-def pending(spark: SparkSession, state: str, number: int) -> DataFrame | None:
-    """Files that were not settled in a batch."""
-    rows = _table(spark, f"{state}/pending", "name string, path string, modified timestamp, hash string, key string")
-    return rows.filter(F.col("batch") == number).drop("batch") if number >= 0 else None
-
-
 def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):

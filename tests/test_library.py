@@ -1,16 +1,21 @@
 """The library's operators on a small invented tree."""
 
 import datetime
+import difflib
 import json
+import os
+import random
+import re
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from libraryloom.functions import identifiers, measures, names, similarity, text, urls
+from libraryloom.functions import front, identifiers, measures, names, similarity, text, urls
 from libraryloom.operators import intake, lifecycle, matching, mirror, preprints, records
+from libraryloom.sources import listings, versions
 from libraryloom.sources import records as source
-from libraryloom.streaming import inbox
+from libraryloom.streaming import inbox, tail
 
 DAY = "2024-06-01"
 
@@ -197,7 +202,7 @@ def test_sources(spark, tmp_path):
 
 @pytest.mark.parametrize(
     "given, want",
-    [(" HTTP://Ex.ORG/A/?b=1&utm_x=2&&a=3#f ", "http://ex.org/A?b=1&a=3"), ("mailto:X@y", "mailto:X@y"), ("https://e.org", "https://e.org"), ("https://e.org/?fbclid=1", "https://e.org"), ("https://e.org/a//?", "https://e.org/a")],
+    [(" HTTP://Ex.ORG/A/?b=1&utm_x=2&&a=3#f ", "http://ex.org/A?b=1&a=3"), ("mailto:X@y", "mailto:X@y"), ("https://e.org", "https://e.org"), ("https://e.org/?fbclid=1", "https://e.org"), ("https://e.org/a//?", "https://e.org/a"), ("https://e.org/a?x=1&UTM_Source=y&FBclid=2", "https://e.org/a?x=1")],
 )
 def test_canonical_url(spark, given, want):
     assert value(spark, urls.canonical_url(F.lit(given))) == want
@@ -244,3 +249,171 @@ def test_provenance_and_promoted_urls(spark, library):
     assert intake.produced_since(library, "2000-01-01").count() == 5 and intake.produced_since(library, "2999-01-01").count() == 0
     moved = intake.outcome_names(spark.createDataFrame([("a.b.pdf",), ("a.b.pdf",), ("new",)], "name string"), spark.createDataFrame([("a.b.pdf",)], "name string"))
     assert sorted(r.target for r in moved.collect()) == ["a.b.1.pdf", "a.b.2.pdf", "new"]
+
+
+def test_outcome_names_never_meet(spark):
+    one = intake.outcome_names(spark.createDataFrame([("a.txt",)], "name string"), spark.createDataFrame([("a.txt",), ("a.1.txt",)], "name string"))
+    assert [r.target for r in one.collect()] == ["a.2.txt"]
+    rng = random.Random(3)
+    names_ = ["a.txt", "a.1.txt", "a.2.txt", "a.1.1.txt", "a", "a.1", "b.md", "b.10.md", ".x", "a.01.txt", "a.3"]
+    for _ in range(6):
+        moved, taken = [rng.choice(names_) for _ in range(25)], rng.sample(names_, 5)
+        out = intake.outcome_names(spark.createDataFrame([(n,) for n in moved], "name string"), spark.createDataFrame([(n,) for n in taken], "name string")).collect()
+        targets = [r.target for r in out]
+        assert sorted(r.name for r in out) == sorted(moved) and len(set(targets)) == len(targets) and not set(targets) & set(taken)
+        assert all(r.target == r.name or re.fullmatch(re.escape(re.match(r"^(.*?)(\.[^.]*)?$", r.name)[1]) + r"\.[1-9][0-9]*" + re.escape(re.match(r"^(.*?)(\.[^.]*)?$", r.name)[2] or ""), r.target) for r in out)
+        assert {n for n in moved if n not in taken} <= set(targets)
+
+
+def plain_fuzzy(f, r):
+    """The score of a file (stem, meta, page) and a record (slug, title, url), written out."""
+    norm = lambda x: re.sub("[^a-z0-9]+", " ", (x or "").lower()).strip()
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    name, meta, page, slug, title = norm(f[0]), norm(f[1]), norm(f[2]), norm(r[0]), norm(r[1])
+    m = re.search("arxiv\\.org/abs/([0-9.]+)", r[2] or "")
+    if m and m[1] in f[0]:
+        return 0.95
+    best = 0.0
+    for x in (slug, title):
+        if x:
+            best = max(best, ratio(name, x))
+            if name and (x in name or name in x):
+                best = max(best, 0.85)
+    if meta and title:
+        best = max(best, ratio(meta, title), 0.9 if meta in title or title in meta else 0)
+    if page and title and title in page:
+        best = max(best, 0.9)
+    year = re.search("\\b(?:19|20)[0-9]{2}\\b", slug)
+    return min(1.0, best + (0.1 if year and year[0] in name else 0))
+
+
+@pytest.mark.parametrize("few", [2000, 3])
+def test_fuzzy_backfill_by_hand(spark, few, monkeypatch):
+    monkeypatch.setattr(matching.every_pair, "__defaults__", (few,))
+    rng = random.Random(9)
+    words = "moon tide rock river stone small deep old lake shape".split()
+    title = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(2, 6)))
+    records_ = [(f"c/r{k}/r{k}.summary.md", rng.choice([title().replace(" ", "-") + "-2019", f"r{k}"]), title(), f"https://arxiv.org/abs/2401.{k:05}" if k % 3 == 0 else "") for k in range(25)]
+    files_ = [(f"f{k}.pdf", rng.choice([title(), "2401.00003 copy", records_[k % 25][2] + " 2019", "x"]), rng.choice(["", title()]), rng.choice(["", "front " + title()])) for k in range(30)]
+    lib = spark.createDataFrame([(p, s, t, u, None, None, None) for p, s, t, u in records_], "rel_path string, slug string, title string, url string, preprint_url string, source_hash string, original_kind string")
+    inputs = spark.createDataFrame([(n, "", "", a, b, c) for n, a, b, c in files_], "name string, hash string, url string, stem string, meta_title string, first_page string")
+    got = {r.name: r.rel_path for r in intake.decide(inputs, lib).collect()}
+    want = {}
+    for n, *f in files_:
+        ranked = sorted(((-plain_fuzzy(f, r[1:]), r[0]) for r in records_))
+        first, second = -ranked[0][0], -ranked[1][0]
+        want[n] = ranked[0][1] if first >= 0.7 and round(first - second, 9) >= 0.15 else None
+    assert got == want and sum(x is not None for x in got.values()) > 3
+
+
+@pytest.mark.parametrize("few", [2000, 4])
+def test_containing_by_hand(spark, few, monkeypatch):
+    monkeypatch.setattr(matching.every_pair, "__defaults__", (few,))
+    rng = random.Random(5)
+    text_ = lambda n: " ".join(rng.choice("ab bc cd de ef a b".split()) for _ in range(n))
+    wholes = [(k, text_(rng.randrange(0, 30))) for k in range(40)] + [(40, None), (41, "")]
+    parts = [(k, rng.choice(wholes[:40])[1][rng.randrange(9) :][: rng.randrange(25)]) for k in range(40)] + [(40, None), (41, ""), (42, "b c d"), (43, "ab  bc cd")]
+    got = matching.containing(spark.createDataFrame(parts, "part_id int, part string"), spark.createDataFrame(wholes, "whole_id int, whole string")).collect()
+    want = {(i, j) for i, p in parts for j, w in wholes if p is not None and w is not None and p in w}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_similarity_by_hand(spark):
+    rng = random.Random(1)
+    pairs = [("".join(rng.choice("abc ") for _ in range(rng.randrange(12))), "".join(rng.choice("abc ") for _ in range(rng.randrange(12)))) for _ in range(200)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    limit = similarity.ratio_limit(a, b, similarity.letter_counts(a), similarity.letter_counts(b))
+    for r in df.select("a", "b", similarity.similarity(a, b).alias("s"), similarity.ratio_bound(a, b).alias("bound"), limit.alias("limit")).collect():
+        assert r.s == difflib.SequenceMatcher(None, r.a, r.b).ratio() <= r.limit + 1e-12 and r.limit <= r.bound + 1e-12
+
+
+def test_front_matter_writers(spark):
+    body = "---\ntitle: T\nurl: https://arxiv.org/abs/1\ntldr: x $1 \\\\ y\nsuperseded_by:\nauthors: []\n---\nsource_hash: in the text\nurl: z\n"
+    at = lambda c: value(spark, c)
+    b = F.lit(body)
+    hashed = at(front.with_hash(b, F.lit("h1")))
+    assert hashed == body.replace("y\nsuper", 'y\nsource_hash: "h1"\nsuper', 1)
+    assert at(front.with_hash(F.lit(hashed), F.lit("h2"))) == hashed and at(front.with_hash(F.lit(hashed), F.lit("h2"), True)) == hashed.replace('"h1"', '"h2"')
+    assert at(front.with_origin(b, F.lit('digest:"item/7'))) == body.replace("superseded_by:\n", 'superseded_by:\ndiscovered_via: "digest:item/7"\n', 1)
+    assert at(front.with_urls(b, F.lit("https://doi.org/1"), F.lit("https://arxiv.org/abs/1"))) == body.replace("url: https://arxiv.org/abs/1\n", 'url: "https://doi.org/1"\npreprint_url: "https://arxiv.org/abs/1"\n', 1)
+    assert at(front.with_urls(b, F.lit(""), F.lit("https://arxiv.org/abs/1/"))) == body
+    assert at(front.with_author(b, F.lit("OECD"))) == body.replace("authors: []\n", 'authors:\n  - "OECD"\n', 1)
+    listed = body.replace("authors: []", "authors:\n  - Ann")
+    assert at(front.with_author(F.lit(listed), F.lit("OECD"))) == listed
+    assert at(front.with_hash(F.lit("no block"), F.lit("h"))) == "no block" and at(front.has(b, "source_hash")) is False
+
+
+def test_versions_and_logs(spark, tmp_path):
+    root = str(tmp_path / "cache")
+    assert versions.current(spark, root) is None
+    for n in (1, 2, 3):
+        versions.publish(spark.range(n), root)
+        assert versions.current(spark, root).count() == n
+    (tmp_path / "cache" / "current").unlink()  # a switch cut short
+    assert versions.current(spark, root).count() == 2
+    log = str(tmp_path / "runs")
+    run = lambda ts, name, error=None: spark.createDataFrame([(ts, name, "success", ["/lib/a/b", "/else"], error, 0.5, 3)], source.RUN)
+    source.append_runs(run("2024-01-01", "a", "x" * 2500), log)
+    source.append_runs(run("2024-01-02", "b").union(run("2024-01-02", "c")).coalesce(1), log)
+    rows = source.read_runs(spark, log, 20, "/lib").collect()
+    assert [(r.place, r.input_name) for r in rows] == [(1, "c"), (2, "b"), (3, "a")] and rows[0].output_paths == ["a/b", "/else"] and len(rows[2].error_excerpt) == 2000
+    files_ = spark.createDataFrame([("a", 3), ("b", 4)], "name string, size long")
+    assert [r.archive for r in source.rotated(files_, 6).collect()] == [True, True] and [r.archive for r in source.rotated(files_, 7).collect()] == [False, False]
+    none = spark.createDataFrame([], "x int")
+    s = listings.status_payload(source.read_runs(spark, log), none, spark.createDataFrame([], "in_flight boolean"), none, none).first()
+    assert (s.recent_cost, s.runs, s.inbox) == (1.5, 3, 0)
+
+
+def test_status_and_health_files(spark, tmp_path):
+    (tmp_path / "s.json").write_text(json.dumps({"outcome": "ok", "last_success": "2024-06-01T00:00:00Z", "consecutive_failures": 0}, indent=1))
+    (tmp_path / "bad.json").write_text("{")
+    r = lifecycle.backup_age(source.read_status(spark, str(tmp_path / "s.json")), "2024-06-02T12:05:59").first()
+    assert (r.outcome, r.age_hours, r.stale, r.error) == ("ok", 36.1, True, None)
+    r = lifecycle.backup_age(source.read_status(spark, str(tmp_path / "bad.json")), "2024-06-02").first()
+    assert (r.outcome, r.age_hours, r.stale, r.error) == ("unreadable", None, True, "unreadable status file")
+    (tmp_path / "h.json").write_text(json.dumps({"synthesis_drift": [{"file": "derived/a.md"}], "triage_stale": ["t1"], "unaudited_sources": [], "other": 3}))
+    assert {tuple(x) for x in source.read_signals(spark, str(tmp_path / "h.json")).collect()} == {("synthesis_drift", "derived/a.md"), ("triage_stale", "t1")}
+    assert [tuple(x) for x in source.read_signals(spark, str(tmp_path / "bad.json")).collect()] == [("error", "unreadable health report")]
+
+
+def test_lone_candidates(spark):
+    items = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(v).alias("v")) for n, v in (("a", 1), ("b", 3), ("c", 3))])
+    best = value(spark, matching.stable_argmax(items, lambda x: x["v"]))
+    assert best.score == 3 and best["item"].name == "b"
+    assert [r.name for r in lifecycle.expired(spark.createDataFrame([(f"r{k:03}",) for k in range(53)], "name string")).orderBy("name").collect()] == ["r000", "r001", "r002"]
+
+
+def test_stream_takes_what_has_settled(spark, tmp_path):
+    folder, state, check = tmp_path / "in", str(tmp_path / "state"), str(tmp_path / "check")
+    folder.mkdir()
+    put = lambda name, content, at: ((folder / name).write_bytes(content), os.utime(folder / name, (at, at)))
+    day = 1_700_000_000
+    clock = lambda s: datetime.datetime.fromtimestamp(day + s, datetime.UTC).strftime("%Y-%m-%d %H:%M:%S")
+    names_ = lambda: sorted((r.name, r.outcome) for r in inbox.claimed(spark, state).collect())
+    put("old.pdf", b"one", day - 100)
+    put("young.pdf", b"two", day - 1)
+    assert inbox.drain(spark, str(folder), state, check, clock(0)) == 1 and names_() == [("old.pdf", "new")]
+    assert inbox.drain(spark, str(folder), state, check, clock(2)) == 0 and names_() == [("old.pdf", "new")]
+    for _ in range(2):  # no new file comes, and what has settled is taken once
+        assert inbox.drain(spark, str(folder), state, check, clock(3600)) == 0
+        assert names_() == [("old.pdf", "new"), ("young.pdf", "new")]
+    put("copy.pdf", b"two", day + 3600)
+    put("late.pdf", b"three", day + 7199)
+    assert inbox.drain(spark, str(folder), state, check, clock(7200)) == 1
+    assert names_() == [("copy.pdf", "duplicate"), ("old.pdf", "new"), ("young.pdf", "new")]
+    assert inbox.drain(spark, str(folder), state, check, clock(9000)) == 0
+    assert names_() == [("copy.pdf", "duplicate"), ("late.pdf", "new"), ("old.pdf", "new"), ("young.pdf", "new")]
+
+
+def test_log_tail(spark, tmp_path):
+    folder, state, check = tmp_path / "log", str(tmp_path / "state"), str(tmp_path / "check")
+    folder.mkdir()
+    (folder / "1.log").write_text('{"type": "meta", "kind": "start", "input": "a"}\none\n\ntwo\n')
+    tail.drain_log(spark, str(folder), state, check, 3)
+    assert [r.text for r in tail.served(spark, state).collect()] == ["started: a", "one", "two"]
+    (folder / "2.log").write_text("three\nfour\n")
+    tail.drain_log(spark, str(folder), state, check, 3)
+    assert [(r.seq, r.text) for r in tail.served(spark, state).collect()] == [(3, "two"), (4, "three"), (5, "four")]
+    tail.drain_log(spark, str(folder), state, check, 3)
+    assert [r.text for r in tail.served(spark, state, 2).collect()] == ["three", "four"]

@@ -6,7 +6,8 @@ import os
 import duckdb
 import pytest
 
-from libraryloom.plans.table_queries import ORACLE_SQL, QUERIES
+from libraryloom.plans import library_queries, table_queries
+from libraryloom.plans.register import ORACLE_SQL, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -18,8 +19,9 @@ def duck(sf):
     return c
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query(name, spark, sf, duck):
+    assert QUERIES[name].__module__ in (library_queries.__name__, table_queries.__name__)
     ours, theirs = QUERIES[name](spark, sf).toPandas(), duck.sql(ORACLE_SQL[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     columns = sorted(ours.columns)
