@@ -32,12 +32,30 @@ def two_hashes(block: Column) -> list[Column]:
     return [F.xxhash64(block), F.xxhash64(F.lit(7), block)]
 
 
-def _blocks(docs: DataFrame, size: int, digest) -> DataFrame:
-    whole = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_d"), normalised(F.col("text")).alias("_t"))
-    whole = whole.select("_d", F.sha2("_t", 256).alias("_s"), F.encode("_t", "UTF-8").alias("_t"))
+def _cuts(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, _d, _chars (of the original), _s (SHA-256 of the normalised text), _n and _cuts: its blocks."""
+    chars = F.length(F.coalesce("text", F.lit(""))).alias("_chars")
+    whole = docs.select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("_d"), chars, normalised(F.col("text")).alias("_t"))
+    whole = whole.select("doc_id", "_d", "_chars", F.sha2("_t", 256).alias("_s"), F.encode("_t", "UTF-8").alias("_t"))
     n = F.greatest(F.lit(1), F.ceil(F.length("_t") / size)).cast("int")
     cuts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("_t"), i * size + 1, F.lit(size)))
-    rows = whole.select("_d", "_s", n.alias("_n"), F.posexplode(cuts).alias("_i", "_block"))
+    return whole.select("doc_id", "_d", "_chars", "_s", n.alias("_n"), cuts.alias("_cuts"))
+
+
+def _digested(docs: DataFrame, size: int, digest) -> DataFrame:
+    """The rows of ``_cuts`` with the digests of the blocks, _hashes, in place of their contents."""
+
+    def both(block: Column) -> Column:
+        h1, h2 = digest(block)
+        return F.struct(h1.alias("_h1"), h2.alias("_h2"))
+
+    rows = _cuts(docs, size)
+    return rows.select("doc_id", "_d", "_chars", "_s", "_n", F.transform("_cuts", both).alias("_hashes"))
+
+
+def _contents(docs: DataFrame, size: int, digest) -> DataFrame:
+    """A row of _h1, _h2 and _block, with document and place, for each block."""
+    rows = _cuts(docs, size).select("_d", "_s", "_n", F.posexplode("_cuts").alias("_i", "_block"))
     h1, h2 = digest(F.col("_block"))
     return rows.select("_d", "_s", "_n", "_i", h1.alias("_h1"), h2.alias("_h2"), "_block")
 
@@ -47,20 +65,21 @@ def _named(distinct: DataFrame, *by: str) -> Column:
     return distinct.sortWithinPartitions(*by).withColumn("_name", F.monotonically_increasing_id())
 
 
-def identities(docs: DataFrame, size: int = BLOCK_BYTES, digest=two_hashes) -> DataFrame:
+def identities(docs: DataFrame, digested: DataFrame, size: int = BLOCK_BYTES, digest=two_hashes) -> DataFrame:
     """(_d, _s, _level, _name) for each distinct pair of document id and text digest.
 
-    ``_s``, the text's SHA-256, only tells apart rows that repeat a doc_id. ``digest`` only brings equal blocks
-    together: where different blocks meet under one digest, they are named by their content.
+    ``digested``: the written rows of ``_digested``, so that texts are read once more only, to name their blocks. ``_s``,
+    the text's SHA-256, only tells apart rows that repeat a doc_id. ``digest`` only brings equal blocks together: where
+    different blocks meet under one digest, they are named by their content.
     """
-    blocks = _blocks(docs, size, digest)
-    found = blocks.groupBy("_h1", "_h2").agg(F.min("_block").alias("_low"), F.max("_block").alias("_high"))
+    found = _contents(docs, size, digest).groupBy("_h1", "_h2").agg(F.min("_block").alias("_low"), F.max("_block").alias("_high"))
     names = cut(_named(found, "_low").select("_h1", "_h2", "_name", (F.col("_low") != F.col("_high")).alias("_clash")), "names")
     clash = names.filter("_clash").select("_h1", "_h2")
     keys = ["_d", "_s", "_n", "_i"]
-    level = blocks.drop("_block").join(names.filter("NOT _clash"), ["_h1", "_h2"]).select(*keys, "_name")
+    blocks = digested.select("_d", "_s", "_n", F.posexplode("_hashes").alias("_i", "x")).select(*keys, "x._h1", "x._h2")
+    level = blocks.join(names.filter("NOT _clash"), ["_h1", "_h2"]).select(*keys, "_name")
     if not clash.isEmpty():
-        met = blocks.join(clash, ["_h1", "_h2"])
+        met = _contents(docs, size, digest).join(clash, ["_h1", "_h2"])
         apart = cut(_named(met.select("_block").distinct(), "_block"), "names")
         level = level.union(met.join(apart, "_block").select(*keys, -1 - F.col("_name")))
     level = cut(level, "level")
@@ -86,11 +105,13 @@ def exact_dedup(docs: DataFrame, size: int = BLOCK_BYTES, digest=two_hashes) ->
     """One row per document: doc_id, keep_id, group_size, kept and text_sha256.
 
     Of equal texts the row with the most code points in the original, then the smallest doc_id, stays; exactly one row
-    of a group is kept, also where whole rows repeat. A null text is an empty one; a null doc_id sorts before every id.
+    of a group is kept, also where whole rows repeat. A null text is an empty one; a null doc_id sorts before every id;
+    texts of any length are cut into blocks whole. An empty table gives an empty result.
     """
-    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("_d"), F.length(F.coalesce("text", F.lit(""))).alias("_chars"), F.sha2(normalised(F.col("text")), 256).alias("_s"))
+    digested = cut(_digested(docs, size, digest), "digests")
     again = Window.partitionBy("_d", "_s").orderBy(F.desc("_chars"))
-    rows = cut(rows.withColumn("_again", F.row_number().over(again)).join(identities(docs, size, digest), ["_d", "_s"]), "rows")
+    rows = digested.select("doc_id", "_d", "_chars", "_s").withColumn("_again", F.row_number().over(again))
+    rows = cut(rows.join(identities(docs, digested, size, digest), ["_d", "_s"]), "rows")
     groups = rows.groupBy("_level", "_name").agg(F.min(F.struct(-F.col("_chars"), F.col("_d"))).alias("_best"), F.count(F.lit(1)).alias("group_size"))
     groups = cut(groups.select("_level", "_name", "group_size", F.col("_best._d").alias("_keep")), "groups")  # so that the join below may split a large group
     keep = F.when(F.col("_keep") != NULL_ID, F.col("_keep"))
