@@ -118,7 +118,11 @@ def cosine_hash(image: np.ndarray) -> str:
 
 
 def to_media(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media): each text's UTF-8 bytes (null: none), zero-padded to a positive multiple of 64, as a PNG."""
+    """(doc_id, n_bytes, media): each text's UTF-8 bytes (null: none), zero-padded to a positive multiple of 64, as a PNG.
+
+    Texts of any length are stored whole, equal ones alike; nulls in doc_id and repeated rows are handed on, other columns
+    are left out, and an empty table gives an empty result.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

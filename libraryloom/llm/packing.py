@@ -215,6 +215,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, Plan]:
 def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY) -> DataFrame:
     """Tokenise and pack ``docs``: one row per piece with its sequence and its place there, gapless from 0.
 
-    Null ids are kept as null; null texts count as empty; every document has a piece, as it ends in id 0.
+    Null ids are kept as null; null texts count as empty; every document has a piece, as it ends in id 0; texts of any
+    length are cut into pieces. Pieces of equal length are interchangeable, so ties go by hash bucket, id and piece, and
+    repeated rows each have a place. Other columns are left out; an empty table gives an empty result.
     """
     return pack(cut(pieces(spark, docs, tokenizer_json, capacity), "pieces"), capacity)[0]

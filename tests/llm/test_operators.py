@@ -242,6 +242,16 @@ def exact_brute(rows):
     return sorted(out)
 
 
+def test_empty_tables(spark):
+    docs, pages = docs_of(spark, []), spark.createDataFrame([], "page_id long, url string, html string")
+    labels = spark.createDataFrame([(1, 0, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    for found in (
+        media.describe_media(media.to_media(docs)), html_text.extract_pages(spark, pages), bpe.roundtrip_digests(spark, docs, tokenizer_file()), packing.pack_documents(spark, docs, tokenizer_file()),
+        quality.score_documents(spark, docs, labels), toxicity.score_documents(spark, docs, labels.limit(0)), warc.archive_roundtrip(spark, pages), suffix_dedup.repeat_report(docs), near_dedup.near_groups(docs), exact_dedup.exact_dedup(docs),
+    ):
+        assert found.collect() == []
+
+
 @pytest.mark.parametrize("size, weak", [(4096, False), (16, False), (16, True)])
 def test_exact_dedup(spark, mixed, size, weak):
     from pyspark.sql import functions as F
@@ -354,6 +364,30 @@ def test_media_query(spark, mixed):
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in rows) == sorted(want)
 
 
+@pytest.mark.parametrize("height", [1, 2, 5, 31, 32, 33, 100])
+def test_cosine_hash_by_hand(height):
+    """Block means, cosine sums and the median, each written out."""
+    rng = random.Random(height)
+    image = [[rng.randrange(256) for _ in range(64)] for _ in range(height)]
+
+    def mean(rows, columns):
+        cells = [image[y][x] for y in rows for x in columns]
+        return sum(cells) / len(cells)
+
+    def span(k, n):
+        first, end = k * n // 32, (k + 1) * n // 32
+        return range(min(first, n - 1), max(end, min(first, n - 1) + 1))
+
+    small = [[mean(span(y, height), span(x, 64)) for x in range(32)] for y in range(32)]
+    wave = lambda k, x: math.cos(math.pi / 32 * (x + 0.5) * k)
+    low = [round(sum(small[y][x] * wave(u, y) * wave(v, x) for y in range(32) for x in range(32)), 6) for u in range(8) for v in range(8)]
+    middle = sorted(low[1:])[31]
+    bits = "".join("1" if c > middle else "0" for c in low)
+    got = bin(int(media.cosine_hash(np.array(image, dtype=np.uint8)), 16))[2:].zfill(64)
+    unsure = {k for k, c in enumerate(low) if abs(c - middle) < 1e-4}
+    assert all(a == b or k in unsure for k, (a, b) in enumerate(zip(got, bits, strict=True))) and (height < 5 or len(unsure) < 12)
+
+
 def test_cosine_hash_is_of_low_frequencies():
     rng = np.random.default_rng(5)
     image = np.cumsum(rng.normal(0, 20, (64, 64)), axis=0) % 256

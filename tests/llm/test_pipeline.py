@@ -31,3 +31,54 @@ def test_stages(spark, tmp_path):
     assert passage[:200] in text[400] and passage[100:200] not in text[401] and text[3] == clean[3]
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted({-1 if r.doc_id is None else r.doc_id for r in packed}) == kept[3]
+
+
+def test_run_by_hand(spark, tmp_path):
+    """The whole pipeline against its stages written out: what is kept, what is left of it, and where its pieces lie."""
+    import hashlib
+    import zlib
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from libraryloom.llm import toxicity
+    from libraryloom.llm.queries import tokenizer_file
+    from tests.llm.test_operators import exact_brute, near_brute, repeats_brute
+
+    rng = random.Random(23)
+    w = lambda n: " ".join(f"v{rng.randrange(10**5)}" for _ in range(n))
+    base = [w(rng.randrange(30, 120)) for _ in range(30)]
+    passage = w(50)
+    rows = list(enumerate(base))
+    for t in base[:12]:
+        near = t.split()
+        near[len(near) // 2] = "changed"
+        rows += [(len(rows), t.replace(" ", "\n", 2)), (len(rows) + 1, " ".join(near)), (len(rows) + 2, w(25) + " " + passage + " " + w(9))]
+    toxic = [(500 + i, "you idiot scum moron " + w(30)) for i in range(25)]
+    rows += [*toxic, (900, None), (901, ""), (902, "tiny"), (903, "é" * 400)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(i, 1, int(i >= 500)) for i, _ in rows if i < 25 or 500 <= i < 525], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+
+    scores = {r.doc_id: r.predicted for r in toxicity.score_documents(spark, docs, labels).collect()}
+    left = [(i, t or "") for i, t in rows if not scores[i]]
+    assert not {i for i, _ in left} & {i for i, _ in toxic} and len(left) == len(rows) - len(toxic)
+    kept = {keep for _, keep, _, _ in exact_brute(left)}
+    left = [(i, t) for i, t in left if i in kept]
+    left = [(i, t) for i, t in left if (i, i) in {(a, c) for a, _, c in near_brute(left)}]
+    sha = {i: s for i, _, _, _, s in repeats_brute(left)}
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == {i for i, _ in left} == set(sha)
+
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    assert {i: hashlib.sha256(t.encode()).hexdigest() for i, t in text.items() if t.isascii()} == {i: s for i, s in sha.items() if text[i].isascii()}
+    tokenizer = Tokenizer.from_file(tokenizer_file())
+    want = []
+    for i, t in text.items():
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], dtype="<u4")
+        want += [(i, k, len(ids[at : at + 2048]), zlib.crc32(ids[at : at + 2048].tobytes())) for k, at in enumerate(range(0, len(ids), 2048))]
+    assert sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in packed) == sorted(want)
