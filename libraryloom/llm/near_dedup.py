@@ -137,8 +137,8 @@ def deal(df: DataFrame, keyed: Callable, partitions: int) -> DataFrame:
 
 
 def partitions_for(rows: int, row_bytes: int) -> int:
-    """Buckets, and partitions, of about 32 MB of blobs, at least 32; a batch sends one row to each."""
-    return max(32, rows * row_bytes >> 25)
+    """Buckets, and partitions, of about 32 MB of blobs, at least 32 and at most 50 000; a batch sends one row to each."""
+    return min(50_000, max(32, rows * row_bytes >> 25))
 
 
 def shared_keys(classes: DataFrame, partitions: int) -> DataFrame:

@@ -39,10 +39,13 @@ LENGTH = 100
 HALF, QUARTER = 50, 25
 WINDOWS = LENGTH - HALF + 1  # places of a 50-byte name in a window
 CHUNK = 1 << 19
-#: Bytes of text in a block, and for each partition of a sort; their numbers follow the corpus, with LEAST of each.
+#: Bytes of text in a block, the rows that one call of Python holds, and for each partition of a sort. Their numbers
+#: follow the corpus, with LEAST of each; partitions are never more than MOST, so that a shuffle stays one that Spark can
+#: plan: beyond that a partition holds many blocks, one after the other, and a sort spills.
 BLOCK_BYTES = 16_000_000
-SORT_BYTES = 64_000_000
-LEAST = 32
+SORT_BYTES = 16_000_000
+LEAST = 8
+MOST = 50_000
 ALL = np.uint64(2**64 - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -329,12 +332,13 @@ def remove_repeats(docs: DataFrame, strip: bool = False) -> DataFrame:
     columns = docs.columns
     key, doc, sub = unused(columns, "block", "doc", "sub")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks, sorts = max(LEAST, total // BLOCK_BYTES), max(LEAST, total // SORT_BYTES)
+    blocks, sorts = max(LEAST, total // BLOCK_BYTES), min(MOST, max(LEAST, total // SORT_BYTES))
+    parts = min(MOST, blocks)
     dealt = docs.withColumn(doc, F.coalesce("doc_id", F.lit(NULL_ID))).withColumn(sub, F.xxhash64(F.coalesce("text", F.lit(""))))
     dealt = dealt.withColumn(key, F.pmod(F.xxhash64(doc, sub), F.lit(blocks)).cast("int"))
     path = fresh_path(spark, "blocks")
     table = f"blocks_{path.rpartition('-')[2]}"
-    dealt.repartition(blocks, key).write.bucketBy(blocks, key).option("compression", "zstd").option("path", path).saveAsTable(table)
+    dealt.repartition(parts, key).write.bucketBy(parts, key).option("compression", "zstd").option("path", path).saveAsTable(table)
     dealt = spark.table(table)
     spark.sql(f"DROP TABLE {table}")  # only its entry in the catalog: the files stay, and the plan has their places
     texts = dealt.select(F.col(key).alias("block"), F.col(doc).alias("doc"), F.col(sub).alias("sub"), "text").groupBy("block")
