@@ -76,8 +76,10 @@ def byline(authors: Column, most: int = 4) -> Column:
 
 
 def changelog_byline(authors: Column) -> Column:
-    """Up to three names; more collapse to the first."""
-    return F.when(F.size(authors) > 3, F.concat(display_name(F.element_at(authors, 1)), F.lit(" et al."))).otherwise(byline(authors, 3))
+    """What stands before the comma of up to three authors; more collapse to the first, and no authors are "unattributed"."""
+    shown = F.transform(F.filter(authors, lambda a: blank(a) != ""), lambda a: F.trim(F.substring_index(a, ",", 1)))
+    many = F.concat(F.element_at(F.concat(shown, F.array(F.lit(""))), 1), F.lit(" et al."))
+    return F.when(F.size(shown) > 3, many).otherwise(F.coalesce(F.nullif(F.array_join(shown, ", "), F.lit("")), F.lit("unattributed")))
 
 
 def is_placeholder(c: Column) -> Column:

@@ -72,9 +72,13 @@ def safe_log_name(c: Column) -> Column:
     return F.regexp_replace(c, "[^A-Za-z0-9._-]", "_")
 
 
+#: Fixed value: what a section's number looks like.
+SECTION = "\\b([0-9]+(?:\\.[0-9]+)?|[A-K](?:\\.[0-9]+)?)\\b"
+
+
 def section_ids(c: Column) -> Column:
-    """Section numbers such as 31.1 or A.2, in order."""
-    return F.regexp_extract_all(blank(c), F.lit("([0-9A-Z]+\\.[0-9]+)"), 1)
+    """Section numbers such as 31, 31.1, B or A.2, in order, after a leading "Section" or "Sections"."""
+    return F.regexp_extract_all(F.regexp_replace(blank(c), "^Sections?\\s*", ""), F.lit(SECTION), 1)
 
 
 def without_upload_prefix(c: Column) -> Column:

@@ -68,7 +68,9 @@ def promotions(pdfs: DataFrame, entries: DataFrame) -> DataFrame:
     own = pdfs.select("name", F.col("title").alias("pdf_title"), identifiers.normalize_doi(c("doi")).alias("doi")).filter("doi <> ''")
     pairs = own.join(dois, "doi")
     one = only_match(pairs, ["name"], "rel_path").join(pairs.groupBy("name").agg(F.min("pdf_title").alias("pdf_title")), "name").select("name", "rel_path", "pdf_title")
+    # the published title; the preprint's own only where a published place is known
     titles = entries.select("rel_path", normalize_title(F.coalesce(F.nullif(c("published_title"), F.lit("")), F.when(blank(c("published_url")) != "", c("title")))).alias("t")).filter(F.length("t") >= LEAST)
+    named = titles.distinct()
     rest = pdfs.join(one, "name", "left_anti").select("name", F.col("title").alias("pdf_title"), normalize_title(c("title")).alias("n")).filter(F.length("n") >= LEAST)
     rest, titles = rest.withColumn("l_n", similarity.letter_counts(c("n"))), titles.withColumn("l_t", similarity.letter_counts(c("t")))
     reach = similarity.ratio_limit(c("n"), c("t"), c("l_n"), c("l_t"))
@@ -84,7 +86,6 @@ def promotions(pdfs: DataFrame, entries: DataFrame) -> DataFrame:
     for marker in VOLUME_MARKERS:
         marked = marked | front.contains(marker)
     volumes = pdfs.filter((c("pages") >= VOLUME_PAGES) & marked).join(promote, "name", "left_anti").select("name", normalize_title(c("front")).alias("toc"), F.transform(F.coalesce("outline", F.array().cast("array<string>")), normalize_title).alias("outline"))
-    named = entries.select("rel_path", F.explode(F.array(normalize_title(c("published_title")), normalize_title(c("title")))).alias("t")).filter(F.length("t") >= LEAST).distinct()
     parts = named.select(F.struct("rel_path", "t").alias("part_id"), c("t").alias("part"))
     listed = containing(parts, volumes.select(c("name").alias("whole_id"), c("toc").alias("whole"))).select(c("whole_id").alias("name"), c("part_id.rel_path").alias("rel_path"))
     lines = volumes.select("name", F.explode(F.array_distinct("outline")).alias("o")).filter("o <> ''").withColumn("l_o", similarity.letter_counts(c("o")))

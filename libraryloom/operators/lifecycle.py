@@ -14,15 +14,18 @@ ENTRIES = 8
 READY = (5, 20)
 #: The console's list cards in order: key, title and the signal that they list.
 LIST_CARDS = (
-    ("triage", "Proposed triage reports", "triage_proposed"),
-    ("triage-approved", "Approved triage to apply", "triage_approved"),
-    ("retired-cites", "Citations of retired sources", "cites_inactive_source"),
+    ("triage", "Triage reports awaiting a decision", "triage_proposed"),
+    ("triage-approved", "Approved triage ready to apply", "triage_approved"),
+    ("retired-cites", "Book sections citing retired sources", "cites_inactive_source"),
     ("drift-guides", "Guides behind the synthesis", "synthesis_drift:derived/"),
-    ("drift-sections", "Sections behind the synthesis", "synthesis_drift:"),
-    ("unaudited", "Sources not audited", "unaudited_sources"),
-    ("currency", "Currency checks due", "currency_check_due"),
-    ("overdue", "Sections overdue", "sections_overdue"),
+    ("drift-sections", "Book sections behind the synthesis", "synthesis_drift:"),
+    ("unaudited", "Library sources not yet audited", "unaudited_sources"),
+    ("currency", "Library currency checks", "currency_check_due"),
+    ("overdue", "Sections past their refresh cadence", "sections_overdue"),
 )
+#: The titles of the other cards, and how a late entry is marked.
+OTHER_TITLES = {"backup-digest": "Digest database backup", "backup-library": "Library committed and on the NAS", "digest-flags": "Digest library candidates", "recalibrate": "Digest judge recalibration", "health": "Pipeline health report", "gate-c": "Human review (Gate C)"}
+LATE = " · over 14 days"
 
 
 def retirement_reports(library: DataFrame, references: DataFrame, sections: DataFrame, existing: DataFrame) -> DataFrame:
@@ -51,54 +54,68 @@ def rhythm(tasks: DataFrame, now: str) -> DataFrame:
     return tasks.withColumn("age_days", age).withColumn("due", measures.is_due(F.col("age_days"), F.col("cadence")))
 
 
-def _card(place: int, key: str, title: str, rows: DataFrame, severity: Column, count: Column, entries: Column | None = None) -> DataFrame:
-    entries = F.array().cast("array<string>") if entries is None else entries
-    return rows.select(F.lit(place).alias("place"), F.lit(key).alias("key"), F.lit(title).alias("title"), F.when(F.col("error").isNotNull(), "bad").otherwise(severity).alias("severity"), count.cast("long").alias("count"), entries.alias("entries"), "error")
+def _card(place: int, key: str, rows: DataFrame, severity: Column, count: Column, failed: str = "warn") -> DataFrame:
+    """One card; where its source gave an error, that alone, with the severity ``failed``."""
+    broken = F.col("error").isNotNull()
+    fields = [F.lit(place).alias("place"), F.lit(key).alias("key"), F.lit(OTHER_TITLES[key]).alias("title")]
+    return rows.select(*fields, F.when(broken, failed).otherwise(severity).alias("severity"), F.when(broken, "—").otherwise(count).alias("count"), F.array().cast("array<string>").alias("entries"), "error")
 
 
 def cards(signals: DataFrame, digest: DataFrame, backups: DataFrame, gate: DataFrame, now: str) -> DataFrame:
-    """place, key, title, severity, count, entries and error of the console's cards, the worst first, else as listed.
+    """place, key, title, severity, count (as text), entries and error of the console's cards, the worst first, else as listed.
 
     ``signals``: signal and entry, or signal "error" whose entry says why nothing could be gathered. ``digest``: one row
     of flagged, landed, added, dismissed and error. ``backups``: one row of outcome, age_hours, uncommitted, unpushed,
-    sync_outcome (null: never synced, which is no fault), sync_age_hours and error. ``gate``: id, file and done. A source
-    that fails is one bad card; the others are shown all the same.
+    sync_outcome (null: never synced, which is no fault), sync_age_hours and error. ``gate``: file, done (signed off) and,
+    where others than those not done wait, waiting. A source that fails is one card with its error, and the others are
+    shown all the same; without a digest there is nothing to recalibrate.
     """
     c = F.col
-    stale = c("age_hours").isNull() | (F.round("age_hours", 1) > STALE_HOURS)
-    out = [_card(0, "backup-digest", "Digest backup", backups, F.when(stale | ~c("outcome").eqNullSafe("ok"), "bad").otherwise("ok"), F.lit(None))]
-    sync = c("sync_outcome").isNotNull() & ((c("sync_outcome") != "ok") | c("sync_age_hours").isNull() | (F.round("sync_age_hours", 1) > STALE_HOURS))
-    out.append(_card(1, "backup-library", "Library backup", backups, F.when((c("uncommitted") > 0) | (c("unpushed") > 0) | sync, "bad").otherwise("ok"), c("uncommitted") + c("unpushed")))
-    out.append(_card(2, "digest-flags", "Digest flags", digest, F.when((c("flagged") > 0) | (c("landed") > 0), "warn").otherwise("ok"), c("flagged")))
-    out.append(_card(3, "recalibrate", "Judge recalibration", digest, F.when((c("added") >= READY[0]) & (c("dismissed") >= READY[1]), "warn").otherwise("ok"), c("added")))
+    hours = lambda x: F.round(x, 1)
+    stale = c("age_hours").isNull() | (hours(c("age_hours")) > STALE_HOURS) | ~c("outcome").eqNullSafe("ok")
+    aged = F.when(c("age_hours").isNull(), "never").otherwise(F.concat(F.format_string("%.1f", hours(c("age_hours"))), F.lit("h")))
+    out = [_card(0, "backup-digest", backups, F.when(stale, "bad").otherwise("ok"), aged, "bad")]
+    unsynced = c("sync_outcome").isNotNull() & ((c("sync_outcome") != "ok") | c("sync_age_hours").isNull() | (hours(c("sync_age_hours")) > STALE_HOURS))
+    paths = F.coalesce("uncommitted", F.lit(0)) + F.coalesce("unpushed", F.lit(0))
+    loose = (paths > 0) | unsynced
+    library = backups.withColumn("error", F.lit(None).cast("string"))  # judged by its own signals
+    out.append(_card(1, "backup-library", library, F.when(loose, "bad").otherwise("ok"), F.when(paths > 0, paths.cast("string")).when(unsynced, "sync failed").otherwise("0")))
+    out.append(_card(2, "digest-flags", digest, F.when((c("flagged") > 0) | (c("landed") > 0), "warn").otherwise("ok"), (c("flagged") + c("landed")).cast("string")))
+    ready = (c("added") >= READY[0]) & (c("dismissed") >= READY[1])
+    out.append(_card(3, "recalibrate", digest.filter("error IS NULL"), F.when(ready, "warn").otherwise("ok"), F.concat(c("added").cast("string"), F.lit("/"), c("dismissed").cast("string"))))
     broken = signals.filter("signal = 'error'").select(c("entry").alias("error")).limit(1)
-    out.append(_card(4, "health", "Library health", broken, F.lit("bad"), F.lit(None)))
+    out.append(_card(4, "health", broken, F.lit("warn"), F.lit("—")))
     drift = c("signal") == "synthesis_drift"
     family = F.when(drift & c("entry").startswith("derived/"), "synthesis_drift:derived/").when(drift, "synthesis_drift:").when(c("signal") == "triage_stale", "none").otherwise(c("signal"))
     found = signals.filter("signal <> 'error'").select(family.alias("signal"), "entry")
-    late = signals.filter("signal = 'triage_stale'").select(F.lit("triage_proposed").alias("signal"), "entry", F.lit(" (over 14 days)").alias("mark"))
+    late = signals.filter("signal = 'triage_stale'").select(F.lit("triage_proposed").alias("signal"), "entry", F.lit(LATE).alias("mark")).distinct()
     found = found.join(late, ["signal", "entry"], "left").select("signal", F.concat("entry", F.coalesce("mark", F.lit(""))).alias("entry"))
     lists = signals.sparkSession.createDataFrame([(5 + k, key, title, signal) for k, (key, title, signal) in enumerate(LIST_CARDS)], "place int, key string, title string, signal string")
     lists = lists.join(broken, F.lit(True), "left_anti")  # an error in place of all lists
-    out.append(_listed(lists.join(found, "signal", "left")))
-    waiting = gate.filter("NOT done").join(found.filter(c("signal").isin("synthesis_drift:derived/", "synthesis_drift:", "cites_inactive_source")).select(c("entry").alias("file"), F.lit(1).alias("flag")).distinct(), "file", "left")
-    number = F.try_to_number(F.regexp_extract("id", "^([0-9]+)", 1), F.lit("999999")).cast("int")
-    rank = F.when(c("flag") == 1, 0).when(number.between(10, 29), 1).otherwise(2)
-    queue = waiting.select(F.lit(20).alias("place"), F.lit("gate-c").alias("key"), F.lit("Review queue").alias("title"), F.concat(rank.cast("string"), F.lit(" "), "file").alias("entry"))
-    gate_card = gate.sparkSession.createDataFrame([(20, "gate-c", "Review queue")], "place int, key string, title string").join(queue.select("key", "entry"), "key", "left")
-    out.append(_listed(gate_card, strip=2))
+    listed = lists.join(found, "signal", "left").groupBy("place", "key", "title").agg(F.count("entry").alias("n"), F.sort_array(F.collect_list("entry")).alias("entries"))
+    none = F.lit(None).cast("string").alias("error")
+    out.append(listed.select("place", "key", "title", F.when(c("n") > 0, "warn").otherwise("ok").alias("severity"), c("n").cast("string").alias("count"), "entries", none))
+    out.append(_review(gate, found).select(F.lit(20).alias("place"), F.lit("gate-c").alias("key"), F.lit(OTHER_TITLES["gate-c"]).alias("title"), F.when(c("n") > 0, "warn").otherwise("ok").alias("severity"), "count", "entries", none))
     every = reduce(DataFrame.unionByName, out)
     return every.orderBy(measures.severity_rank(c("severity")), "place")
 
 
-def _listed(rows: DataFrame, strip: int = 0) -> DataFrame:
-    """Cards that list entries: the first few and how many more there are."""
+def _review(gate: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of the review queue: n waiting, count done of all, and entries: the first files and how many more there are.
+
+    Files with a signal come first, then those of sections 10 to 29, then the rest, each by name.
+    """
     c = F.col
-    top = rows.withColumn("_k", F.row_number().over(Window.partitionBy("place").orderBy("entry")))
-    few = top.groupBy("place", "key", "title").agg(F.count("entry").alias("n"), F.sort_array(F.collect_list(F.when(c("_k") <= ENTRIES, c("entry")))).alias("e"))
-    entries = F.transform("e", lambda x: F.substr(x, F.lit(strip + 1)))
-    entries = F.when(c("n") > ENTRIES, F.concat(entries, F.array(F.concat(F.lit("…and "), (c("n") - ENTRIES).cast("string"), F.lit(" more"))))).otherwise(entries)
-    return few.select("place", "key", "title", F.when(c("n") > 0, "warn").otherwise("ok").alias("severity"), c("n").cast("long").alias("count"), entries.alias("entries"), F.lit(None).cast("string").alias("error"))
+    waiting = gate.filter(c("waiting") if "waiting" in gate.columns else ~c("done")).select("file")
+    flagged = found.filter(c("signal").isin("synthesis_drift:derived/", "synthesis_drift:", "cites_inactive_source")).select(c("entry").alias("file"), F.lit(1).alias("flag")).distinct()
+    number = F.regexp_extract("file", "^docs/([0-9]+)-", 1).try_cast("int")
+    queue = waiting.join(flagged, "file", "left").select("file", F.when(c("flag") == 1, 0).when(number.between(10, 29), 1).otherwise(2).alias("rank"))
+    first = queue.orderBy("rank", "file").limit(ENTRIES).agg(F.sort_array(F.collect_list(F.struct("rank", "file"))).alias("first"))
+    total = gate.agg(F.concat(F.count_if("done").cast("string"), F.lit("/"), F.count(F.lit(1)).cast("string")).alias("count"))
+    n = queue.agg(F.count(F.lit(1)).alias("n"))
+    rows = n.crossJoin(F.broadcast(first)).crossJoin(F.broadcast(total))  # one row each
+    more = F.concat(F.lit("…and "), (c("n") - ENTRIES).cast("string"), F.lit(" more"))
+    return rows.select("n", "count", F.when(c("n") > ENTRIES, F.concat("first.file", F.array(more))).otherwise(c("first.file")).alias("entries"))
 
 
 def attention(found: DataFrame) -> DataFrame:
@@ -190,7 +207,7 @@ def summary_text(found: DataFrame, routines: DataFrame, generated: str, url: str
     line = lambda a, b, text: F.struct(F.lit(a).alias("a"), b.cast("long").alias("b"), text.alias("line"))
     head = found.sparkSession.createDataFrame([(0, 0, f"Currency console — {generated}"), (0, 1, url), (0, 2, "")], "a int, b long, line string")
     rank = measures.severity_rank(c("severity")) * 1000 + c("place")
-    body = need.select(line(1, rank, F.concat(F.lit("["), F.upper("severity"), F.lit("] "), "title", F.lit(": "), F.coalesce(c("count").cast("string"), F.lit("None")))).alias("x")).select("x.*")
+    body = need.select(line(1, rank, F.concat(F.lit("["), F.upper("severity"), F.lit("] "), "title", F.lit(": "), "count")).alias("x")).select("x.*")
     calm = need.agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(line(1, F.lit(0), F.lit("Nothing needs you this week.")).alias("x")).select("x.*")
     late = routines.filter("due").agg(F.sort_array(F.collect_list(F.struct("place", "task"))).alias("t")).filter(F.size("t") > 0)
     late = late.select(F.explode(F.array(line(2, F.lit(0), F.lit("")), line(2, F.lit(1), F.concat(F.lit("Overdue routines: "), F.array_join("t.task", ", "))))).alias("x")).select("x.*")

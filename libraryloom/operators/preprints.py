@@ -11,6 +11,8 @@ from libraryloom.operators.matching import first_or_better
 
 REFRESH_DAYS = 7
 SANE, NEAR = 0.70, 0.85
+#: Fixed value: what stands for a venue without a name.
+UNKNOWN_VENUE = "(venue unknown to OpenAlex)"
 
 
 def preprints(library: DataFrame) -> DataFrame:
@@ -36,7 +38,7 @@ def best_location(locations: Column) -> Column:
     """struct(score, place, item) of the strongest location that is no preprint and no mere submission; null if none."""
     usable = F.filter(locations, lambda x: ~identifiers.is_preprint_location(x["source"]["type"], x["landing_page_url"]) & (F.lower(blank(x["version"])) != "submittedversion"))
     score = lambda x: identifiers.location_score(x["version"], x["source"]["type"], x["is_published"])
-    keyed = F.transform(usable, lambda x, i: F.struct(score(x).alias("score"), (-i).alias("place"), F.coalesce(F.nullif(F.trim(blank(x["source"]["display_name"])), F.lit("")), F.lit("(venue unknown)")).alias("publication"), F.coalesce(F.nullif(F.lower(blank(x["source"]["type"])), F.lit("")), F.lit("unknown")).alias("venue_type"), blank(x["landing_page_url"]).alias("published_url"), F.lower(blank(x["version"])).alias("version")))
+    keyed = F.transform(usable, lambda x, i: F.struct(score(x).alias("score"), (-i).alias("place"), F.coalesce(F.nullif(F.trim(blank(x["source"]["display_name"])), F.lit("")), F.lit(UNKNOWN_VENUE)).alias("publication"), F.coalesce(F.nullif(F.lower(blank(x["source"]["type"])), F.lit("")), F.lit("unknown")).alias("venue_type"), blank(x["landing_page_url"]).alias("published_url"), F.lower(blank(x["version"])).alias("version")))
     return F.array_max(keyed)
 
 
@@ -48,16 +50,17 @@ def checked(stale: DataFrame, answers: DataFrame, now: str) -> DataFrame:
     """
     c = F.col
     rows = stale.join(answers, "rel_path", "left")
-    hits = rows.filter(c("error").isNull() & (blank(c("title")) != "")).select("rel_path", "title", "authors", "preprint_id", F.posexplode("works").alias("place", "w"))
-    theirs = F.array_compact(F.transform(c("w.authorships"), lambda a: F.nullif(F.lower(names.last_name(a["author"]["display_name"])), F.lit(""))))
+    hits = rows.filter(c("error").isNull() & (blank(c("title")) != "")).select("rel_path", "title", "authors", "preprint_venue", "preprint_id", F.posexplode("works").alias("place", "w"))
+    theirs = F.array_compact(F.transform(c("w.authorships"), lambda a: F.nullif(F.lower(F.element_at(F.concat(F.array(F.lit("")), names.words_of(a["author"]["display_name"])), -1)), F.lit(""))))
     hits = hits.withColumn("ours", names.surnames(c("authors"))).withColumn("theirs", F.coalesce(theirs, F.array().cast("array<string>")))
     hits = hits.withColumn("t", F.coalesce(c("w.title"), c("w.display_name"))).withColumn("score", similarity.title_similarity(c("title"), c("t")))
-    same = F.exists(c("w.locations"), lambda x: (c("preprint_id") != "") & blank(x["landing_page_url"]).contains(c("preprint_id")))
+    own = F.filter(F.transform(c("w.locations"), lambda x: F.lower(identifiers.arxiv_id(x["landing_page_url"]))), lambda i: i != "")
+    same = (c("preprint_venue") == "arXiv") & (c("preprint_id") != "") & (F.get(own, F.lit(0)) == F.lower("preprint_id"))  # the first that a hit names
     agree = (F.size("ours") == 0) | (F.size("theirs") == 0) | F.arrays_overlap("ours", "theirs")
     hits = hits.withColumn("fast", F.coalesce(same, F.lit(False)) & (c("score") >= SANE) & agree)
     by_title = (c("score") >= NEAR) & ((F.size("ours") == 0) | F.arrays_overlap("ours", "theirs"))
     best = first_or_better(hits.filter(c("fast") | by_title), ["rel_path"], "fast", "score", "place")
-    best = best.select("rel_path", c("fast"), F.when(c("fast"), F.greatest("score", F.lit(0.95))).otherwise(c("score")).alias("s"), best_location(c("w.locations")).alias("l"), identifiers.normalize_doi(c("w.doi")).alias("doi"), F.trim(blank(c("t"))).alias("published_title"))
+    best = best.select("rel_path", c("fast"), F.when(c("fast"), F.greatest("score", F.lit(0.95))).otherwise(c("score")).alias("s"), best_location(c("w.locations")).alias("l"), F.regexp_replace(blank(c("w.doi")), "https?://doi\\.org/", "").alias("doi"), F.trim(blank(c("t"))).alias("published_title"))
     rows = rows.join(best, "rel_path", "left")
     found = c("s").isNotNull()
     status = F.when(blank(c("title")) == "", "unknown").when(c("error").isNotNull(), "error").when(~found, "unknown").when(c("l").isNull(), "preprint-only").otherwise("published")
@@ -71,9 +74,9 @@ def checked(stale: DataFrame, answers: DataFrame, now: str) -> DataFrame:
 
 def refreshed(checks: DataFrame, new: DataFrame, found: DataFrame, prune: bool = True) -> DataFrame:
     """The cache after a run: new entries replace old ones, fresh ones get the record's present fields, others are pruned."""
-    shown = found.select("rel_path", F.col("title").alias("_t"), F.col("preprint_venue").alias("_v"), F.col("preprint_id").alias("_i"))
+    shown = found.select("rel_path", F.col("title").alias("_t"), F.col("preprint_venue").alias("_v"), F.col("preprint_id").alias("_i"), F.col("url").alias("_u"))
     old = checks.join(new.select("rel_path"), "rel_path", "left_anti").join(shown, "rel_path", "inner" if prune else "left")
-    now = {"title": "_t", "preprint_venue": "_v", "preprint_id": "_i"}
+    now = {"title": "_t", "preprint_venue": "_v", "preprint_id": "_i", "preprint_url": "_u"}
     old = old.select(*[F.coalesce(now[c], c).alias(c) if c in now else F.col(c) for c in checks.columns])
     return old.unionByName(new, allowMissingColumns=True)
 

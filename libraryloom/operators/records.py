@@ -37,27 +37,44 @@ def search(library: DataFrame, query: str) -> DataFrame:
     return projected(library).filter(matches_search(query, *cols))
 
 
+#: The lines of an index.
+INDEX_HEAD = ("# Source Index", "")
+INDEX_TABLE = ("", "| Title | Tl;dr | Author(s) | Year |", "|-------|-------|-----------|------|")
+NO_SOURCES = "*No sources yet.*"
+
+
 def index_lines(library: DataFrame, preferred: tuple[str, ...] = (), folders: DataFrame | None = None, most_authors: int = 4) -> DataFrame:
     """place and line of the index: preferred categories, the others by name, newest first; then empty categories.
 
-    ``folders``: category of every folder. Without any record there is one line and no list of empty folders.
+    ``folders``: category of every folder. Without any record there is no list of empty folders. Retired records stay
+    listed, marked with their state and successor.
     """
-    rows = projected(library)
+    rows = projected(library).join(library.select("rel_path", F.coalesce(m.filled(F.col("superseded_by")), F.lit("")).alias("successor")), "rel_path")
     rank = F.array_position(F.array(*[F.lit(p) for p in preferred]).cast("array<string>"), F.col("category"))
     rank = F.when(rank > 0, rank).otherwise(len(preferred) + 1)
     dash = lambda c: F.when(c == "", "—").otherwise(c)
-    mark = F.when(F.col("status") == "active", "").otherwise(F.concat(F.lit(" ("), F.col("status"), F.lit(")")))
-    cells = [F.concat(F.lit("["), escape_cell(F.col("title")), F.lit("]("), F.col("rel_path"), F.lit(")"), mark), dash(escape_cell(names.byline(F.col("authors"), most_authors))), dash(F.col("year")), dash(escape_cell(F.col("tldr")))]
+    state = F.concat("status", F.when(F.col("successor") != "", F.concat(F.lit(" → "), "successor")).otherwise(""))
+    mark = F.when(F.col("status") == "active", "").otherwise(F.concat(F.lit(" · *"), escape_cell(state), F.lit("*")))
+    link = F.concat(F.lit("["), escape_cell(F.col("title")), F.lit("]("), "rel_path", F.lit(")"), mark)
+    cells = [link, dash(escape_cell(F.col("tldr"))), escape_cell(names.byline(F.col("authors"), most_authors)), dash(F.col("year"))]
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
     within = Window.partitionBy("category").orderBy(F.desc("date"), F.desc("title"), "rel_path")
-    body = rows.select(rank.alias("a"), F.col("category").alias("b"), (F.row_number().over(within) + 2).alias("c"), line.alias("line"))
-    head = rows.groupBy("category").agg(F.count(F.lit(1)).alias("n")).select(rank.alias("a"), F.col("category").alias("b"), F.explode(F.array(F.struct(F.lit(0).alias("c"), F.concat(F.lit("## "), "category", F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("line")), F.struct(F.lit(1).alias("c"), F.lit("| Title | Authors | Year | Summary |").alias("line")), F.struct(F.lit(2).alias("c"), F.lit("|---|---|---|---|").alias("line")))).alias("x")).select("a", "b", "x.c", "x.line")
-    out = head.union(body)
+    body = rows.select(rank.alias("a"), F.col("category").alias("b"), (F.row_number().over(within) + len(INDEX_TABLE)).alias("c"), line.alias("line"))
+
+    def fixed(groups: DataFrame, a: Column, lines: dict[int, Column]) -> DataFrame:
+        found = F.array(*[F.struct(F.lit(c).alias("c"), line.alias("line")) for c, line in lines.items()])
+        return groups.select(a.alias("a"), F.col("category").alias("b"), F.explode(found).alias("x")).select("a", "b", "x.c", "x.line")
+
+    top = {0: F.concat(F.lit("## "), "category")}
+    out = fixed(rows.select("category").distinct(), rank, top | {1 + k: F.lit(x) for k, x in enumerate(INDEX_TABLE)} | {10**9: F.lit("")}).union(body)
+    start = list(INDEX_HEAD)
+    spark = rows.sparkSession
     if rows.isEmpty():
-        return rows.sparkSession.createDataFrame([(1, "No sources yet")], "place long, line string")
-    if folders is not None:
+        start.append(NO_SOURCES)
+    elif folders is not None:
         empty = folders.select("category").subtract(rows.select("category"))
-        out = out.union(empty.select(F.lit(10**6), "category", F.lit(0), F.concat(F.lit("- "), "category", F.lit(" (empty)"))))
+        out = out.union(fixed(empty, F.lit(10**6), top | {1: F.lit(""), 2: F.lit(NO_SOURCES), 3: F.lit("")}))
+    out = out.union(spark.createDataFrame([(-1, "", k, x) for k, x in enumerate(start)], "a int, b string, c int, line string"))
     order = Window.orderBy("a", "b", "c")  # a report is one ordered document
     return out.select(F.row_number().over(order).cast("long").alias("place"), "line")
 
@@ -105,16 +122,18 @@ def validated(library: DataFrame, today: str, external: DataFrame | None = None)
         rows = rows.withColumn(f"_{c}", F.regexp_replace(F.regexp_replace(raw, "^[\"'](.*)[\"']$", "$1"), "\\s+$", ""))
     v = lambda c: F.col(f"_{c}")
     successor = blank(m.filled(v("superseded_by")))
-    status = F.when(m.filled(v("status")).isNotNull(), v("status")).otherwise(F.when(successor != "", "superseded").otherwise("active"))
-    snapshot = F.when(F.col("original_kind") == "snapshot", "true").otherwise("false")
-    retrieved = F.when(m.filled(v("retrieved")).isNotNull(), v("retrieved")).otherwise(today)
+    status = F.when(m.filled(v("status")).isNotNull(), F.lower(v("status"))).otherwise(F.when(successor != "", "superseded").otherwise("active"))
+    beside = F.col("has_snapshot") if "has_snapshot" in library.columns else F.col("original_kind") == "snapshot"
+    snapshot = F.when(F.coalesce(beside, F.lit(False)), "true").otherwise("false")
+    retrieved = F.when(m.is_full_date(v("retrieved")), v("retrieved")).otherwise(today)
     currency = F.when(m.is_full_date(v("currency_check")) & (v("currency_check") <= today), v("currency_check")).otherwise(retrieved)
-    kind = F.lower(blank(v("source_type")))
-    mapped = blank(v("source_type"))
+    kind = blank(v("source_type"))
+    mapped = kind
     for to, spellings in KIND_OF.items():
         mapped = F.when(kind.isin(*spellings), to).otherwise(mapped)
     notes = [("superseded_by", successor), ("status", status), ("snapshot", snapshot), ("retrieved", retrieved), ("currency_check", currency), ("source_type", mapped)]
-    note = [F.when(~v(c).eqNullSafe(new), F.concat(F.lit(f"{c}: "), F.coalesce(v(c), F.lit("(absent)")), F.lit(" -> "), new)) for c, new in notes]
+    same = lambda c, new: F.lower(v(c)).eqNullSafe(new) if c in ("status", "snapshot") else v(c).eqNullSafe(new)
+    note = [F.when(~same(c, new), F.concat(F.lit(f"{c}: "), F.coalesce(v(c), F.lit("(absent)")), F.lit(" -> "), new)) for c, new in notes]
     note.append(F.when(~blank(F.col("block")).rlike("(?m)^authors:[ \\t]*$") & (F.size("authors") > 0), F.lit("authors: to block list")))
     rows = rows.select("rel_path", "folder", "slug", "slug_folder", "authors", *[new.alias(c) for c, new in notes], *[blank(m.filled(v(c))).alias(f"f_{c}") for c in ("title", "tldr", "category", "date")], v("discovered_via").alias("via"), F.array_compact(F.array(*note)).alias("notes"))
     f = F.col
@@ -123,7 +142,7 @@ def validated(library: DataFrame, today: str, external: DataFrame | None = None)
         F.when(~f("source_type").isin(*KINDS), F.concat(F.lit("unknown source_type: "), f("source_type"))),
         F.when(~f("status").isin(*m.STATUSES), F.concat(F.lit("unknown status: "), f("status"))),
         F.when((f("status") == "superseded") & (f("superseded_by") == ""), F.lit("superseded without successor")),
-        F.when((blank(f("via")) != "") & ~f("via").rlike(VIA), F.lit("bad discovered_via")),
+        F.when(~f("via").rlike(VIA), F.lit("bad discovered_via")),  # also where the key is there and holds nothing
         F.when((f("f_date") != "") & ~m.is_partial_date(f("f_date")), F.lit("bad date")),
         F.when((f("f_category") != "") & (f("f_category") != f("folder")), F.lit("category is not the folder")),
         F.when(f("slug") != f("slug_folder"), F.lit("slug is not the folder")),
@@ -134,7 +153,7 @@ def validated(library: DataFrame, today: str, external: DataFrame | None = None)
     if external is not None:
         rows = rows.join(external, "rel_path", "left")
         known = f("external_authors").isNotNull() & ~F.exists("authors", names.is_placeholder) & (F.size("authors") > 0)
-        first = F.lower(names.last_name(F.element_at("authors", 1)))
+        first = F.lower(F.trim(F.substring_index(F.element_at("authors", 1), ",", 1)))
         errors.append(F.when(known & ~F.lower(F.element_at("external_authors", 1)).contains(first), F.lit("first author differs")))
         errors.append(F.when(known & (F.size("external_authors") != F.size("authors")), F.lit("number of authors differs")))
     rows = rows.withColumn("errors", F.array_compact(F.array(*errors)))
@@ -155,6 +174,15 @@ def backfilled_authors(library: DataFrame) -> DataFrame:
     return rows.select("rel_path", F.array(F.trim("publication")).alias("authors"))
 
 
+def filed_entries(library: DataFrame) -> DataFrame:
+    """rel_path and text of the changelog entry that the filing of each readable record gives."""
+    title = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("slug"))
+    who = names.changelog_byline(F.coalesce("authors", F.array().cast("array<string>")))
+    finding = F.regexp_replace(F.trim(blank(F.col("tldr"))), "\\.+$", "")
+    parts = [F.lit("Filed *"), title, F.lit("* ("), who, F.lit(", "), F.left(blank(F.col("date")), F.lit(4)), F.lit(") into `"), F.concat_ws("/", "folder", "slug"), F.lit("/`. Key finding: "), finding, F.lit(".")]
+    return library.filter("NOT corrupt").select("rel_path", F.concat(*parts).alias("text"))
+
+
 def after_deletion(library: DataFrame, requested: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
     """The library without the requested records that may go, and the changelog entries (at, seq, text) of those that went.
 
@@ -164,7 +192,9 @@ def after_deletion(library: DataFrame, requested: DataFrame, at: str) -> tuple[D
     left = library.join(gone, "rel_path", "left_anti")
     own = library.join(gone, "rel_path", "left_semi")
     seq = F.row_number().over(Window.orderBy("rel_path")).cast("long")  # what one request names
-    text = F.concat(F.lit("deleted: "), F.coalesce("title", "slug"), F.lit(" ("), names.changelog_byline(F.coalesce("authors", F.array().cast("array<string>"))), F.lit(")"))
+    place = F.concat(F.lit("`"), F.concat_ws("/", "folder", "slug"), F.lit("/`"))
+    named = F.when(F.trim(blank(F.col("title"))) != "", F.concat(F.lit("*"), F.trim("title"), F.lit("*"))).otherwise(F.concat(F.lit("`"), F.concat_ws("/", "folder", "slug"), F.lit("`")))
+    text = F.concat(F.lit("Removed "), named, F.lit(" from "), place, F.lit(". Deleted via the dashboard."))
     return left, own.select(F.lit(at).cast("timestamp").alias("at"), seq.alias("seq"), text.alias("text"))
 
 

@@ -31,10 +31,10 @@ CELL = lambda x: f"replace(replace(coalesce({x}, ''), '|', '\\|'), chr(10), ' ')
 
 
 @register(f"""{LIB}, good AS (SELECT *, {TITLE} AS t, {STATUS} AS st, CASE folder WHEN 'standard' THEN 1 WHEN 'economy' THEN 2 ELSE 3 END AS a FROM lib WHERE NOT corrupt),
-body AS (SELECT a, folder AS b, 2 + row_number() OVER (PARTITION BY folder ORDER BY date DESC, t DESC, rel_path) AS c,
-  '| [' || {CELL("t")} || '](' || rel_path || ')' || CASE WHEN st = 'active' THEN '' ELSE ' (' || st || ')' END || ' | ' || {DASH(f"({BYLINE})")} || ' | ' || {DASH(f"({YEAR})")} || ' | ' || {DASH(CELL("trim(tldr)"))} || ' |' AS line FROM good),
-head AS (SELECT a, folder AS b, unnest([0, 1, 2]) AS c, unnest(['## ' || folder || ' (' || count(*) || ')', '| Title | Authors | Year | Summary |', '|---|---|---|---|']) AS line FROM good GROUP BY a, folder),
-every AS (SELECT * FROM head UNION ALL SELECT * FROM body UNION ALL SELECT 1000000, 'empty', 0, '- empty (empty)')
+body AS (SELECT a, folder AS b, 3 + row_number() OVER (PARTITION BY folder ORDER BY date DESC, t DESC, rel_path) AS c,
+  '| [' || {CELL("t")} || '](' || rel_path || ')' || CASE WHEN st = 'active' THEN '' ELSE ' · *' || st || CASE WHEN superseded_by IN ('', 'null') THEN '' ELSE ' → ' || superseded_by END || '*' END || ' | ' || {DASH(CELL("trim(tldr)"))} || ' | ' || {BYLINE} || ' | ' || {DASH(f"({YEAR})")} || ' |' AS line FROM good),
+head AS (SELECT a, folder AS b, unnest([0, 1, 2, 3, 1000000000]) AS c, unnest(['## ' || folder, '', '| Title | Tl;dr | Author(s) | Year |', '|-------|-------|-----------|------|', '']) AS line FROM good GROUP BY a, folder),
+every AS (SELECT * FROM head UNION ALL SELECT * FROM body UNION ALL SELECT 1000000, 'empty', unnest([0, 1, 2, 3]), unnest(['## empty', '', '*No sources yet.*', '']) UNION ALL SELECT -1, '', unnest([0, 1]), unnest(['# Source Index', '']))
 SELECT row_number() OVER (ORDER BY a, b, c) AS place, line FROM every""")
 def category_index(spark, d):
     lib = library(spark, d)
@@ -78,6 +78,11 @@ def record_projection(spark, d):
     return records.projected(library(spark, d)).select("rel_path", "category", "title", "tldr", "status", "year", "url", "original_kind")
 
 
+@register(f"{LIB} SELECT rel_path, 'Filed *' || coalesce(title, slug) || '* (' || CASE k % 6 WHEN 0 THEN 'unattributed' WHEN 3 THEN 'Ann Lee' WHEN 4 THEN 'Stone et al.' WHEN 5 THEN 'Lee, et al.' ELSE {BYLINE} END || ', ' || left(date, 4) || ') into `' || folder || '/' || slug || '/`. Key finding: ' || tldr || '.' AS text FROM lib WHERE NOT corrupt")
+def filed_entries(spark, d):
+    return records.filed_entries(library(spark, d).withColumn("tldr", F.concat(F.lit(" "), "tldr", F.lit(".. "))))
+
+
 @register(f"{LIB} SELECT rel_path, {TITLE} AS title FROM lib WHERE NOT corrupt AND contains(lower(concat_ws(' ', {TITLE}, trim(tldr), array_to_string(authors, ' '), lower(tags[1]), folder)), 'hill, bo')")
 def library_search(spark, d):
     return records.search(library(spark, d), "  HILL, Bo ").select("rel_path", "title")
@@ -121,7 +126,7 @@ FILLED = lambda x: f"CASE WHEN lower(trim({x})) NOT IN ('', 'null', '~', 'none')
 NORMAL = f"""{LIB}, n0 AS (SELECT *, coalesce({FILLED("superseded_by")}, '') AS n_succ, coalesce({FILLED("retrieved")}, '{TODAY}') AS n_retr FROM lib),
 norm AS (SELECT *, coalesce({FILLED("status")}, CASE WHEN n_succ <> '' THEN 'superseded' ELSE 'active' END) AS n_stat, CASE WHEN original_kind = 'snapshot' THEN 'true' ELSE 'false' END AS n_snap,
   CASE WHEN regexp_matches(currency_check, '^\\d{{4}}-\\d\\d-\\d\\d$') AND currency_check <= '{TODAY}' THEN currency_check ELSE n_retr END AS n_curr,
-  CASE source_type WHEN 'Essay' THEN 'article' WHEN 'working-paper' THEN 'paper' WHEN 'preprint' THEN 'paper' ELSE source_type END AS n_kind FROM n0)"""
+  CASE source_type WHEN 'essay' THEN 'article' WHEN 'working-paper' THEN 'paper' WHEN 'preprint' THEN 'paper' ELSE source_type END AS n_kind FROM n0)"""
 
 
 @register(NORMAL + """ SELECT rel_path, array_to_string(list_filter([
@@ -135,7 +140,7 @@ def normalize_notes(spark, d):
 ERRORS = """list_filter([CASE WHEN title IS NULL THEN 'title is empty' END, CASE WHEN tldr = '' THEN 'tldr is empty' END, CASE WHEN date = '' THEN 'date is empty' END,
   CASE WHEN n_kind NOT IN ('paper', 'documentation', 'article', 'report', 'book-chapter', 'opinion', 'book') THEN 'unknown source_type: ' || n_kind END,
   CASE WHEN n_stat NOT IN ('active', 'superseded', 'retracted', 'withdrawn') THEN 'unknown status: ' || n_stat END, CASE WHEN n_stat = 'superseded' AND n_succ = '' THEN 'superseded without successor' END,
-  CASE WHEN discovered_via = 'somewhere' THEN 'bad discovered_via' END, CASE WHEN date = 'soon' THEN 'bad date' END, CASE WHEN category <> folder THEN 'category is not the folder' END,
+  CASE WHEN discovered_via IN ('', 'somewhere') THEN 'bad discovered_via' END, CASE WHEN date = 'soon' THEN 'bad date' END, CASE WHEN category <> folder THEN 'category is not the folder' END,
   CASE WHEN slug <> slug_folder THEN 'slug is not the folder' END, CASE WHEN k % 6 = 0 THEN 'no authors' END, CASE WHEN k % 6 = 5 THEN 'et al. among authors' END, CASE WHEN k % 6 = 3 THEN 'author not as Last, First' END,
   CASE WHEN k % 7 = 3 AND k % 6 IN (1, 2, 3, 4) AND k % 6 NOT IN (1, 4) THEN 'first author differs' END, CASE WHEN k % 7 = 3 AND k % 6 IN (2, 4) THEN 'number of authors differs' END], lambda x: x IS NOT NULL)"""
 
@@ -154,7 +159,7 @@ def backfills(spark, d):
     return a.union(records.backfilled_authors(lib).select("rel_path", F.lit("author"), F.element_at("authors", 1)))
 
 
-@register(f"{LIB} SELECT rel_path, 'deleted: ' || coalesce(title, slug) || ' (' || CASE k % 6 WHEN 4 THEN 'Stone et al.' ELSE {BYLINE} END || ')' AS text, row_number() OVER (ORDER BY rel_path) AS seq, (SELECT count(*) FROM lib) - count(*) OVER () AS left_over FROM lib WHERE k % 50 = 7")
+@register(f"{LIB} SELECT rel_path, 'Removed ' || coalesce('*' || title || '*', '`' || folder || '/' || slug || '`') || ' from `' || folder || '/' || slug || '/`. Deleted via the dashboard.' AS text, row_number() OVER (ORDER BY rel_path) AS seq, (SELECT count(*) FROM lib) - count(*) OVER () AS left_over FROM lib WHERE k % 50 = 7")
 def deletions(spark, d):
     """Requests that are safe and name a record, with the changelog's text and how many records are left."""
     lib = library(spark, d)
@@ -355,6 +360,21 @@ def preprint_view(spark, d):
     return preprints.view(looked_like(lib), checks_of(lib), NOW)
 
 
+@register(f"{LIB}, {CHECKS} SELECT rel_path, title, status, checked_at FROM checks")
+def cache_file(spark, d):
+    """The cache written as its one JSON file and read back."""
+    checks = checks_of(library(spark, d)).withColumn("status", F.when(F.col("status") == "", "unknown").otherwise(F.col("status")))
+    path = scratch(spark, "cache")
+    source.checks_text(checks).write.text(path)
+    return source.read_checks(spark, path).select("rel_path", "title", "status", "checked_at")
+
+
+@register(f"{LIB}, {CHECKS} SELECT rel_path FROM checks WHERE status = 'published' AND rel_path IN (SELECT rel_path FROM lib)")
+def published_entries(spark, d):
+    lib = library(spark, d)
+    return intake.published(checks_of(lib), lib).select("rel_path")
+
+
 @register(f"""{LIB}, {CHECKS}, {LOOKED}, u AS (SELECT count(*) AS n FROM looked WHERE rel_path NOT IN (SELECT rel_path FROM checks))
 SELECT count(*) + max(u.n) AS total, count(*) FILTER (status = 'published') AS published, count(*) FILTER (status = 'preprint-only') AS preprint_only, count(*) FILTER (status = 'unknown') AS unknown, count(*) FILTER (status = 'error') AS error, max(u.n) AS unchecked, max(checked_at) AS newest FROM checks, u""")
 def preprint_view_stats(spark, d):
@@ -389,7 +409,8 @@ def preprint_checks(spark, d):
     shop = place(F.lit("https://books.example/x"), False, "", "ebook platform", "Book Shop")
     journal = place(F.concat(F.lit("https://doi.org/10.7777/R."), "k", F.lit("?x")), True, "publishedVersion", "journal", "Rock Letters")
     first = F.when(F.size("authors") > 0, F.element_at("authors", 1)).otherwise("Nobody Known")
-    people = F.when(c("k") % 16 == 4, F.array(F.struct(F.struct(F.lit("Else, Someone").alias("display_name")).alias("author")))).otherwise(F.array(F.struct(F.struct(first.alias("display_name")).alias("author"))))
+    spoken = F.concat(F.lit("A. "), F.element_at(names.surnames(F.array(first)), 1))
+    people = F.when(c("k") % 16 == 4, F.array(F.struct(F.struct(F.lit("Someone Else").alias("display_name")).alias("author")))).otherwise(F.array(F.struct(F.struct(spoken.alias("display_name")).alias("author"))))
     places = F.when(c("k") % 16 == 8, F.array(own)).otherwise(F.array(own, shop, journal))
     work = F.struct(c("title").alias("title"), F.lit(None).cast("string").alias("display_name"), F.lit("https://doi.org/10.48550/x").alias("doi"), people.alias("authorships"), places.alias("locations"))
     answers = rows.select("rel_path", F.when(c("k") % 16 == 12, "timeout").alias("error"), F.array(work).cast(WORK).alias("works"))
@@ -544,6 +565,24 @@ def status_payload(spark, d):
     return out.withColumn("recent_cost", F.round("recent_cost", 4))
 
 
+@register(f"{LIB} SELECT rel_path FROM lib WHERE k % 20 > 11")
+def produced_files(spark, d):
+    """Records that were written after a run began."""
+    at = F.timestamp_seconds(F.lit(1_717_200_000) + F.col("k") % 20)
+    return intake.produced_since(library(spark, d).withColumn("modified", at), "2024-06-01 00:00:11").select("rel_path")
+
+
+@register(f"{LIB}, r AS (SELECT *, row_number() OVER (ORDER BY k) AS place FROM lib WHERE k % 20 = 0) SELECT place, folder || '/' || slug AS key, 'Cite ' || k AS short_cite, '3.1, A.' || k AS cited_in FROM r")
+def reference_blocks(spark, d):
+    """A Markdown file of references written and read back."""
+    c = F.col
+    block = F.concat(F.lit("### Cite "), "k", F.lit("\n**Library path:** `library/"), "folder", F.lit("/"), "slug", F.lit("/`\n**Cited in:** §3.1 and A."), "k", F.lit("\n"))
+    rows = library(spark, d).filter("k % 20 = 0").agg(F.sort_array(F.collect_list(F.struct("k", block.alias("b")))).alias("e"))
+    path = scratch(spark, "references")
+    rows.select(F.concat(F.lit("# References\n"), F.array_join("e.b", "")).alias("value")).write.text(path)
+    return source.read_references(spark, path).select(c("place").cast("long").alias("place"), "key", "short_cite", joined(c("cited_in"), ", ").alias("cited_in"))
+
+
 # -- lifecycle and console -----------------------------------------------------------------------------------------------
 
 
@@ -639,26 +678,28 @@ def _cards(spark, d):
     digest = spark.createDataFrame([(0, 0, 6, 25, None)], "flagged int, landed int, added int, dismissed int, error string")
     backups = spark.createDataFrame([("ok", 12.0, 3, 0, "ok", 80.04, None)], "outcome string, age_hours double, uncommitted int, unpushed int, sync_outcome string, sync_age_hours double, error string")
     c = F.col
-    gate = read(spark, d, "documents").filter("doc_id % 2 = 0").select(F.when(c("doc_id") % 4 == 0, F.concat((c("doc_id") % 40).cast("string"), F.lit(".1"))).otherwise("A.2").alias("id"), F.lpad(c("doc_id").cast("string"), 7, "0").alias("file"), (c("doc_id") % 6 == 0).alias("done"))
+    own = F.lpad(c("doc_id").cast("string"), 7, "0")
+    file = F.when(c("source").isin("src2", "src4"), own).otherwise(F.concat(F.lit("docs/"), (c("doc_id") % 40).cast("string"), F.lit("-"), own))
+    gate = read(spark, d, "documents").filter("doc_id % 2 = 0").select(file.alias("file"), (c("doc_id") % 6 == 0).alias("done"))
     return lifecycle.cards(_signals(spark, d), digest, backups, gate, NOW)
 
 
-_TOP = "coalesce(array_to_string(list_sort(list(entry) FILTER (r <= 8)) || CASE WHEN max(n) > 8 THEN ['…and ' || (max(n) - 8) || ' more'] ELSE [] END, '; '), '')"
+_ALL = "coalesce(array_to_string(list_sort(list(entry) FILTER (entry IS NOT NULL)), '; '), '')"
 CARDS = f"""
-WITH s AS (SELECT source, doc_id, CASE source WHEN 'src3' THEN 'derived/' ELSE '' END || lpad(doc_id::VARCHAR, 7, '0') || CASE WHEN source = 'src0' AND doc_id % 3 = 0 THEN ' (over 14 days)' ELSE '' END AS entry FROM documents),
+WITH s AS (SELECT source, doc_id, CASE source WHEN 'src3' THEN 'derived/' ELSE '' END || lpad(doc_id::VARCHAR, 7, '0') || CASE WHEN source = 'src0' AND doc_id % 3 = 0 THEN ' · over 14 days' ELSE '' END AS entry FROM documents),
 cards AS (SELECT * FROM (VALUES (5, 'triage', 'src0'), (6, 'triage-approved', 'src1'), (7, 'retired-cites', 'src2'), (8, 'drift-guides', 'src3'), (9, 'drift-sections', 'src4'), (10, 'unaudited', 'src5'), (11, 'currency', 'none'), (12, 'overdue', 'src6')) v(place, key, source)),
-listed AS (SELECT place, key, entry, row_number() OVER (PARTITION BY place ORDER BY entry) AS r, count(entry) OVER (PARTITION BY place) AS n FROM cards LEFT JOIN s ON s.source = cards.source),
-g AS (SELECT lpad(doc_id::VARCHAR, 7, '0') AS entry, CASE WHEN source IN ('src2', 'src4') THEN 0 WHEN doc_id % 4 = 0 AND doc_id % 40 BETWEEN 10 AND 29 THEN 1 ELSE 2 END AS p FROM documents WHERE doc_id % 2 = 0 AND doc_id % 6 <> 0),
+listed AS (SELECT place, key, entry, count(entry) OVER (PARTITION BY place) AS n FROM cards LEFT JOIN s ON s.source = cards.source),
+g AS (SELECT CASE WHEN source IN ('src2', 'src4') THEN '' ELSE 'docs/' || (doc_id % 40) || '-' END || lpad(doc_id::VARCHAR, 7, '0') AS entry, CASE WHEN source IN ('src2', 'src4') THEN 0 WHEN doc_id % 40 BETWEEN 10 AND 29 THEN 1 ELSE 2 END AS p FROM documents WHERE doc_id % 2 = 0 AND doc_id % 6 <> 0),
 q AS (SELECT entry, row_number() OVER (ORDER BY p, entry) AS r, count(*) OVER () AS n FROM g),
-every AS (SELECT place, key, CASE WHEN max(n) > 0 THEN 'warn' ELSE 'ok' END AS severity, max(n) AS count, {_TOP} AS entries FROM listed GROUP BY place, key
-  UNION ALL SELECT 20, 'gate-c', 'warn', max(n), array_to_string(list(entry ORDER BY r) FILTER (r <= 8) || CASE WHEN max(n) > 8 THEN ['…and ' || (max(n) - 8) || ' more'] ELSE [] END, '; ') FROM q
-  UNION ALL SELECT * FROM (VALUES (0, 'backup-digest', 'ok', NULL, ''), (1, 'backup-library', 'bad', 3, ''), (2, 'digest-flags', 'ok', 0, ''), (3, 'recalibrate', 'warn', 6, '')) v)"""
+every AS (SELECT place, key, CASE WHEN max(n) > 0 THEN 'warn' ELSE 'ok' END AS severity, max(n)::VARCHAR AS count, {_ALL} AS entries FROM listed GROUP BY place, key
+  UNION ALL SELECT 20, 'gate-c', 'warn', (SELECT count(*) FILTER (doc_id % 6 = 0) || '/' || count(*) FROM documents WHERE doc_id % 2 = 0), array_to_string(list(entry ORDER BY r) FILTER (r <= 8) || CASE WHEN max(n) > 8 THEN ['…and ' || (max(n) - 8) || ' more'] ELSE [] END, '; ') FROM q
+  UNION ALL SELECT * FROM (VALUES (0, 'backup-digest', 'ok', '12.0h', ''), (1, 'backup-library', 'bad', '3', ''), (2, 'digest-flags', 'ok', '0', ''), (3, 'recalibrate', 'warn', '6/25', '')) v)"""
 
 
-@register(f"{CARDS} SELECT place::INTEGER AS place, key, severity, coalesce(count, -1)::BIGINT AS count, entries FROM every")
+@register(f"{CARDS} SELECT place::INTEGER AS place, key, severity, count, entries FROM every")
 def topn_overflow(spark, d):
     """The console's cards with their first entries and how many more there are."""
-    return _cards(spark, d).select("place", "key", "severity", F.coalesce("count", F.lit(-1)).alias("count"), joined(F.col("entries")).alias("entries"))
+    return _cards(spark, d).select("place", "key", "severity", "count", joined(F.col("entries")).alias("entries"))
 
 
 @register(f"{CARDS} SELECT count(*) FILTER (severity <> 'ok') AS need, count(*) FILTER (severity = 'bad') AS urgent FROM every")
@@ -671,7 +712,7 @@ def console_notification(spark, d):
     return lifecycle.notification(_cards(spark, d), "http://c")
 
 
-TITLES = "CASE key WHEN 'backup-library' THEN 'Library backup' WHEN 'recalibrate' THEN 'Judge recalibration' WHEN 'triage' THEN 'Proposed triage reports' WHEN 'triage-approved' THEN 'Approved triage to apply' WHEN 'retired-cites' THEN 'Citations of retired sources' WHEN 'drift-guides' THEN 'Guides behind the synthesis' WHEN 'drift-sections' THEN 'Sections behind the synthesis' WHEN 'unaudited' THEN 'Sources not audited' WHEN 'overdue' THEN 'Sections overdue' WHEN 'gate-c' THEN 'Review queue' END"
+TITLES = "CASE key " + " ".join(f"WHEN '{k}' THEN '{t}'" for k, t in [*lifecycle.OTHER_TITLES.items(), *((k, t) for k, t, _ in lifecycle.LIST_CARDS)]) + " END"
 
 
 @register(f"""{CARDS}, l AS (SELECT 0 AS a, 0 AS b, 'Currency console — {TODAY}' AS line UNION ALL SELECT 0, 1, 'http://c' UNION ALL SELECT 0, 2, '' UNION ALL SELECT 1, CASE severity WHEN 'bad' THEN 0 ELSE 1000 END + place, '[' || upper(severity) || '] ' || {TITLES} || ': ' || count FROM every WHERE severity <> 'ok'
@@ -684,7 +725,7 @@ def console_text(spark, d):
 # -- texts, names, identifiers -------------------------------------------------------------------------------------------
 
 
-@register(f"{LIB} SELECT rel_path, {BYLINE} AS byline, CASE k % 6 WHEN 4 THEN 'Stone et al.' ELSE {BYLINE} END AS short, CASE k % 6 WHEN 0 THEN '' WHEN 1 THEN 'stone' WHEN 2 THEN 'gao, hill' WHEN 3 THEN 'lee' WHEN 4 THEN 'stone, hill, institute, lee, moss' ELSE 'lee, al.' END AS surnames FROM lib")
+@register(f"{LIB} SELECT rel_path, {BYLINE} AS byline, CASE k % 6 WHEN 0 THEN 'unattributed' WHEN 3 THEN 'Ann Lee' WHEN 4 THEN 'Stone et al.' WHEN 5 THEN 'Lee, et al.' ELSE {BYLINE} END AS short, CASE k % 6 WHEN 0 THEN '' WHEN 1 THEN 'stone' WHEN 2 THEN 'gao, hill' WHEN 3 THEN 'lee' WHEN 4 THEN 'stone, hill, institute, lee, moss' ELSE 'lee, al.' END AS surnames FROM lib")
 def authors_et_al(spark, d):
     a = F.col("authors")
     return library(spark, d).select("rel_path", names.byline(a).alias("byline"), names.changelog_byline(a).alias("short"), joined(names.surnames(a), ", ").alias("surnames"))
@@ -698,7 +739,7 @@ def author_kinds(spark, d):
 
 
 @register(r"""
-SELECT p_partkey, lower(replace(p_name, ' ', '-')) || '-' || p_partkey || '.v2' AS kebab, p_name || ' ' || p_brand AS search, 'a\|' || p_name || ' b' AS cell, p_size || '.1, B.' || p_size AS sections, 'log_' || replace(p_name, ' ', '_') || '_.x-1' AS safe,
+SELECT p_partkey, lower(replace(p_name, ' ', '-')) || '-' || p_partkey || '.v2' AS kebab, p_name || ' ' || p_brand AS search, 'a\|' || p_name || ' b' AS cell, p_size || '.1, B.' || p_size || ', 3' AS sections, 'log_' || replace(p_name, ' ', '_') || '_.x-1' AS safe,
   p_name || '.pdf' AS unstaged, right(p_name, 5) AS tail, left(p_name, 6) || '…' AS snippet, '"' || p_name || ' \"q\" \\ "' AS json, '"' || p_name || ' q  "' AS yaml FROM part""")
 def text_functions(spark, d):
     n = F.col("p_name")

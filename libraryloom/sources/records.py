@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from libraryloom.functions.text import snippet, tail
+from libraryloom.functions.text import section_ids, snippet, tail
 
 SUMMARY = ".summary.md"
 HIDDEN = "^[._]"
@@ -31,6 +31,11 @@ def front_matter(body: Column) -> Column:
     return F.when(body.startswith("---\n") & (end > 0), F.substring(body, F.lit(5), end - F.lit(4)))
 
 
+def front_matter_head(body: Column, window: int = 65_536) -> Column:
+    """As ``front_matter``, from the first characters; the whole text is searched only where the block is longer."""
+    return F.coalesce(front_matter(F.left(body, F.lit(window))), front_matter(body))
+
+
 def body_after(body: Column) -> Column:
     end = F.locate("\n---\n", body, 4)
     return F.when(body.startswith("---\n") & (end > 0), F.substring(body, end + F.lit(5), F.length(body)))
@@ -103,19 +108,23 @@ def scan_library(spark: SparkSession, root: str, hidden: bool = False) -> DataFr
 
 
 def originals(spark: SparkSession, root: str) -> DataFrame:
-    """rel_path and original_kind: pdf before snapshot. A snapshot that only announces a candidate is none."""
+    """rel_path, original_kind, original_hash and has_snapshot: pdf before snapshot. A snapshot that only announces a candidate is none."""
     own = F.concat(F.concat_ws("/", "category", "slug", "slug"), F.lit(SUMMARY))
     pdf = files(spark, root, "*.pdf").filter(F.col("file") == F.concat("slug", F.lit(".pdf"))).select(own.alias("rel_path"), F.lit(1).alias("rank"), F.sha2("bytes", 256).alias("original_hash"))
     note = line_scalar(front_matter(F.col("bytes").cast("string")), "status") == "candidate-for-intake"
-    shot = files(spark, root, "*.snapshot.md").filter((F.col("file") == F.concat("slug", F.lit(".snapshot.md"))) & ~F.coalesce(note, F.lit(False)))
-    shot = shot.select(own.alias("rel_path"), F.lit(2).alias("rank"), F.sha2("bytes", 256).alias("original_hash"))
+    shot = files(spark, root, "*.snapshot.md").filter(F.col("file") == F.concat("slug", F.lit(".snapshot.md")))
+    shot = shot.select(own.alias("rel_path"), F.when(F.coalesce(note, F.lit(False)), 3).otherwise(2).alias("rank"), F.sha2("bytes", 256).alias("original_hash"))
     return best_original(pdf.union(shot))
 
 
 def best_original(found: DataFrame) -> DataFrame:
-    """rel_path, original_kind and original_hash from rows of rel_path, rank (1: pdf, 2: snapshot) and original_hash."""
-    best = found.groupBy("rel_path").agg(F.min(F.struct("rank", "original_hash")).alias("b"))
-    return best.select("rel_path", F.when(F.col("b.rank") == 1, "pdf").otherwise("snapshot").alias("original_kind"), "b.original_hash")
+    """rel_path, original_kind, original_hash and has_snapshot from rows of rel_path, rank and original_hash.
+
+    Rank 1 is a pdf, 2 a snapshot, and 3 a snapshot that is no original.
+    """
+    best = found.groupBy("rel_path").agg(F.min(F.struct("rank", "original_hash")).alias("b"), (F.max("rank") > 1).alias("has_snapshot"))
+    kind = F.when(F.col("b.rank") == 1, "pdf").when(F.col("b.rank") == 2, "snapshot")
+    return best.select("rel_path", kind.alias("original_kind"), F.when(kind.isNotNull(), F.col("b.original_hash")).alias("original_hash"), "has_snapshot")
 
 
 RUN = "ts string, input_name string, outcome string, output_paths array<string>, error_excerpt string, cost_usd double, duration_ms bigint"
@@ -198,20 +207,35 @@ def read_checks(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.explode("m").alias("rel_path", "c")).select("rel_path", "c.*")
 
 
+def checks_text(checks: DataFrame) -> DataFrame:
+    """One row, value: a cache of preprint checks as the JSON map that ``read_checks`` reads, in the order of the paths.
+
+    The cache is one file, so its text is one row; tables of other sizes are published by ``versions.publish``.
+    """
+    fields = [c for c in checks.columns if c != "rel_path"]
+    entry = F.struct("rel_path", F.struct(*fields).alias("c"))
+    return checks.agg(F.sort_array(F.collect_list(entry)).alias("e")).select(F.to_json(F.map_from_entries("e")).alias("value"))
+
+
 def read_references(spark: SparkSession, path: str) -> DataFrame:
-    """key, short_cite and cited_in from a Markdown file of blocks that start with a third-level heading."""
+    """place, key, short_cite and cited_in from a Markdown file of blocks that start with a third-level heading.
+
+    Blocks without a path into the library are left out. Of blocks with one path the last one says what is cited, at the
+    place of the first.
+    """
     blocks = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "(?m)^### ")).alias("place", "block")).filter("place > 0")
-    key = F.trim(F.regexp_replace(F.regexp_extract("block", "\\*\\*Library path:\\*\\*[ \\t]*(.*)", 1), "[`]", ""))
-    cited = F.regexp_extract("block", "\\*\\*Cited in:\\*\\*[ \\t]*(.*)", 1)
-    ids = F.regexp_extract_all(cited, F.lit("([0-9A-Z]+\\.[0-9]+)"), 1)
-    return blocks.select("place", F.regexp_replace(key, "/+$", "").alias("key"), F.trim(F.substring_index("block", "\n", 1)).alias("short_cite"), ids.alias("cited_in"))
+    key = F.regexp_extract("block", "\\*\\*Library path:\\*\\*\\s*`library/([^/`]+/[^/`]+)/?`", 1)
+    cited = section_ids(F.regexp_extract("block", "\\*\\*Cited in:\\*\\*\\s*(.+)", 1))
+    rows = blocks.select("place", key.alias("key"), F.trim(F.substring_index("block", "\n", 1)).alias("short_cite"), cited.alias("cited_in")).filter("key <> ''")
+    rows = rows.groupBy("key").agg(F.min("place").alias("place"), F.max(F.struct("place", "short_cite", "cited_in")).alias("x"))
+    return rows.select("place", "key", "x.short_cite", "x.cited_in")
 
 
 def read_sections(spark: SparkSession, root: str) -> DataFrame:
-    """file and key: the library paths that each section document names in its front matter; drafts are left out."""
+    """file and key: the paths into the library that each section document names in its front matter; drafts are left out."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").load(root)
     rows = rows.filter(~F.col("path").endswith(".draft.md"))
-    keys = F.regexp_extract_all(front_matter(F.col("content").cast("string")), F.lit("library_path:[ \\t]*[\"']?([^\"'\\n]+)"), 1)
+    keys = F.regexp_extract_all(front_matter(F.col("content").cast("string")), F.lit("library_path:\\s*[\"']?library/([^\"'\\n]+)"), 1)
     return rows.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.explode(keys).alias("key")).select("file", F.regexp_replace(F.trim("key"), "/+$", "").alias("key")).distinct()
 
 

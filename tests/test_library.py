@@ -15,7 +15,7 @@ from libraryloom.functions import front, identifiers, measures, names, similarit
 from libraryloom.operators import intake, lifecycle, matching, mirror, preprints, records
 from libraryloom.sources import listings, versions
 from libraryloom.sources import records as source
-from libraryloom.streaming import inbox, tail
+from libraryloom.streaming import inbox, memo, tail
 
 DAY = "2024-06-01"
 
@@ -62,8 +62,8 @@ def test_scan(library):
 
 def test_index_and_audit(spark, library):
     lines = [r.line for r in records.index_lines(library, ("tides",), spark.createDataFrame([("tides",), ("empty",)], "category string")).orderBy("place").collect()]
-    assert lines[0] == "## tides (2)" and "Moon and tides" in lines[3] and "(superseded)" in lines[4] and lines[-1] == "- empty (empty)"
-    assert "Short \\| words" in lines[3]
+    assert lines[:6] == ["# Source Index", "", "## tides", "", "| Title | Tl;dr | Author(s) | Year |", "|-------|-------|-----------|------|"]
+    assert lines[6] == "| [Moon and tides](tides/moon/moon.summary.md) | Short \\| words | Stone | 2024 |" and " · *superseded → moon* |" in lines[7] and lines[8:10] == ["", "## rocks"] and lines[-4:] == ["## empty", "", "*No sources yet.*", ""]
     links = spark.createDataFrame([("tides/moon/moon.summary.md",), ("gone/x/x.summary.md",)], "rel_path string")
     found = {(r.rel_path, r.issue) for r in records.audit(library, links).collect()}
     assert ("gone/x/x.summary.md", "orphan-link") in found and ("tides/old/old.summary.md", "unindexed") in found and ("rocks/broken/broken.summary.md", "corrupt") in found and ("rocks/bad/bad.summary.md", "missing-original") in found
@@ -71,14 +71,14 @@ def test_index_and_audit(spark, library):
 
 
 def test_index_of_nothing(library):
-    assert [r.line for r in records.index_lines(library.filter("false")).collect()] == ["No sources yet"]
+    assert [r.line for r in records.index_lines(library.filter("false")).collect()] == ["# Source Index", "", "*No sources yet.*"]
 
 
 def test_validation(library):
     rows = {r.rel_path.split("/")[1]: r for r in records.validated(library, DAY).collect()}
     assert rows["moon"].valid and rows["moon"].notes == []
     assert rows["old"].status == "superseded" and rows["old"].valid
-    assert rows["bad"].source_type == "article" and set(rows["bad"].errors) == {"bad date", "category is not the folder", "author not as Last, First"}
+    assert rows["moon"].snapshot == "false" and rows["bad"].source_type == "article" and set(rows["bad"].errors) == {"bad date", "category is not the folder", "author not as Last, First"}
     assert rows["arx"].source_type == "paper" and rows["arx"].retrieved == DAY
 
 
@@ -154,12 +154,17 @@ def test_cards(spark):
     signals = spark.createDataFrame([("triage_proposed", "r1"), ("triage_stale", "r1"), ("synthesis_drift", "derived/g.md"), *[("unaudited_sources", f"s{i:02}") for i in range(11)]], "signal string, entry string")
     digest = spark.createDataFrame([(2, 0, 1, 1, None)], "flagged int, landed int, added int, dismissed int, error string")
     backups = spark.createDataFrame([("ok", 40.0, 0, 0, None, None, None)], "outcome string, age_hours double, uncommitted int, unpushed int, sync_outcome string, sync_age_hours double, error string")
-    gate = spark.createDataFrame([("12.1", "b.md", False), ("3", "a.md", False), ("5", "c.md", True)], "id string, file string, done boolean")
+    gate = spark.createDataFrame([("docs/12-b.md", False), ("docs/3-a.md", False), ("c.md", True), ("derived/g.md", False)], "file string, done boolean")
     rows = lifecycle.cards(signals, digest, backups, gate, DAY).collect()
     by = {r.key: r for r in rows}
     assert len(rows) == 13 and rows[0].key == "backup-digest" and by["backup-digest"].severity == "bad" and by["backup-library"].severity == "ok"
-    assert by["triage"].entries == ["r1 (over 14 days)"] and by["drift-guides"]["count"] == 1 and by["drift-sections"].severity == "ok"
-    assert by["unaudited"].entries[-1] == "…and 3 more" and by["gate-c"].entries == ["b.md", "a.md"]
+    assert by["triage"].entries == ["r1 · over 14 days"] and by["drift-guides"]["count"] == "1" and by["drift-sections"].severity == "ok"
+    assert by["backup-digest"]["count"] == "40.0h" and by["digest-flags"]["count"] == "2" and by["recalibrate"]["count"] == "1/1"
+    assert len(by["unaudited"].entries) == 11 and by["gate-c"].entries == ["derived/g.md", "docs/12-b.md", "docs/3-a.md"] and by["gate-c"]["count"] == "1/4"
+    many = lifecycle.cards(signals, digest, backups, spark.createDataFrame([(f"s{k}", False) for k in range(10)], "file string, done boolean"), DAY)
+    assert many.filter("key = 'gate-c'").first().entries[-1] == "…and 2 more"
+    lost = lifecycle.cards(signals, spark.createDataFrame([(None, None, None, None, "unreachable")], "flagged int, landed int, added int, dismissed int, error string"), backups, gate, DAY)
+    assert {r.key: (r.severity, r["count"], r.error) for r in lost.collect() if r.key in ("digest-flags", "recalibrate")} == {"digest-flags": ("warn", "—", "unreachable")}
     broken = lifecycle.cards(spark.createDataFrame([("error", "no repo")], "signal string, entry string"), digest, backups, gate, DAY)
     assert {r.key: r.error for r in broken.collect()}["health"] == "no repo" and broken.filter("key = 'triage'").count() == 0
     assert lifecycle.attention(lifecycle.cards(signals, digest, backups, gate, DAY)).first().urgent == 1
@@ -189,9 +194,10 @@ def test_sources(spark, tmp_path):
     assert [r.input_name for r in source.read_runs(spark, str(tmp_path / "runs.jsonl"), 1).collect()] == ["b"]
     (tmp_path / "cache.json").write_text(json.dumps({"x/y": {"title": "T", "status": "published", "match_score": 0.9}}))
     assert source.read_checks(spark, str(tmp_path / "cache.json")).first().status == "published"
-    (tmp_path / "refs.md").write_text("# Refs\n### Moon 2024\n**Library path:** `tides/moon/`\n**Cited in:** 3.1, A.2\n### None\n")
+    (tmp_path / "refs.md").write_text("# Refs\n### Moon 2024\n**Library path:** `library/tides/moon/`\n**Cited in:** Sections 3.1, A.2, 7 and Z\n### None\n### Moon 2025\n**Library path:** `library/tides/moon`\n**Cited in:** B\n")
     r = source.read_references(spark, str(tmp_path / "refs.md")).orderBy("place").collect()
-    assert (r[0].key, r[0].short_cite, r[0].cited_in) == ("tides/moon", "Moon 2024", ["3.1", "A.2"]) and r[1].cited_in == []
+    assert [tuple(x) for x in r] == [(1, "tides/moon", "Moon 2025", ["B"])]
+    assert value(spark, text.section_ids(F.lit("Sections 3.1, A.2, 7 and Z"))) == ["3.1", "A.2", "7"]
     lines = [json.dumps({"type": "meta", "kind": "start", "input": "a"}), "junk", json.dumps({"type": "assistant", "message": {"content": [{"type": "text", "text": "hi"}, {"type": "tool_use", "name": "Bash", "input": {"command": "ls\nx"}}, {"type": "tool_use", "name": "Odd", "input": {"p": "1", "q": "2", "r": "3"}}]}}), json.dumps({"type": "user"}), json.dumps({"type": "result", "subtype": "success", "duration_ms": 1500, "total_cost_usd": 0.25})]
     got = [(r.line, r.text) for r in source.events(spark.createDataFrame(list(enumerate(lines)), "line int, value string")).collect()]
     assert got == [(0, "started: a"), (1, "junk"), (2, "hi"), (2, "ls"), (2, "Odd(p, q)"), (4, "success (1.5s, $0.250)")]
@@ -377,6 +383,24 @@ def test_status_and_health_files(spark, tmp_path):
     assert [tuple(x) for x in source.read_signals(spark, str(tmp_path / "bad.json")).collect()] == [("error", "unreadable health report")]
 
 
+def test_sections_and_heads(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "s1.md").write_text("---\nsources_used:\n  - library_path: \"library/tides/moon/\"\n  - library_path: library/rocks/x\n---\n- library_path: not/this\n")
+    (tmp_path / "a" / "s2.draft.md").write_text("---\nsources_used:\n  - library_path: tides/old\n---\n")
+    (tmp_path / "s3.md").write_text("no block\n")
+    assert sorted(map(tuple, source.read_sections(spark, str(tmp_path)).collect())) == [("s1.md", "rocks/x"), ("s1.md", "tides/moon")]
+    long = "---\ntitle: " + "x" * 100 + "\n---\nbody"
+    for window in (10, 1000):
+        assert value(spark, source.front_matter_head(F.lit(long), window)) == "title: " + "x" * 100 + "\n"
+    assert value(spark, source.front_matter_head(F.lit("text"), 10)) is None
+
+
+def test_remembered_results(spark):
+    calls = []
+    cards = memo.Remembered(lambda: calls.append(1) or spark.range(len(calls)), 600)
+    assert [cards.get(at).count() for at in (0, 599, 600, 700)] == [1, 1, 2, 2] and cards.get(701, force=True).count() == 3
+
+
 def test_lone_candidates(spark):
     items = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(v).alias("v")) for n, v in (("a", 1), ("b", 3), ("c", 3))])
     best = value(spark, matching.stable_argmax(items, lambda x: x["v"]))
