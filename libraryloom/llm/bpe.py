@@ -149,7 +149,7 @@ def compile_lexicon(tokenizer_json: str) -> bytes:
     arrays["token_at"] = np.cumsum([0, *map(len, text)]).astype(np.int64)
     arrays["token_bytes"] = np.frombuffer(b"".join(text), dtype=np.uint8)
     special = [t["id"] for t in spec["added_tokens"] if t["special"]]
-    return pack(arrays | {"special": np.array(special, dtype=np.int32)})
+    return pack(arrays | {"special": np.array(special, dtype=np.int32), "kinds": letter_classes()})
 
 
 def merge_words(words: list[bytes], a: dict[str, np.ndarray]) -> list[bytes]:
@@ -332,6 +332,11 @@ def lowered(text: str) -> str:
     """The text as the tokenizer's normaliser gives it, but for white space: composed, and lower-case letter by letter."""
     if text.isascii():
         return text.lower()
+    try:
+        text.encode("latin-1")
+        return text.lower()  # composed already
+    except UnicodeEncodeError:
+        pass
     text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # so that no final sigma comes out
     return (text.translate(LOWER) if YOUNG.search(text) else text).lower()
 
@@ -353,12 +358,11 @@ class Encoder:
 
     def __init__(self, raw: bytes) -> None:
         self.a = unpack(mapped(raw))
-        at, text = self.a["token_at"].tolist(), self.a["token_bytes"].tobytes()
-        self.tokens = [text[i:j].decode() for i, j in zip(at, at[1:], strict=False)]
-        self.special = {self.tokens[i]: int(i).to_bytes(4, "little") for i in self.a["special"].tolist()}
+        self.tokens: list[str] = []  # made when something is decoded
+        self.special = {self.token(i): int(i).to_bytes(4, "little") for i in self.a["special"].tolist()}
         self.is_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.marks = tuple({s[:2] for s in self.special})
-        self.kinds = letter_classes()
+        self.kinds = self.a["kinds"]
         self.table = WordTable()
         self.depth = automaton_depth(self.a)
         self.wide: dict[bytes, bytes] = {}  # ids of words of more than 15 bytes
@@ -367,6 +371,9 @@ class Encoder:
         first, label = self.a["first"].astype(np.int64), self.a["label"].astype(np.int64)
         self.edges = np.repeat(np.arange(len(first) - 1), np.diff(first)) * 256 + label
 
+    def token(self, i: int) -> str:
+        return self.a["token_bytes"][self.a["token_at"][i] : self.a["token_at"][i + 1]].tobytes().decode()
+
     def lookup(self, raw: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The id of each word (a row of bytes) that the automaton holds as a whole, else -1; all words step together."""
         out = np.full(len(raw), -1, dtype=np.int64)
@@ -567,6 +574,9 @@ class Encoder:
 
     def decode(self, ids: bytes) -> str:
         """The text of ids as the tokenizer file's own decoding gives it: token strings joined by one space."""
+        if not self.tokens:
+            at, text = self.a["token_at"].tolist(), self.a["token_bytes"].tobytes()
+            self.tokens = [text[i:j].decode() for i, j in zip(at, at[1:], strict=False)]
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 

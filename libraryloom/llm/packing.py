@@ -3,8 +3,8 @@
 Sizes are whole numbers up to the capacity, so an instance of any number of pieces is a histogram of at most
 ``capacity`` counts. The driver solves the histogram: a Martello-Toth dominance reduction fixes small sets that
 provably dominate every other set with the same largest piece, and best-fit decreasing packs what is left. The plan is
-a list of intervals (size, ranks, first sequence, offset); executors rank the pieces of each size and look their
-interval up. Only counts by size and the plan pass through the driver, both bounded by the capacity.
+a list of intervals (size, ranks, first sequence, offset); Spark ranks the pieces of each size and looks their interval
+up in a broadcast table of at most ``capacity`` rows. Only counts by size and the plan pass through the driver, both bounded by the capacity.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -195,21 +194,15 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, Plan]:
     ranked = items.withColumn("_rank", F.row_number().over(within) - 1).join(base, ["length", "_bucket"])
     ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_base"))
 
-    table = np.array(sorted(plan.intervals), dtype=np.int64).reshape(-1, 5)
-    shared = spark.sparkContext.broadcast(table)
+    steps: dict[int, list[tuple[int, int, int]]] = {}
+    for size, rank, _, sequence, offset in sorted(plan.intervals):
+        steps.setdefault(size, []).append((rank, sequence, offset))
+    where = "length long, steps array<struct<rank:long,sequence:long,offset:long>>"
+    where = F.broadcast(spark.createDataFrame([(size, found) for size, found in steps.items()], where))  # at most ``capacity`` rows
+    own = F.element_at(F.filter("steps", lambda s: s["rank"] <= F.col("_rank")), -1)
+    placed = ranked.join(where, "length").withColumn("_at", own)
     out = ["doc_id", "piece", "start", "length", "ids_crc32"]
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = shared.value
-        keys = (t[:, 0] << 48) + t[:, 1]
-        for batch in batches:
-            size, rank = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (3, 5))
-            at = np.searchsorted(keys, (size << 48) + rank, side="right") - 1
-            sequence, offset = t[at, 3] + rank - t[at, 1], t[at, 4]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=[*out, "sequence_id", "offset"])
-
-    placed = ranked.select(*out, "_rank").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
-    return placed, plan
+    return placed.select(*out, (F.col("_at.sequence") + F.col("_rank") - F.col("_at.rank")).alias("sequence_id"), F.col("_at.offset").alias("offset")), plan
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY) -> DataFrame:
