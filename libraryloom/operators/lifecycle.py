@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from libraryloom.functions import measures
+from libraryloom.operators.matching import places
 
 STALE_HOURS = 36
+#: Sequence numbers of a day's changelog that are ordered together.
+BUNCH = 10_000
 ENTRIES = 8
 READY = (5, 20)
 #: The console's list cards in order: key, title and the signal that they list.
@@ -136,11 +139,12 @@ def changelog(entries: DataFrame) -> DataFrame:
     """
     rows = entries.withColumn("day", F.date_format("at", "yyyy-MM-dd"))
     days = rows.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
-    last = days.agg(F.max("day").alias("last"))
-    head = days.crossJoin(F.broadcast(last)).select("day", F.lit(None).cast("long").alias("seq"), F.concat(F.lit("## "), "day", F.when(F.col("day") == F.col("last"), " (latest)").otherwise("")).alias("line"))  # one row
-    body = rows.select("day", F.col("seq").cast("long"), F.concat(F.lit("- "), "text").alias("line"))
-    order = Window.orderBy(F.desc("day"), F.col("seq").desc_nulls_first())  # a changelog is one ordered document
-    return head.union(body).select(F.row_number().over(order).cast("long").alias("place"), "line")
+    newest = Window.orderBy(F.desc("day"))  # a row for each day
+    days = days.withColumn("base", F.coalesce(F.sum(F.col("n") + 1).over(newest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_k", F.row_number().over(newest))
+    head = days.select((F.col("base") + 1).cast("long").alias("place"), F.concat(F.lit("## "), "day", F.when(F.col("_k") == 1, " (latest)").otherwise("")).alias("line"))
+    body = places(rows, ["day"], [F.floor(F.col("seq") / BUNCH)], [F.desc("seq")], "c")
+    body = body.join(days.select("day", "base"), "day")
+    return head.union(body.select((F.col("base") + 1 + F.col("c")).cast("long").alias("place"), F.concat(F.lit("- "), "text").alias("line")))
 
 
 def expired(archives: DataFrame, keep: int = 50) -> DataFrame:

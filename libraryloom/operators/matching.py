@@ -84,3 +84,21 @@ def containing(parts: DataFrame, wholes: DataFrame, separator: str = " ") -> Dat
     short = parts.join(long.select("part_id", "part"), ["part_id", "part"], "left_anti")
     rest = every_pair(short, wholes.filter("whole IS NOT NULL"), F.col("whole").contains(F.col("part"))).select("part_id", "whole_id")
     return found.union(rest).distinct()
+
+
+def places(rows: DataFrame, group: Sequence[str], bucket: Sequence[Column], within: Sequence[Column], name: str = "place") -> DataFrame:
+    """``rows`` with their place, from 1, in each group, in the order of ``within``; no task orders a whole group.
+
+    ``bucket``: the leading part of that order, descending, such as the first letters of its first columns. Rows are
+    ordered bucket by bucket, and only the buckets' sizes are added up along a group.
+    """
+    keys = [f"_b{k}" for k in range(len(bucket))]
+    for key, column in zip(keys, bucket, strict=True):
+        rows = rows.withColumn(key, column)
+    sizes = rows.groupBy(*group, *keys).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group).orderBy(*[F.desc(k) for k in keys]).rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy(*group, *keys).orderBy(*within))
+    equal = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in (*group, *keys)]
+    joined = rows.withColumn("_own", own).alias("r").join(base.alias("s"), equal)
+    return joined.select(*[f"r.{c}" for c in rows.columns if c not in keys], (F.col("s._base") + F.col("r._own")).alias(name))

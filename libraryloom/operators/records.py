@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from libraryloom.functions import measures as m
 from libraryloom.functions import names
 from libraryloom.functions.text import blank, escape_cell, matches_search
+from libraryloom.operators.matching import places
 from libraryloom.sources.records import line_scalar
 
 # Kinds of source and the spellings that mean them.
@@ -58,25 +59,29 @@ def index_lines(library: DataFrame, preferred: tuple[str, ...] = (), folders: Da
     link = F.concat(F.lit("["), escape_cell(F.col("title")), F.lit("]("), "rel_path", F.lit(")"), mark)
     cells = [link, dash(escape_cell(F.col("tldr"))), escape_cell(names.byline(F.col("authors"), most_authors)), dash(F.col("year"))]
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
-    within = Window.partitionBy("category").orderBy(F.desc("date"), F.desc("title"), "rel_path")
-    body = rows.select(rank.alias("a"), F.col("category").alias("b"), (F.row_number().over(within) + len(INDEX_TABLE)).alias("c"), line.alias("line"))
-
-    def fixed(groups: DataFrame, a: Column, lines: dict[int, Column]) -> DataFrame:
-        found = F.array(*[F.struct(F.lit(c).alias("c"), line.alias("line")) for c, line in lines.items()])
-        return groups.select(a.alias("a"), F.col("category").alias("b"), F.explode(found).alias("x")).select("a", "b", "x.c", "x.line")
-
-    top = {0: F.concat(F.lit("## "), "category")}
-    out = fixed(rows.select("category").distinct(), rank, top | {1 + k: F.lit(x) for k, x in enumerate(INDEX_TABLE)} | {10**9: F.lit("")}).union(body)
-    start = list(INDEX_HEAD)
+    order = [F.desc("date"), F.desc("title"), F.asc("rel_path")]
+    body = places(rows.select("category", "date", "title", "rel_path", line.alias("line")), ["category"], [F.left("date", F.lit(7)), F.left("title", F.lit(2))], order, "c")
     spark = rows.sparkSession
+    start = len(INDEX_HEAD)
+    head = spark.createDataFrame([(k + 1, x) for k, x in enumerate(INDEX_HEAD)], "place long, line string")
     if rows.isEmpty():
-        start.append(NO_SOURCES)
-    elif folders is not None:
-        empty = folders.select("category").subtract(rows.select("category"))
-        out = out.union(fixed(empty, F.lit(10**6), top | {1: F.lit(""), 2: F.lit(NO_SOURCES), 3: F.lit("")}))
-    out = out.union(spark.createDataFrame([(-1, "", k, x) for k, x in enumerate(start)], "a int, b string, c int, line string"))
-    order = Window.orderBy("a", "b", "c")  # a report is one ordered document
-    return out.select(F.row_number().over(order).cast("long").alias("place"), "line")
+        return head.union(spark.createDataFrame([(start + 1, NO_SOURCES)], "place long, line string"))
+    # each category has its heading, the lines of the table's head, its records and an empty line
+    extra = len(INDEX_TABLE) + 2
+    groups = rows.groupBy("category").agg(F.count(F.lit(1)).alias("n")).withColumn("a", rank)
+    if folders is not None:
+        empty = folders.select("category").distinct().join(groups.select("category"), "category", "left_anti")
+        groups = groups.union(empty.select("category", F.lit(0).cast("long"), F.lit(10**6)))
+    lines = F.when(F.col("n") > 0, F.col("n") + extra).otherwise(4)
+    above = Window.orderBy("a", "category").rowsBetween(Window.unboundedPreceding, -1)  # a row for each category
+    groups = groups.withColumn("base", F.lit(start) + F.coalesce(F.sum(lines).over(above), F.lit(0)))
+    at = lambda k, text: F.struct((F.col("base") + k).cast("long").alias("place"), text.alias("line"))
+    title = at(1, F.concat(F.lit("## "), "category"))
+    full = F.array(title, *[at(2 + k, F.lit(x)) for k, x in enumerate(INDEX_TABLE)], at(F.col("n") + extra, F.lit("")))
+    bare = F.array(title, at(2, F.lit("")), at(3, F.lit(NO_SOURCES)), at(4, F.lit("")))
+    fixed = groups.select(F.explode(F.when(F.col("n") > 0, full).otherwise(bare)).alias("x")).select("x.place", "x.line")
+    body = body.join(groups.select("category", "base"), "category").select((F.col("base") + len(INDEX_TABLE) + 1 + F.col("c")).cast("long").alias("place"), "line")
+    return head.union(fixed).union(body)
 
 
 def audit(library: DataFrame, links: DataFrame) -> DataFrame:
