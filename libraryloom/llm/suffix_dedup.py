@@ -39,10 +39,11 @@ LENGTH = 100
 HALF, QUARTER = 50, 25
 WINDOWS = LENGTH - HALF + 1  # places of a 50-byte name in a window
 CHUNK = 1 << 19
-#: Bytes of text in a block, the rows that one call of Python holds, and for each partition of a sort. Their numbers
-#: follow the corpus, with LEAST of each; partitions are never more than MOST, so that a shuffle stays one that Spark can
-#: plan: beyond that a partition holds many blocks, one after the other, and a sort spills.
-BLOCK_BYTES = 16_000_000
+#: Bytes of text in a block, the rows that one call of Python holds, blocks in a partition, and bytes of text for each
+#: partition of a sort. Their numbers follow the corpus, with LEAST of each; partitions are never more than MOST, so that a
+#: shuffle stays one that Spark can plan: beyond that a partition holds more blocks, one after the other, and a sort spills.
+BLOCK_BYTES = 4_000_000
+TOGETHER = 4
 SORT_BYTES = 16_000_000
 LEAST = 8
 MOST = 50_000
@@ -333,7 +334,7 @@ def remove_repeats(docs: DataFrame, strip: bool = False) -> DataFrame:
     key, doc, sub = unused(columns, "block", "doc", "sub")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, sorts = max(LEAST, total // BLOCK_BYTES), min(MOST, max(LEAST, total // SORT_BYTES))
-    parts = min(MOST, blocks)
+    parts = min(MOST, max(LEAST, blocks // TOGETHER))
     dealt = docs.withColumn(doc, F.coalesce("doc_id", F.lit(NULL_ID))).withColumn(sub, F.xxhash64(F.coalesce("text", F.lit(""))))
     dealt = dealt.withColumn(key, F.pmod(F.xxhash64(doc, sub), F.lit(blocks)).cast("int"))
     path = fresh_path(spark, "blocks")
