@@ -28,7 +28,7 @@ from libraryloom.llm.common import slices, texts_of
 #: White space as the tokenizer's normaliser knows it (str.split() also takes U+001C to U+001F).
 SPACE_CHARS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Distinct words that a worker remembers before it starts anew.
-MEMO = 200_000
+MEMO = 400_000
 
 
 def _byte_letters() -> list[str]:
@@ -268,7 +268,7 @@ class WordTable:
     A word is two 64-bit numbers, its bytes in order and its length in the last byte.
     """
 
-    def __init__(self, bits: int = 19) -> None:
+    def __init__(self, bits: int = 20) -> None:
         self.bits = bits
         self.clear()
 
@@ -443,12 +443,18 @@ class Encoder:
         counts, begin, store = self.table.count[known].astype(np.int64), self.table.start[known], self.table.ids[: self.table.used]
         if len(long):
             extra = self.ids_of_long([raw[i : i + n] for i, n in zip(starts[long].tolist(), lengths[long].tolist(), strict=True)])
-            whole = np.frombuffer(b"".join(extra), dtype="<u4")
             counts[long] = [len(x) // 4 for x in extra]
-            begin[long] = len(store) + np.cumsum(counts[long]) - counts[long]
-            store = np.concatenate([store, whole])
+            begin[long] = 0
         ends = np.cumsum(counts)
-        return counts, store[np.repeat(begin - (ends - counts), counts) + np.arange(ends[-1])].astype("<u4")
+        at = np.repeat(begin - (ends - counts), counts) + np.arange(ends[-1])
+        if not len(long):
+            return counts, store[at].astype("<u4")
+        wide = np.zeros(len(counts), dtype=bool)
+        wide[long] = True
+        wide = np.repeat(wide, counts)
+        out = np.empty(len(at), dtype="<u4")
+        out[~wide], out[wide] = store[at[~wide]], np.frombuffer(b"".join(extra), dtype="<u4")
+        return counts, out
 
     def ids_of_long(self, words: list[bytes]) -> list[bytes]:
         """The ids of words of more than 15 bytes: by the automaton where it is deep enough, else merged."""
@@ -592,7 +598,7 @@ def encoder(raw: bytes) -> Encoder:
     return _encoders[key]
 
 
-def runs_of_texts(column: pa.Array, most: int = 400_000) -> Iterator[tuple[int, int, list[str]]]:
+def runs_of_texts(column: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, int, list[str]]]:
     """(first row, end, texts) of runs of rows of a bounded number of bytes, so that memory does not follow the Arrow batch."""
     for i, j in slices(column, most):
         yield i, j, texts_of(column.slice(i, j - i))
