@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from libraryloom.llm.common import NULL_ID, cut, joined, prefix_sums, runs_by_size, span_hash, splitmix, unused, utf8_of, word_spans
+from libraryloom.llm.common import NULL_ID, cut, joined, prefix_sums, slices, span_hash, splitmix, unused, utf8_of, word_spans
 from libraryloom.llm.graph import components
 
 WORDS = 5
@@ -103,9 +103,8 @@ def describe(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            body = utf8_of(batch.column(1))
-            for i, j in runs_by_size([len(t) for t in body], 1_000_000):
-                sets = shingle_sets(body[i:j])
+            for i, j in slices(batch.column(1), 1_000_000):
+                sets = shingle_sets(utf8_of(batch.column(1).slice(i, j - i)))
                 digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 own: dict[bytes, int] = {}
                 for k, d in enumerate(digest):
@@ -297,9 +296,8 @@ def sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
         for batch in batches:
             bit = batch.column(2).to_numpy()
             batch = batch.filter(pa.array((shared.value.view(np.uint64)[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
-            body = utf8_of(batch.column(1))
-            for i, j in runs_by_size([len(t) for t in body], 1_000_000):
-                sets = [s.tobytes() for s in shingle_sets(body[i:j])]
+            for i, j in slices(batch.column(1), 1_000_000):
+                sets = [s.tobytes() for s in shingle_sets(utf8_of(batch.column(1).slice(i, j - i)))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sets, pa.binary())], names=["id", "set"])
 
     return rows.mapInArrow(pick, "id long, set binary")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from libraryloom.llm.common import held_out, joined, prefix_sums, runs_by_size, span_hash, utf8_of, word_spans
+from libraryloom.llm.common import held_out, joined, prefix_sums, runs_by_size, slices, span_hash, utf8_of, word_spans
 from libraryloom.llm.labelled import FIT_ROWS, Adam, sigmoid, training_rows
 
 TERMS = 1024
@@ -131,8 +131,8 @@ def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, lab
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            body = utf8_of(batch.column(1))
-            score = [model.value.score(body[i:j]) for i, j in runs_by_size([len(t) for t in body], 1_000_000)]
+            texts = batch.column(1)
+            score = [model.value.score(utf8_of(texts.slice(i, j - i))) for i, j in slices(texts, 1_000_000)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(score) if score else np.zeros(0))], names=["doc_id", "score"])
 
     out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
@@ -147,8 +147,8 @@ def keep_clean(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: s
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            body = utf8_of(batch.column(place))
-            for i, j in runs_by_size([len(t) for t in body], 1_000_000):
-                yield batch.slice(i, j - i).filter(pa.array(model.value.score(body[i:j]) < THRESHOLD))
+            texts = batch.column(place)
+            for i, j in slices(texts, 1_000_000):
+                yield batch.slice(i, j - i).filter(pa.array(model.value.score(utf8_of(texts.slice(i, j - i))) < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
