@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from libraryloom.functions.text import blank
 
 #: The shapes of the identifiers.
-DOI = "(?i)\\b(10\\.[0-9]{4,9}/[^ \\t\\r\\n\"'<>)\\],]+)"
-ARXIV = "(?i)arxiv\\.org/(?:abs|pdf|html)/([a-z.-]+/[0-9]{7}|[0-9]{4}\\.[0-9]{4,5})"
-SSRN = "(?i)ssrn\\.com/(?:abstract|sol3/papers\\.cfm\\?abstract_id|delivery\\.cfm/SSRN_ID)[=/]?([0-9]+)"
+DOI = r"(?i)\b(10\.\d{4,9}/[^\s\"'<>)\],]+)"
+ARXIV = r"(?i)arxiv\.org/(?:abs|pdf|html)/([a-z\-\.]+/\d{7}|\d{4}\.\d{4,5})(v\d+)?"
+SSRN = r"(?i)ssrn\.com/(?:abstract|sol3/papers\.cfm\?abstract_id|delivery\.cfm/SSRN_ID)[=/]?(\d+)"
 
 
 def normalize_doi(c: Column) -> Column:

@@ -179,13 +179,19 @@ def backfilled_authors(library: DataFrame) -> DataFrame:
     return rows.select("rel_path", F.array(F.trim("publication")).alias("authors"))
 
 
+#: What stands between the values of a changelog entry.
+FILED = ("Filed *", "* (", ", ", ") into `", "/`. Key finding: ", ".")
+REMOVED = ("Removed ", " from ", ". Deleted via the dashboard.")
+
+
 def filed_entries(library: DataFrame) -> DataFrame:
     """rel_path and text of the changelog entry that the filing of each readable record gives."""
     title = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("slug"))
     who = names.changelog_byline(F.coalesce("authors", F.array().cast("array<string>")))
     finding = F.regexp_replace(F.trim(blank(F.col("tldr"))), "\\.+$", "")
-    parts = [F.lit("Filed *"), title, F.lit("* ("), who, F.lit(", "), F.left(blank(F.col("date")), F.lit(4)), F.lit(") into `"), F.concat_ws("/", "folder", "slug"), F.lit("/`. Key finding: "), finding, F.lit(".")]
-    return library.filter("NOT corrupt").select("rel_path", F.concat(*parts).alias("text"))
+    values = [title, who, F.left(blank(F.col("date")), F.lit(4)), F.concat_ws("/", "folder", "slug"), finding]
+    pieces = [x for text, value in zip(FILED, values, strict=False) for x in (F.lit(text), value)]
+    return library.filter("NOT corrupt").select("rel_path", F.concat(*pieces, F.lit(FILED[-1])).alias("text"))
 
 
 def after_deletion(library: DataFrame, requested: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
@@ -199,7 +205,7 @@ def after_deletion(library: DataFrame, requested: DataFrame, at: str) -> tuple[D
     seq = F.row_number().over(Window.orderBy("rel_path")).cast("long")  # what one request names
     place = F.concat(F.lit("`"), F.concat_ws("/", "folder", "slug"), F.lit("/`"))
     named = F.when(F.trim(blank(F.col("title"))) != "", F.concat(F.lit("*"), F.trim("title"), F.lit("*"))).otherwise(F.concat(F.lit("`"), F.concat_ws("/", "folder", "slug"), F.lit("`")))
-    text = F.concat(F.lit("Removed "), named, F.lit(" from "), place, F.lit(". Deleted via the dashboard."))
+    text = F.concat(F.lit(REMOVED[0]), named, F.lit(REMOVED[1]), place, F.lit(REMOVED[2]))
     return left, own.select(F.lit(at).cast("timestamp").alias("at"), seq.alias("seq"), text.alias("text"))
 
 

@@ -417,6 +417,20 @@ def preprint_checks(spark, d):
     return preprints.checked(found, answers, NOW).select("rel_path", "status", "confidence", "publication", "published_doi")
 
 
+@register("""SELECT p_partkey::VARCHAR AS key, CASE WHEN p_partkey % 4 IN (0, 1) THEN '{"name":"' || p_name || '"}' END AS body,
+  CASE p_partkey % 4 WHEN 2 THEN 'status 503 after 3 attempts' WHEN 3 THEN 'no response' END AS error FROM part""")
+def recorded_answers(spark, d):
+    """Recorded answers written as JSON lines and read back: good at once, good at the third try, too late, and none."""
+    c = F.col
+    k = c("p_partkey")
+    body = F.concat(F.lit('{"status": 200, "body": {"name": "'), c("p_name"), F.lit('"}}'))
+    late = F.lit('{"status": 503}, ')
+    tries = F.when(k % 4 == 0, body).when(k % 4 == 1, F.concat(late, late, body)).when(k % 4 == 2, F.concat(late, late, late, body)).otherwise("")
+    path = scratch(spark, "answers")
+    read(spark, d, "part").select(F.concat(F.lit('{"key": "'), k.cast("string"), F.lit('", "responses": ['), tries, F.lit("]}")).alias("value")).write.text(path)
+    return listings.recorded_responses(spark, path, 3)
+
+
 @register("""
 SELECT l_orderkey, arg_max(l_linenumber, (score, -l_linenumber)) AS best_line, max(score) AS score FROM (
   SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'N' THEN 3 WHEN 'A' THEN 2 ELSE 0 END + CASE l_linestatus WHEN 'F' THEN 3 ELSE 1 END + CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END AS score FROM lineitem)

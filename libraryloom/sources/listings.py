@@ -1,13 +1,9 @@
-"""Folder listings, recorded service responses and a data source over a library."""
+"""Folder listings and recorded service responses."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from libraryloom.functions import measures
 
@@ -45,38 +41,16 @@ def status_payload(runs: DataFrame, inbox: DataFrame, staged_files: DataFrame, f
     return out
 
 
-class RecordedReader(DataSourceReader):
-    def __init__(self, options: dict) -> None:
-        self.path, self.attempts = options["path"], int(options.get("attempts", 3))
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(0)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(self.path, encoding="utf-8") as f:
-            for line in f:
-                try:
-                    r = json.loads(line)
-                except ValueError:
-                    continue
-                tries = r.get("responses", [])[: self.attempts]
-                good = next((x for x in tries if x.get("status") == 200), None)
-                error = None if good else f"status {tries[-1].get('status')} after {len(tries)} attempts" if tries else "no response"
-                yield r.get("key"), json.dumps(good["body"]) if good else None, error
-
+def recorded_responses(spark: SparkSession, path: str, attempts: int = 3) -> DataFrame:
+    """key, body and error from recorded answers of a service: a JSON line for each request, its responses in the order tried.
 
-class RecordedResponses(DataSource):
-    """Recorded answers of a service, a JSON line for each request: key and responses (status, body), tried in order.
-
-    Options: path, attempts. Gives key, body of the first good response within the attempts, or error.
+    The body is that of the first good response (status 200) within ``attempts``; without one the error says how the last
+    attempt ended. Lines that can't be read are left out.
     """
-
-    @classmethod
-    def name(cls) -> str:
-        return "recorded"
-
-    def schema(self) -> str:
-        return "key string, body string, error string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return RecordedReader(self.options)
+    lines = spark.read.text(path).filter(F.try_parse_json("value").isNotNull())
+    field = lambda k, name: F.get_json_object("value", f"$.responses[{k}].{name}")
+    tries = F.least(F.coalesce(F.json_array_length(F.get_json_object("value", "$.responses")), F.lit(0)), F.lit(attempts))
+    good = F.coalesce(*[F.when((tries > k) & (field(k, "status").try_cast("int") == 200), F.struct(field(k, "body").alias("body"))) for k in range(attempts)])
+    last = F.coalesce(*[F.when(tries == k + 1, F.coalesce(field(k, "status"), F.lit("None"))) for k in range(attempts)])
+    failed = F.when(tries == 0, "no response").otherwise(F.concat(F.lit("status "), last, F.lit(" after "), tries.cast("string"), F.lit(" attempts")))
+    return lines.select(F.get_json_object("value", "$.key").alias("key"), good["body"].alias("body"), F.when(good.isNull(), failed).alias("error"))

@@ -26,9 +26,8 @@ def test_listings(spark, tmp_path):
 def test_recorded_responses(spark, tmp_path):
     lines = [{"key": "a", "responses": [{"status": 503}, {"status": 200, "body": {"x": 1}}]}, {"key": "b", "responses": [{"status": 503}] * 4}, {"key": "c"}]
     (tmp_path / "r.jsonl").write_text("\n".join(map(json.dumps, lines)) + "\nbroken\n")
-    spark.dataSource.register(listings.RecordedResponses)
-    rows = {r.key: (r.body, r.error) for r in spark.read.format("recorded").option("attempts", "2").load(str(tmp_path / "r.jsonl")).collect()}
-    assert rows == {"a": ('{"x": 1}', None), "b": (None, "status 503 after 2 attempts"), "c": (None, "no response")}
+    rows = {r.key: (r.body, r.error) for r in listings.recorded_responses(spark, str(tmp_path / "r.jsonl"), 2).collect()}
+    assert rows == {"a": ('{"x":1}', None), "b": (None, "status 503 after 2 attempts"), "c": (None, "no response")}
 
 
 def test_ascii_fold(spark):
