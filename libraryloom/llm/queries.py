@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from libraryloom.llm import bpe, byte_bpe, exact_dedup, html_text, media, near_dedup, packing, quality, suffix_dedup, toxicity, warc
+from libraryloom.llm import bpe, byte_bpe, click_windows, exact_dedup, html_text, media, near_dedup, packing, prefix_trie, quality, suffix_dedup, toxicity, warc
 
 
 def tokenizer_file() -> str:
@@ -71,10 +71,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.roundtrip_digests(spark, table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op11_click_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return click_windows.click_windows(spark, table(spark, sf_dir, "clicks"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.roundtrip_digests(spark, table(spark, sf_dir, "documents"), rank_file(), rank_pattern())
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_classifier": op2_quality_classifier,
@@ -86,11 +94,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_bpe": op10_bpe,
+    "op11_click_windows": op11_click_windows,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.ORACLE_SQL,
     "op4_warc": warc.ORACLE_SQL,
     "op8_near_dedup": near_dedup.ORACLE_SQL,
+    "op11_click_windows": click_windows.ORACLE_SQL,
+    "op13_prefix_trie": prefix_trie.ORACLE_SQL,
 }
