@@ -251,6 +251,8 @@ def windows(spark: SparkSession, events: DataFrame, batches: int = BATCHES, wind
     session.conf.set("spark.sql.shuffle.partitions", str(partitions))
     session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # many small stores, one for each start
+    session.conf.set("spark.sql.streaming.stateStore.maintenanceInterval", "10s")
     for b in range(batches):
         _move(spark, f"{home}/cut/batch={b}", f"{home}/fed/batch={b}")
         fed = session.readStream.schema(schema).parquet(f"{home}/fed")
