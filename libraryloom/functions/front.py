@@ -21,15 +21,24 @@ def has(body: Column, key: str) -> Column:
 
 
 def set_line(body: Column, key: str, line: Column, after: str | None = None) -> Column:
-    """``body`` with its first line of ``key`` replaced by ``line``, or with ``line`` after that of ``after``, else at the end of the block."""
-    literal = F.regexp_replace(line, "([\\\\$])", "\\\\\\\\$1")
+    """``body`` with its first line of ``key`` replaced by ``line``, or with ``line`` after that of ``after``, else at the end of the block.
+
+    The block is cut into lines and joined again, so ``line`` may hold any character: ``$`` and backslashes stay as they are.
+    """
 
     def put(b: Column) -> Column:
-        added = F.regexp_replace(b, F.lit("(?s)\\A(---(?=\\n).*?)\\n---\\n"), F.concat(F.lit("$1\n"), literal, F.lit("\n---\n")))
-        if after is not None:
-            added = F.when(has(b, after), F.regexp_replace(b, F.lit(f"(?sm)\\A(.*?^{after}:[^\\n]*)"), F.concat(F.lit("$1\n"), literal))).otherwise(added)
-        new = F.when(has(b, key), F.regexp_replace(b, F.lit(f"(?sm)\\A(.*?)^{key}:[^\\n]*"), F.concat(F.lit("$1"), literal))).otherwise(added)
-        return F.when(b.startswith("---\n") & (F.locate("\n---\n", b, 4) > 0), new).otherwise(b)
+        end = F.locate("\n---\n", b, 4)
+        lines = F.when(end > 4, F.split(F.substring(b, F.lit(5), end - 5), "\n", -1)).otherwise(F.array().cast("array<string>"))
+
+        def placed(rows: Column) -> Column:
+            at = lambda k: F.array_position(F.transform(rows, lambda x: x.startswith(f"{k}:")), True).cast("int")
+            own, size = at(key), F.size(rows)
+            before = F.when(own > 0, own - 1).otherwise(F.when(at(after) > 0, at(after)).otherwise(size) if after is not None else size)
+            rest = F.when(own > 0, own).otherwise(before)
+            return F.array_join(F.concat(F.slice(rows, F.lit(1), before), F.array(line), F.slice(rows, rest + 1, size)), "\n")
+
+        new = F.concat(F.lit("---\n"), _with(lines, placed), F.substring(b, end, F.length(b)))
+        return F.when(b.startswith("---\n") & (end > 0), new).otherwise(b)
 
     return _with(body, put)
 

@@ -13,15 +13,22 @@ PARTS = "^(?i)(https?)://([^/?#]*)([^?#]*)(?:\\?([^#]*))?(?:#.*)?$"
 
 
 def is_web_url(c: Column) -> Column:
-    return blank(c).rlike("^https?://")
+    """Whether an address is one of http or https, in any case."""
+    return blank(c).rlike("(?i)^https?://")
+
+
+def stripped(c: Column) -> Column:
+    """Text without white space of any kind (tabs, line feeds, those beyond ASCII) at its ends; null stays null."""
+    return F.regexp_replace(c, "(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$", "")
 
 
 def canonical_url(c: Column) -> Column:
     """One spelling of an address: scheme and host lower-case, no closing slash, fragment or tracking parameters (in any case).
 
-    Null stays null. Order of parameters is kept; what is not http or https is only trimmed.
+    Null stays null. White space of any kind at the ends goes. Order of parameters is kept; what is not http or https is only
+    trimmed.
     """
-    url = F.trim(c)
+    url = stripped(c)
     part = lambda k: F.regexp_extract(url, PARTS, k)
     kept = F.filter(F.split(part(4), "&"), lambda p: (p != "") & ~_any_start(p))
     query = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")

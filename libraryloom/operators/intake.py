@@ -9,6 +9,7 @@ from libraryloom.functions import identifiers, similarity
 from libraryloom.functions.text import blank, normalize_title
 from libraryloom.functions.urls import canonical_url, host, is_web_url
 from libraryloom.operators.matching import best_with_margin, containing, every_pair, only_match
+from libraryloom.operators.order import ranked
 
 BACKFILLS = ("pdf", "md", "html", "htm")
 FUZZY, MARGIN = 0.70, 0.15
@@ -81,7 +82,7 @@ def promotions(pdfs: DataFrame, entries: DataFrame) -> DataFrame:
     unlike = (F.length(normalize_title(c("pdf_title"))) >= LEAST) & (blank(c("title")) != "") & (similarity.title_similarity(c("pdf_title"), c("title")) < VETO)
     promote = found.filter(~unlike).select("name", "rel_path", F.lit("promote").alias("verdict"))
 
-    front = F.lower(blank(c("front")))
+    front = F.regexp_replace(F.lower(blank(c("front"))), "(?U)[\\s\\x1c-\\x1f]+", " ")  # a text's lines break anywhere
     marked = F.lit(False)
     for marker in VOLUME_MARKERS:
         marked = marked | front.contains(marker)
@@ -96,31 +97,40 @@ def promotions(pdfs: DataFrame, entries: DataFrame) -> DataFrame:
     return promote.union(listed.union(close).distinct().select("name", "rel_path", F.lit("volume-contains")))
 
 
+#: Turns that look for their number together.
+TURNS = 1024
+
+
 def outcome_names(moved: DataFrame, taken: DataFrame) -> DataFrame:
     """``moved`` (name, ...) with target: the name, or stem.n.ext with the least number from 1 that nothing else has.
 
-    ``taken``: name of the files already there. Numbers are given out family by family (stem and extension), past those
-    that a file has or that another moved file brings as its own name, so no two targets and no taken name are equal.
-    Of files of one name the first gets the name itself where it is free.
+    ``taken``: name of the files already there. A name without a point gets its number at the end; of ``a.1`` the
+    extension is ``.1``, so it becomes ``a.1.1``. Numbers are given out name by name, past those that a file has or that
+    another moved file brings as its own name, in whatever way that name can be read, so no two targets and no taken name
+    are equal. Of files of one name the first, in the order of the other columns, gets the name itself where it is free;
+    the others follow in that order. No task holds all files of a name or all numbers in use.
     """
-    numbered = "^(.*)\\.([1-9][0-9]{0,8})(\\.[^.]*)?$"
     c = F.col
-    family = lambda c: F.struct(F.regexp_extract(c, "^(.*?)(\\.[^.]*)?$", 1).alias("stem"), F.regexp_extract(c, "^(?:.*?)(\\.[^.]*)?$", 1).alias("ext"))
+    whole = "^(.*?)(\\.[^.]*)?$"
     kept = taken.select("name").distinct()
-    rows = moved.withColumn("_k", F.row_number().over(Window.partitionBy("name").orderBy(F.lit(0))))
-    rows = rows.join(kept.withColumn("_t", F.lit(1)), "name", "left")
-    first = (c("_k") == 1) & c("_t").isNull()
-    # names in use: those there, and those that moved files keep; each also blocks a number of the family it would belong to
-    used = kept.union(moved.select("name").distinct()).distinct()
-    blocked = used.select(F.struct(F.regexp_extract("name", numbered, 1).alias("stem"), F.regexp_extract("name", numbered, 3).alias("ext")).alias("_f"), F.regexp_extract("name", numbered, 2).try_cast("long").alias("n")).filter("n IS NOT NULL")
-    blocked = blocked.groupBy("_f").agg(F.sort_array(F.collect_set("n")).alias("_n"))
-    rows = rows.withColumn("_first", first).withColumn("_f", family(c("name"))).join(blocked, "_f", "left")
-    turn = F.row_number().over(Window.partitionBy("_f", "_first").orderBy("name", "_k")).cast("long")
-    # the turn-th number that is not blocked: each blocked number at or below it moves it on by one
-    number = F.aggregate(F.coalesce("_n", F.array().cast("array<bigint>")), turn, lambda at, n: F.when(n <= at, at + 1).otherwise(at))
-    rows = rows.withColumn("_at", number)
-    target = F.when(c("_first"), c("name")).otherwise(F.concat(c("_f.stem"), F.lit("."), c("_at").cast("string"), c("_f.ext")))
-    return rows.withColumn("target", target).drop("_k", "_t", "_f", "_n", "_first", "_at")
+    others = [c(x) for x in moved.columns if x != "name"]
+    rows = ranked(moved, others, "_k", ["name"]).join(kept.withColumn("_t", F.lit(1)), "name", "left")
+    rows = rows.withColumn("_turn", c("_k") - F.when(c("_t").isNull(), 1).otherwise(0))  # 0: keeps its name
+    used = kept.union(moved.select("name")).distinct()
+    read = lambda pattern, ext: F.struct(F.concat(F.regexp_extract("name", pattern, 1), F.regexp_extract("name", pattern, 3) if ext else F.lit("")).alias("name"), F.regexp_extract("name", pattern, 2).try_cast("long").alias("n"))
+    readings = F.array(read("^(.*)\\.([1-9][0-9]{0,17})(\\.[^.]*)$", True), read("^([^.]*)\\.([1-9][0-9]{0,17})$", False))
+    blocked = used.select(F.explode(readings).alias("r")).select("r.*").filter("n IS NOT NULL").distinct().join(rows.select("name").distinct(), "name", "left_semi")
+    # the i-th number in use, n, moves on by one all turns from n - i + 1: a turn's number is itself and the last such i
+    moves = ranked(blocked, ["n"], "i", ["name"]).select("name", (c("n") - c("i")).alias("at"), c("i"), F.lit(0).alias("turn"))
+    turns = rows.filter("_turn > 0").select("name", (c("_turn") - 1).alias("at"), F.lit(0).cast("long").alias("i"), c("_turn").alias("turn"))
+    line = moves.unionByName(turns).withColumn("block", F.floor(c("at") / TURNS))
+    carried = line.groupBy("name", "block").agg(F.max("i").alias("top")).withColumn("carry", F.max("top").over(Window.partitionBy("name").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)))
+    so_far = F.max("i").over(Window.partitionBy("name", "block").orderBy("at", c("turn") > 0, "i", "turn").rowsBetween(Window.unboundedPreceding, 0))
+    numbers = line.withColumn("i", so_far).filter("turn > 0").join(carried.select("name", "block", "carry"), ["name", "block"])
+    numbers = numbers.select("name", c("turn").alias("_turn"), (c("turn") + F.greatest(c("i"), F.coalesce("carry", F.lit(0)))).alias("_n"))
+    numbered = F.concat(F.regexp_extract("name", whole, 1), F.lit("."), c("_n").cast("string"), F.regexp_extract("name", whole, 2))
+    out = rows.join(numbers, ["name", "_turn"], "left").withColumn("target", F.when(c("_turn") == 0, c("name")).otherwise(numbered))
+    return out.select(*moved.columns, "target")
 
 
 def with_provenance(files: DataFrame, recorded: DataFrame) -> DataFrame:

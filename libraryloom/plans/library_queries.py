@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from libraryloom.functions import front, identifiers, measures, names, similarity, text, urls
 from libraryloom.operators import intake, lifecycle, matching, mirror, preprints, records
-from libraryloom.plans.frames import BYLINE, STATUS, TITLE, YEAR, library, library_sql
-from libraryloom.plans.register import QUERIES, read, register, scratch
-from libraryloom.sources import listings
+from libraryloom.plans.frames import BYLINE, LINES, STATUS, TITLE, YEAR, library, library_sql
+from libraryloom.plans.register import QUERIES, read, register
+from libraryloom.sources import listings, scratch
 from libraryloom.sources import records as source
 
 LIB = f"WITH {library_sql()}"
@@ -106,18 +106,21 @@ def front_matter_lines(spark, d):
     return rows.select("rel_path", line("title"), line("date"), line("status"), line("superseded_by"), joined(F.col("fields.authors")).alias("authors"), source.body_after(F.col("whole")).alias("body"))
 
 
-@register(f"""{LIB} SELECT rel_path, CASE WHEN original_kind IS NULL THEN NULL ELSE original_hash END AS written,
-  CASE WHEN k % 9 IN (0, 1, 2) THEN discovered_via ELSE '' END AS via, CASE WHEN k % 4 = 3 THEN '"https://doi.org/10.1/' || k || '"' ELSE url END AS url, CASE WHEN k % 4 = 3 AND k % 5 = 0 THEN '"https://www.ex.net/pre/' || k || '/"' END AS preprint_url FROM lib""")
+ODD = "CASE k % 3 WHEN 0 THEN '/?q=$b' WHEN 1 THEN '/a$1b$$' ELSE '/c#$(x)$' END"
+
+
+@register(f"""{LIB}, w AS (SELECT *, k % 4 = 3 AS p, k % 4 = 3 AND k % 5 = 0 AS q FROM lib)
+SELECT rel_path, replace(replace(body, CASE WHEN p THEN chr(10) || 'url: ' || chr(10) ELSE '' END, CASE WHEN p THEN chr(10) || 'url: "https://doi.org/10.1/' || k || {ODD} || '"' || chr(10) || CASE WHEN q THEN 'preprint_url: "https://www.ex.net/pre/' || k || '/"' || chr(10) ELSE '' END ELSE '' END),
+  CASE WHEN original_kind IS NULL THEN '' ELSE chr(10) || 'status: ' END, CASE WHEN original_kind IS NULL THEN '' ELSE chr(10) || 'source_hash: "' || original_hash || '$2' || '"' || chr(10) || 'status: ' END) AS text
+FROM (SELECT w.*, '---' || chr(10) || {" || chr(10) || ".join(f"'{line}: ' || coalesce({line}, '')" for line in LINES)} || chr(10) || CASE WHEN len(authors) > 0 THEN 'authors:' || array_to_string(list_transform(authors, lambda a: chr(10) || '  - "' || a || '"'), '') ELSE 'authors: []' END || chr(10) || '---' || chr(10) || 'Body of ' || slug || '.' || chr(10) AS body FROM w)""")
 def written_fields(spark, d):
-    """What records hold after their hash, origin and addresses were written into the text."""
+    """The whole text of records after hash, origin and addresses were written into it; values hold ``$`` and braces."""
     c = F.col
-    rows = library(spark, d).select("rel_path", "k", "original_hash", c("body").alias("whole"), "preprint_url")
-    published = F.when(c("k") % 4 == 3, F.concat(F.lit("https://doi.org/10.1/"), c("k").cast("string"))).otherwise("")
+    rows = library(spark, d)
+    published = F.when(c("k") % 4 == 3, F.concat(F.lit("https://doi.org/10.1/"), c("k").cast("string"), F.expr(ODD))).otherwise("")
     preprint = F.when(c("k") % 4 == 3, c("preprint_url"))
-    rows = rows.withColumn("new", front.with_origin(c("whole"), F.lit("manual"))).withColumn("new", front.with_urls(c("new"), published, preprint))
-    rows = rows.withColumn("new", F.when(c("original_hash").isNotNull(), front.with_hash(c("new"), c("original_hash"))).otherwise(c("new")))
-    block = source.front_matter(c("new"))
-    return rows.select("rel_path", F.replace(source.line_scalar(block, "source_hash"), F.lit('"'), F.lit("")).alias("written"), source.line_scalar(block, "discovered_via").alias("via"), source.line_scalar(block, "url").alias("url"), source.line_scalar(block, "preprint_url").alias("preprint_url"))
+    new = front.with_urls(front.with_origin(c("body"), F.lit("manual")), published, preprint)
+    return rows.select("rel_path", F.when(c("original_hash").isNotNull(), front.with_hash(new, F.concat("original_hash", F.lit("$2")))).otherwise(new).alias("text"))
 
 
 # -- validation ----------------------------------------------------------------------------------------------------------
@@ -213,16 +216,20 @@ def batch_dedup(spark, d):
 
 
 @register("""
-WITH m AS (SELECT p_partkey AS id, p_name || '.pdf' AS name FROM part WHERE p_partkey % 2 = 0), t AS (SELECT DISTINCT p_name || '.pdf' AS name FROM part WHERE p_size > 25 UNION SELECT 'red ring.1.pdf' UNION SELECT 'red ring.3.pdf')
-SELECT count(*) AS files, count(*) AS targets, count(*) FILTER (first) AS kept_name, 0 AS met FROM (SELECT name, row_number() OVER (PARTITION BY name ORDER BY id) = 1 AND name NOT IN (SELECT name FROM t) AS first FROM m)""")
+WITH m AS (SELECT p_partkey AS id, p_name || CASE p_partkey % 10 WHEN 4 THEN '.1.pdf' WHEN 6 THEN '' WHEN 8 THEN '.1' ELSE '.pdf' END AS name FROM part WHERE p_partkey % 2 = 0),
+t AS (SELECT p_name || CASE p_size % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.2.pdf' WHEN 2 THEN '.1.1' ELSE '.' || (p_size % 7) END AS name FROM part WHERE p_size > 25),
+r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY id) - CASE WHEN name IN (SELECT name FROM t) THEN 0 ELSE 1 END AS turn, regexp_extract(name, '^(.*?)(\\.[^.]*)?$', 1) AS stem, regexp_extract(name, '^(.*?)(\\.[^.]*)?$', 2) AS ext FROM m),
+free AS (SELECT name, n, row_number() OVER (PARTITION BY name ORDER BY n) AS turn FROM (SELECT name, stem, ext, unnest(range(1, max(turn) + 60)) AS n FROM r GROUP BY name, stem, ext) f
+  WHERE stem || '.' || n || ext NOT IN (SELECT name FROM t UNION SELECT name FROM m))
+SELECT id, r.name, CASE WHEN r.turn = 0 THEN r.name ELSE stem || '.' || n || ext END AS target FROM r LEFT JOIN free ON free.name = r.name AND free.turn = r.turn""")
 def outcome_names(spark, d):
-    """How many moved files there are, how many different targets, how many kept their name and how many met a taken one."""
+    """Each moved file with its target; names have extensions that are numbers, or none, and many files share one."""
     c = F.col
     part = read(spark, d, "part")
-    moved = part.filter("p_partkey % 2 = 0").select(F.concat("p_name", F.lit(".pdf")).alias("name"))
-    taken = part.filter("p_size > 25").select(F.concat("p_name", F.lit(".pdf")).alias("name")).union(spark.createDataFrame([("red ring.1.pdf",), ("red ring.3.pdf",)], "name string"))
-    out = intake.outcome_names(moved, taken).join(taken.distinct().select(c("name").alias("target"), F.lit(1).alias("_met")), "target", "left")
-    return out.agg(F.count(F.lit(1)).alias("files"), F.countDistinct("target").alias("targets"), F.count_if(c("target") == c("name")).alias("kept_name"), F.count("_met").cast("int").alias("met"))
+    last, size = c("p_partkey") % 10, c("p_size")
+    moved = part.filter("p_partkey % 2 = 0").select(c("p_partkey").alias("id"), F.concat("p_name", F.when(last == 4, ".1.pdf").when(last == 6, "").when(last == 8, ".1").otherwise(".pdf")).alias("name"))
+    other = F.when(size % 4 == 0, ".pdf").when(size % 4 == 1, ".2.pdf").when(size % 4 == 2, ".1.1").otherwise(F.concat(F.lit("."), size % 7))
+    return intake.outcome_names(moved, part.filter("p_size > 25").select(F.concat("p_name", other).alias("name")))
 
 
 @register("""
@@ -240,11 +247,8 @@ def provenance(spark, d):
 @register(f"{LIB} SELECT rel_path, CASE WHEN k % 4 = 2 THEN 'http' WHEN k % 4 IN (0, 1) THEN 'server' ELSE 'none' END AS kind, CASE WHEN k % 4 = 2 THEN url ELSE 'old' END AS promoted FROM lib")
 def promoted_urls(spark, d):
     u = F.col("url")
-    # an address on a server of preprints is no published one, whatever its case; scheme in capitals is one of the web's
     kind = F.when(u.rlike("(?i)ex\\.org"), "http").when(u != "", "server").otherwise("none")
-    low = F.regexp_replace(u, "^HTTP:", "http:")
-    chosen = intake.promoted_url(low, F.lit("old"))
-    return library(spark, d).select("rel_path", kind.alias("kind"), F.regexp_replace(chosen, "^http:", "HTTP:").alias("promoted"))
+    return library(spark, d).select("rel_path", kind.alias("kind"), intake.promoted_url(u, F.lit("old")).alias("promoted"))
 
 
 ENTRY = f"entry AS (SELECT k, rel_path, {TITLE} AS title, '10.1234/p.' || k AS doi FROM lib WHERE k % 3 = 0 AND NOT corrupt)"
@@ -265,20 +269,19 @@ def promotions(spark, d):
     return intake.promotions(single.union(volumes), entries)
 
 
-@register(f"{LIB}, {ENTRY} SELECT 'library' AS kind, rel_path, CASE WHEN k % 30 = 1 THEN 'https://doi.org/10.9/' || (k - 1) ELSE url END AS url FROM lib WHERE NOT k % 30 = 0 UNION ALL SELECT 'check', rel_path, NULL FROM lib WHERE k % 2 = 0 AND k % 30 <> 0")
+GONE = "k % 30 = 0 AND k + 1 IN (SELECT k FROM lib)"
+
+
+@register(f"{LIB}, {ENTRY} SELECT 'library' AS kind, rel_path, CASE WHEN k % 30 = 1 THEN 'https://doi.org/10.9/' || (k - 1) ELSE url END AS url FROM lib WHERE NOT ({GONE}) UNION ALL SELECT 'check', rel_path, NULL FROM lib WHERE k % 2 = 0 AND NOT ({GONE})")
 def applied_promotions(spark, d):
-    """The library and the cache after promotions of which some failed."""
+    """The library and the cache after promotions of which some failed: a preprint whose successor did not come stays."""
     c = F.col
     lib = library(spark, d)
     checks = lib.filter("k % 2 = 0").select("rel_path", F.concat(F.lit("https://doi.org/10.9/"), c("k").cast("string")).alias("published_url"))
-    entries = lib.filter("k % 15 = 0").select(F.concat(F.lit("n"), "k").alias("name"), "rel_path")
-    new = lib.filter("k % 15 = 1").select(F.concat(F.lit("n"), c("k") - 1).alias("name"), "rel_path", (c("k") % 2 == 1).alias("ok"))
-    rows, left = intake.applied_promotions(lib, checks, entries.filter("name IS NOT NULL"), new)
-    # the odd ones failed, and an even one whose successor is not there stays too
-    out = rows.select(F.lit("library").alias("kind"), "rel_path", "url").union(left.select(F.lit("check"), "rel_path", F.lit(None).cast("string")))
-    last = lib.agg(F.max("k").alias("last"))
-    keep = lib.crossJoin(F.broadcast(last)).filter("k % 30 = 0 AND k = last").select("rel_path")  # its successor is not there
-    return out.join(keep, "rel_path", "left_anti")
+    entries = lib.filter("k % 15 = 0").select(F.concat(F.lit("n"), c("k").cast("string")).alias("name"), "rel_path")
+    new = lib.filter("k % 15 = 1").select(F.concat(F.lit("n"), (c("k") - 1).cast("string")).alias("name"), "rel_path", (c("k") % 2 == 1).alias("ok"))
+    rows, left = intake.applied_promotions(lib, checks, entries, new)
+    return rows.select(F.lit("library").alias("kind"), "rel_path", "url").union(left.select(F.lit("check"), "rel_path", F.lit(None).cast("string")))
 
 
 @register("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
@@ -364,7 +367,7 @@ def preprint_view(spark, d):
 def cache_file(spark, d):
     """The cache written as its one JSON file and read back."""
     checks = checks_of(library(spark, d)).withColumn("status", F.when(F.col("status") == "", "unknown").otherwise(F.col("status")))
-    path = scratch(spark, "cache")
+    path = scratch.fresh(spark, "cache")
     source.checks_text(checks).write.text(path)
     return source.read_checks(spark, path).select("rel_path", "title", "status", "checked_at")
 
@@ -426,7 +429,7 @@ def recorded_answers(spark, d):
     body = F.concat(F.lit('{"status": 200, "body": {"name": "'), c("p_name"), F.lit('"}}'))
     late = F.lit('{"status": 503}, ')
     tries = F.when(k % 4 == 0, body).when(k % 4 == 1, F.concat(late, late, body)).when(k % 4 == 2, F.concat(late, late, late, body)).otherwise("")
-    path = scratch(spark, "answers")
+    path = scratch.fresh(spark, "answers")
     read(spark, d, "part").select(F.concat(F.lit('{"key": "'), k.cast("string"), F.lit('", "responses": ['), tries, F.lit("]}")).alias("value")).write.text(path)
     return listings.recorded_responses(spark, path, 3)
 
@@ -592,7 +595,7 @@ def reference_blocks(spark, d):
     c = F.col
     block = F.concat(F.lit("### Cite "), "k", F.lit("\n**Library path:** `library/"), "folder", F.lit("/"), "slug", F.lit("/`\n**Cited in:** §3.1 and A."), "k", F.lit("\n"))
     rows = library(spark, d).filter("k % 20 = 0").agg(F.sort_array(F.collect_list(F.struct("k", block.alias("b")))).alias("e"))
-    path = scratch(spark, "references")
+    path = scratch.fresh(spark, "references")
     rows.select(F.concat(F.lit("# References\n"), F.array_join("e.b", "")).alias("value")).write.text(path)
     return source.read_references(spark, path).select(c("place").cast("long").alias("place"), "key", "short_cite", joined(c("cited_in"), ", ").alias("cited_in"))
 
@@ -842,7 +845,7 @@ def recent_runs(spark, d):
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"), F.concat("event_type", "event_id").alias("input_name"), F.when(c("event_type") == "error", "failure").otherwise("success").alias("outcome"),
         F.array(F.concat(F.lit("/library/a/"), "event_id")).alias("output_paths"), F.lit("e" * 3000).alias("error_excerpt"), c("value").alias("cost_usd"), c("event_id").alias("duration_ms"),
     )
-    path = scratch(spark, "runs")
+    path = scratch.fresh(spark, "runs")
     source.append_runs(rows, path)
     return source.read_runs(spark, path, 20, "/library").select(c("place").cast("long").alias("place"), "input_name", "outcome", F.element_at("output_paths", 1).alias("path"))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,21 +26,13 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share, deleted when the session ends."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
 #: One spelling of the address ``url``.
-_KEPT = f"list_filter(string_split(regexp_extract(trim(url), '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(?i)({'|'.join(TRACKING)})'))"
+_URL = "regexp_replace(url, '^[\\s\\x0b]+|[\\s\\x0b]+$', '', 'g')"
+_KEPT = f"list_filter(string_split(regexp_extract({_URL}, '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(?i)({'|'.join(TRACKING)})'))"
 CANON = f"""
-CASE WHEN regexp_matches(trim(url), '(?i)^https?://') THEN
-  lower(regexp_extract(trim(url), '(?i)^(https?)://', 1)) || '://' || lower(regexp_extract(trim(url), '(?i)^https?://([^/?#]*)', 1))
-  || regexp_replace(regexp_extract(trim(url), '(?i)^https?://[^/?#]*([^?#]*)', 1), '/+$', '')
+CASE WHEN regexp_matches({_URL}, '(?i)^https?://') THEN
+  lower(regexp_extract({_URL}, '(?i)^(https?)://', 1)) || '://' || lower(regexp_extract({_URL}, '(?i)^https?://([^/?#]*)', 1))
+  || regexp_replace(regexp_extract({_URL}, '(?i)^https?://[^/?#]*([^?#]*)', 1), '/+$', '')
   || CASE WHEN len({_KEPT}) > 0 THEN '?' || array_to_string({_KEPT}, '&') ELSE '' END
-ELSE trim(url) END
+ELSE {_URL} END
 """

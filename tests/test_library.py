@@ -441,3 +441,131 @@ def test_log_tail(spark, tmp_path):
     assert [(r.seq, r.text) for r in tail.served(spark, state).collect()] == [(3, "two"), (4, "three"), (5, "four")]
     tail.drain_log(spark, str(folder), state, check, 3)
     assert [r.text for r in tail.served(spark, state, 2).collect()] == ["three", "four"]
+
+
+def test_log_that_grows_and_is_begun_anew(spark, tmp_path):
+    folder, state, check = tmp_path / "log", str(tmp_path / "state"), str(tmp_path / "check")
+    folder.mkdir()
+    log = folder / "run.log"
+
+    def served():
+        tail.drain_log(spark, f"file://{folder}", state, check, 5)
+        return [r.text for r in tail.served(spark, state).collect()]
+
+    log.write_bytes(b"one\ntwo\nhal")
+    assert served() == ["one", "two"]
+    assert served() == ["one", "two"]  # nothing new
+    with log.open("ab") as f:
+        f.write(b"f \xc3\xa9 \xff\nthree\nfo")
+    assert served() == ["one", "two", "half é \ufffd", "three"]
+    log.write_bytes(b"A\n")  # shorter: a new run
+    assert served() == ["A"]
+    with log.open("ab") as f:
+        f.write(b"B\n" + b"C\n" * 3)
+    assert served() == ["A", "B", "C", "C", "C"]
+    log.write_bytes(b"other\n" + b"lines\n" * 9)  # longer than before, but another beginning
+    assert served() == ["lines"] * 5
+    assert [r.seq for r in tail.served(spark, state).collect()] == [10, 11, 12, 13, 14]
+
+
+def test_growing_files_in_pieces(spark, tmp_path, monkeypatch):
+    """Lines of any length are read once, wherever pieces, steps and chunks end; a restart repeats and loses nothing."""
+    from libraryloom.streaming import growing
+
+    rng = random.Random(4)
+    path = tmp_path / "a.log"
+    text = b"".join(b"x" * rng.randrange(12) + b"\n" for _ in range(300)) + b"tail"
+    path.write_bytes(text)
+    for piece, step, chunk in ((7, 3, 5), (1, 1, 1), (64, 10, 1000)):
+        for name, n in (("PIECE", piece), ("STEP", step), ("CHUNK", chunk)):
+            monkeypatch.setattr(growing, name, n)
+        reader = growing.GrowingFilesReader(str(tmp_path))
+        start, end = reader.initialOffset(), reader.latestOffset()
+        rows = [r for p in reader.partitions(start, end) for b in reader.read(p) for r in b.to_pylist()]
+        assert [r["value"].encode() for r in rows] == text.split(b"\n")[:-1] and not any(r["reset"] for r in rows)
+        assert [r["at"] for r in rows] == [0, *[i + 1 for i, c in enumerate(text) if c == 10][:-1]]
+        assert reader.partitions(end, end) == []
+
+
+def test_growing_files_restart_from_their_checkpoint(spark, tmp_path):
+    from libraryloom.streaming import growing
+
+    growing.register(spark)
+    folder, out, check = tmp_path / "log", str(tmp_path / "out"), str(tmp_path / "check")
+    folder.mkdir()
+    text = ""
+    for k in range(3):
+        text += f"line {k}\n"
+        (folder / "a.log").write_text(text)
+        (folder / f"b{k}.log").write_text(f"own {k}\n")
+        spark.readStream.format("growing_files").load(str(folder)).writeStream.format("parquet").option("checkpointLocation", check).option("path", out).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.value for r in spark.read.parquet(out).collect()) == [*[f"line {k}" for k in range(3)], *[f"own {k}" for k in range(3)]]
+
+
+@pytest.mark.parametrize("given", ["a$1b", "?q=$b", "back\\slash \\1", "${x}", "$$"])
+def test_front_matter_values_of_any_characters(spark, given):
+    body = "---\ntitle: T\nurl: https://arxiv.org/abs/1\ntldr: y\nauthors: []\n---\nurl: z\n"
+    kept = given.replace("\\", "")
+    got = value(spark, front.with_urls(F.lit(body), F.lit(f"https://x.org/{given}"), F.lit(f"https://y.org/{given}")))
+    assert got == body.replace("url: https://arxiv.org/abs/1\n", f'url: "https://x.org/{kept}"\npreprint_url: "https://y.org/{kept}"\n', 1)
+    assert value(spark, front.with_hash(F.lit(body), F.lit(given))) == body.replace("tldr: y\n", f'tldr: y\nsource_hash: "{kept}"\n', 1)
+    assert value(spark, front.with_author(F.lit(body), F.lit(given))) == body.replace("authors: []\n", f'authors:\n  - "{kept}"\n', 1)
+    assert value(spark, front.with_origin(F.lit(body), F.lit(given))) == body.replace("authors: []\n", f'authors: []\ndiscovered_via: "{kept}"\n', 1)
+    assert value(spark, front.set_line(F.lit("---\n---\nx"), "a", F.lit(f"a: {given}"))) == f"---\na: {given}\n---\nx"
+
+
+def test_names_are_never_taken_in_any_reading(spark):
+    frame = lambda rows: spark.createDataFrame([(n,) for n in rows], "name string")
+    assert [r.target for r in intake.outcome_names(frame(["a.1"]), frame(["a.1", "a.1.1"])).collect()] == ["a.2.1"]
+    assert [r.target for r in intake.outcome_names(frame(["a"]), frame(["a", "a.1"])).collect()] == ["a.2"]
+    rng = random.Random(8)
+    pool = ["a", "a.1", "a.2", "a.1.1", "a.1.2", "a.2.1", "a.txt", "a.1.txt", ".x", ".1.x", "a."]
+    for _ in range(3):
+        moved, taken = sorted(rng.choice(pool) for _ in range(40)), rng.sample(pool, 6)
+        rows = spark.createDataFrame(list(enumerate(moved)), "k int, name string")
+        used, want, kept = set(taken) | set(moved), {}, set(taken)
+        for k, n in enumerate(moved):
+            stem, ext = re.match(r"^(.*?)(\.[^.]*)?$", n).groups()
+            at = 1
+            while n in kept and (f"{stem}.{at}{ext or ''}" in used):
+                at += 1
+            want[k] = n if n not in kept else f"{stem}.{at}{ext or ''}"
+            used.add(want[k])
+            kept.add(want[k])
+        assert {r.k: r.target for r in intake.outcome_names(rows, frame(taken)).collect()} == want
+
+
+def test_a_large_family_of_names_is_split(spark):
+    many = spark.range(30_000).select((F.col("id") + 0).alias("k"), F.lit("scan.pdf").alias("name"))
+    taken = spark.range(1, 40_000, 3).select(F.concat(F.lit("scan."), F.col("id").cast("string"), F.lit(".pdf")).alias("name"))
+    got = [r.target for r in intake.outcome_names(many, taken).orderBy("k").select("target").collect()]
+    free = (n for n in range(1, 10**6) if not (n % 3 == 1 and n < 40_000))
+    assert got == ["scan.pdf", *[f"scan.{next(free)}.pdf" for _ in range(29_999)]]
+
+
+def test_ranked(spark):
+    from libraryloom.operators.order import ranked
+
+    rng = random.Random(1)
+    rows = [(k, rng.choice([None, "a", "b", "c"]), rng.randrange(50)) for k in range(500)]
+    frame = spark.createDataFrame(rows, "k int, g string, v int")
+    order = sorted(rows, key=lambda r: (-r[2], r[0]))
+    assert [r.k for r in sorted(ranked(frame, [F.desc("v"), "k"]).collect(), key=lambda r: r.place)] == [r[0] for r in order]
+    got = {r.k: r.place for r in ranked(frame, [F.desc("v"), "k"], "place", ["g"]).collect()}
+    assert got == {r[0]: 1 + [x[0] for x in order if x[1] == r[1]].index(r[0]) for r in rows}
+    assert ranked(frame.limit(0), ["k"]).collect() == []
+
+
+def test_volumes_whose_marker_is_broken_over_lines(spark):
+    none = F.array().cast("array<string>")
+    pdfs = spark.createDataFrame([("v.pdf", "", "", 90, "Proceedings \u00a0of\nthe\tDays")], "name string, doi string, title string, pages int, front string").withColumn("outline", F.array(F.lit("A fine title of things")))
+    entries = spark.createDataFrame([("x/x.md", "t", "A fine title of things", "", "", "")], "rel_path string, title string, published_title string, published_url string, doi string, published_doi string")
+    assert [tuple(r) for r in intake.promotions(pdfs, entries).collect()] == [("v.pdf", "x/x.md", "volume-contains")]
+    assert intake.promotions(pdfs.withColumn("front", F.lit("the days")).withColumn("outline", none), entries).collect() == []
+
+
+def test_addresses_in_capitals_and_with_white_space(spark):
+    assert value(spark, intake.promoted_url(F.lit("HTTPS://ex.org/a"), F.lit("old"))) == "HTTPS://ex.org/a"
+    assert value(spark, intake.promoted_url(F.lit("HTTPS://ArXiv.org/abs/1"), F.lit("old"))) == "old"
+    assert value(spark, urls.canonical_url(F.lit("\thttps://ex.org/a/\n"))) == "https://ex.org/a"
+    assert value(spark, urls.canonical_url(F.lit("\u00a0mailto:a\x1c"))) == "mailto:a"
