@@ -1,6 +1,6 @@
 """Title similarity by the longest-matching-blocks ratio of the standard library, and scores built on it.
 
-Spark has no such function, so pairs go through an Arrow UDF; a sound native bound drops most pairs before it. The
+Spark has no such function, so pairs go through an Arrow UDF; a sound native bound (``letters``) drops most pairs before it. The
 ratio is not symmetric: the first argument is the one that callers name first.
 """
 
@@ -28,22 +28,27 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.pandas_udf(_ratios, "double")(a, b)  # made late, as it needs a session
 
 
-def ratio_bound(a: Column, b: Column) -> Column:
-    """An upper bound of the ratio from the lengths alone."""
-    both = F.length(a) + F.length(b)
-    return F.when(both == 0, 1.0).otherwise(2.0 * F.least(F.length(a), F.length(b)) / both)
+#: How often letters occur in English text, in thousandths; others are taken to be rare.
+FREQUENCY = {" ": 180, "e": 127, "t": 91, "a": 82, "o": 75, "i": 70, "n": 67, "s": 63, "h": 61, "r": 60, "d": 43, "l": 40, "u": 28, "c": 28, "m": 24, "w": 24, "f": 22, "g": 20, "y": 20, "p": 19, "b": 15, "v": 10, "k": 8, "j": 2, "x": 2, "q": 1, "z": 1}
 
 
-def letter_counts(c: Column) -> Column:
-    """How often each character of a normalised text occurs, for ``ratio_limit``."""
-    return F.array(*[F.length(c) - F.length(F.replace(c, F.lit(x))) for x in " 0123456789abcdefghijklmnopqrstuvwxyz"])
+def letters(text: Column) -> Column:
+    """The letters of a text as distinct numbers, one for each letter and each time that it occurs, the rarest first.
 
+    Two texts share as many of them as they can have letters in common. The order is the same for all texts; which it is
+    makes no difference but in speed.
+    """
+    often = F.create_map(*[F.lit(x) for pair in FREQUENCY.items() for x in pair])
 
-def ratio_limit(a: Column, b: Column, counts_a: Column, counts_b: Column) -> Column:
-    """An upper bound of the ratio from lengths and ``letter_counts``: no more characters can match than both have."""
-    both = F.length(a) + F.length(b)
-    common = F.aggregate(F.zip_with(counts_a, counts_b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    return F.when(both == 0, 1.0).otherwise(2.0 * common / both)
+    def number(x: Column, time: Column) -> Column:
+        rank = F.floor(1000 * F.coalesce(often[x], F.lit(1)) / time)
+        return F.shiftleft(rank.cast("long"), 40) + F.shiftleft(F.ascii(x).cast("long"), 20) + time
+
+    def numbered(xs: Column) -> Column:
+        return F.sort_array(F.transform(xs, lambda x, i: number(x, i - F.array_position(xs, x).cast("int") + 2)))
+
+    found = F.sort_array(F.filter(F.split(text, ""), lambda x: x != ""))
+    return F.element_at(F.transform(F.array(found), numbered), 1)
 
 
 def similarity(a: Column, b: Column) -> Column:

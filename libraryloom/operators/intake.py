@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from libraryloom.functions import identifiers, similarity
 from libraryloom.functions.text import blank, normalize_title
 from libraryloom.functions.urls import canonical_url, host, is_web_url
-from libraryloom.operators.matching import best_with_margin, containing, every_pair, only_match
+from libraryloom.operators.matching import best_with_margin, containing, only_match, similar_texts
 from libraryloom.operators.order import ranked
+from libraryloom.sources.scratch import cut
 
 BACKFILLS = ("pdf", "md", "html", "htm")
-FUZZY, MARGIN = 0.70, 0.15
+FUZZY, MARGIN, YEAR = 0.70, 0.15, 0.10
 TITLE, LEAST = 0.90, 12
 VETO = 0.70
 #: What marks a volume of proceedings, and how long it must be.
@@ -36,22 +37,52 @@ def decide(inputs: DataFrame, library: DataFrame) -> DataFrame:
     sure = hit(by_hash, 1, "hash").union(hit(by_url, 2, "url")).groupBy("name").agg(F.min("h").alias("h")).select("name", "h.rel_path", "h.reason")
 
     rest = inputs.filter("can_backfill").join(sure, "name", "left_anti")
-    rest = rest.select("name", "stem", normalize_title(F.col("stem")).alias("n"), normalize_title(F.col("meta_title")).alias("meta"), normalize_title(F.col("first_page")).alias("page"))
-    open_ = lib.filter("missing").select("rel_path", normalize_title(F.col("slug")).alias("s"), normalize_title(F.col("title")).alias("t"), F.array(identifiers.arxiv_id(F.col("url")), identifiers.arxiv_id(F.col("preprint_url"))).alias("ids"))
-    c = F.col
-    # few files come in at a time, and only records whose original is missing are compared with them; the costly ratios
-    # only where lengths, letters or containment leave a score that can matter, a winner's or that of its runner-up
-    counted = lambda rows, *names: rows.select("*", *[similarity.letter_counts(c(x)).alias(f"l_{x}") for x in names])
-    decisive, held, year = similarity.fuzzy_parts(c("n"), c("s"), c("t"), c("ids"), c("stem"), c("meta"), c("page"))
-    limit = lambda a, b: F.when((c(a) != "") & (c(b) != ""), similarity.ratio_limit(c(a), c(b), c(f"l_{a}"), c(f"l_{b}"))).otherwise(0.0)
-    reach = F.greatest(limit("n", "s"), limit("n", "t"), limit("meta", "t"), held) + year
-    pairs = every_pair(counted(rest, "n", "meta"), counted(open_, "s", "t"), decisive | (reach >= FUZZY - MARGIN - 1e-9))
-    scored = pairs.withColumn("score", similarity.fuzzy_score(c("n"), c("s"), c("t"), c("ids"), c("stem"), c("meta"), c("page")))
-    best = best_with_margin(scored.select("name", "rel_path", "score"), ["name"], "rel_path", "score", FUZZY, MARGIN).filter("accepted")
-    found = sure.union(best.select("name", "rel_path", F.lit("backfill:fuzzy")))
+    rest = cut(rest.select("name", "stem", normalize_title(F.col("stem")).alias("n"), normalize_title(F.col("meta_title")).alias("meta"), normalize_title(F.col("first_page")).alias("page")), "files")
+    open_ = cut(lib.filter("missing").select("rel_path", normalize_title(F.col("slug")).alias("s"), normalize_title(F.col("title")).alias("t"), F.array(identifiers.arxiv_id(F.col("url")), identifiers.arxiv_id(F.col("preprint_url"))).alias("ids")), "records")
+    found = sure.union(_fuzzy(rest, open_).select("name", "rel_path", F.lit("backfill:fuzzy")))
     return inputs.select("name").join(found, "name", "left").select("name", "rel_path", "reason")
 
 
+def _fuzzy(rest: DataFrame, open_: DataFrame) -> DataFrame:
+    """(name, rel_path) of the record that each file is likely the original of, by its score and its lead.
+
+    Scores come from containment, which finds its pairs by words and pieces, or from a ratio, whose pairs a prefix filter
+    finds: first those that may reach ``FUZZY``, then, for files that have such a record, those that may take its lead.
+    """
+    c = F.col
+    side = lambda rows, kind, key, text, name: rows.select(F.lit(kind).alias("kind"), c(key).alias(f"{name}_id"), c(text).alias(name))
+    each = open_.select("rel_path", F.explode(F.array_distinct(F.array("s", "t"))).alias("x"))
+    ids = open_.select("rel_path", F.explode("ids").alias("x"))
+    heads = rest.select("name", F.explode(F.array("meta", "page")).alias("x"))
+    # kinds: slug or title in a name, title in other titles or pages, identifier in a name; then names and titles in a record's
+    own = side(each, "x", "rel_path", "x", "part").union(side(open_, "t", "rel_path", "t", "part")).union(side(ids, "i", "rel_path", "x", "part"))
+    files = side(rest, "x", "name", "n", "whole").union(side(heads, "t", "name", "x", "whole")).union(side(rest, "i", "name", "stem", "whole"))
+    held = containing(own, files, kind="kind").select(c("whole_id").alias("name"), c("part_id").alias("rel_path"))
+    told = side(rest, "n", "name", "n", "part").union(side(rest, "m", "name", "meta", "part"))
+    records = side(each, "n", "rel_path", "x", "whole").union(side(open_, "m", "rel_path", "t", "whole"))
+    held = held.union(containing(told, records, kind="kind").select(c("part_id").alias("name"), c("whole_id").alias("rel_path")))
+
+    bonus = F.when(c("n").rlike("(19|20)[0-9]{2}"), YEAR).otherwise(0.0)  # a year in the name may add to a ratio
+
+    def reached(files: DataFrame, floor: float) -> DataFrame:
+        """Pairs of ``files`` (name, n, meta, goal) whose letters allow a score of ``goal``."""
+        by_name = similar_texts(files.select(c("n").alias("text"), (c("goal") - bonus).alias("least")), each.select(c("x").alias("text")), floor)
+        by_title = similar_texts(files.select(c("meta").alias("text"), (c("goal") - bonus).alias("least")), open_.select(c("t").alias("text")), floor)
+        one = files.join(by_name, c("n") == c("text")).select("name", "other").join(each, c("other") == c("x")).select("name", "rel_path")
+        return one.union(files.join(by_title, c("meta") == c("text")).select("name", "other").join(open_, c("other") == c("t")).select("name", "rel_path"))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        rows = pairs.distinct().join(rest, "name").join(open_, "rel_path")
+        return rows.select("name", "rel_path", similarity.fuzzy_score(c("n"), c("s"), c("t"), c("ids"), c("stem"), c("meta"), c("page")).alias("score"))
+
+    likely = cut(scored(held.union(reached(rest.select("name", "n", "meta", F.lit(FUZZY).alias("goal")), FUZZY - YEAR))), "likely")
+    first = best_with_margin(likely, ["name"], "rel_path", "score", FUZZY, MARGIN).filter("accepted")
+    ahead = cut(first.select("name", (c("score") - MARGIN).alias("goal")).join(rest, "name").select("name", "n", "meta", "goal"), "ahead")
+    others = scored(reached(ahead, FUZZY - MARGIN - YEAR).join(likely.select("name", "rel_path"), ["name", "rel_path"], "left_anti"))
+    all_ = likely.join(ahead.select("name"), "name", "left_semi").union(others)
+    return best_with_margin(all_, ["name"], "rel_path", "score", FUZZY, MARGIN).filter("accepted")
+
+
 def published(checks: DataFrame, library: DataFrame) -> DataFrame:
     """Cache entries that are published and whose record still exists."""
     return checks.filter("status = 'published'").join(library.select("rel_path"), "rel_path", "left_semi")
@@ -71,13 +102,20 @@ def promotions(pdfs: DataFrame, entries: DataFrame) -> DataFrame:
     one = only_match(pairs, ["name"], "rel_path").join(pairs.groupBy("name").agg(F.min("pdf_title").alias("pdf_title")), "name").select("name", "rel_path", "pdf_title")
     # the published title; the preprint's own only where a published place is known
     titles = entries.select("rel_path", normalize_title(F.coalesce(F.nullif(c("published_title"), F.lit("")), F.when(blank(c("published_url")) != "", c("title")))).alias("t")).filter(F.length("t") >= LEAST)
-    named = titles.distinct()
     rest = pdfs.join(one, "name", "left_anti").select("name", F.col("title").alias("pdf_title"), normalize_title(c("title")).alias("n")).filter(F.length("n") >= LEAST)
-    rest, titles = rest.withColumn("l_n", similarity.letter_counts(c("n"))), titles.withColumn("l_t", similarity.letter_counts(c("t")))
-    reach = similarity.ratio_limit(c("n"), c("t"), c("l_n"), c("l_t"))
-    near = every_pair(rest, titles, (similarity.ratio_bound(c("n"), c("t")) >= TITLE - MARGIN) & (reach >= TITLE - MARGIN - 1e-9))  # a runner-up below this never matters
-    near = near.withColumn("score", similarity.similarity(c("n"), c("t")))
-    best = best_with_margin(near.select("name", "pdf_title", "rel_path", "score"), ["name", "pdf_title"], "rel_path", "score", TITLE, MARGIN).filter("accepted")
+    rest, titles = cut(rest, "files"), cut(titles, "titles")
+    named = titles.distinct()
+
+    def compared(files: DataFrame, floor: float) -> DataFrame:
+        """Scores of ``files`` (name, n, goal) with the titles whose letters allow ``goal``."""
+        near = similar_texts(files.select(c("n").alias("text"), c("goal").alias("least")), titles.select(c("t").alias("text")), floor)
+        near = near.withColumn("score", similarity.similarity(c("text"), c("other")))
+        return files.join(near, c("n") == c("text")).select("name", "n", "other", "score").join(titles, c("other") == c("t")).select("name", "rel_path", "score")
+
+    likely = cut(compared(rest.select("name", "n", F.lit(TITLE).alias("goal")), TITLE), "likely")
+    first = best_with_margin(likely, ["name"], "rel_path", "score", TITLE, MARGIN).filter("accepted")
+    ahead = first.select("name", (c("score") - MARGIN).alias("goal")).join(rest, "name").select("name", "n", "goal")
+    best = best_with_margin(compared(ahead, TITLE - MARGIN), ["name"], "rel_path", "score", TITLE, MARGIN).filter("accepted").join(rest.select("name", "pdf_title"), "name")
     found = one.select("name", "rel_path", "pdf_title").union(best.select("name", "rel_path", "pdf_title")).join(entries.select("rel_path", "title"), "rel_path")
     unlike = (F.length(normalize_title(c("pdf_title"))) >= LEAST) & (blank(c("title")) != "") & (similarity.title_similarity(c("pdf_title"), c("title")) < VETO)
     promote = found.filter(~unlike).select("name", "rel_path", F.lit("promote").alias("verdict"))
@@ -89,11 +127,10 @@ def promotions(pdfs: DataFrame, entries: DataFrame) -> DataFrame:
     volumes = pdfs.filter((c("pages") >= VOLUME_PAGES) & marked).join(promote, "name", "left_anti").select("name", normalize_title(c("front")).alias("toc"), F.transform(F.coalesce("outline", F.array().cast("array<string>")), normalize_title).alias("outline"))
     parts = named.select(F.struct("rel_path", "t").alias("part_id"), c("t").alias("part"))
     listed = containing(parts, volumes.select(c("name").alias("whole_id"), c("toc").alias("whole"))).select(c("whole_id").alias("name"), c("part_id.rel_path").alias("rel_path"))
-    lines = volumes.select("name", F.explode(F.array_distinct("outline")).alias("o")).filter("o <> ''").withColumn("l_o", similarity.letter_counts(c("o")))
-    told = lines.select("name", "o").join(named, c("o") == c("t")).select("name", "rel_path")
-    near = (similarity.ratio_bound(c("t"), c("o")) >= TITLE) & (similarity.ratio_limit(c("t"), c("o"), c("l_t"), c("l_o")) >= TITLE - 1e-9) & (c("t") != c("o"))
-    close = every_pair(lines, named.withColumn("l_t", similarity.letter_counts(c("t"))), near).filter(similarity.similarity(c("t"), c("o")) >= TITLE).select("name", "rel_path")
-    close = close.union(told)
+    lines = cut(volumes.select("name", F.explode(F.array_distinct("outline")).alias("o")).filter("o <> ''"), "lines")
+    alike = similar_texts(named.select(c("t").alias("text"), F.lit(TITLE).alias("least")), lines.select(c("o").alias("text")), TITLE)
+    alike = alike.filter((c("text") == c("other")) | (similarity.similarity(c("text"), c("other")) >= TITLE))
+    close = lines.join(alike, c("o") == c("other")).select("name", "text").join(named, c("text") == c("t")).select("name", "rel_path")
     return promote.union(listed.union(close).distinct().select("name", "rel_path", F.lit("volume-contains")))
 
 

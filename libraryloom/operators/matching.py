@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from libraryloom.functions import similarity
+
 
 def best_with_margin(scored: DataFrame, by: Sequence[str], candidate: str, score: str, threshold: float, margin: float) -> DataFrame:
     """The best candidate of each group, where it reaches ``threshold`` and leads the next one by ``margin``.
@@ -41,49 +43,60 @@ def only_match(pairs: DataFrame, by: Sequence[str], candidate: str) -> DataFrame
     return found.filter(F.col(candidate) == F.col("_other")).drop("_other")
 
 
-#: Rows of the side that is held whole in each task when every pair has to be looked at.
-FEW = 2000
+def similar_texts(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
+    """(text, other) of a text of ``left`` and one of ``right`` whose letters allow a similarity that can matter.
 
+    ``left``: text and least, the similarity that its partners must be able to reach, never below ``floor``; ``right``:
+    text. No pair whose ratio reaches ``least`` is missing: such a pair shares least * (a + b) / 2 of the letters, each
+    counted as often as it occurs, so it shares a letter of the rarest few of either side (a prefix filter). Pairs meet
+    under the rarest letter that they share and are kept where all their letters allow the ratio. Texts are looked at
+    once however many rows have them; empty and null ones have no partner.
+    """
+    c = F.col
+    letters = left.filter("text <> ''").groupBy("text").agg(F.min("least").alias("least")).withColumn("a", similarity.letters(c("text")))
+    others = right.filter("text <> ''").select(c("text").alias("other")).distinct().withColumn("b", similarity.letters(c("other")))
+    few = lambda all_, least: F.slice(all_, F.lit(1), (F.size(all_) - F.ceil(least * F.size(all_) / (2 - least) - 1e-9) + 1).cast("int"))
+    letters = letters.withColumn("pa", few(c("a"), c("least"))).withColumn("letter", F.explode("pa"))
+    others = others.withColumn("pb", few(c("b"), F.lit(floor))).withColumn("letter", F.explode("pb"))
+    both, shorter = F.size("a") + F.size("b"), F.least(F.size("a"), F.size("b"))
+    pairs = letters.join(others, "letter").filter(2 * shorter >= c("least") * both - 1e-9).filter(F.array_min(F.array_intersect("pa", "pb")) == c("letter"))
+    return pairs.filter(2 * F.size(F.array_intersect("a", "b")) >= c("least") * both - 1e-9).select("text", "other")
 
-def every_pair(few: DataFrame, many: DataFrame, keep: Column, most: int = FEW) -> DataFrame:
-    """The pairs of the two sides that ``keep`` holds for; for rules that no key can serve.
 
-    ``few`` is counted first. Up to ``most`` rows it is broadcast; beyond that both sides are dealt into blocks that meet
-    under a key, so no task holds more than ``most`` rows of ``few`` and none reads all of ``many``.
-    """
-    n = few.count()
-    if n <= most:
-        return many.join(F.broadcast(few), keep)
-    blocks = -(-n // most)
-    own = F.pmod(F.xxhash64(*few.columns), F.lit(blocks))
-    other = F.pmod(F.xxhash64(*many.columns), F.lit(blocks))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = few.withColumn("_i", own.cast("int")).withColumn("_j", every)
-    right = many.withColumn("_j", other.cast("int")).withColumn("_i", every)
-    return right.join(left, ["_i", "_j"]).filter(keep).drop("_i", "_j")
-
-
-def containing(parts: DataFrame, wholes: DataFrame, separator: str = " ") -> DataFrame:
+def _grams(text: Column, size: Column | int) -> Column:
+    """The distinct pieces of ``size`` characters of a text; none where it is shorter."""
+    size = F.lit(size) if isinstance(size, int) else size
+    count = F.length(text) - size + 1
+    return F.when(count > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), count), lambda i: F.substring(text, i, size)))).otherwise(F.array().cast("array<string>"))
+
+
+def containing(parts: DataFrame, wholes: DataFrame, separator: str = " ", kind: str | None = None) -> DataFrame:
     """(part_id, whole_id) where a whole's text contains a part's. ``parts``: part_id, part; ``wholes``: whole_id, whole.
 
     All but a part's first and last word must be words of the whole, so pairs meet under the part's rarest inner word
-    and only these are searched. A part of fewer than three words has none: such parts are looked for in every whole.
-    Null texts are contained in nothing; an empty part is contained in every whole.
+    and only these are searched. A part of fewer than three words has none: it meets wholes under its rarest piece of
+    three letters (of its own length, where it is shorter). Null texts are contained in nothing, and an empty part is
+    looked for nowhere. With ``kind``, a column of both sides, only rows of one kind are compared.
     """
+    by = [kind] if kind else []
     words = lambda c: F.split(c, separator)
     inner = F.array_distinct(F.filter(F.slice(words(F.col("part")), 2, F.greatest(F.lit(0), F.size(words(F.col("part"))) - 2)), lambda w: w != ""))
-    parts = parts.filter("part IS NOT NULL").distinct()
-    long = parts.withColumn("_w", inner).filter(F.size("_w") > 0)
-    wanted = long.select(F.explode("_w").alias("w")).distinct()
-    held = wholes.filter("whole IS NOT NULL").select("whole_id", F.explode(F.array_distinct(words(F.col("whole")))).alias("w")).join(wanted, "w", "left_semi")
-    spread = held.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    rarest = long.select("part_id", "part", F.explode("_w").alias("w")).join(spread, "w", "left")
-    rarest = rarest.groupBy("part_id", "part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w")).alias("x")).select("part_id", "part", "x.w")
-    near = held.join(rarest, "w").select("whole_id", "part_id", "part").join(wholes, "whole_id")
-    found = near.filter(F.col("whole").contains(F.col("part"))).select("part_id", "whole_id")
-    short = parts.join(long.select("part_id", "part"), ["part_id", "part"], "left_anti")
-    rest = every_pair(short, wholes.filter("whole IS NOT NULL"), F.col("whole").contains(F.col("part"))).select("part_id", "whole_id")
-    return found.union(rest).distinct()
+    parts = parts.filter("part <> ''").select(*by, "part_id", "part").distinct().withColumn("_w", inner)
+    wholes = wholes.filter("whole IS NOT NULL").select(*by, "whole_id", "whole")
+    short = parts.filter(F.size("_w") == 0).withColumn("_w", _grams(F.col("part"), F.least(F.lit(3), F.length("part"))))
+    long = parts.filter(F.size("_w") > 0)
+
+    def met(parts: DataFrame, keys: Column) -> DataFrame:
+        wanted = parts.select(*by, F.explode("_w").alias("w")).distinct()
+        held = wholes.select(*by, "whole_id", F.explode(keys).alias("w")).join(wanted, [*by, "w"], "left_semi")
+        spread = held.groupBy(*by, "w").agg(F.count(F.lit(1)).alias("n"))
+        rarest = parts.select(*by, "part_id", "part", F.explode("_w").alias("w")).join(spread, [*by, "w"], "left")
+        rarest = rarest.groupBy(*by, "part_id", "part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w")).alias("x")).select(*by, "part_id", "part", "x.w")
+        near = held.join(rarest, [*by, "w"]).select(*by, "whole_id", "part_id", "part").join(wholes, [*by, "whole_id"])
+        return near.filter(F.col("whole").contains(F.col("part"))).select("part_id", "whole_id")
+
+    pieces = F.array_distinct(F.concat(*[_grams(F.col("whole"), n) for n in (1, 2, 3)]))
+    return met(long, F.array_distinct(words(F.col("whole")))).union(met(short, pieces)).distinct()
 
 
 def places(rows: DataFrame, group: Sequence[str], bucket: Sequence[Column], within: Sequence[Column], name: str = "place") -> DataFrame:

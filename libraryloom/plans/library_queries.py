@@ -177,11 +177,11 @@ def deletions(spark, d):
 
 # -- incoming files ------------------------------------------------------------------------------------------------------
 
-@register(f"""{LIB}, own AS (SELECT doc_id, doc_id % 4 AS m, 'd' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.url' WHEN 2 THEN '.md' ELSE '.zip' END AS name FROM documents WHERE doc_id % 4 <> 2 OR doc_id % 3 <> 0)
-SELECT o.name, l.rel_path, CASE WHEN l.k IS NULL THEN NULL WHEN m = 1 THEN 'url' WHEN l.original_kind IS NULL AND m IN (0, 2) THEN 'backfill:hash' ELSE 'hash' END AS reason
-FROM own o LEFT JOIN lib l ON CASE WHEN m = 1 THEN l.k = o.doc_id + 1 AND l.k % 4 = 2 ELSE o.doc_id % 3 = 1 AND l.k = o.doc_id AND l.source_hash IS NOT NULL END""")
+@register(f"""{LIB}, own AS (SELECT doc_id, doc_id % 4 AS m, doc_id % 12 = 8 AS named, 'd' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.url' WHEN 2 THEN '.md' ELSE '.zip' END AS name FROM documents WHERE doc_id % 4 <> 2 OR doc_id % 3 <> 0)
+SELECT o.name, l.rel_path, CASE WHEN l.k IS NULL THEN NULL WHEN m = 1 THEN 'url' WHEN named THEN 'backfill:fuzzy' WHEN l.original_kind IS NULL AND m IN (0, 2) THEN 'backfill:hash' ELSE 'hash' END AS reason
+FROM own o LEFT JOIN lib l ON CASE WHEN m = 1 THEN l.k = o.doc_id + 1 AND l.k % 4 = 2 WHEN named THEN l.k = o.doc_id AND l.original_kind IS NULL ELSE o.doc_id % 3 = 1 AND l.k = o.doc_id AND l.source_hash IS NOT NULL END""")
 def dup_matched_to(spark, d):
-    """What happens to incoming files, by hash and by address; none is like a record's name or title."""
+    """What happens to incoming files: by hash, by address, by the identifier in a name; other names are like no record's."""
     c = F.col
     lib = library(spark, d)
     m = c("doc_id") % 4
@@ -189,10 +189,11 @@ def dup_matched_to(spark, d):
     known = lib.select(c("k").alias("doc_id"), "source_hash")
     ext = F.when(c("m") == 0, ".pdf").when(c("m") == 1, ".url").when(c("m") == 2, ".md").otherwise(".zip")
     rows = docs.join(known, "doc_id", "left")
+    named = F.concat(F.lit("a paper 2401."), F.lpad((c("doc_id") % 100000).cast("string"), 5, "0"), F.lit(" final"))
     inputs = rows.select(
         F.concat(F.lit("d"), "doc_id", ext).alias("name"), F.when((c("m") != 1) & (c("doc_id") % 3 == 1), c("source_hash")).alias("hash"),
         F.when(c("m") == 1, F.concat(F.lit("http://ex.org/part/"), c("doc_id") + 1, F.lit("?b=2"))).alias("url"),
-        F.lit("zzzz").alias("stem"), F.lit("").alias("meta_title"), F.lit("").alias("first_page"),
+        F.when(c("doc_id") % 12 == 8, named).otherwise(F.concat(F.lit("zzzz"), "doc_id")).alias("stem"), F.lit("").alias("meta_title"), F.lit("").alias("first_page"),
     )
     return intake.decide(inputs, lib)
 
@@ -254,18 +255,23 @@ def promoted_urls(spark, d):
 ENTRY = f"entry AS (SELECT k, rel_path, {TITLE} AS title, '10.1234/p.' || k AS doi FROM lib WHERE k % 3 = 0 AND NOT corrupt)"
 
 
-@register(f"""{LIB}, {ENTRY} SELECT 'f' || k || '.pdf' AS name, rel_path, 'promote' AS verdict FROM entry WHERE k % 2 = 0
-UNION ALL SELECT 'v' || (k // 300) || '.pdf', rel_path, 'volume-contains' FROM entry WHERE k % 9 = 0 AND length(title) >= 12""")
+@register(f"""{LIB}, {ENTRY} SELECT 'f' || k || '.pdf' AS name, rel_path, 'promote' AS verdict FROM entry WHERE k % 2 = 0 OR k % 12 = 3
+UNION ALL SELECT 'v' || (k // 300) || '.pdf', rel_path, 'volume-contains' FROM entry WHERE k % 9 = 0 AND (k % 2 = 1 OR length(title) >= 12)""")
 def promotions(spark, d):
-    """Incoming files against published entries: by identifier, else as volumes that list their titles."""
+    """Incoming files against published entries: by identifier, by title, some with other letters at its end, vetoed where
+    the preprint's title is unlike; else as volumes that list titles in their text or, with other letters, in their outline."""
     c = F.col
     lib = library(spark, d).filter("k % 3 = 0 AND NOT corrupt")
-    title = F.coalesce("title", F.concat("slug", F.lit(".summary")))
-    entries = lib.select("rel_path", title.alias("title"), title.alias("published_title"), F.lit("").alias("published_url"), F.concat(F.lit("https://doi.org/10.1234/P."), c("k").cast("string"), F.lit("?x=1")).alias("doi"), F.lit("").alias("published_doi"))
+    plain, odd = F.coalesce("title", F.concat("slug", F.lit(".summary"))), c("k") % 2 == 1
+    own = F.sha2(F.concat(F.lit("t"), c("k").cast("string")), 256)  # a title like no other
+    lib = lib.withColumn("shown", F.when(odd, own).otherwise(plain)).withColumn("near", F.concat(F.left(own, F.lit(61)), F.lit("zzz")))
+    title = F.when(c("k") % 12 == 9, plain).otherwise(c("shown"))
+    entries = lib.select("rel_path", title.alias("title"), c("shown").alias("published_title"), F.lit("").alias("published_url"), F.concat(F.lit("https://doi.org/10.1234/P."), c("k").cast("string"), F.lit("?x=1")).alias("doi"), F.lit("").alias("published_doi"))
     none = F.array().cast("array<string>")
-    single = lib.filter("k % 2 = 0").select(F.concat(F.lit("f"), "k", F.lit(".pdf")).alias("name"), F.concat(F.lit("doi:10.1234/p."), "k").alias("doi"), F.lit("").alias("title"), F.lit(9).alias("pages"), F.lit("").alias("front"), none.alias("outline"))
-    listed = lib.filter("k % 9 = 0").groupBy(F.floor(c("k") / 300).alias("v")).agg(F.array_join(F.sort_array(F.collect_list(title)), " . ").alias("t"))
-    volumes = listed.select(F.concat(F.lit("v"), "v", F.lit(".pdf")), F.lit(""), F.lit(""), F.lit(80), F.concat(F.lit("Proceedings of the Days. . "), "t", F.lit(" .")), none)
+    doi = F.when(~odd, F.concat(F.lit("doi:10.1234/p."), c("k").cast("string"))).otherwise("")
+    single = lib.select(F.concat(F.lit("f"), c("k").cast("string"), F.lit(".pdf")).alias("name"), doi.alias("doi"), F.when(odd, F.when(c("k") % 4 == 3, c("near")).otherwise(c("shown"))).otherwise("").alias("title"), F.lit(9).alias("pages"), F.lit("").alias("front"), none.alias("outline"))
+    listed = lib.filter("k % 9 = 0").groupBy(F.floor(c("k") / 300).alias("v")).agg(F.array_join(F.sort_array(F.collect_list(F.when(~odd, plain))), " . ").alias("t"), F.collect_list(F.when(odd, c("near"))).alias("outline"))
+    volumes = listed.select(F.concat(F.lit("v"), c("v").cast("string"), F.lit(".pdf")), F.lit(""), F.lit(""), F.lit(80), F.concat(F.lit("Proceedings  of\nthe Days. . "), "t", F.lit(" .")), "outline")
     return intake.promotions(single.union(volumes), entries)
 
 

@@ -1,5 +1,6 @@
 """The library's operators on a small invented tree."""
 
+import collections
 import datetime
 import difflib
 import json
@@ -293,9 +294,7 @@ def plain_fuzzy(f, r):
     return min(1.0, best + (0.1 if year and year[0] in name else 0))
 
 
-@pytest.mark.parametrize("few", [2000, 3])
-def test_fuzzy_backfill_by_hand(spark, few, monkeypatch):
-    monkeypatch.setattr(matching.every_pair, "__defaults__", (few,))
+def test_fuzzy_backfill_by_hand(spark):
     rng = random.Random(9)
     words = "moon tide rock river stone small deep old lake shape".split()
     title = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(2, 6)))
@@ -312,15 +311,13 @@ def test_fuzzy_backfill_by_hand(spark, few, monkeypatch):
     assert got == want and sum(x is not None for x in got.values()) > 3
 
 
-@pytest.mark.parametrize("few", [2000, 4])
-def test_containing_by_hand(spark, few, monkeypatch):
-    monkeypatch.setattr(matching.every_pair, "__defaults__", (few,))
+def test_containing_by_hand(spark):
     rng = random.Random(5)
     text_ = lambda n: " ".join(rng.choice("ab bc cd de ef a b".split()) for _ in range(n))
     wholes = [(k, text_(rng.randrange(0, 30))) for k in range(40)] + [(40, None), (41, "")]
     parts = [(k, rng.choice(wholes[:40])[1][rng.randrange(9) :][: rng.randrange(25)]) for k in range(40)] + [(40, None), (41, ""), (42, "b c d"), (43, "ab  bc cd")]
     got = matching.containing(spark.createDataFrame(parts, "part_id int, part string"), spark.createDataFrame(wholes, "whole_id int, whole string")).collect()
-    want = {(i, j) for i, p in parts for j, w in wholes if p is not None and w is not None and p in w}
+    want = {(i, j) for i, p in parts for j, w in wholes if p and w is not None and p in w}  # an empty part is looked for nowhere
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
@@ -329,9 +326,29 @@ def test_similarity_by_hand(spark):
     pairs = [("".join(rng.choice("abc ") for _ in range(rng.randrange(12))), "".join(rng.choice("abc ") for _ in range(rng.randrange(12)))) for _ in range(200)]
     df = spark.createDataFrame(pairs, "a string, b string")
     a, b = F.col("a"), F.col("b")
-    limit = similarity.ratio_limit(a, b, similarity.letter_counts(a), similarity.letter_counts(b))
-    for r in df.select("a", "b", similarity.similarity(a, b).alias("s"), similarity.ratio_bound(a, b).alias("bound"), limit.alias("limit")).collect():
-        assert r.s == difflib.SequenceMatcher(None, r.a, r.b).ratio() <= r.limit + 1e-12 and r.limit <= r.bound + 1e-12
+    common = F.size(F.array_intersect(similarity.letters(a), similarity.letters(b)))
+    for r in df.select("a", "b", similarity.similarity(a, b).alias("s"), common.alias("common")).collect():
+        assert r.common == sum((collections.Counter(r.a) & collections.Counter(r.b)).values())
+        assert r.s == difflib.SequenceMatcher(None, r.a, r.b).ratio() and r.s * (len(r.a) + len(r.b)) <= 2 * r.common + 1e-9
+
+
+@pytest.mark.parametrize("floor", [0.45, 0.75, 0.9])
+def test_similar_texts_miss_no_pair(spark, floor):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("aeiorstnlz 12") for _ in range(rng.randrange(1, 14)))
+    some = [word() for _ in range(60)]
+    left = [(t, rng.choice([floor, min(1.0, floor + 0.1)])) for t in [*some, "", "", *some[:5]]]
+    right = [*[t[:5] + word()[:2] + t[5:] for t in some], *some[30:], "", None, some[0]]
+    got = matching.similar_texts(spark.createDataFrame(left, "text string, least double"), spark.createDataFrame([(t,) for t in right], "text string"), floor).collect()
+    pairs = {tuple(r) for r in got}
+    assert len(pairs) == len(got)
+    least = {t: min(x for u, x in left if u == t) for t, _ in left}
+    for t in least:
+        for u in set(right) - {None}:
+            if t and u and difflib.SequenceMatcher(None, t, u).ratio() >= least[t]:
+                assert (t, u) in pairs
+    bound = lambda t, u: 2 * sum((collections.Counter(t) & collections.Counter(u)).values()) / (len(t) + len(u))
+    assert pairs == {(t, u) for t in least for u in set(right) - {None} if t and u and bound(t, u) >= least[t] - 1e-9}
 
 
 def test_front_matter_writers(spark):
