@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,8 +29,8 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.pandas_udf(_ratios, "double")(a, b)  # made late, as it needs a session
 
 
-#: How often letters occur in English text, in thousandths; others are taken to be rare.
-FREQUENCY = {" ": 180, "e": 127, "t": 91, "a": 82, "o": 75, "i": 70, "n": 67, "s": 63, "h": 61, "r": 60, "d": 43, "l": 40, "u": 28, "c": 28, "m": 24, "w": 24, "f": 22, "g": 20, "y": 20, "p": 19, "b": 15, "v": 10, "k": 8, "j": 2, "x": 2, "q": 1, "z": 1}
+#: How often letters occur in English titles and names, in thousandths; others are taken to be rare.
+FREQUENCY = {**dict.fromkeys("0123456789", 60), " ": 180, "e": 127, "t": 91, "a": 82, "o": 75, "i": 70, "n": 67, "s": 63, "h": 61, "r": 60, "d": 43, "l": 40, "u": 28, "c": 28, "m": 24, "w": 24, "f": 22, "g": 20, "y": 20, "p": 19, "b": 15, "v": 10, "k": 8, "j": 2, "x": 2, "q": 1, "z": 1}
 
 
 def letters(text: Column) -> Column:
@@ -51,6 +52,74 @@ def letters(text: Column) -> Column:
     return F.element_at(F.transform(F.array(found), numbered), 1)
 
 
+#: Occurrences of a letter that have bits of their own in ``letter_bits``.
+TIMES = 3
+
+
+def letter_bits(numbers: Column) -> Column:
+    """Numbers of ``letters`` as bits: a long for each of the first ``TIMES`` occurrences, and how many are left over."""
+
+    def place(x: Column) -> Column:
+        code = F.shiftright(x, 20).bitwiseAND(F.lit(0xFFFFF))
+        return F.when(code == 32, 36).when(code.between(48, 57), code - 22).when(code.between(97, 122), code - 97)
+
+    def bits(time: int) -> Column:
+        own = F.filter(numbers, lambda x: (x.bitwiseAND(F.lit(0xFFFFF)) == time) & place(x).isNotNull())
+        return F.aggregate(own, F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), place(x).cast("int"))))
+
+    masks = [bits(t + 1) for t in range(TIMES)]
+    held = sum((F.bit_count(m) for m in masks[1:]), F.bit_count(masks[0]))
+    return F.struct(F.array(*masks).alias("masks"), (F.size(numbers) - held).alias("rest"))
+
+
+def common_letters(a: list[Column], rest_a: Column, b: list[Column], rest_b: Column) -> Column:
+    """At least how many letters two texts have in common, from the masks and rests of their ``letter_bits``."""
+    return sum((F.bit_count(x.bitwiseAND(y)) for x, y in zip(a, b, strict=True)), F.least(rest_a, rest_b))
+
+
+#: Bits of a machine word: the longest text that ``common_subsequence`` holds in one.
+WORD = 64
+
+
+def common_subsequence(a: list[str], b: list[str]) -> np.ndarray:
+    """For each pair at least the length of the longest common subsequence, all pairs at once, a bit for each letter of one.
+
+    It is exact but for letters whose code points agree modulo 64, which count as equal, and for pairs of two texts of more
+    than 64 letters, which get the shorter length.
+    """
+    sizes_a, sizes_b = np.array([len(x) for x in a], dtype=np.int64), np.array([len(x) for x in b], dtype=np.int64)
+    out = np.minimum(sizes_a, sizes_b)
+    fits = np.flatnonzero((out <= WORD) & (out > 0))
+    if not len(fits):
+        return out
+    short = [a[i] if sizes_a[i] <= sizes_b[i] else b[i] for i in fits]
+    long = [b[i] if sizes_a[i] <= sizes_b[i] else a[i] for i in fits]
+    width = max(map(len, long))
+    x = np.array(short, dtype=f"U{WORD}").view(np.uint32).reshape(len(fits), WORD)
+    y = np.ascontiguousarray(np.array(long, dtype=f"U{width}").view(np.uint32).reshape(len(fits), width).T)
+    rows = np.arange(len(fits))
+    masks = np.zeros((len(fits), WORD), dtype=np.uint64)
+    for i in range(int(out[fits].max())):
+        masks[rows, x[:, i] % WORD] |= np.where(x[:, i] > 0, np.uint64(1) << np.uint64(i), np.uint64(0))
+    free = np.full(len(fits), 2**64 - 1, dtype=np.uint64)
+    for letter in y:
+        u = free & masks[rows, letter % WORD]
+        free = np.where(letter > 0, (free + u) | (free - u), free)
+    out[fits] = np.bitwise_count(~free)
+    return out
+
+
+def _may_reach(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    x, y = a.tolist(), b.tolist()
+    both = np.array([len(i) + len(j) for i, j in zip(x, y, strict=True)], dtype=np.float64)
+    return pd.Series(2.0 * common_subsequence(x, y) >= least.to_numpy() * both - 1e-9)
+
+
+def may_reach(a: Column, b: Column, least: Column) -> Column:
+    """False where the ratio of two texts cannot reach ``least``: matching blocks are a common subsequence."""
+    return F.pandas_udf(_may_reach, "boolean")(a, b, least)
+
+
 def similarity(a: Column, b: Column) -> Column:
     """Ratio of two normalised strings."""
     return _ratio(a, b)

@@ -66,10 +66,9 @@ def _fuzzy(rest: DataFrame, open_: DataFrame) -> DataFrame:
 
     def reached(files: DataFrame, floor: float) -> DataFrame:
         """Pairs of ``files`` (name, n, meta, goal) whose letters allow a score of ``goal``."""
-        by_name = similar_texts(files.select(c("n").alias("text"), (c("goal") - bonus).alias("least")), each.select(c("x").alias("text")), floor)
-        by_title = similar_texts(files.select(c("meta").alias("text"), (c("goal") - bonus).alias("least")), open_.select(c("t").alias("text")), floor)
-        one = files.join(by_name, c("n") == c("text")).select("name", "other").join(each, c("other") == c("x")).select("name", "rel_path")
-        return one.union(files.join(by_title, c("meta") == c("text")).select("name", "other").join(open_, c("other") == c("t")).select("name", "rel_path"))
+        own = files.select("name", F.explode(F.array_distinct(F.array("n", "meta"))).alias("text"), (c("goal") - bonus).alias("least"))
+        near = similar_texts(own.select("text", "least"), each.select(c("x").alias("text")), floor)
+        return own.join(near, "text").select("name", "other").join(each, c("other") == c("x")).select("name", "rel_path")
 
     def scored(pairs: DataFrame) -> DataFrame:
         rows = pairs.distinct().join(rest, "name").join(open_, "rel_path")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from libraryloom.functions import similarity
+from libraryloom.sources.scratch import cut
 
 
 def best_with_margin(scored: DataFrame, by: Sequence[str], candidate: str, score: str, threshold: float, margin: float) -> DataFrame:
@@ -43,24 +44,70 @@ def only_match(pairs: DataFrame, by: Sequence[str], candidate: str) -> DataFrame
     return found.filter(F.col(candidate) == F.col("_other")).drop("_other")
 
 
+#: From this similarity on, texts meet under segments that they share, below under rare letters.
+SEGMENTS = 0.85
+
+
 def similar_texts(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
-    """(text, other) of a text of ``left`` and one of ``right`` whose letters allow a similarity that can matter.
+    """(text, other) of a text of ``left`` and one of ``right`` whose similarity can matter.
 
     ``left``: text and least, the similarity that its partners must be able to reach, never below ``floor``; ``right``:
-    text. No pair whose ratio reaches ``least`` is missing: such a pair shares least * (a + b) / 2 of the letters, each
-    counted as often as it occurs, so it shares a letter of the rarest few of either side (a prefix filter). Pairs meet
-    under the rarest letter that they share and are kept where all their letters allow the ratio. Texts are looked at
-    once however many rows have them; empty and null ones have no partner.
+    text. No pair whose ratio reaches ``least`` is missing, and those that stay have a common subsequence that allows it.
+    Texts are looked at once however many rows have them; empty and null ones have no partner. Candidates meet under keys:
+
+    * below ``SEGMENTS``: a pair shares least * (a + b) / 2 of the letters, each counted as often as it occurs, so it shares
+      one of the rarest few of either side (a prefix filter) and meets under the rarest that it shares;
+    * from it on: at most (1 - floor) * 2n / floor letters of a text of n and its partner stay without match, so of as many
+      segments and one more that the text is cut into one is whole in the partner, as far from its place as that number.
     """
     c = F.col
-    letters = left.filter("text <> ''").groupBy("text").agg(F.min("least").alias("least")).withColumn("a", similarity.letters(c("text")))
-    others = right.filter("text <> ''").select(c("text").alias("other")).distinct().withColumn("b", similarity.letters(c("other")))
-    few = lambda all_, least: F.slice(all_, F.lit(1), (F.size(all_) - F.ceil(least * F.size(all_) / (2 - least) - 1e-9) + 1).cast("int"))
-    letters = letters.withColumn("pa", few(c("a"), c("least"))).withColumn("letter", F.explode("pa"))
-    others = others.withColumn("pb", few(c("b"), F.lit(floor))).withColumn("letter", F.explode("pb"))
-    both, shorter = F.size("a") + F.size("b"), F.least(F.size("a"), F.size("b"))
-    pairs = letters.join(others, "letter").filter(2 * shorter >= c("least") * both - 1e-9).filter(F.array_min(F.array_intersect("pa", "pb")) == c("letter"))
-    return pairs.filter(2 * F.size(F.array_intersect("a", "b")) >= c("least") * both - 1e-9).select("text", "other")
+    texts = left.filter("text <> ''").groupBy("text").agg(F.min("least").alias("least"))
+    others = right.filter("text <> ''").select(c("text").alias("other")).distinct()
+    near = _by_segments(texts, others, floor) if floor >= SEGMENTS else _by_letters(texts, others, floor)
+    return near.filter(similarity.may_reach(c("text"), c("other"), c("least"))).select("text", "other")
+
+
+def _long_enough() -> Column:
+    return 2 * F.least(F.length("text"), F.length("other")) >= F.col("least") * (F.length("text") + F.length("other")) - 1e-9
+
+
+def _by_letters(texts: DataFrame, others: DataFrame, floor: float) -> DataFrame:
+    c = F.col
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def lettered(rows: DataFrame, text: str, least: Column, name: str) -> DataFrame:
+        """``rows`` with their length, letters as bits and rarest letters, written in parts that all tasks share."""
+        few = lambda x: F.slice(x, F.lit(1), (F.size(x) - F.ceil(least * F.size(x) / (2 - least) - 1e-9) + 1).cast("int"))
+        found = F.transform(F.array(similarity.letters(c(text))), lambda x: F.struct(F.size(x).alias("n"), similarity.letter_bits(x).alias("bits"), few(x).alias("few")))
+        kept = rows.repartition(n, text).withColumn("x", F.element_at(found, 1))
+        masks = [c("x.bits.masks")[k].alias(f"{name}{k}") for k in range(similarity.TIMES)]  # flat, as very many pairs look at them
+        return cut(kept.select(*rows.columns, c("x.n").alias(f"{name}n"), *masks, c("x.bits.rest").alias(f"{name}r"), c("x.few").alias(name)), "letters")
+
+    a, b = lettered(texts, "text", c("least"), "a"), lettered(others, "other", F.lit(floor), "b")
+    pairs = a.withColumn("letter", F.explode("a")).join(b.withColumn("letter", F.explode("b")), "letter")
+    common = similarity.common_letters([c(f"a{k}") for k in range(similarity.TIMES)], c("ar"), [c(f"b{k}") for k in range(similarity.TIMES)], c("br"))
+    enough = 2 * common >= c("least") * (c("an") + c("bn")) - 1e-9
+    return pairs.filter(enough & (F.array_min(F.array_intersect("a", "b")) == c("letter"))).select("text", "other", "least")
+
+
+def _by_segments(texts: DataFrame, others: DataFrame, floor: float) -> DataFrame:
+    c = F.col
+    n = F.length("other")
+    apart = F.floor(F.lit((1 - floor) * 2 / floor) * n + 1e-9).cast("int")
+    bound = lambda i: F.floor(i * n / (c("apart") + 1)).cast("int")
+    segment = lambda i: F.struct(bound(i).alias("at"), F.substring(c("other"), bound(i) + 1, bound(i + 1) - bound(i)).alias("segment"))
+    b = others.withColumn("apart", apart).withColumn("s", F.explode(F.transform(F.sequence(F.lit(0), c("apart")), segment))).select("other", "apart", "s.*").filter("segment <> ''")
+    longest = int(floor / (2 * (1 - floor)) + 1) * 2  # of the segments of a text of any length
+
+    def pieces(k: int) -> Column:
+        """All pieces of k letters of a text, with their places."""
+        every = F.transform(F.sequence(F.lit(0), F.greatest(F.length("text") - k, F.lit(0))), lambda i: F.struct(i.alias("place"), F.substring(c("text"), i + 1, F.lit(k)).alias("segment")))
+        return F.filter(every, lambda p: F.length(p.segment) == k)
+
+    a = texts.withColumn("p", F.explode(F.concat(*[pieces(k) for k in range(1, longest + 1)]))).select("text", "least", "p.*")
+    wanted = b.select("segment").distinct()
+    met = a.join(wanted, "segment", "left_semi").join(b, "segment").filter(_long_enough() & (F.abs(c("place") - c("at")) <= c("apart")))
+    return met.select("text", "other", "least").distinct()
 
 
 def _grams(text: Column, size: Column | int) -> Column:

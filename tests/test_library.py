@@ -327,7 +327,10 @@ def test_similarity_by_hand(spark):
     df = spark.createDataFrame(pairs, "a string, b string")
     a, b = F.col("a"), F.col("b")
     common = F.size(F.array_intersect(similarity.letters(a), similarity.letters(b)))
-    for r in df.select("a", "b", similarity.similarity(a, b).alias("s"), common.alias("common")).collect():
+    x, y = similarity.letter_bits(similarity.letters(a)), similarity.letter_bits(similarity.letters(b))
+    bits = similarity.common_letters([x["masks"][k] for k in range(3)], x["rest"], [y["masks"][k] for k in range(3)], y["rest"])
+    for r in df.select("a", "b", similarity.similarity(a, b).alias("s"), common.alias("common"), bits.alias("bits")).collect():
+        assert r.common <= r.bits <= min(len(r.a), len(r.b))
         assert r.common == sum((collections.Counter(r.a) & collections.Counter(r.b)).values())
         assert r.s == difflib.SequenceMatcher(None, r.a, r.b).ratio() and r.s * (len(r.a) + len(r.b)) <= 2 * r.common + 1e-9
 
@@ -347,8 +350,27 @@ def test_similar_texts_miss_no_pair(spark, floor):
         for u in set(right) - {None}:
             if t and u and difflib.SequenceMatcher(None, t, u).ratio() >= least[t]:
                 assert (t, u) in pairs
-    bound = lambda t, u: 2 * sum((collections.Counter(t) & collections.Counter(u)).values()) / (len(t) + len(u))
-    assert pairs == {(t, u) for t in least for u in set(right) - {None} if t and u and bound(t, u) >= least[t] - 1e-9}
+    assert all(2 * similarity.common_subsequence([t], [u])[0] >= least[t] * (len(t) + len(u)) - 1e-9 for t, u in pairs)
+
+
+def test_common_subsequence_bounds_the_ratio():
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdé 12") for _ in range(rng.randrange(n)))
+
+    def plain(x, y):
+        row = [0] * (len(y) + 1)
+        for i in x:
+            new = [0]
+            for j, k in enumerate(y):
+                new.append(row[j] + 1 if i == k else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    pairs = [(word(20), word(20)) for _ in range(300)] + [("a" * 64, "a" * 64), ("ab" * 32, "b" * 90), ("", "a"), ("x" * 70, "x" * 80)]
+    got = similarity.common_subsequence([p[0] for p in pairs], [p[1] for p in pairs])
+    for (x, y), n in zip(pairs, got, strict=True):
+        assert difflib.SequenceMatcher(None, x, y).ratio() * (len(x) + len(y)) <= 2 * n + 1e-9
+        assert n == plain(x, y)
 
 
 def test_front_matter_writers(spark):
