@@ -148,9 +148,15 @@ def changelog(entries: DataFrame) -> DataFrame:
 
 
 def expired(archives: DataFrame, keep: int = 50) -> DataFrame:
-    """Names beyond the newest ``keep``, by name."""
-    ranked = archives.withColumn("_k", F.row_number().over(Window.orderBy(F.desc("name"))))  # a listing of one folder
-    return ranked.filter(F.col("_k") > keep).select("name")
+    """Names beyond the newest ``keep``, by name; a name that is repeated counts once and a null one is no archive.
+
+    Only the newest ``keep`` are put in order (each task sends its own); the others are those below the last of them.
+    """
+    names = archives.select("name").filter("name IS NOT NULL").distinct()
+    newest = names.orderBy(F.desc("name")).limit(keep).collect()  # at most ``keep`` names
+    if len(newest) < keep:
+        return names.limit(0)
+    return names.filter(F.col("name") < F.lit(newest[-1].name)) if keep > 0 else names
 
 
 def landed(items: DataFrame, library: DataFrame) -> DataFrame:

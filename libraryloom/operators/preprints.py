@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from libraryloom.functions import identifiers, measures, names, similarity
 from libraryloom.functions.text import blank
 from libraryloom.operators.matching import first_or_better
+from libraryloom.operators.order import ranked
 
 REFRESH_DAYS = 7
 SANE, NEAR = 0.70, 0.85
@@ -98,8 +99,8 @@ def view(looked_like: DataFrame, checks: DataFrame, now: str) -> DataFrame:
     rows = rows.select("bucket", F.when(c("bucket") == "published", 0).otherwise(1).alias("_a"), F.lower("title").alias("_b"), "rel_path", "title", "checked_ago")
     new = looked_like.select("rel_path").distinct().join(checks.select("rel_path"), "rel_path", "left_anti")
     new = new.select(F.lit("unchecked").alias("bucket"), F.lit(2).alias("_a"), F.lit("").alias("_b"), "rel_path", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("checked_ago"))
-    order = Window.orderBy("_a", "_b", "rel_path")  # a page of the library's preprints
-    return rows.union(new).select("bucket", F.row_number().over(order).cast("long").alias("place"), "rel_path", "title", "checked_ago")
+    placed = ranked(rows.union(new), ["_a", "_b", "rel_path", "title", "checked_ago"])
+    return placed.select("bucket", c("place").cast("long").alias("place"), "rel_path", "title", "checked_ago")
 
 
 def view_stats(looked_like: DataFrame, checks: DataFrame) -> DataFrame:
