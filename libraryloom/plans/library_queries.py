@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from libraryloom.functions import front, identifiers, measures, names, similarity, text, urls
+from libraryloom.functions import front, identifiers, measures, names, paths, similarity, text, urls
 from libraryloom.operators import intake, lifecycle, matching, mirror, preprints, records
 from libraryloom.plans.frames import BYLINE, LINES, STATUS, TITLE, YEAR, library, library_sql
 from libraryloom.plans.register import QUERIES, read, register
@@ -175,6 +175,18 @@ def deletions(spark, d):
     return order.join(log, "seq").crossJoin(F.broadcast(count)).select("rel_path", "text", "seq", "left_over")  # one row
 
 
+SPELT = "CASE k % 9 WHEN 0 THEN rel_path WHEN 1 THEN '../' || rel_path WHEN 2 THEN '/' || rel_path WHEN 3 THEN folder || '/./' || slug || '.PDF' WHEN 4 THEN folder || '/../' || slug || '.md' WHEN 5 THEN folder || '//' || slug || '.exe' WHEN 6 THEN '' WHEN 7 THEN slug || '.md' ELSE folder || '/..' || slug || '.html' END"
+
+
+@register(f"""{LIB} SELECT k, {SPELT} AS asked, CASE k % 9 WHEN 0 THEN rel_path WHEN 3 THEN folder || '/' || slug || '.PDF' WHEN 4 THEN slug || '.md' WHEN 5 THEN folder || '/' || slug || '.exe' WHEN 6 THEN '' WHEN 7 THEN slug || '.md' WHEN 8 THEN folder || '/..' || slug || '.html' END AS resolved,
+  k % 9 IN (0, 7) AS viewable, k % 9 IN (0, 3, 7, 8) AS servable, k % 9 = 7 AS safe_name FROM lib""")
+def path_guards(spark, d):
+    """Which spellings of a record's path may be shown, served or taken as a name; some would leave the library."""
+    asked = F.col("asked")
+    rows = library(spark, d).select("k", F.expr(SPELT).alias("asked"))
+    return rows.select("k", "asked", paths.resolved(asked).alias("resolved"), paths.viewable(asked).alias("viewable"), paths.servable(asked).alias("servable"), paths.safe_name(asked).alias("safe_name"))
+
+
 # -- incoming files ------------------------------------------------------------------------------------------------------
 
 @register(f"""{LIB}, own AS (SELECT doc_id, doc_id % 4 AS m, doc_id % 12 = 8 AS named, 'd' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.url' WHEN 2 THEN '.md' ELSE '.zip' END AS name FROM documents WHERE doc_id % 4 <> 2 OR doc_id % 3 <> 0)
