@@ -137,24 +137,26 @@ def promotions(pdfs: DataFrame, entries: DataFrame) -> DataFrame:
 TURNS = 1024
 
 
-def outcome_names(moved: DataFrame, taken: DataFrame) -> DataFrame:
+def outcome_names(moved: DataFrame, taken: DataFrame, extensions: bool = True) -> DataFrame:
     """``moved`` (name, ...) with target: the name, or stem.n.ext with the least number from 1 that nothing else has.
 
     ``taken``: name of the files already there. A name without a point gets its number at the end; of ``a.1`` the
     extension is ``.1``, so it becomes ``a.1.1``. Numbers are given out name by name, past those that a file has or that
     another moved file brings as its own name, in whatever way that name can be read, so no two targets and no taken name
     are equal. Of files of one name the first, in the order of the other columns, gets the name itself where it is free;
-    the others follow in that order. No task holds all files of a name or all numbers in use.
+    the others follow in that order. No task holds all files of a name or all numbers in use. Without ``extensions``, as for
+    folders, the number always comes last.
     """
     c = F.col
-    whole = "^(.*?)(\\.[^.]*)?$"
+    whole = "^(.*?)(\\.[^.]*)?$" if extensions else "(?s)^(.*)()$"
     kept = taken.select("name").distinct()
     others = [c(x) for x in moved.columns if x != "name"]
     rows = ranked(moved, others, "_k", ["name"]).join(kept.withColumn("_t", F.lit(1)), "name", "left")
     rows = rows.withColumn("_turn", c("_k") - F.when(c("_t").isNull(), 1).otherwise(0))  # 0: keeps its name
     used = kept.union(moved.select("name")).distinct()
     read = lambda pattern, ext: F.struct(F.concat(F.regexp_extract("name", pattern, 1), F.regexp_extract("name", pattern, 3) if ext else F.lit("")).alias("name"), F.regexp_extract("name", pattern, 2).try_cast("long").alias("n"))
-    readings = F.array(read("^(.*)\\.([1-9][0-9]{0,17})(\\.[^.]*)$", True), read("^([^.]*)\\.([1-9][0-9]{0,17})$", False))
+    patterns = {"^(.*)\\.([1-9][0-9]{0,17})(\\.[^.]*)$": True, "^([^.]*)\\.([1-9][0-9]{0,17})$": False} if extensions else {"(?s)^(.*)\\.([1-9][0-9]{0,17})$": False}
+    readings = F.array(*[read(pattern, ext) for pattern, ext in patterns.items()])
     blocked = used.select(F.explode(readings).alias("r")).select("r.*").filter("n IS NOT NULL").distinct().join(rows.select("name").distinct(), "name", "left_semi")
     # the i-th number in use, n, moves on by one all turns from n - i + 1: a turn's number is itself and the last such i
     moves = ranked(blocked, ["n"], "i", ["name"]).select("name", (c("n") - c("i")).alias("at"), c("i"), F.lit(0).alias("turn"))
