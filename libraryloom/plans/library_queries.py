@@ -212,15 +212,15 @@ def dup_matched_to(spark, d):
 
 @register("""
 WITH f AS (SELECT event_id, 'e' || event_id || CASE WHEN event_id % 2 = 0 THEN '.pdf' ELSE '.url' END AS name, sha256(event_type || user_id) AS hash, ts,
-  CASE WHEN event_id % 2 = 1 THEN 'http://ex.org/' || (user_id % 50) END AS key FROM events WHERE ts < TIMESTAMP '2024-01-03'),
+  CASE WHEN event_id % 2 = 1 THEN 'http://ex.org/' || (user_id % 50) END AS key FROM events),
 r AS (SELECT *, first_value(name) OVER (PARTITION BY hash ORDER BY ts, name) AS h, CASE WHEN key IS NOT NULL THEN first_value(name) OVER (PARTITION BY key ORDER BY ts, name) END AS u FROM f)
 SELECT name, CASE WHEN h <> name OR coalesce(u <> name, false) THEN 'duplicate' ELSE 'new' END AS outcome, CASE WHEN h <> name THEN h WHEN u <> name THEN u END AS matched FROM r""")
 def batch_dedup(spark, d):
-    """One batch of the inbox against an empty state."""
+    """All events as one batch of the inbox against an empty state."""
     from libraryloom.streaming import inbox
 
     c = F.col
-    rows = read(spark, d, "events").filter("ts < '2024-01-03'")
+    rows = read(spark, d, "events")
     name = F.concat(F.lit("e"), "event_id", F.when(c("event_id") % 2 == 0, ".pdf").otherwise(".url"))
     key = F.when(c("event_id") % 2 == 1, F.concat(F.lit("http://ex.org/"), c("user_id") % 50))
     batch = rows.select(name.alias("name"), c("ts").cast("timestamp").alias("modified"), F.sha2(F.concat("event_type", c("user_id").cast("string")), 256).alias("hash"), key.alias("key"))
@@ -418,13 +418,13 @@ WORK = "array<struct<title:string,display_name:string,doi:string,authorships:arr
 
 @register(f"""{LIB}, {FOUND} SELECT rel_path, CASE WHEN title IS NULL THEN 'unknown' WHEN k % 16 = 12 THEN 'error' WHEN k % 16 = 8 THEN 'preprint-only' WHEN k % 16 = 4 AND k % 6 <> 0 THEN 'unknown' ELSE 'published' END AS status,
   CASE WHEN title IS NOT NULL AND k % 16 NOT IN (8, 12) AND NOT (k % 16 = 4 AND k % 6 <> 0) THEN 'high' END AS confidence, CASE WHEN title IS NOT NULL AND k % 16 NOT IN (8, 12) AND NOT (k % 16 = 4 AND k % 6 <> 0) THEN 'Rock Letters' END AS publication,
-  CASE WHEN title IS NOT NULL AND k % 16 NOT IN (8, 12) AND NOT (k % 16 = 4 AND k % 6 <> 0) THEN '10.7777/r.' || k END AS published_doi FROM found WHERE k % 4 = 0""")
+  CASE WHEN title IS NOT NULL AND k % 16 NOT IN (8, 12) AND NOT (k % 16 = 4 AND k % 6 <> 0) THEN '10.7777/r.' || k END AS published_doi FROM found""")
 def preprint_checks(spark, d):
     """Recorded search results against the preprints: by identifier and author, by title, without a place, and failed."""
     c = F.col
     lib = library(spark, d)
-    found = preprints.preprints(lib).join(lib.filter("k % 4 = 0").select("rel_path"), "rel_path", "left_semi")
-    rows = lib.filter("k % 4 = 0")
+    found = preprints.preprints(lib)
+    rows = lib
     place = lambda url, published, version, kind, name: F.struct(url.alias("landing_page_url"), F.lit(published).alias("is_published"), F.lit(version).alias("version"), F.struct(F.lit(kind).alias("type"), F.lit(name).alias("display_name")).alias("source"))
     own = place(c("url"), False, "submittedVersion", "repository", "arXiv")
     shop = place(F.lit("https://books.example/x"), False, "", "ebook platform", "Book Shop")
@@ -607,14 +607,14 @@ def produced_files(spark, d):
     return intake.produced_since(library(spark, d).withColumn("modified", at), "2024-06-01 00:00:11").select("rel_path")
 
 
-@register(f"{LIB}, r AS (SELECT *, row_number() OVER (ORDER BY k) AS place FROM lib WHERE k % 20 = 0) SELECT place, folder || '/' || slug AS key, 'Cite ' || k AS short_cite, '3.1, A.' || k AS cited_in FROM r")
+@register(f"{LIB}, r AS (SELECT *, row_number() OVER (PARTITION BY k // 1000 ORDER BY k) AS place FROM lib) SELECT place, folder || '/' || slug AS key, 'Cite ' || k AS short_cite, '3.1, A.' || k AS cited_in FROM r")
 def reference_blocks(spark, d):
-    """A Markdown file of references written and read back."""
+    """Markdown files of references, one for each thousand records, written and read back; places are places in a file."""
     c = F.col
     block = F.concat(F.lit("### Cite "), "k", F.lit("\n**Library path:** `library/"), "folder", F.lit("/"), "slug", F.lit("/`\n**Cited in:** §3.1 and A."), "k", F.lit("\n"))
-    rows = library(spark, d).filter("k % 20 = 0").agg(F.sort_array(F.collect_list(F.struct("k", block.alias("b")))).alias("e"))
+    rows = library(spark, d).groupBy(F.floor(c("k") / 1000).alias("book")).agg(F.sort_array(F.collect_list(F.struct("k", block.alias("b")))).alias("e"))
     path = scratch.fresh(spark, "references")
-    rows.select(F.concat(F.lit("# References\n"), F.array_join("e.b", "")).alias("value")).write.text(path)
+    rows.select("book", F.concat(F.lit("# References\n"), F.array_join("e.b", "")).alias("value")).write.partitionBy("book").text(path)
     return source.read_references(spark, path).select(c("place").cast("long").alias("place"), "key", "short_cite", joined(c("cited_in"), ", ").alias("cited_in"))
 
 
@@ -788,10 +788,9 @@ def text_functions(spark, d):
     )
 
 
-@register("SELECT doc_id, regexp_replace(strip_accents(left(coalesce(text, ''), 200)), '[^\\x00-\\x7F]', '_', 'g') AS folded FROM documents WHERE lang IN ('en', 'fr')")
+@register("SELECT doc_id, regexp_replace(strip_accents(coalesce(text, '')), '[^\\x00-\\x7F]', '_', 'g') AS folded FROM documents")
 def folded_names(spark, d):
-    rows = read(spark, d, "documents").filter("lang IN ('en', 'fr')")
-    return rows.select("doc_id", text.ascii_fold(F.left(F.coalesce("text", F.lit("")), F.lit(200))).alias("folded"))
+    return read(spark, d, "documents").select("doc_id", text.ascii_fold(F.coalesce("text", F.lit(""))).alias("folded"))
 
 
 @register("""
@@ -876,11 +875,15 @@ def title_similarity(spark, d):
 
 
 def fuzzy_backfill(spark, d):
-    """Incoming files with names like the titles of records without an original; pytest holds it against a plain loop."""
+    """Incoming files with names like the titles of records without an original; pytest holds it against a plain loop.
+
+    A search: a file's number is its part's key plus 2, and the queries are the files whose number is divisible by 20, against
+    all records.
+    """
     c = F.col
     lib = library(spark, d)
     stem = F.concat("p_name", F.lit("-"), c("p_partkey").cast("string"), F.lit(" copy"))
-    files = read(spark, d, "part").filter("p_partkey % 50 = 3").select(F.concat(F.lit("i"), "p_partkey", F.lit(".pdf")).alias("name"), F.lit("").alias("hash"), F.lit("").alias("url"), stem.alias("stem"), F.lit("").alias("meta_title"), F.lit("").alias("first_page"))
+    files = read(spark, d, "part").filter("(p_partkey + 2) % 20 = 0").select(F.concat(F.lit("i"), "p_partkey", F.lit(".pdf")).alias("name"), F.lit("").alias("hash"), F.lit("").alias("url"), stem.alias("stem"), F.lit("").alias("meta_title"), F.lit("").alias("first_page"))
     return intake.decide(files, lib)
 
 
