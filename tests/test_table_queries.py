@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from libraryloom.plans import library_queries, table_queries
+from libraryloom.plans import library_queries, service_queries, table_queries
 from libraryloom.plans.register import ORACLE_SQL, QUERIES
 
 
@@ -21,7 +21,7 @@ def duck(sf):
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query(name, spark, sf, duck):
-    assert QUERIES[name].__module__ in (library_queries.__name__, table_queries.__name__)
+    assert QUERIES[name].__module__ in (library_queries.__name__, service_queries.__name__, table_queries.__name__)
     ours, theirs = QUERIES[name](spark, sf).toPandas(), duck.sql(ORACLE_SQL[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     columns = sorted(ours.columns)
