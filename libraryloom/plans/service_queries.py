@@ -105,7 +105,7 @@ def paced_requests(spark, d):
     return service.paced(_requests(spark, d)).select("key", "service", "turn", "due")
 
 
-@register("""SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN [s_name, 'Ada & Bo'] WHEN 1 THEN [s_name] END AS names FROM supplier""")
+@register("""SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN s_name || '; Ada & Bo' WHEN 1 THEN s_name END AS names FROM supplier""")
 def atom_authors(spark, d):
     """Author lists of recorded feeds: two entries, one with a prefix of its namespace, none, and a feed cut short."""
     c = F.col
@@ -113,4 +113,4 @@ def atom_authors(spark, d):
     two = F.concat(F.lit(head + "<entry><title>x</title><author><name>\n "), c("s_name"), F.lit(" </name></author></entry><entry><author><name>Ada &amp; Bo</name></author><author><name/></author></entry></feed>"))
     one = F.concat(F.lit('<a:feed xmlns:a="http://www.w3.org/2005/Atom"><a:entry><a:author><a:name>'), c("s_name"), F.lit("</a:name></a:author></a:entry></a:feed>"))
     feed = F.when(c("s_suppkey") % 4 == 0, two).when(c("s_suppkey") % 4 == 1, one).when(c("s_suppkey") % 4 == 2, F.lit(head + "</feed>")).otherwise(F.substring(two, 1, 120))
-    return read(spark, d, "supplier").select("s_suppkey", service.atom_authors(feed).alias("names"))
+    return read(spark, d, "supplier").select("s_suppkey", F.array_join(service.atom_authors(feed), "; ").alias("names"))
