@@ -92,7 +92,7 @@ def lookups(spark, d):
 
 @register(f"""WITH {ASKED}, b AS (SELECT *, CASE WHEN m IN (0, 1) THEN doc WHEN m = 6 THEN torn WHEN m = 7 THEN '' END AS got FROM asked)
 SELECT key, service, CASE WHEN strlen(got) < 30 THEN 'small' ELSE ['good', 'good', 'failed', 'refused', 'refused', 'unanswered', 'good', 'good'][m + 1] END AS outcome, [1, 3, 3, 1, 2, 0, 1, 1][m + 1]::INTEGER AS attempts,
-  [0.0, 3.0, 3.0, 0.0, 1.0, 0.0, 0.0, 0.0][m + 1]::DOUBLE AS waited, strlen(got)::BIGINT AS size, CASE WHEN strlen(got) >= 30 THEN got END AS body,
+  [0.0, 3.0, 3.0, 0.0, 1.0, 0.0, 0.0, 0.0][m + 1]::DOUBLE AS waited, coalesce(strlen(got), 0)::BIGINT AS size, CASE WHEN strlen(got) >= 30 THEN got END AS body,
   CASE m WHEN 2 THEN 'status 503 after 3' WHEN 3 THEN 'status 404 after 1' WHEN 4 THEN 'status 400 after 2' END AS error FROM b""")
 def downloads(spark, d):
     """Documents of at least 30 bytes."""

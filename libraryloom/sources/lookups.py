@@ -67,14 +67,15 @@ def downloaded(asked: DataFrame, least: int = 1, attempts: int = ATTEMPTS, backo
     """key, service, outcome, attempts, waited, size (bytes), body and error of ``requests`` for documents.
 
     What a server may mend is tried again (``DOWNLOAD_AGAIN`` and failed connections), other answers from 400 on are
-    ``refused``. A body of fewer than ``least`` bytes is ``small``, which is no document: its size is told, its body is not.
+    ``refused``. A body of fewer than ``least`` bytes is ``small``, which is no document: its size is told, its body is not. Where no body came the size is 0.
     """
     def kind(r: Column) -> Column:
         status = r["status"].try_cast("int")
         return F.when(status.isNull() | status.isin(*DOWNLOAD_AGAIN), "again").when(status >= 400, "refused").otherwise("good")
 
-    rows = _tried(asked, kind, attempts, backoff).withColumn("size", F.when(F.col("kind") == "good", F.octet_length(F.coalesce("answer.body", F.lit("")))))
-    outcome = F.when(F.col("kind") == "again", "failed").when(F.col("size") < least, "small").otherwise(F.col("kind"))
+    came = F.col("kind") == "good"
+    rows = _tried(asked, kind, attempts, backoff).withColumn("size", F.when(came, F.octet_length(F.coalesce("answer.body", F.lit("")))).otherwise(0))
+    outcome = F.when(F.col("kind") == "again", "failed").when(came & (F.col("size") < least), "small").otherwise(F.col("kind"))
     return rows.select("key", "service", outcome.alias("outcome"), "attempts", "waited", F.col("size").cast("long").alias("size"), F.when(outcome == "good", F.col("answer.body")).alias("body"), _error(outcome.isin("failed", "refused")).alias("error"))
 
 
