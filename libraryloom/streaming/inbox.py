@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from libraryloom.functions.urls import canonical_url, first_url
@@ -31,8 +31,9 @@ def decide_batch(batch: DataFrame, claimed: DataFrame) -> DataFrame:
     Within a batch files count in the order of their time and name.
     """
     order = [F.col("modified"), F.col("name")]
-    first = lambda by: F.first("name").over(Window.partitionBy(by).orderBy(*order))
-    rows = batch.withColumn("_h", first("hash")).withColumn("_k", F.when(F.col("key").isNotNull(), first("key")))
+    # the first file of each hash and key is worked out where the files are, so no task sorts all files of one
+    first = lambda by, name: batch.filter(F.col(by).isNotNull()).groupBy(by).agg(F.min(F.struct(*order)).alias("_f")).select(by, F.col("_f.name").alias(name))
+    rows = batch.join(first("hash", "_h"), "hash", "left").join(first("key", "_k"), "key", "left")
     seen = claimed.filter("outcome = 'new'")
     by_hash = seen.groupBy("hash").agg(F.min("name").alias("_sh"))
     by_key = seen.filter("key IS NOT NULL").groupBy("key").agg(F.min("name").alias("_sk"))
