@@ -55,6 +55,13 @@ def _as_text(value) -> str | None:
     return str(value)
 
 
+def yaml_loader() -> type:
+    """The safe loader, in C where the library has it: reading a block is what a record costs."""
+    import yaml
+
+    return getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+
+
 def parse_yaml(rows: DataFrame, block: str = "block") -> DataFrame:
     """The fields of a YAML block: scalars as text, lists as arrays of text, corrupt where the block can't be read.
 
@@ -69,7 +76,7 @@ def parse_yaml(rows: DataFrame, block: str = "block") -> DataFrame:
         out = dict.fromkeys(names)
         out["corrupt"] = text is None
         try:
-            found = yaml.safe_load(text) if text else {}
+            found = yaml.load(text, Loader=yaml_loader()) if text else {}
         except (yaml.YAMLError, ValueError):
             found, out["corrupt"] = {}, True
         if not isinstance(found, dict):
@@ -345,7 +352,7 @@ def candidate_targets(notes: DataFrame) -> DataFrame:
         out = []
         for t in texts:
             try:
-                fm = yaml.safe_load(t) if t else None
+                fm = yaml.load(t, Loader=yaml_loader()) if t else None
             except yaml.YAMLError:
                 fm = None
             rows = []
