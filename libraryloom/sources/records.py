@@ -161,9 +161,9 @@ def read_runs(spark: SparkSession, path: str, last: int | None = 20, library: st
 
 
 def append_runs(runs: DataFrame, path: str) -> None:
-    """Add runs to a log of JSON lines, a folder; an error excerpt keeps its last 2000 characters."""
+    """Add runs to a log of JSON lines, a folder of compressed files; an error excerpt keeps its last 2000 characters."""
     known = [f.split()[0] for f in RUN.split(", ")]
-    runs.withColumn("error_excerpt", tail(F.coalesce("error_excerpt", F.lit("")), ERROR_TAIL)).select(*known).write.mode("append").option("ignoreNullFields", "false").json(path)
+    runs.withColumn("error_excerpt", tail(F.coalesce("error_excerpt", F.lit("")), ERROR_TAIL)).select(*known).write.mode("append").option("ignoreNullFields", "false").option("compression", "gzip").json(path)
 
 
 def rotated(log: DataFrame, most: int = LOG_BYTES) -> DataFrame:
