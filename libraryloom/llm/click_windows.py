@@ -221,6 +221,26 @@ def _move(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"could not move {source} to {target}")
 
 
+def _stream_session(spark: SparkSession, home: str, partitions: int) -> SparkSession:
+    """A session for a stream whose checkpoint lies in ``home`` and holds its number of partitions fast.
+
+    A query that is started anew opens all of its stores again, so a store is closed when its task ends: an executor holds
+    one for each running task, not those of all partitions and of the run before.
+    """
+    session = spark.newSession()
+    session.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    session.conf.set("spark.sql.streaming.stateStore.unloadOnCommit", "true")
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # many small stores, one for each start
+    session.conf.set("spark.sql.streaming.checkpoint.fileChecksum.enabled", "false")  # a second file for each; the folder serves one call
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(home)
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getScheme() == "file":
+        # there the default starts processes (stat, readlink) for each file that it renames
+        session.conf.set("spark.sql.streaming.checkpointFileManagerClass", "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager")
+    return session
+
+
 def windows(spark: SparkSession, events: DataFrame, batches: int = BATCHES, window: int = WINDOW, lateness: int = LATENESS) -> DataFrame:
     """Windows of ``events`` (click_id, hour, hash: 32 bytes, batch from 0), whose batches are fed to the stream in order.
 
@@ -247,12 +267,7 @@ def windows(spark: SparkSession, events: DataFrame, batches: int = BATCHES, wind
     control = spark.range(buckets, numPartitions=max(1, buckets // 100_000)).select(F.col("id").alias("bucket"), marks).select("bucket", zero("click_id"), zero("hour"), F.lit(b"").alias("hash"), zero("n"), "m.late", "m.expired", F.lit(1).alias("control"), "m.batch")
     control.write.mode("append").partitionBy("batch").option("compression", "zstd").parquet(f"{home}/cut")
 
-    session = spark.newSession()  # for the stream's number of partitions, which its checkpoint then holds fast
-    session.conf.set("spark.sql.shuffle.partitions", str(partitions))
-    session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
-    session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # many small stores, one for each start
-    session.conf.set("spark.sql.streaming.stateStore.maintenanceInterval", "10s")
+    session = _stream_session(spark, home, partitions)
     for b in range(batches):
         _move(spark, f"{home}/cut/batch={b}", f"{home}/fed/batch={b}")
         fed = session.readStream.schema(schema).parquet(f"{home}/fed")
