@@ -158,6 +158,9 @@ def size_human(spark, d):
 
 # -- matching ------------------------------------------------------------------------------------------------------------
 
+#: Pairs of an item and a document that a task counts at most, on average.
+TASK_PAIRS = 250_000
+
 
 @register("""
 WITH q AS (SELECT item_id, unnest(list_distinct(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '))) AS w FROM benchmark),
@@ -171,10 +174,14 @@ SELECT item_id, doc_id, score, runner_up, score >= 0.3 AND round(score - runner_
 def best_match_margin(spark, d):
     def words(table, key, n):
         w = F.array_distinct(F.split(text.normalize_title(F.col("text")), " "))
-        return read(spark, d, table).filter("text IS NOT NULL").select(key, w.alias("ws")).select(key, F.size("ws").alias(n), F.explode("ws").alias("w"))
+        return read(spark, d, table).filter("text IS NOT NULL").select(key, w.alias("ws")).select(key, F.size("ws").alias(n), "ws")
 
+    # a document's words stay in one task, which counts its pairs; so many tasks that none has to hold more than TASK_PAIRS
+    documents, items = words("documents", "doc_id", "tn"), words("benchmark", "item_id", "qn")
+    documents = documents.repartition(max(1, -(-documents.count() * items.count() // TASK_PAIRS)), "doc_id")
     # the number of words goes along with each word, so that pairs need no further joins
-    pairs = words("documents", "doc_id", "tn").join(words("benchmark", "item_id", "qn"), "w").groupBy("item_id", "qn", "doc_id", "tn").agg(F.count(F.lit(1)).alias("c"))
+    each = lambda rows: rows.withColumn("w", F.explode("ws")).drop("ws")
+    pairs = each(documents).join(each(items), "w").groupBy("item_id", "qn", "doc_id", "tn").agg(F.count(F.lit(1)).alias("c"))
     scored = pairs.select("item_id", "doc_id", F.round(F.col("c") / (F.col("qn") + F.col("tn") - F.col("c")), 6).alias("score"))
     return matching.best_with_margin(scored, ["item_id"], "doc_id", "score", 0.30, 0.15)
 
